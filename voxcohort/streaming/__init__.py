@@ -1,0 +1 @@
+"""Intentionally empty: every workload in scope is a batch over cohort tables, none is a stream."""
