@@ -11,10 +11,11 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxcohort.session import attach
+from voxcohort.session import attach, fits_broadcast, join_summary, settle
 
 IMAGE = ["image_id"]
 BINS = 1024
+WALK_ROWS = 1_000_000
 
 
 # --- one-pass aggregate expressions -----------------------------------------------------------
@@ -97,50 +98,46 @@ def value_counts(df: DataFrame, keys: Sequence[str] = IMAGE, value: str = "value
 
 
 def select_ranks(df: DataFrame, ranks: Mapping[str, Callable[[Column], Column]], keys: Sequence[str] = IMAGE,
-                 value: str = "value", levels: int = 2, bins: int = BINS) -> DataFrame:
+                 value: str = "value", bins: int = BINS, walk_rows: int | None = None) -> DataFrame:
     """Values at given 0-based positions of each sorted group, one column per name.
 
-    ``ranks`` maps a name to a function of the group size n. Equal values are first counted map-side.
-    Then each level splits the value range of what is left into equal bins, finds by a running sum over
-    at most ``bins`` rows per group which bin holds the wanted position, and keeps that bin only, with
-    the bounds of the values that are really in it. The last bin is walked value by value. Binning
-    is monotone, so the result is exact for every distribution; a hot group is spread over its bins.
+    ``ranks`` maps a name to a function of the group size n. While a range that holds a wanted position
+    has more than ``walk_rows`` rows, it is split into equal bins: the bins are counted map-side, a
+    running sum over at most ``bins`` rows finds the bin of the position, and only that bin is kept,
+    with the bounds of the values that are really in it. What is left is walked distinct value by
+    distinct value. Rows are never shuffled before they are reduced, and as binning is monotone the
+    result is exact for every distribution. Only row counts reach the driver.
     """
-    keys = list(keys)
-    counts = value_counts(df, keys, value)
-    sizes = counts.groupBy(*keys).agg(F.sum("count").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    limit = WALK_ROWS if walk_rows is None else walk_rows
+    key = list(keys)
+    rows = df.where(F.col(value).isNotNull()).select(*key, F.col(value).alias("value"))
     wanted = F.array(*[F.struct(F.lit(name).alias("name"), rank(F.col("n")).cast("long").alias("rank"))
                        for name, rank in ranks.items()])
-    targets = sizes.withColumn("target", F.explode(wanted)).select(
-        *keys, F.col("target.name").alias("name"), F.col("target.rank").alias("rank"), "low", "high")
-    rows = counts
-    key = keys
-    for _ in range(levels):
-        # every wanted position carries its own bounds, so that several of them share the passes
-        spans = targets.groupBy(*key, "low", "high").agg(F.collect_list(F.struct("name", "rank")).alias("wanted"))
+    spans = settle(rows.groupBy(*key).agg(F.count("value").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+                   .select(*key, "low", "high", "n", wanted.alias("wanted")))
+    # later rounds have at most one row per group and name
+    small = fits_broadcast(spans.count() * len(ranks))
+    while not spans.where((F.col("n") > limit) & (F.col("low") < F.col("high"))).isEmpty():
+        name = f"_bin{len(key) - len(keys)}"
         width = F.col("high") - F.col("low")
         place = F.when(width > 0, F.least(F.floor((F.col("value") - F.col("low")) / width * bins), F.lit(bins - 1)))
-        binned = rows.join(spans, key).withColumn("bin", F.coalesce(place, F.lit(0)))
-        filled = binned.groupBy(*key, "bin").agg(
-            F.sum("count").alias("in_bin"), F.min("value").alias("bin_low"), F.max("value").alias("bin_high"),
-            F.any_value("wanted").alias("wanted"))
-        order = Window.partitionBy(*key).orderBy("bin")
-        running = filled.withColumn("before", F.sum("in_bin").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-        running = running.withColumn("before", F.coalesce("before", F.lit(0)))
-        hit = running.withColumn("w", F.explode("wanted")).where(
-            (F.col("w.rank") >= F.col("before")) & (F.col("w.rank") < F.col("before") + F.col("in_bin")))
-        parent = "_".join(["b", str(len(key))])
-        targets = hit.select(*key, F.col("bin").alias(parent), F.col("w.name").alias("name"),
-                             (F.col("w.rank") - F.col("before")).alias("rank"),
-                             F.col("bin_low").alias("low"), F.col("bin_high").alias("high"))
-        kept = hit.select(*key, "bin").distinct()
-        rows = binned.select(*key, "bin", "value", "count").join(kept, [*key, "bin"]).withColumnRenamed("bin", parent)
-        key = [*key, parent]
-    walk = Window.partitionBy(*key).orderBy("value")
-    ends = rows.withColumn("end", F.sum("count").over(walk.rowsBetween(Window.unboundedPreceding, 0)))
-    found = ends.join(targets.select(*key, "name", "rank"), key).where(
-        (F.col("rank") < F.col("end")) & (F.col("rank") >= F.col("end") - F.col("count")))
-    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in ranks])
+        bounds = spans.select(*key, "low", "high")
+        binned = join_summary(rows, bounds, key, "inner", small).select(*key, F.coalesce(place, F.lit(0)).alias(name), "value")
+        filled = binned.groupBy(*key, name).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+        running = Window.partitionBy(*key).orderBy(name).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        placed = join_summary(filled, spans.select(*key, "wanted"), key, "inner", small).withColumn(
+            "before", F.sum("n").over(running) - F.col("n"))
+        here = F.filter("wanted", lambda w: (w["rank"] >= F.col("before")) & (w["rank"] < F.col("before") + F.col("n")))
+        shifted = F.transform(here, lambda w: F.struct(w["name"].alias("name"), (w["rank"] - F.col("before")).alias("rank")))
+        spans = settle(placed.select(*key, name, "low", "high", "n", shifted.alias("wanted")).where(F.size("wanted") > 0))
+        key = [*key, name]
+        rows = join_summary(binned, spans.select(*key), key, "inner", small)
+    counts = rows.groupBy(*key, "value").agg(F.count(F.lit(1)).alias("count"))
+    walk = Window.partitionBy(*key).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = counts.withColumn("end", F.sum("count").over(walk))
+    found = join_summary(ends, spans.select(*key, "wanted"), key, "inner", small).withColumn("w", F.explode("wanted")).where(
+        (F.col("w.rank") < F.col("end")) & (F.col("w.rank") >= F.col("end") - F.col("count")))
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("w.name") == n, F.col("value"))).alias(n) for n in ranks])
 
 
 def percentile_rank(percent: float) -> Callable[[Column], Column]:

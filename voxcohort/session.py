@@ -31,19 +31,29 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def attach(df: DataFrame, summary: DataFrame, on: list[str], how: str = "inner",
-           max_rows: int | None = None) -> DataFrame:
-    """Join a large table with a summary that has one row per ``on`` key.
+def fits_broadcast(rows: int, max_rows: int | None = None) -> bool:
+    return rows <= (BROADCAST_ROWS if max_rows is None else max_rows)
+
 
-    The summary is computed once and counted. Up to ``max_rows`` rows it is broadcast, so the large
-    side is never shuffled. Beyond that both sides are hash-joined on the key plus a salt, which
-    spreads a hot key over ``SALTS`` tasks.
+def join_summary(df: DataFrame, summary: DataFrame, on: list[str], how: str, small: bool) -> DataFrame:
+    """Join with a table that has one row per key: broadcast if it is known to be small, else salted.
+
+    The salt spreads the rows of a hot key over ``SALTS`` tasks; the summary is copied once per salt.
     """
-    limit = BROADCAST_ROWS if max_rows is None else max_rows
-    summary = settle(summary)
-    if summary.count() <= limit:
+    if small:
         return df.join(F.broadcast(summary), on, how)
     hashable = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*hashable), F.lit(SALTS)))
     copies = summary.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
+def attach(df: DataFrame, summary: DataFrame, on: list[str], how: str = "inner",
+           max_rows: int | None = None) -> DataFrame:
+    """Join a large table with a summary that has one row per ``on`` key.
+
+    The summary is computed once and counted, so that the large side is shuffled only if the summary
+    is too large to broadcast.
+    """
+    summary = settle(summary)
+    return join_summary(df, summary, on, how, fits_broadcast(summary.count(), max_rows))
