@@ -21,19 +21,19 @@ def zscore_image(image: DataFrame, mask: DataFrame | None = None, quantiles: Seq
     """Robust z-score of every voxel.
 
     Mean and deviation come from the positive masked values between two limits: the stricter of the
-    percentile and of mean minus or plus cutoff deviations. Without mask all positive values count,
-    and so they do for an image whose mask is empty.
+    percentile and of mean minus or plus cutoff deviations. Without a mask the values from 1 upwards
+    count; an image whose mask is empty counts as a whole.
     """
     keys = list(keys)
     v = F.col(value)
     if mask is None:
-        counted = image.select(*keys, v.alias("v")).where("v > 0")
+        tagged = attach(image, image.groupBy(*keys).agg((F.max(value) >= 1).alias("_some")), keys)
+        counted = tagged.where((v > 0) & ((v >= 1) | ~F.col("_some"))).select(*keys, v.alias("v"))
     else:
-        marks = mask.where("mask >= 1").select(*keys, *XYZ, F.lit(True).alias("_in"))
+        marks = mask.where("mask > 0").select(*keys, *XYZ, F.lit(True).alias("_in"))
         some = marks.groupBy(*keys).agg(F.lit(True).alias("_some"))
         tagged = attach(image.join(marks, [*keys, *XYZ], "left"), some, keys, "left")
         counted = tagged.where((v > 0) & (F.col("_in").isNotNull() | F.col("_some").isNull())).select(*keys, v.alias("v"))
-        counted = settle(counted)
     x = F.col("v")
     rough = counted.groupBy(*keys).agg(F.min(x).alias("_min"), F.max(x).alias("_max"), F.avg(x).alias("_m"), F.stddev_samp(x).alias("_s"))
     limits = select_ranks(counted, {"_lo": percentile_rank(quantiles[0]), "_hi": percentile_rank(quantiles[1])}, keys, "v")
