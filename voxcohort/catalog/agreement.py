@@ -26,7 +26,7 @@ def hist_sql(bins, source="voxels", name="hist"):
 
 @query("histogram", d.with_ctes(d.VOXELS, hist_sql(20), f"SELECT image_id, bin, {R('low')} AS low, {R('high')} AS high, count FROM hist"))
 def histogram(t):
-    return _round(hi.histogram(d.voxels(t), 20), "low", "high")
+    return _round(hi.histogram(d.stored(d.voxels(t)), 20), "low", "high")
 
 
 MASKED = "masked AS (SELECT image_id, x, y, z, value FROM voxels JOIN mask USING (image_id, x, y, z) WHERE mask <> 0)"
@@ -36,7 +36,7 @@ MASKED = "masked AS (SELECT image_id, x, y, z, value FROM voxels JOIN mask USING
        f"SELECT image_id, bin, {R('low')} AS low, {R('high')} AS high, count FROM hist"))
 def histogram_masked(t):
     inside = d.voxels(t).join(d.mask(t).where("mask <> 0"), d.VOXEL, "left_semi")
-    return _round(hi.histogram(inside, 16), "low", "high")
+    return _round(hi.histogram(d.stored(inside), 16), "low", "high")
 
 
 def quantile_sql(named):
@@ -49,7 +49,7 @@ def quantile_sql(named):
 @query("histogram_quantile", d.with_ctes(d.VOXELS, hist_sql(50), f"q AS ({quantile_sql({'q05': '0.05::DOUBLE', 'q50': '0.5::DOUBLE', 'q95': '0.95::DOUBLE'})})",
        f"SELECT image_id, {R('q05')} AS q05, {R('q50')} AS q50, {R('q95')} AS q95 FROM q"))
 def histogram_quantile(t):
-    found = hi.histogram_quantile(hi.histogram(d.voxels(t), 50), {"q05": 0.05, "q50": 0.5, "q95": 0.95})
+    found = hi.histogram_quantile(hi.histogram(d.stored(d.voxels(t)), 50), {"q05": 0.05, "q50": 0.5, "q95": 0.95})
     return _round(found, "q05", "q50", "q95")
 
 
@@ -60,7 +60,7 @@ OTSU = """otsu AS (SELECT image_id, arg_max(high, {'b': coalesce(round(n0 * (n -
 
 @query("otsu", d.with_ctes(d.VOXELS, hist_sql(128), OTSU, f"SELECT image_id, {R('threshold')} AS threshold FROM otsu"))
 def otsu(t):
-    return _round(hi.otsu(d.voxels(t)), "threshold")
+    return _round(hi.otsu(d.stored(d.voxels(t))), "threshold")
 
 
 @query("otsu_threshold", d.with_ctes(d.VOXELS, d.CELLS, d.MASK, MASKED, hist_sql(128, "masked"), OTSU,
@@ -85,13 +85,13 @@ JOINT = """joint AS (SELECT *, sum(p) OVER (PARTITION BY image_id, bin_a) AS pa,
 @query("joint_histogram", d.with_ctes(d.VOXELS, d.SECOND, BOTH, JOINT,
        f"SELECT image_id, bin_a, bin_b, count, {R('p')} AS p, {R('pa')} AS pa, {R('pb')} AS pb FROM joint"))
 def joint_histogram(t):
-    return _round(hi.joint_histogram(_both(t), 8), "p", "pa", "pb")
+    return _round(hi.joint_histogram(d.stored(_both(t)), 8), "p", "pa", "pb")
 
 
 @query("mutual_information", d.with_ctes(d.VOXELS, d.SECOND, BOTH, JOINT, f"""SELECT image_id, {R('sum(p * ln(p / (pa * pb)))')} AS mutual_information,
   {R('(-sum(p * ln(pa)) - sum(p * ln(pb))) / -sum(p * ln(p))')} AS normalized_mi FROM joint GROUP BY 1"""))
 def mutual_information(t):
-    return _round(hi.mutual_information(_both(t), 8), "mutual_information", "normalized_mi")
+    return _round(hi.mutual_information(d.stored(_both(t)), 8), "mutual_information", "normalized_mi")
 
 
 @query("weighted_ssd", d.with_ctes(d.VOXELS, d.SECOND, BOTH, f"""SELECT image_id, {R('sum(pow(0.5 * (a - b), 2) + pow(2 * (a * a - b * b), 2))', 2)} AS ssd,
@@ -250,7 +250,7 @@ def border_sql(source, reach, keys="image_id, side", count=None):
 @query("hausdorff", d.with_ctes(d.CELLS, d.PAIR, SIDES, f"""SELECT image_id, {R('sqrt(max(d2))')} AS hausdorff FROM
   (SELECT p.image_id, p.side, p.x, p.y, p.z, min({D2}) AS d2 FROM sides p JOIN sides q ON p.image_id = q.image_id AND p.side <> q.side GROUP BY ALL) GROUP BY 1"""))
 def hausdorff(t):
-    return _round(ag.hausdorff(d.label_pair(t)), "hausdorff")
+    return _round(ag.hausdorff(d.stored(d.label_pair(t))), "hausdorff")
 
 
 @query("hausdorff95", d.with_ctes(d.CELLS, d.PAIR, d.META, SIDES, f"border AS {border_sql('sides', 2)}",
@@ -259,14 +259,14 @@ def hausdorff(t):
        f"""SELECT image_id, {R('max(sqrt(d2))')} AS hd95 FROM (SELECT image_id, d2, row_number() OVER (PARTITION BY image_id, side ORDER BY d2) - 1 AS r,
   count(*) OVER (PARTITION BY image_id, side) AS n FROM dist) WHERE r = floor(0.95 * (n - 1)) GROUP BY 1"""))
 def hausdorff95(t):
-    return _round(ag.hausdorff95(d.label_pair(t), spacing=d.image_meta(t).select("image_id", "spacing")), "hd95")
+    return _round(ag.hausdorff95(d.stored(d.label_pair(t)), spacing=d.image_meta(t).select("image_id", "spacing")), "hd95")
 
 
 @query("hausdorff95_pooled", d.with_ctes(d.CELLS, d.PAIR, SIDES, f"border AS {border_sql('sides', 1)}",
        f"""SELECT image_id, {R('quantile_cont(sqrt(d2), 0.95)')} AS hd95 FROM (SELECT p.image_id, p.side, p.x, p.y, p.z, min({D2}) AS d2
   FROM border p JOIN border q ON p.image_id = q.image_id AND p.side <> q.side GROUP BY ALL) GROUP BY 1"""))
 def hausdorff95_pooled(t):
-    return _round(ag.hausdorff95(d.label_pair(t), pooled=True), "hd95")
+    return _round(ag.hausdorff95(d.stored(d.label_pair(t)), pooled=True), "hd95")
 
 
 REGION_SIDES = "rsides AS (SELECT image_id, region, 'src' AS side, x, y, z FROM regions WHERE src = 1 UNION ALL SELECT image_id, region, 'tgt', x, y, z FROM regions WHERE tgt = 1)"
@@ -278,7 +278,7 @@ REGION_SIDES = "rsides AS (SELECT image_id, region, 'src' AS side, x, y, z FROM
        f"""SELECT image_id, region, {R('CASE WHEN s = 0 AND t = 0 THEN 0 WHEN s = 0 OR t = 0 THEN sqrt(size[1]*size[1]+size[2]*size[2]+size[3]*size[3]) ELSE hd END')} AS hausdorff95
   FROM (SELECT image_id, region, sum(src) AS s, sum(tgt) AS t FROM regions GROUP BY 1, 2) JOIN meta USING (image_id) LEFT JOIN h USING (image_id, region)"""))
 def region_hausdorff95(t):
-    found = ag.region_hausdorff95(d.label_pair(t), d.image_meta(t).select("image_id", "size"))
+    found = ag.region_hausdorff95(d.stored(d.label_pair(t)), d.image_meta(t).select("image_id", "size"))
     return _round(found, "hausdorff95")
 
 

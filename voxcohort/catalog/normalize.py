@@ -29,20 +29,20 @@ def _zscore_parts(source, counted, key="image_id"):
 @query("zscore_image", d.with_ctes(d.VOXELS, *_zscore_parts("voxels", "SELECT image_id, value AS v FROM voxels WHERE value >= 1"),
        f"SELECT image_id, x, y, z, {R('value')} AS value FROM zs"))
 def zscore_image(t):
-    return _round(no.zscore_image(d.voxels(t)))
+    return _round(no.zscore_image(d.stored(d.voxels(t))))
 
 
 @query("zscore_image_masked", d.with_ctes(d.VOXELS, d.CELLS, d.MASK, *_zscore_parts(
        "voxels", "SELECT image_id, value AS v FROM voxels JOIN mask USING (image_id, x, y, z) WHERE mask > 0 AND value > 0"),
        f"SELECT image_id, x, y, z, {R('value')} AS value FROM zs"))
 def zscore_image_masked(t):
-    return _round(no.zscore_image(d.voxels(t), d.mask(t)))
+    return _round(no.zscore_image(d.stored(d.voxels(t)), d.mask(t)))
 
 
 @query("zscore_if_needed", d.with_ctes(d.VOXELS, *_zscore_parts("voxels", "SELECT image_id, value AS v FROM voxels WHERE value >= 1"),
        f"SELECT image_id, x, y, z, {R('value')} AS value FROM zs UNION ALL SELECT image_id || 'c', x, y, z, {R('value - avg(value) OVER (PARTITION BY image_id)')} FROM voxels"))
 def zscore_if_needed(t):
-    image = d.voxels(t)
+    image = d.stored(d.voxels(t))
     mean = image.groupBy("image_id").agg(F.avg("value").alias("m"))
     centred = no.attach(image, mean, ["image_id"]).select(
         F.concat("image_id", F.lit("c")).alias("image_id"), *d.XYZ, (F.col("value") - F.col("m")).alias("value"))
@@ -53,12 +53,12 @@ def zscore_if_needed(t):
        hist_sql(1000, "upper_part"), f"cut AS ({quantile_sql({'lo': '0.02::DOUBLE', 'hi': '0.95::DOUBLE'})})",
        f"SELECT image_id, x, y, z, {R('(least(greatest(value, lo), hi) - lo) / hi')} AS value FROM voxels JOIN cut USING (image_id)"))
 def p1p2_normalize(t):
-    return _round(no.p1p2_normalize(d.voxels(t)))
+    return _round(no.p1p2_normalize(d.stored(d.voxels(t))))
 
 
 @query("rescale_intensity", d.with_ctes(d.VOXELS, f"SELECT image_id, x, y, z, {R('(value - lo) / (hi - lo) * 1000')} AS value FROM voxels, (SELECT min(value) AS lo, max(value) AS hi FROM voxels)"))
 def rescale_intensity(t):
-    return _round(no.rescale_intensity(d.voxels(t)))
+    return _round(no.rescale_intensity(d.stored(d.voxels(t))))
 
 
 SERIES_OF = "linked AS (SELECT v.*, subject_id AS series_id FROM voxels v JOIN meta USING (image_id))"
@@ -68,7 +68,7 @@ SERIES_OF = "linked AS (SELECT v.*, subject_id AS series_id FROM voxels v JOIN m
        f"SELECT image_id, series_id, x, y, z, {R('value')} AS value FROM zs"))
 def joint_normalize(t):
     series = d.image_meta(t).select("image_id", F.col("subject_id").alias("series_id"))
-    return _round(no.joint_normalize(no.attach(d.voxels(t), series, ["image_id"])))
+    return _round(no.joint_normalize(d.stored(no.attach(d.voxels(t), series, ["image_id"]))))
 
 
 def _match_table(source, name):
@@ -84,7 +84,7 @@ def _match_table(source, name):
        """seg AS (SELECT v.*, ms.q AS s, mr.q AS r, ms.lo AS sl, mr.lo AS rl, least(len(list_filter(ms.q, lambda p: p <= value)), 41) AS k FROM voxels v JOIN ms USING (image_id) JOIN mr USING (image_id))""",
        f"""SELECT image_id, x, y, z, {R('CASE WHEN k = 0 THEN r[1] + (value - s[1]) * coalesce((r[1] - rl) / nullif(s[1] - sl, 0), 0) ELSE r[k] + coalesce((value - s[k]) / nullif(s[k+1] - s[k], 0), 0) * (r[k+1] - r[k]) END', 4)} AS value FROM seg"""))
 def histogram_match(t):
-    return _round(no.histogram_match(d.voxels(t), d.second_image(t)), digits=4)
+    return _round(no.histogram_match(d.stored(d.voxels(t)), d.second_image(t)), digits=4)
 
 
 @query("susan_smooth", d.with_ctes(d.VOXELS, """near AS (SELECT c.image_id, c.x, c.y, c.z, v.value, exp(-((c.x-v.x)*(c.x-v.x)+(c.y-v.y)*(c.y-v.y)+(c.z-v.z)*(c.z-v.z)) / (2 * 0.5 * 0.5) - (v.value - c.value) * (v.value - c.value) / 6400.0) AS w
@@ -93,7 +93,7 @@ def histogram_match(t):
        """SELECT image_id, x, y, z, coalesce(CASE WHEN w > 0 THEN round(wv / w) + 0.0 ELSE m END, value) AS value FROM voxels LEFT JOIN
   (SELECT image_id, x, y, z, sum(w) AS w, sum(w * value) AS wv, median(value) AS m FROM near GROUP BY ALL) USING (image_id, x, y, z)"""))
 def susan_smooth(t):
-    return no.susan_smooth(d.voxels(t))
+    return no.susan_smooth(d.stored(d.voxels(t)))
 
 
 def _grid(new, step):

@@ -77,7 +77,7 @@ def abs_then_mask(t):
        "SELECT image_id, x, y, z, CASE WHEN lo < 0 AND v <> 0 THEN v - lo ELSE v END AS value FROM "
        "(SELECT *, value - 20 AS v, min(value - 20) OVER (PARTITION BY image_id) AS lo FROM voxels)"))
 def shift_negatives(t):
-    return voxels.shift_negatives(d.voxels(t).withColumn("value", V - 20))
+    return voxels.shift_negatives(d.stored(d.voxels(t)).withColumn("value", V - 20))
 
 
 @query("relabel_top", d.with_ctes(d.CELLS, "SELECT image_id, x, y, z, CASE WHEN top = 3 AND label = 3 THEN 4 ELSE label END AS label "
@@ -85,7 +85,7 @@ def shift_negatives(t):
        "max(CAST(q % (3 + strlen(image_id) % 2) + (CASE WHEN d < 2 THEN 1 ELSE 0 END) AS INTEGER)) OVER (PARTITION BY image_id) AS top FROM cells)"))
 def relabel_top(t):
     label = F.col("q") % (3 + F.length("image_id") % 2) + F.when(F.col("d") < 2, 1).otherwise(0)
-    return voxels.relabel_top(d.cells(t).select(*d.VOXEL, label.cast("int").alias("label")))
+    return voxels.relabel_top(d.stored(d.cells(t).select(*d.VOXEL, label.cast("int").alias("label"))))
 
 
 WORLD = ", ".join(
@@ -329,7 +329,7 @@ def _neighbour_sql(condition):
 
 
 def _neighbour_totals(t, shape):
-    near = joins.neighbours(d.voxels(t), 1, shape)
+    near = joins.neighbours(d.stored(d.voxels(t)), 1, shape)
     return near.groupBy("image_id", *[F.col(f"c_{c}").alias(c) for c in XYZ]).agg(
         F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
@@ -348,6 +348,6 @@ def neighbours_ball(t):
   {rounded('sqrt(min((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)))')} AS distance
   FROM (SELECT * FROM pair WHERE src = 2) a JOIN (SELECT * FROM pair WHERE tgt = 4) b ON a.image_id = b.image_id GROUP BY ALL"""))
 def distance_to_set(t):
-    pair = d.label_pair(t)
+    pair = d.stored(d.label_pair(t))
     found = joins.distance_to_set(pair.where("src = 2"), pair.where("tgt = 4"))
     return found.withColumn("distance", _r(F.col("distance")))

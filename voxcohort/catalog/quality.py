@@ -112,7 +112,7 @@ def negative_intensity_check(t):
        """SELECT image_id, x, y, z, CASE WHEN coalesce(largest, 0) < 80 AND lo < 0 AND value <> 0 THEN value - lo ELSE value END AS value FROM
   (SELECT *, min(value) OVER (PARTITION BY image_id) AS lo FROM shifted) LEFT JOIN blob USING (image_id)"""))
 def repair_negatives(t):
-    return qu.repair_negatives(d.voxels(t).withColumn("value", F.col("value") - 40), 80)
+    return qu.repair_negatives(d.stored(d.voxels(t).withColumn("value", F.col("value") - 40)), 80)
 
 
 @query("preparation_plan", """SELECT CAST(c_custkey AS VARCHAR) AS "ID", c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderkey % 4 = 0)""")

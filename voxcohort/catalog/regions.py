@@ -80,7 +80,7 @@ def grow_region(t):
        """band AS (SELECT image_id, x, y, z FROM voxels JOIN (SELECT image_id, avg(value) AS m, coalesce(stddev_samp(value), 0) AS s FROM voxels JOIN seeds USING (image_id, x, y, z) GROUP BY 1)
   USING (image_id) WHERE value BETWEEN m - s AND m + s)""", *reach_sql("band"), GROWN))
 def grow_region_seed_band(t):
-    return rg.grow_region(d.voxels(t), _seeds(t), None, None)
+    return rg.grow_region(d.stored(d.voxels(t)), _seeds(t), None, None)
 
 
 CENTRE = "seeds AS (SELECT image_id, x, y, z FROM cells WHERE d = 0)"

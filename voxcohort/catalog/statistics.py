@@ -46,7 +46,7 @@ def kurtosis(t):
 
 @query("zscores", d.with_ctes(d.VOXELS, f"SELECT image_id, x, y, z, {R('zscore')} AS zscore FROM ({Z})"))
 def zscores(t):
-    return _round(st.zscores(d.voxels(t)).drop("value"), "zscore")
+    return _round(st.zscores(d.stored(d.voxels(t))).drop("value"), "zscore")
 
 
 @query("mode", d.with_ctes(d.VOXELS, "SELECT image_id, arg_max(value, c * 100000 - value) AS mode FROM "
@@ -57,7 +57,7 @@ def mode(t):
 
 @query("median", d.with_ctes(d.VOXELS, "SELECT image_id, median(value) AS median FROM voxels GROUP BY 1"))
 def median(t):
-    return st.median(d.voxels(t))
+    return st.median(d.stored(d.voxels(t)))
 
 
 @query("median_float", "SELECT l_returnflag, median(l_extendedprice) AS median FROM lineitem GROUP BY 1")
@@ -79,17 +79,17 @@ PCT = f"pct AS (SELECT image_id, {_at(10)} AS p10, {_at(25)} AS p25, {_at(75)} A
 
 @query("nth_percentile", d.with_ctes(d.VOXELS, RANKED, PCT, "SELECT image_id, p10, p25, p75, p90, p0 FROM pct"))
 def nth_percentile(t):
-    return st.nth_percentile(d.voxels(t), {"p10": 10, "p25": 25, "p75": 75, "p90": 90, "p0": 0})
+    return st.nth_percentile(d.stored(d.voxels(t)), {"p10": 10, "p25": 25, "p75": 75, "p90": 90, "p0": 0})
 
 
 @query("iqr", d.with_ctes(d.VOXELS, RANKED, PCT, "SELECT image_id, p75 - p25 AS iqr FROM pct"))
 def iqr(t):
-    return st.quartiles(d.voxels(t)).select("image_id", "iqr")
+    return st.quartiles(d.stored(d.voxels(t))).select("image_id", "iqr")
 
 
 @query("quartile_dispersion", d.with_ctes(d.VOXELS, RANKED, PCT, f"SELECT image_id, {R('(p75 - p25) / (p75 + p25)')} AS quartile_dispersion FROM pct"))
 def quartile_dispersion(t):
-    return _round(st.quartiles(d.voxels(t)).select("image_id", "quartile_dispersion"), "quartile_dispersion")
+    return _round(st.quartiles(d.stored(d.voxels(t))).select("image_id", "quartile_dispersion"), "quartile_dispersion")
 
 
 def _mad(name, fn, centre):
@@ -98,7 +98,7 @@ def _mad(name, fn, centre):
 
     @query(name, sql)
     def run(t):
-        return _round(fn(d.voxels(t)), name)
+        return _round(fn(d.stored(d.voxels(t))), name)
 
 
 _mad("mean_abs_deviation", st.mean_abs_deviation, "avg")
@@ -108,7 +108,7 @@ _mad("median_abs_deviation", st.median_abs_deviation, "median")
 @query("robust_mad", d.with_ctes(d.VOXELS, RANKED, PCT, "kept AS (SELECT image_id, value FROM voxels JOIN pct USING (image_id) WHERE value BETWEEN p10 AND p90)",
        f"SELECT image_id, {R('avg(abs(value - c))')} AS robust_mad FROM kept JOIN (SELECT image_id, avg(value) AS c FROM kept GROUP BY 1) USING (image_id) GROUP BY 1"))
 def robust_mad(t):
-    return _round(st.robust_mad(d.voxels(t)), "robust_mad")
+    return _round(st.robust_mad(d.stored(d.voxels(t))), "robust_mad")
 
 
 @query("unique_values", d.with_ctes(d.VOXELS, "SELECT DISTINCT image_id, value FROM voxels"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxcohort.session import attach
@@ -71,42 +71,43 @@ def nearest_squared(points: DataFrame, targets: DataFrame, keys: Sequence[str] =
                     spacing: DataFrame | None = None) -> DataFrame:
     """Exact squared Euclidean distance (``d2``) from every point to the nearest target of its group.
 
-    The minimum is taken one axis after the other: along z within each (x, y) column of targets, then
-    along y, then along x. Each step only gathers one scan line, whose length is the axis length of an
-    image, so no group grows with the data and nothing is compared all-against-all. Points of a group
-    without targets are not returned. ``spacing`` optionally has one ``spacing`` array per group.
+    The minimum is taken one axis after the other. Along z every target serves the planes that are
+    closer to it than to the next target of its (x, y) column. Along y and x the rows of one scan line
+    meet, whose number is bounded by the axis length of an image; the data is partitioned by line, so
+    these minima need no further shuffle, no group grows with the data, and nothing is compared
+    all-against-all. Points of a group without targets are not returned. ``spacing`` optionally has
+    one ``spacing`` array per group.
     """
     keys = list(keys)
-    points = points.select(*keys, *XYZ).distinct()
+    points = points.select(*keys, *XYZ)
+    bounds = points.groupBy(*keys).agg(F.min("y").alias("_y0"), F.max("y").alias("_y1"), F.min("z").alias("_z0"), F.max("z").alias("_z1"))
     if spacing is None:
-        unit = [F.lit(1)] * 3
-        weighted = targets.select(*keys, *XYZ)
-        extra: list[str] = []
+        unit = [F.lit(1), F.lit(1), F.lit(1)]
+        units = []
     else:
-        unit = [F.col("spacing")[i] * F.col("spacing")[i] for i in range(3)]
-        weighted = attach(targets.select(*keys, *XYZ), spacing.select(*keys, "spacing"), keys)
-        extra = ["spacing"]
-
-    def square(axis: int, a: Column, b: Column) -> Column:
-        return (a - b) * (a - b) * unit[axis]
-
-    # z: lines of targets against the planes in which points lie
-    columns = weighted.groupBy(*keys, "x", "y", *extra).agg(F.collect_set("z").alias("line"))
-    planes = points.groupBy(*keys).agg(F.collect_set("z").alias("planes"))
-    along_z = attach(columns, planes, keys).withColumn("z", F.explode("planes")).select(
-        *keys, *extra, "x", "y", "z",
-        F.array_min(F.transform("line", lambda t: square(2, F.col("z"), t))).alias("g"))
-    # y: lines of (y, g) against the rows in which points lie
-    lines_y = along_z.groupBy(*keys, *extra, "x", "z").agg(F.collect_list(F.struct("y", "g")).alias("line"))
-    rows = points.groupBy(*keys, "z").agg(F.collect_set("y").alias("rows"))
-    along_y = lines_y.join(rows, [*keys, "z"]).withColumn("y", F.explode("rows")).select(
-        *keys, *extra, "x", "y", "z",
-        F.array_min(F.transform("line", lambda t: square(1, F.col("y"), t["y"]) + t["g"])).alias("g"))
-    # x: lines of (x, g) against the points
-    lines_x = along_y.groupBy(*keys, *extra, "y", "z").agg(F.collect_list(F.struct("x", "g")).alias("line"))
-    return points.join(lines_x, [*keys, "y", "z"]).select(
-        *keys, *XYZ,
-        F.array_min(F.transform("line", lambda t: square(0, F.col("x"), t["x"]) + t["g"])).cast("double").alias("d2"))
+        weights = [(F.col("spacing")[i] * F.col("spacing")[i]).alias(f"_u{i}") for i in range(3)]
+        bounds = bounds.join(spacing.select(*keys, *weights), keys)
+        units = ["_u0", "_u1", "_u2"]
+        unit = [F.col(u) for u in units]
+    # z: planes between the midpoints to the neighbouring targets of the column
+    column = Window.partitionBy(*keys, "x", "y").orderBy("z")
+    middle = lambda a, b: F.floor((a + b) / 2).cast("long")
+    own = attach(targets.select(*keys, *XYZ), bounds, keys).withColumns({"_prev": F.lag("z").over(column), "_next": F.lead("z").over(column)})
+    first = F.greatest(F.coalesce(middle(F.col("_prev"), F.col("z")) + 1, F.col("_z0")), F.col("_z0"))
+    last = F.least(F.coalesce(middle(F.col("z"), F.col("_next")), F.col("_z1")), F.col("_z1"))
+    along_z = own.withColumns({"_first": first, "_last": last}).where("_first <= _last").select(
+        *keys, *units, "_y0", "_y1", "x", "y", F.col("z").alias("_t"), F.explode(F.sequence("_first", "_last")).alias("z"))
+    gap = F.col("z") - F.col("_t")
+    along_z = along_z.withColumn("g", gap * gap * unit[2]).drop("_t")
+    # y: every row of a line against all y at which points may lie
+    lines_y = along_z.repartition(*keys, "x", "z").withColumn("_q", F.explode(F.sequence("_y0", "_y1")))
+    gap = F.col("_q") - F.col("y")
+    along_y = lines_y.groupBy(*keys, *units, "x", "z", "_q").agg(F.min(gap * gap * unit[1] + F.col("g")).alias("g"))
+    # x: the rows of a line against its points
+    lines_x = along_y.select(*keys, *units, F.col("x").alias("_tx"), F.col("_q").alias("y"), "z", "g")
+    gap = F.col("x") - F.col("_tx")
+    return points.join(lines_x, [*keys, "y", "z"]).groupBy(*keys, *XYZ).agg(
+        F.min(gap * gap * unit[0] + F.col("g")).cast("double").alias("d2"))
 
 
 def distance_to_set(points: DataFrame, targets: DataFrame, keys: Sequence[str] = IMAGE,

@@ -133,19 +133,21 @@ def prune_code_tree(tree: DataFrame, column: str = "tree", label: str = "label")
 
 # --- JSON comparison --------------------------------------------------------------------------
 
-def json_leaves(df: DataFrame, key: str, json: str, depth: int = 8, ignore_order: bool = False, ignore_keys: Sequence[str] = ()) -> DataFrame:
-    """Nodes of JSON documents as (key, path, type, value), down to ``depth`` levels.
+def json_nodes(df: DataFrame, keys: Sequence[str], json: str, depth: int = 4, ignore_order: bool = False, ignore_keys: Sequence[str] = ()) -> DataFrame:
+    """Nodes of JSON documents as (keys, path, type, value), down to ``depth`` levels.
 
-    Objects and arrays appear as nodes of their own with their length. With ``ignore_order`` the
-    elements of an array are addressed by the rank of their text.
+    Objects and arrays are nodes without a value; what lies below the last level is kept as text of its
+    node. With ``ignore_order`` the elements of an array are addressed by the rank of their text.
     """
-    level = df.select(key, F.lit("$").alias("path"), F.parse_json(json).alias("node"))
+    keys = list(keys)
+    level = df.select(*keys, F.lit("$").alias("path"), F.parse_json(json).alias("node"))
     parts = []
     for step in range(depth + 1):
         kind = F.regexp_extract(F.schema_of_variant("node"), "^([A-Z]+)", 1)
         here = level.withColumn("type", F.when(kind.isin("BIGINT", "DECIMAL", "DOUBLE"), "NUMBER").otherwise(kind))
         container = F.col("type").isin("OBJECT", "ARRAY")
-        parts.append(here.select(key, "path", "type", F.when(container, F.lit("")).otherwise(F.to_json("node")).alias("value")))
+        text = F.to_json("node") if step == depth else F.when(container, F.lit("")).otherwise(F.to_json("node"))
+        parts.append(here.select(*keys, "path", "type", text.alias("value")))
         if step == depth:
             break
         fields = F.transform(F.map_entries(F.col("node").try_cast("map<string,variant>")), lambda e: F.struct(
@@ -153,18 +155,18 @@ def json_leaves(df: DataFrame, key: str, json: str, depth: int = 8, ignore_order
         elements = F.transform(F.col("node").try_cast("array<variant>"), lambda e, i: F.struct(
             i.alias("pos"), F.lit(None).cast("string").alias("name"), e.alias("child")))
         children = F.when(F.col("type") == "OBJECT", fields).otherwise(elements)
-        opened = here.where(container).select(key, "path", "type", F.explode(children).alias("e")).select(key, "path", "type", "e.*")
+        opened = here.where(container).select(*keys, "path", "type", F.explode(children).alias("e")).select(*keys, "path", "type", "e.*")
         if ignore_keys:
             opened = opened.where(F.col("name").isNull() | ~F.col("name").isin(*ignore_keys))
         position = F.col("pos")
         if ignore_order:
             text = F.to_json("child")
             position = F.when(F.col("type") == "ARRAY", F.row_number().over(
-                Window.partitionBy(key, "path").orderBy(text, "pos")) - 1).otherwise(F.col("pos"))
+                Window.partitionBy(*keys, "path").orderBy(text, "pos")) - 1).otherwise(F.col("pos"))
         named = opened.withColumn("_p", position)
         address = F.when(F.col("type") == "ARRAY", F.concat("path", F.lit("["), F.col("_p").cast("string"), F.lit("]"))).otherwise(
             F.concat_ws(".", "path", "name"))
-        level = named.select(key, address.alias("path"), F.col("child").alias("node"))
+        level = named.select(*keys, address.alias("path"), F.col("child").alias("node"))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
@@ -172,15 +174,20 @@ def json_leaves(df: DataFrame, key: str, json: str, depth: int = 8, ignore_order
 
 
 def json_diff(df: DataFrame, key: str, expected: str, actual: str, ignore_keys: Sequence[str] = (), ignore_order: bool = False,
-              contains: bool = False, depth: int = 8) -> DataFrame:
+              contains: bool = False, depth: int = 4) -> DataFrame:
     """First difference of each pair of documents in path order; pairs that agree are not returned.
 
     Reasons: missing key, extra key, length mismatch, type mismatch, different value. With
-    ``contains`` the actual document may have more than the expected one.
+    ``contains`` the actual document may have more than the expected one. Both documents run through
+    one plan and meet again in one aggregate per node.
     """
-    left = json_leaves(df, key, expected, depth, ignore_order, ignore_keys).select(key, "path", F.col("type").alias("t1"), F.col("value").alias("v1"))
-    right = json_leaves(df, key, actual, depth, ignore_order, ignore_keys).select(key, "path", F.col("type").alias("t2"), F.col("value").alias("v2"))
-    both = left.join(right, [key, "path"], "left" if contains else "full")
+    sides = F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("json")) for i, c in enumerate((expected, actual))])
+    both = df.select(key, F.explode(sides).alias("d")).select(key, "d.side", "d.json")
+    nodes = json_nodes(both, [key, "side"], "json", depth, ignore_order, ignore_keys)
+    of = lambda column, side: F.max(F.when(F.col("side") == side, F.col(column)))
+    both = nodes.groupBy(key, "path").agg(of("type", 0).alias("t1"), of("value", 0).alias("v1"), of("type", 1).alias("t2"), of("value", 1).alias("v2"))
+    if contains:
+        both = both.where(F.col("t1").isNotNull())
     in_array = F.col("path").endswith("]")
     absent = F.when(in_array, "length mismatch")
     reason = (F.when(F.col("t2").isNull(), absent.otherwise("missing key")).when(F.col("t1").isNull(), absent.otherwise("extra key"))

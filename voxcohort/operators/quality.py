@@ -100,8 +100,10 @@ def recommend_fusion(candidates: DataFrame, keys: Sequence[str] = ("subject_id",
     for i, method in reversed(list(enumerate(FUSION_ORDER))):
         rank = F.when(F.contains(text, F.lit(method)), F.lit(i)).otherwise(rank)
     best = F.min(F.when(F.col(passed), rank))
-    method = F.element_at(F.array(*[F.lit(m) for m in FUSION_ORDER]), best + 1)
-    return candidates.groupBy(*keys).agg(F.coalesce(method, F.lit(FUSION_FALLBACK)).alias("recommended"))
+    method = F.lit(FUSION_FALLBACK)
+    for i, name_of in enumerate(FUSION_ORDER):
+        method = F.when(best == i, F.lit(name_of)).otherwise(method)
+    return candidates.groupBy(*keys).agg(method.alias("recommended"))
 
 
 def negative_components(image: DataFrame, keys: Sequence[str] = IMAGE, value: str = "value") -> DataFrame:

@@ -87,9 +87,10 @@ def connected_components(mask: DataFrame, keys: Sequence[str] = IMAGE, same: Seq
     """Runs with the component they belong to: columns y, z, x0, x1, ``component`` (struct of z, y, x0).
 
     Voxels connect by faces, or with ``full`` also by edges and corners, and only where the ``same``
-    columns agree. Runs are linked to overlapping runs of adjacent lines; then every component
-    hooks onto its smallest neighbour component and paths are shortened, until nothing changes. Each
-    round is checkpointed, so lost executors never replay more than one round.
+    columns agree. Runs that touch runs of adjacent lines form a graph. Each round lets every node
+    follow its smallest neighbours a few steps and contracts the graph to the nodes reached, so the
+    rounds shrink quickly; the answers are looked up backwards through the rounds. Everything a round
+    leaves behind is checkpointed, so a lost executor never replays earlier rounds.
     """
     keys, same = list(keys), list(same)
     group = [*keys, *same]
@@ -103,26 +104,36 @@ def connected_components(mask: DataFrame, keys: Sequence[str] = IMAGE, same: Seq
         F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("node").alias("a"))
     touching = (F.col("a0") <= F.col("x1") + slack) & (F.col("x0") <= F.col("a1") + slack)
     links = moved.join(runs, [*group, "y", "z"]).where(touching).select(*group, "a", F.col("node").alias("b"))
-    links = settle(links.unionByName(links.select(*group, F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = runs.select(*group, "node", F.col("node").alias("component"))
-    while True:
-        # smallest component next to each component, itself included
-        near = links.join(labels.select(*group, F.col("node").alias("b"), F.col("component").alias("there")), [*group, "b"])
-        best = near.groupBy(*group, F.col("a").alias("node")).agg(F.min("there").alias("there"))
-        offer = labels.join(best, [*group, "node"], "left")
-        hooks = settle(offer.groupBy(*group, "component").agg(F.min(F.least(F.col("component"), F.col("there"))).alias("parent")))
-        moved_hooks = hooks.where(F.col("parent") != F.col("component"))
-        changed = moved_hooks.count()
-        if changed == 0:
-            break
-        small = fits_broadcast(changed)
-        # shorten chains of hooks: a parent that moves itself is replaced by where it moves to
-        shorter = join_summary(moved_hooks.withColumnRenamed("parent", "via"),
-                               moved_hooks.select(*group, F.col("component").alias("via"), "parent"), [*group, "via"], "left", small)
-        shorter = shorter.select(*group, "component", F.coalesce("parent", "via").alias("parent"))
-        renamed = join_summary(labels, shorter, [*group, "component"], "left", small)
-        labels = settle(renamed.select(*group, "node", F.coalesce("parent", "component").alias("component")))
-    return runs.join(labels, [*group, "node"]).drop("node")
+    edges = settle(links.unionByName(links.select(*group, F.col("b").alias("a"), F.col("a").alias("b"))))
+    rounds = []
+    while not edges.isEmpty():
+        step, small = _follow_smallest(edges, group)
+        rounds.append((step, small))
+        ends = {side: step.select(*group, F.col("node").alias(side), F.col("to").alias(f"to_{side}")) for side in ("a", "b")}
+        contracted = join_summary(join_summary(edges, ends["a"], [*group, "a"], "inner", small), ends["b"], [*group, "b"], "inner", small)
+        edges = settle(contracted.where("to_a <> to_b").select(*group, F.col("to_a").alias("a"), F.col("to_b").alias("b")).distinct())
+    if not rounds:
+        return runs.withColumnRenamed("node", "component")
+    answer, small = rounds.pop()
+    while rounds:
+        earlier, earlier_small = rounds.pop()
+        later = answer.select(*group, F.col("node").alias("to"), F.col("to").alias("root"))
+        followed = join_summary(earlier, later, [*group, "to"], "left", small)
+        answer, small = followed.select(*group, "node", F.coalesce("root", "to").alias("to")), earlier_small
+    return runs.join(answer, [*group, "node"], "left").withColumn("component", F.coalesce("to", "node")).drop("node", "to")
+
+
+def _follow_smallest(edges: DataFrame, group: list[str]) -> tuple[DataFrame, bool]:
+    """Where each node gets by going to its smallest neighbour, if that is smaller, up to eight times.
+
+    Also tells whether the table is small enough to broadcast.
+    """
+    step = settle(edges.groupBy(*group, F.col("a").alias("node")).agg(F.min("b").alias("to")).withColumn("to", F.least("node", "to")))
+    small = fits_broadcast(step.count())
+    for _ in range(3):
+        onward = step.select(*group, F.col("node").alias("to"), F.col("to").alias("next"))
+        step = join_summary(step, onward, [*group, "to"], "inner", small).select(*group, "node", F.col("next").alias("to"))
+    return settle(step), small
 
 
 def component_sizes(components: DataFrame, keys: Sequence[str] = IMAGE) -> DataFrame:

@@ -9,10 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxcohort.session import settle
+
 XYZ = ["x", "y", "z"]
 VOXEL = ["image_id", *XYZ]
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """A derived table written once, for operators that read their input several times."""
+    return settle(df)
+
+
 def _cell() -> list[Column]:
     return [
         F.concat(F.lit("img"), F.expr("l_orderkey div 500").cast("string")).alias("image_id"),
