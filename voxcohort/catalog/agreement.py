@@ -157,12 +157,12 @@ def _ratios(measures):
 
 
 def _pair_table(t):
-    return ag.contingency(d.label_pair(t))
+    return d.stored(ag.contingency(d.label_pair(t)))
 
 
 @query("contingency", d.with_ctes(d.CELLS, d.PAIR, TABLE, "SELECT * FROM tbl"))
 def contingency(t):
-    return _pair_table(t)
+    return ag.contingency(d.label_pair(t))
 
 
 @query("label_overlap", d.with_ctes(d.CELLS, d.PAIR, VOLUMES, f"SELECT image_id, {_ratios(OVERLAP)} FROM (SELECT image_id, sum(b) AS b, sum(s) AS s, sum(t) AS t FROM vol GROUP BY 1)"))
@@ -232,7 +232,7 @@ def region_statistics_full_grid(t):
   CASE WHEN m.mask IS NULL THEN 0 ELSE tgt END AS tgt FROM pair LEFT JOIN (SELECT * FROM mask WHERE mask <> 0) m USING (image_id, x, y, z))""")))
 def region_statistics_masked(t):
     masked = ag.apply_metric_mask(d.label_pair(t), d.mask(t))
-    return _round(ag.region_statistics(ag.contingency(masked)), *OVERLAP, *RATES)
+    return _round(ag.region_statistics(d.stored(ag.contingency(masked))), *OVERLAP, *RATES)
 
 
 SIDES = """sides AS (SELECT image_id, x, y, z, 'src' AS side FROM pair WHERE src <> 0 UNION ALL SELECT image_id, x, y, z, 'tgt' FROM pair WHERE tgt <> 0)"""

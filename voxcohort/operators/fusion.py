@@ -62,25 +62,10 @@ def fuse_voting(maps: DataFrame, undecided: int | None = None, keys: Sequence[st
 # most K^R rows, however many voxels there are. The iterations run on that table, one image per task
 # row group; the voxels only meet the result again in a lookup join.
 
-def vote_patterns(maps: DataFrame, keys: Sequence[str] = IMAGE, label: str = "label") -> DataFrame:
-    """Votes of each voxel as text, in rater order; raters that miss a voxel vote 0."""
-    keys = list(keys)
-    ordered = F.array_sort(F.collect_list(F.struct("rater", F.col(label).alias("vote"))))
-    voted = maps.where(F.col(label) != 0).groupBy(*keys, *XYZ).agg(ordered.alias("votes"))
-    grid = maps.select(*keys, *XYZ).distinct()
-    pattern = F.array_join(F.transform("votes", lambda v: F.concat_ws(":", v["rater"].cast("string"), v["vote"].cast("string"))), ",")
-    return grid.join(voted, [*keys, *XYZ], "left").select(*keys, *XYZ, F.coalesce(pattern, F.lit("")).alias("pattern"))
-
-
-def _matrix(group: pd.DataFrame, raters: list[str]) -> np.ndarray:
-    """Patterns as a raters-wide integer matrix."""
-    votes = np.zeros((len(group), len(raters)), dtype=np.int64)
-    column = {r: i for i, r in enumerate(raters)}
-    for row, pattern in enumerate(group["pattern"]):
-        for entry in filter(None, pattern.split(",")):
-            rater, vote = entry.rsplit(":", 1)
-            votes[row, column[rater]] = int(vote)
-    return votes
+def vote_patterns(maps: DataFrame, raters: Sequence[str], keys: Sequence[str] = IMAGE, label: str = "label") -> DataFrame:
+    """Votes of each voxel as an array in rater order; raters that miss a voxel vote 0."""
+    vote = lambda r: F.coalesce(F.max(F.when(F.col("rater") == r, F.col(label))), F.lit(0)).cast("int")
+    return maps.groupBy(*keys, *XYZ).agg(F.array(*[vote(r) for r in raters]).alias("pattern"))
 
 
 def staple_posterior(votes: np.ndarray, counts: np.ndarray, iterations: int, tolerance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,19 +118,19 @@ def simple_weights(votes: np.ndarray, counts: np.ndarray, labels: np.ndarray, it
 def _fuse_patterns(maps: DataFrame, solve, keys: Sequence[str], label: str) -> DataFrame:
     """Run ``solve(votes, counts, labels) -> fused labels`` on the patterns of each image and look voxels up."""
     keys = list(keys)
-    patterns = settle(vote_patterns(maps, keys, label))
-    raters = sorted(str(r[0]) for r in maps.select("rater").distinct().collect())
+    raters = sorted(r[0] for r in maps.select("rater").distinct().collect())
+    patterns = settle(vote_patterns(maps, raters, keys, label))
     counted = patterns.groupBy(*keys, "pattern").agg(F.count(F.lit(1)).alias("count"))
 
     def fuse(group: pd.DataFrame) -> pd.DataFrame:
-        votes = _matrix(group, raters)
+        votes = np.stack(group["pattern"].to_list())
         labels = np.unique(np.append(votes, 0))
         out = group[[*keys, "pattern"]].copy()
         out["label"] = solve(votes, group["count"].to_numpy(), labels)
         return out
 
     fields = [maps.schema[k] for k in keys]
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in fields), "pattern string", "label int"])
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in fields), "pattern array<int>", "label int"])
     lookup = settle(counted.groupBy(*keys).applyInPandas(fuse, schema))
     joined = join_summary(patterns, lookup, [*keys, "pattern"], "inner", fits_broadcast(lookup.count()))
     return joined.select(*keys, *XYZ, F.col("label").alias(label))

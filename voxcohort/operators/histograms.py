@@ -54,6 +54,25 @@ def histogram_quantile(hist: DataFrame, quantiles: dict[str, float], keys: Seque
     return shares.groupBy(*keys).agg(*results)
 
 
+def quantile_points(hist: DataFrame, points: int, keys: Sequence[str] = IMAGE) -> DataFrame:
+    """The quantiles i / (points + 1), i = 1 .. points, as one array per group.
+
+    Each bin yields just the quantiles that fall into it.
+    """
+    everything = Window.partitionBy(*keys)
+    running = everything.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    shares = hist.withColumn("total", F.sum("count").over(everything)).withColumn("upto", F.sum("count").over(running))
+    share = lambda n: F.floor(n * (points + 1) / F.col("total")).cast("int")
+    nearby = F.sequence(share(F.col("upto") - F.col("count")), share(F.col("upto")) + 1)
+    wanted = F.col("i") / (points + 1) * F.col("total")
+    before = F.col("upto") - F.col("count")
+    here = shares.withColumn("i", F.explode(nearby)).where(
+        F.col("i").between(1, points) & (F.col("upto") >= wanted) & (before < wanted))
+    value = F.col("low") + (wanted - F.col("upto") + F.col("count")) / F.col("count") * (F.col("high") - F.col("low"))
+    ordered = F.array_sort(F.collect_list(F.struct("i", value.alias("q"))))
+    return here.groupBy(*keys).agg(F.transform(ordered, lambda e: e["q"]).alias("quantiles"))
+
+
 def otsu(df: DataFrame, bins: int = 128, keys: Sequence[str] = IMAGE, value: str = "value") -> DataFrame:
     """Upper edge of the bin that maximises the between-class variance, the lowest such bin first."""
     hist = histogram(df, bins, keys, value).withColumn("centre", (F.col("low") + F.col("high")) / 2)

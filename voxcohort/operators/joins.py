@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxcohort.session import attach
+from voxcohort.session import fits_broadcast, join_summary, settle
 
 IMAGE = ["image_id"]
 XYZ = ["x", "y", "z"]
@@ -81,33 +81,37 @@ def nearest_squared(points: DataFrame, targets: DataFrame, keys: Sequence[str] =
     keys = list(keys)
     points = points.select(*keys, *XYZ)
     bounds = points.groupBy(*keys).agg(F.min("y").alias("_y0"), F.max("y").alias("_y1"), F.min("z").alias("_z0"), F.max("z").alias("_z1"))
-    if spacing is None:
-        unit = [F.lit(1), F.lit(1), F.lit(1)]
-        units = []
-    else:
+    unit, units = [F.lit(1)] * 3, []
+    if spacing is not None:
         weights = [(F.col("spacing")[i] * F.col("spacing")[i]).alias(f"_u{i}") for i in range(3)]
         bounds = bounds.join(spacing.select(*keys, *weights), keys)
         units = ["_u0", "_u1", "_u2"]
         unit = [F.col(u) for u in units]
+    # a number per group stands for its keys on the way, which keeps the aggregation keys short
+    bounds = settle(bounds.withColumn("_g", F.monotonically_increasing_id()))
+    small = fits_broadcast(bounds.count())
+    near = lambda df, columns: join_summary(df.select(*keys, *XYZ), bounds.select(*keys, "_g", *columns), keys, "inner", small)
     # z: planes between the midpoints to the neighbouring targets of the column
-    column = Window.partitionBy(*keys, "x", "y").orderBy("z")
+    column = Window.partitionBy("_g", "x", "y").orderBy("z")
     middle = lambda a, b: F.floor((a + b) / 2).cast("long")
-    own = attach(targets.select(*keys, *XYZ), bounds, keys).withColumns({"_prev": F.lag("z").over(column), "_next": F.lead("z").over(column)})
+    own = near(targets, ["_y0", "_y1", "_z0", "_z1", *units]).drop(*keys).withColumns(
+        {"_prev": F.lag("z").over(column), "_next": F.lead("z").over(column)})
     first = F.greatest(F.coalesce(middle(F.col("_prev"), F.col("z")) + 1, F.col("_z0")), F.col("_z0"))
     last = F.least(F.coalesce(middle(F.col("z"), F.col("_next")), F.col("_z1")), F.col("_z1"))
     along_z = own.withColumns({"_first": first, "_last": last}).where("_first <= _last").select(
-        *keys, *units, "_y0", "_y1", "x", "y", F.col("z").alias("_t"), F.explode(F.sequence("_first", "_last")).alias("z"))
+        "_g", *units, "_y0", "_y1", "x", "y", F.col("z").alias("_t"), F.explode(F.sequence("_first", "_last")).alias("z"))
     gap = F.col("z") - F.col("_t")
     along_z = along_z.withColumn("g", gap * gap * unit[2]).drop("_t")
     # y: every row of a line against all y at which points may lie
-    lines_y = along_z.repartition(*keys, "x", "z").withColumn("_q", F.explode(F.sequence("_y0", "_y1")))
+    lines_y = along_z.repartition("_g", "x", "z").withColumn("_q", F.explode(F.sequence("_y0", "_y1")))
     gap = F.col("_q") - F.col("y")
-    along_y = lines_y.groupBy(*keys, *units, "x", "z", "_q").agg(F.min(gap * gap * unit[1] + F.col("g")).alias("g"))
+    along_y = lines_y.groupBy("_g", *units, "x", "z", "_q").agg(F.min(gap * gap * unit[1] + F.col("g")).alias("g"))
     # x: the rows of a line against its points
-    lines_x = along_y.select(*keys, *units, F.col("x").alias("_tx"), F.col("_q").alias("y"), "z", "g")
+    lines_x = along_y.select("_g", *units, F.col("x").alias("_tx"), F.col("_q").alias("y"), "z", "g")
     gap = F.col("x") - F.col("_tx")
-    return points.join(lines_x, [*keys, "y", "z"]).groupBy(*keys, *XYZ).agg(
+    found = near(points, []).drop(*keys).join(lines_x, ["_g", "y", "z"]).groupBy("_g", *XYZ).agg(
         F.min(gap * gap * unit[0] + F.col("g")).cast("double").alias("d2"))
+    return join_summary(found, bounds.select("_g", *keys), ["_g"], "inner", small).select(*keys, *XYZ, "d2")
 
 
 def distance_to_set(points: DataFrame, targets: DataFrame, keys: Sequence[str] = IMAGE,

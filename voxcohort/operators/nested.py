@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxcohort.functions import geometry
@@ -137,40 +137,36 @@ def json_nodes(df: DataFrame, keys: Sequence[str], json: str, depth: int = 4, ig
     """Nodes of JSON documents as (keys, path, type, value), down to ``depth`` levels.
 
     Objects and arrays are nodes without a value; what lies below the last level is kept as text of its
-    node. With ``ignore_order`` the elements of an array are addressed by the rank of their text.
+    node. With ``ignore_order`` the elements of an array are addressed by the rank of their text. Each
+    level is one explode that keeps the nodes seen so far and adds the children of the newest ones.
     """
     keys = list(keys)
-    level = df.select(*keys, F.lit("$").alias("path"), F.parse_json(json).alias("node"))
-    parts = []
-    for step in range(depth + 1):
-        kind = F.regexp_extract(F.schema_of_variant("node"), "^([A-Z]+)", 1)
-        here = level.withColumn("type", F.when(kind.isin("BIGINT", "DECIMAL", "DOUBLE"), "NUMBER").otherwise(kind))
-        container = F.col("type").isin("OBJECT", "ARRAY")
-        text = F.to_json("node") if step == depth else F.when(container, F.lit("")).otherwise(F.to_json("node"))
-        parts.append(here.select(*keys, "path", "type", text.alias("value")))
-        if step == depth:
-            break
-        fields = F.transform(F.map_entries(F.col("node").try_cast("map<string,variant>")), lambda e: F.struct(
-            F.lit(0).alias("pos"), e["key"].alias("name"), e["value"].alias("child")))
-        elements = F.transform(F.col("node").try_cast("array<variant>"), lambda e, i: F.struct(
-            i.alias("pos"), F.lit(None).cast("string").alias("name"), e.alias("child")))
-        children = F.when(F.col("type") == "OBJECT", fields).otherwise(elements)
-        opened = here.where(container).select(*keys, "path", "type", F.explode(children).alias("e")).select(*keys, "path", "type", "e.*")
+    no_path = F.lit(None).cast("string")
+    rows = df.select(*keys, F.lit("$").alias("path"), F.parse_json(json).alias("node"), F.lit(True).alias("open"))
+    for _ in range(depth):
+        rows = rows.select(*keys, "path", "node", "open", F.when(F.col("open"), F.col("node").try_cast("map<string,variant>")).alias("_object"),
+                           F.when(F.col("open"), F.col("node").try_cast("array<variant>")).alias("_array"))
+        fields = F.transform(F.map_entries("_object"), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("child")))
         if ignore_keys:
-            opened = opened.where(F.col("name").isNull() | ~F.col("name").isin(*ignore_keys))
-        position = F.col("pos")
+            fields = F.filter(fields, lambda e: ~e["name"].isin(*ignore_keys))
+        items = F.col("_array")
         if ignore_order:
-            text = F.to_json("child")
-            position = F.when(F.col("type") == "ARRAY", F.row_number().over(
-                Window.partitionBy(*keys, "path").orderBy(text, "pos")) - 1).otherwise(F.col("pos"))
-        named = opened.withColumn("_p", position)
-        address = F.when(F.col("type") == "ARRAY", F.concat("path", F.lit("["), F.col("_p").cast("string"), F.lit("]"))).otherwise(
-            F.concat_ws(".", "path", "name"))
-        level = named.select(*keys, address.alias("path"), F.col("child").alias("node"))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+            by_text = lambda a, b: F.when(a["t"] < b["t"], -1).when(a["t"] > b["t"], 1).otherwise(0)
+            texts = F.transform("_array", lambda e: F.struct(F.to_json(e).alias("t"), e.alias("e")))
+            items = F.transform(F.array_sort(texts, by_text), lambda e: e["e"])
+        elements = F.transform(items, lambda e, i: F.struct(F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("name"), e.alias("child")))
+        itself = F.array(F.struct(no_path.alias("name"), F.col("node").alias("child")))
+        rows = rows.select(*keys, "path", "open", F.explode(F.concat(itself, F.coalesce(fields, elements, F.filter(itself, lambda e: F.lit(False))))).alias("e"),
+                           F.col("_object").isNotNull().alias("_fields"))
+        name = F.col("e.name")
+        label = F.when(~F.col("_fields"), name).when(F.regexp_like(name, F.lit(r"[.\[\]]")), F.concat(F.lit('["'), name, F.lit('"]'))).otherwise(
+            F.concat(F.lit("."), name))
+        rows = rows.select(*keys, F.when(name.isNull(), F.col("path")).otherwise(F.concat("path", label)).alias("path"),
+                           F.col("e.child").alias("node"), (F.col("open") & name.isNotNull()).alias("open"))
+    kind = F.regexp_extract(F.schema_of_variant("node"), "^([A-Z]+)", 1)
+    typed = rows.select(*keys, "path", "node", "open", F.when(kind.isin("BIGINT", "DECIMAL", "DOUBLE"), "NUMBER").otherwise(kind).alias("type"))
+    container = F.col("type").isin("OBJECT", "ARRAY") & ~F.col("open")
+    return typed.select(*keys, "path", "type", F.when(container, F.lit("")).otherwise(F.to_json("node")).alias("value"))
 
 
 def json_diff(df: DataFrame, key: str, expected: str, actual: str, ignore_keys: Sequence[str] = (), ignore_order: bool = False,
@@ -188,7 +184,7 @@ def json_diff(df: DataFrame, key: str, expected: str, actual: str, ignore_keys:
     both = nodes.groupBy(key, "path").agg(of("type", 0).alias("t1"), of("value", 0).alias("v1"), of("type", 1).alias("t2"), of("value", 1).alias("v2"))
     if contains:
         both = both.where(F.col("t1").isNotNull())
-    in_array = F.col("path").endswith("]")
+    in_array = F.col("path").endswith("]") & ~F.col("path").endswith('"]')
     absent = F.when(in_array, "length mismatch")
     reason = (F.when(F.col("t2").isNull(), absent.otherwise("missing key")).when(F.col("t1").isNull(), absent.otherwise("extra key"))
               .when(F.col("t1") != F.col("t2"), "type mismatch").when(~F.col("v1").eqNullSafe(F.col("v2")), "different value"))

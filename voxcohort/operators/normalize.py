@@ -98,14 +98,12 @@ def histogram_match(image: DataFrame, reference: DataFrame, points: int = 40, bi
     and maximum of the images.
     """
     keys = list(keys)
-    shares = {f"q{i:03d}": i / (points + 1) for i in range(1, points + 1)}
 
     def table(df: DataFrame, prefix: str) -> DataFrame:
         ends = df.groupBy(*keys).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("mean"))
         above = attach(df, ends.select(*keys, F.col("mean").alias("_m")), keys).where(F.col(value) >= F.col("_m")).select(*keys, value)
-        q = histograms.histogram_quantile(histograms.histogram(above, bins, keys, value), shares, keys)
-        joined = ends.join(q, keys)
-        inner = F.array(F.col("mean"), *[F.col(c) for c in shares], F.col("high"))
+        joined = ends.join(histograms.quantile_points(histograms.histogram(above, bins, keys, value), points, keys), keys)
+        inner = F.concat(F.array("mean"), "quantiles", F.array("high"))
         return joined.select(*keys, inner.alias(f"{prefix}_q"), F.col("low").alias(f"{prefix}_low"))
 
     both = table(image, "s").join(table(reference, "r"), keys)

@@ -1,8 +1,8 @@
 """Morphology and connectivity of masks.
 
-A mask is handled line by line: the voxels of one (y, z) line become sorted arrays or runs, whose size
-is bounded by the axis length of an image. That cuts the rows by one to two orders of magnitude
-against voxel-wise neighbour joins and never gathers a whole image in one task.
+For morphology 64 voxels of one (y, z) line are packed into the bits of one bigint, so that shifts and
+bit aggregates replace neighbour joins on voxels. For connectivity a line becomes its runs of voxels.
+Both cut the rows by one to two orders of magnitude, and no step gathers a whole image in one task.
 """
 
 from __future__ import annotations
@@ -27,51 +27,96 @@ def _line_steps(radius: int, shape: str) -> dict[tuple[int, int], int]:
     return reach
 
 
-def _lines(mask: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return mask.groupBy(*keys, "y", "z").agg(F.collect_set("x").alias("xs"))
+def pack_lines(mask: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Words of 64 voxels: columns y, z, w, bits, where bit b of word w is the voxel x = 64 w + b."""
+    return mask.groupBy(*keys, "y", "z", F.shiftright("x", 6).alias("w")).agg(
+        F.bit_or(_bit(F.col("x").bitwiseAND(F.lit(63)))).alias("bits"))
+
+
+def _bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place.cast("int"))
+
+
+def _left(bits: Column, by: int) -> Column:
+    return F.shiftleft(bits, by)
+
 
+def _right(bits: Column, by: int) -> Column:
+    return F.shiftrightunsigned(bits, by)
 
-def _to_lines(lines: DataFrame, steps: dict[tuple[int, int], int], keys: Sequence[str]) -> DataFrame:
-    """Send every line to the lines it influences, with the reach along x."""
+
+def unpack_lines(words: DataFrame, keys: Sequence[str]) -> DataFrame:
+    places = F.array(*[F.lit(b) for b in range(64)])
+    single = F.call_function("shiftright", F.col("bits"), F.col("_b")).bitwiseAND(F.lit(1).cast("long")) == 1
+    return words.where("bits <> 0").withColumn("_b", F.explode(places)).where(single).select(
+        *keys, (F.col("w") * 64 + F.col("_b")).cast("long").alias("x"), "y", "z")
+
+
+def _to_lines(words: DataFrame, steps: dict[tuple[int, int], int], keys: Sequence[str]) -> DataFrame:
+    """Send every word to the lines it influences; ``r`` is the reach along x."""
     table = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dz).alias("dz"), F.lit(r).alias("r")) for (dy, dz), r in steps.items()])
-    moved = lines.withColumn("s", F.explode(table))
+    moved = words.withColumn("s", F.explode(table))
+    kept = [c for c in words.columns if c not in (*keys, "y", "z")]
     return moved.select(*keys, (F.col("y") + F.col("s.dy")).alias("y"), (F.col("z") + F.col("s.dz")).alias("z"),
-                        F.col("s.r").alias("r"), ((F.col("s.dy") == 0) & (F.col("s.dz") == 0)).alias("own"), "xs")
+                        F.col("s.r").alias("r"), ((F.col("s.dy") == 0) & (F.col("s.dz") == 0)).alias("own"), *kept)
 
 
 def surface(mask: DataFrame, keys: Sequence[str] = IMAGE, shape: str = "ball") -> DataFrame:
     """Mask voxels with a radius-1 neighbour outside the mask ("ball", or the face neighbours "cross").
 
-    A voxel is interior if it lies in every shifted copy of the neighbouring lines.
+    A voxel is interior if all shifted copies of the neighbouring lines have its bit.
     """
     steps = _line_steps(1, shape)
-    moved = _to_lines(_lines(mask, keys), steps, keys)
-    shifted = lambda by: F.transform("xs", lambda x: x + by)
-    eroded = F.when(F.col("r") == 0, F.col("xs")).otherwise(
-        F.array_intersect(F.array_intersect(F.col("xs"), shifted(1)), shifted(-1)))
-    gathered = moved.select(*keys, "y", "z", "own", "xs", eroded.alias("core")).groupBy(*keys, "y", "z").agg(
-        F.max(F.when(F.col("own"), F.col("xs"))).alias("xs"), F.collect_list("core").alias("cores")).where(F.col("xs").isNotNull())
-    interior = F.when(F.size("cores") == len(steps), F.aggregate("cores", F.col("xs"), lambda acc, c: F.array_intersect(acc, c)))
-    border = F.array_except("xs", F.coalesce(interior, F.array().cast("array<bigint>")))
-    return gathered.select(*keys, F.explode(border).alias("x"), "y", "z")
+    line = Window.partitionBy(*keys, "y", "z").orderBy("w")
+    beside = lambda fn, step: F.when(fn("w").over(line) == F.col("w") + step, fn("bits").over(line)).otherwise(F.lit(0).cast("long"))
+    words = pack_lines(mask, keys).withColumns({"_before": beside(F.lag, -1), "_after": beside(F.lead, 1)})
+    bits = F.col("bits")
+    core = bits.bitwiseAND(_left(bits, 1).bitwiseOR(_right(F.col("_before"), 63))).bitwiseAND(
+        _right(bits, 1).bitwiseOR(_left(F.col("_after"), 63)))
+    sent = _to_lines(words.withColumn("core", core).drop("_before", "_after"), steps, keys)
+    met = sent.groupBy(*keys, "y", "z", "w").agg(
+        F.max(F.when(F.col("own"), bits)).alias("bits"), F.count(F.lit(1)).alias("n"),
+        F.bit_and(F.when(F.col("r") == 0, bits).otherwise(F.col("core"))).alias("interior"))
+    interior = F.when(F.col("n") == len(steps), F.col("interior")).otherwise(F.lit(0).cast("long"))
+    border = met.where(F.col("bits").isNotNull()).select(*keys, "y", "z", "w", F.col("bits").bitwiseAND(F.bitwise_not(interior)).alias("bits"))
+    return unpack_lines(border, keys)
 
 
 def dilate(mask: DataFrame, radius: int, keys: Sequence[str] = IMAGE, size: Sequence[int] | None = None) -> DataFrame:
-    """Voxels within a ball around the mask, cut to the image ``size`` if given."""
-    runs = mask_runs(mask.select(*keys, *XYZ), keys, [])
-    table = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dz).alias("dz"), F.lit(r).alias("r"))
-                      for (dy, dz), r in _line_steps(radius, "ball").items()])
-    grown = runs.withColumn("s", F.explode(table)).select(
-        *keys, (F.col("y") + F.col("s.dy")).alias("y"), (F.col("z") + F.col("s.dz")).alias("z"),
-        (F.col("x0") - F.col("s.r")).alias("x0"), (F.col("x1") + F.col("s.r")).alias("x1"))
+    """Voxels within a ball around the mask, cut to the image ``size`` if given. The radius is below 64."""
+    if not 0 <= radius < 64:
+        raise ValueError("radius must be between 0 and 63")
+    bits = F.col("bits")
+
+    def grown(reach: int) -> dict[int, Column]:
+        """Bits that a word gives to itself and to the words before and after it."""
+        zero = F.lit(0).cast("long")
+        parts = {-1: zero, 0: bits, 1: zero}
+        for k in range(1, reach + 1):
+            parts[0] = parts[0].bitwiseOR(_left(bits, k)).bitwiseOR(_right(bits, k))
+            parts[-1] = parts[-1].bitwiseOR(_left(bits, 64 - k))
+            parts[1] = parts[1].bitwiseOR(_right(bits, 64 - k))
+        return parts
+
+    steps = _line_steps(radius, "ball")
+    by_reach = {r: grown(r) for r in sorted(set(steps.values()))}
+    words = pack_lines(mask, keys)
+    for r, parts in by_reach.items():
+        words = words.withColumn(f"_r{r}", F.array(*[F.struct(F.lit(dw).alias("dw"), part.alias("bits")) for dw, part in parts.items()]))
+    sent = _to_lines(words, steps, keys)
     if size is not None:
-        grown = grown.where(F.col("y").between(0, size[1] - 1) & F.col("z").between(0, size[2] - 1)).withColumns(
-            {"x0": F.greatest("x0", F.lit(0)), "x1": F.least("x1", F.lit(size[0] - 1))}).where("x0 <= x1")
-    # merge the overlapping intervals of each line before they become voxels again
-    line = Window.partitionBy(*keys, "y", "z").orderBy("x0", "x1")
-    reach = F.max("x1").over(line.rowsBetween(Window.unboundedPreceding, -1))
-    trimmed = grown.distinct().withColumn("x0", F.greatest("x0", F.coalesce(reach + 1, F.col("x0")))).where("x0 <= x1")
-    return trimmed.select(*keys, F.explode(F.sequence("x0", "x1")).alias("x"), "y", "z")
+        sent = sent.where(F.col("y").between(0, size[1] - 1) & F.col("z").between(0, size[2] - 1))
+    chosen = F.lit(None)
+    for r in by_reach:
+        chosen = F.when(F.col("r") == r, F.col(f"_r{r}")).otherwise(chosen)
+    given = sent.select(*keys, "y", "z", "w", F.explode(chosen).alias("g")).where("g.bits <> 0")
+    merged = given.groupBy(*keys, "y", "z", (F.col("w") + F.col("g.dw")).alias("w")).agg(F.bit_or("g.bits").alias("bits"))
+    voxels = unpack_lines(merged, keys)
+    return voxels if size is None else voxels.where(F.col("x").between(0, size[0] - 1))
+
+
+def _lines(mask: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return mask.groupBy(*keys, "y", "z").agg(F.collect_set("x").alias("xs"))
 
 
 # --- connected components ---------------------------------------------------------------------
