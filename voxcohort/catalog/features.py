@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from voxcohort.catalog.registry import query, rounded
 from voxcohort.operators import features as fe
 from voxcohort.plans import derive as d
+from voxcohort.session import ensure_checkpoint_dir
+from voxcohort.sources.manifests import load_model_tables, save_model_tables
 
 R = rounded
 
@@ -121,3 +125,13 @@ def svm_scores(t):
 def train_val_split(t):
     subjects = t.customer.select(F.concat(F.lit("sub"), F.col("c_custkey").cast("string")).alias("subject_id"))
     return fe.train_val_split(subjects)
+
+
+@query("model_tables", d.with_ctes(d.FEATURES, LONG, MODEL, f"SELECT CAST(feature AS BIGINT) AS feature, {R('mean')} AS mean, {R('std')} AS std FROM model"))
+def model_tables(t):
+    # saved to and loaded from the folder that all executors share
+    ensure_checkpoint_dir(t.spark)
+    path = f"{t.spark.sparkContext.getCheckpointDir()}/model-{uuid.uuid4().hex}"
+    f = d.features(t)
+    save_model_tables(path, fe.scale_fit(f), flags={"T1": True, "T2": False})
+    return load_model_tables(t.spark, path)["scaling"].select(F.col("feature").cast("long"), F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))

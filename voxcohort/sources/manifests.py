@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from voxcohort.operators.ordering import number_lines, running_position
 from voxcohort.session import attach
@@ -181,6 +180,12 @@ def save_model_tables(path: str, scaling: DataFrame, pca: DataFrame | None = Non
 
 
 def load_model_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    scaling = T.StructType().add("feature", "int").add("mean", "double").add("std", "double")
-    return {"scaling": spark.read.schema(scaling).parquet(f"{path}/scaling"),
-            "pca": spark.read.parquet(f"{path}/pca"), "flags": spark.read.parquet(f"{path}/flags")}
+    """The tables that ``save_model_tables`` wrote, under the same names."""
+    schemas = {"scaling": "feature int, mean double, std double", "pca": "component int, feature int, loading double, mean double",
+               "flags": "modality string, used boolean"}
+    return {name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in schemas.items() if _exists(spark, f"{path}/{name}")}
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
