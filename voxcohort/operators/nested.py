@@ -14,6 +14,7 @@ from voxcohort.session import attach
 
 IMAGE = ["image_id"]
 
+# Field names of the report and segment documents.
 CODE = "struct<CodeValue:string,CodingSchemeDesignator:string,CodeMeaning:string>"
 ALGORITHM = "struct<AlgorithmName:string,AlgorithmVersion:string,AlgorithmParameters:array<string>>"
 ITEM = (f"struct<value:string,quantity:{CODE},units:{CODE},derivationModifier:{CODE},derivationParameters:array<struct<"
@@ -174,11 +175,13 @@ def json_diff(df: DataFrame, key: str, expected: str, actual: str, ignore_keys:
     """First difference of each pair of documents in path order; pairs that agree are not returned.
 
     Reasons: missing key, extra key, length mismatch, type mismatch, different value. With
-    ``contains`` the actual document may have more than the expected one. Both documents run through
-    one plan and meet again in one aggregate per node.
+    ``contains`` the actual document may have more than the expected one. The pairs are spread by key
+    once, before they are opened; all nodes of a pair then stay where they are and meet in one aggregate.
     """
     sides = F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("json")) for i, c in enumerate((expected, actual))])
-    both = df.select(key, F.explode(sides).alias("d")).select(key, "d.side", "d.json")
+    unequal = ~F.col(expected).eqNullSafe(F.col(actual))  # equal texts cannot differ
+    pairs = df.where(unequal).select(key, expected, actual).repartition(key)
+    both = pairs.select(key, F.explode(sides).alias("d")).select(key, "d.side", "d.json")
     nodes = json_nodes(both, [key, "side"], "json", depth, ignore_order, ignore_keys)
     of = lambda column, side: F.max(F.when(F.col("side") == side, F.col(column)))
     both = nodes.groupBy(key, "path").agg(of("type", 0).alias("t1"), of("value", 0).alias("v1"), of("type", 1).alias("t2"), of("value", 1).alias("v2"))

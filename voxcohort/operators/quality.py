@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxcohort.operators import regions
 from voxcohort.operators.statistics import label_counts
-from voxcohort.session import attach, settle
+from voxcohort.session import attach, fits_broadcast, join_summary, settle
 
 IMAGE = ["image_id"]
 XYZ = ["x", "y", "z"]
@@ -121,7 +121,8 @@ def repair_negatives(image: DataFrame, limit: int = REPAIRABLE_VOXELS, keys: Seq
     """Lift the non-zero voxels of images whose negative blobs are small; other images stay as they are."""
     keys = list(keys)
     small = settle(negative_components(image, keys, value).where(F.col("largest") < limit).select(*keys))
-    low = image.join(F.broadcast(small) if small.count() < 200_000 else small, keys, "left_semi").groupBy(*keys).agg(F.min(value).alias("_min"))
+    repairable = join_summary(image, small, keys, "left_semi", fits_broadcast(small.count()))
+    low = repairable.groupBy(*keys).agg(F.min(value).alias("_min"))
     joined = attach(image, low, keys, "left")
     lifted = F.when((F.col("_min") < 0) & (F.col(value) != 0), F.col(value) - F.col("_min")).otherwise(F.col(value))
     return joined.withColumn(value, lifted).drop("_min")

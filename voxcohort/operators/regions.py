@@ -202,8 +202,8 @@ def _components_of(components: DataFrame, seeds: DataFrame, keys: Sequence[str],
     group = [*keys, *same]
     line = seeds.select(*keys, F.col("x").alias("seed_x"), "y", "z")
     hit = components.join(line, [*keys, "y", "z"]).where(F.col("seed_x").between(F.col("x0"), F.col("x1")))
-    chosen = hit.select(*group, "component").distinct()
-    return components.join(chosen, [*group, "component"], "left_semi")
+    chosen = settle(hit.select(*group, "component").distinct())
+    return join_summary(components, chosen, [*group, "component"], "left_semi", fits_broadcast(chosen.count()))
 
 
 def grow_region(image: DataFrame, seeds: DataFrame, low: float | None = 300.0, high: float | None = 500.0,
@@ -269,8 +269,8 @@ def fill_holes(mask: DataFrame, sizes: DataFrame, keys: Sequence[str] = IMAGE, f
     sized = join_summary(components, known, keys, "inner", fits_broadcast(known.count()))
     at_border = ((F.col("x0") == 0) | (F.col("x1") == F.col("size")[0] - 1) | (F.col("y") == 0)
                  | (F.col("y") == F.col("size")[1] - 1) | (F.col("z") == 0) | (F.col("z") == F.col("size")[2] - 1))
-    outside = sized.where(at_border).select(*keys, "component").distinct()
-    holes = components.join(outside, [*keys, "component"], "left_anti")
+    outside = settle(sized.where(at_border).select(*keys, "component").distinct())
+    holes = join_summary(components, outside, [*keys, "component"], "left_anti", fits_broadcast(outside.count()))
     return inside.unionByName(component_voxels(holes.drop("component")).select(*keys, *XYZ))
 
 

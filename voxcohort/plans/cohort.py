@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from voxcohort.operators import quality
 from voxcohort.sources import inventories, manifests
 
+# What a validation record holds.
 SUMMARY_REGIONS = ("WT", "TC", "ET")
 SUMMARY_MEASURES = ("Dice", "Hausdorff95", "Sensitivity", "Specificity")
 

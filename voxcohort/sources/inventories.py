@@ -29,7 +29,7 @@ MODALITY_WORDS = (
     ("SEG", ("labelmap", "label-map", "segmentation", "annotation", "label", "roi")),
 )
 
-# The stricter forms of base names: a word next to an underscore, before the extension, or anywhere.
+# The stricter forms for base names, next to an underscore, before the extension, or anywhere.
 STRICT_WORDS = (
     ("T1CE", ("t1ce", "t1-gad", "t1-ce", "t1-gd", "_t1gd", "t1gd_", "t1gd.nii.gz")),
     ("T1", ("_t1", "t1_", "t1.nii.gz")),
@@ -49,6 +49,7 @@ STRICT_WORDS = (
     ("PET", ("_pet", "pet_")),
 )
 
+# File name endings of the four scans.
 SLOT_SUFFIXES = {"T1GD": ("t1ce", "t1gd"), "T1": ("t1",), "T2": ("t2",), "FLAIR": ("flair", "fl")}
 
 

@@ -123,6 +123,7 @@ def split_index(lines: DataFrame, order: str = "line", text: str = "value") -> D
 
 # --- score files ------------------------------------------------------------------------------
 
+# The scores that make a cached record complete.
 REQUIRED = tuple((r, m) for r in ("WT", "TC", "ET") for m in ("Dice", "Hausdorff95", "Sensitivity", "Specificity"))
 
 
