@@ -145,7 +145,11 @@ def fuse_staple(maps: DataFrame, iterations: int = 100, tolerance: float = 1e-7,
     return _fuse_patterns(maps, solve, keys, label)
 
 
-def fuse_simple(maps: DataFrame, iterations: int = 10, alpha: float = 1.0, keys: Sequence[str] = IMAGE,
+def fuse_simple(maps: DataFrame, iterations: int = 10, alpha: float = 1.5, keys: Sequence[str] = IMAGE,
                 label: str = "label") -> DataFrame:
-    """Weighted vote with repeated removal of raters whose overlap with the estimate is too low."""
+    """Weighted vote with repeated removal of raters whose overlap with the estimate is too low.
+
+    Among three raters none can lie 1.5 deviations below the mean, so the default never prunes on to
+    the point where a single rater decides alone.
+    """
     return _fuse_patterns(maps, lambda v, c, k: simple_weights(v, c, k, iterations, alpha)[1], keys, label)
