@@ -122,9 +122,12 @@ def _lines(mask: DataFrame, keys: Sequence[str]) -> DataFrame:
 # --- connected components ---------------------------------------------------------------------
 
 def mask_runs(mask: DataFrame, keys: Sequence[str], same: Sequence[str]) -> DataFrame:
-    """Maximal runs x0..x1 of consecutive voxels of a line that agree in the ``same`` columns."""
+    """Maximal runs x0..x1 of consecutive voxels of a line that agree in the ``same`` columns.
+
+    Voxels that are listed twice do no harm, so the mask needs no ``distinct`` before.
+    """
     line = Window.partitionBy(*keys, *same, "y", "z").orderBy("x")
-    island = mask.withColumn("_island", F.col("x") - F.row_number().over(line))
+    island = mask.withColumn("_island", F.col("x") - F.dense_rank().over(line))
     return island.groupBy(*keys, *same, "y", "z", "_island").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("_island")
 
 
@@ -139,7 +142,7 @@ def connected_components(mask: DataFrame, keys: Sequence[str] = IMAGE, same: Seq
     """
     keys, same = list(keys), list(same)
     group = [*keys, *same]
-    runs = settle(mask_runs(mask.select(*group, *XYZ).distinct(), keys, same)
+    runs = settle(mask_runs(mask.select(*group, *XYZ), keys, same)
                   .withColumn("node", F.struct("z", "y", "x0")))
     slack = 1 if full else 0
     steps = [(1, 0), (0, 1), (1, 1), (-1, 1)] if full else [(1, 0), (0, 1)]
