@@ -12,13 +12,16 @@ import numpy as np
 
 from voxcohort.llm.common import U, Ranges, mix
 
+#: Context of a decision that the end of a text took part in: elsewhere the text may go on.
+FAR = 1 << 40
+
 
 def _needs(length, left, right, head):
-    """Context of each symbol plus its whole neighbour, on either side; nothing beyond the ends of a text."""
-    before = np.zeros_like(left)
-    after = np.zeros_like(right)
-    before[1:] = np.where(head[1:], 0, length[:-1] + left[:-1])
-    after[:-1] = np.where(head[1:], 0, length[1:] + right[1:])
+    """Context of each symbol plus its whole neighbour, on either side; what touches the end of a text fits no window."""
+    before = np.full(len(length), FAR)
+    after = np.full(len(length), FAR)
+    before[1:] = np.where(head[1:], FAR, length[:-1] + left[:-1])
+    after[:-1] = np.where(head[1:], FAR, length[1:] + right[1:])
     return before, after
 
 
