@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxcohort.llm.registry import QUERIES, SQL, query, table
+from voxcohort.llm.suffix_dedup import remove_repeated_bytes
 from voxcohort.llm.substring_dedup import remove_repeated_words
 
 
@@ -25,6 +26,27 @@ def op1(spark, sf_dir):
     return out.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op6_suffix_dedup", """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+s AS (SELECT doc_id, x, unnest(range(0, greatest(length(x) // 2 - 399, 0))) AS p FROM d),
+h AS (SELECT doc_id, p, md5_number(substring(x, 2 * p + 1, 800)) AS h FROM s),
+c AS (SELECT doc_id, p, count(*) OVER (PARTITION BY h) AS k FROM h),
+e AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM c WHERE k > 1),
+g AS (SELECT doc_id, p, sum(CASE WHEN q IS NULL OR p > q + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM e),
+r AS (SELECT doc_id, r, min(p) AS a, max(p) + 400 AS b FROM g GROUP BY doc_id, r),
+k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM r),
+t AS (SELECT d.doc_id, any_value(length(x) // 2) AS n, coalesce(sum(b - a), 0) AS gone, count(a) AS spans,
+  coalesce(string_agg(substring(x, 2 * z + 1, 2 * (a - z)), '' ORDER BY a), '') || substring(any_value(x), 2 * coalesce(max(b), 0) + 1) AS kept
+  FROM d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id)
+SELECT doc_id, n AS n_bytes, CAST(gone AS BIGINT) AS n_removed, spans AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM t""")
+def op6(spark, sf_dir):
+    """Bytes left in every document after all repeated runs of 400 bytes are cut."""
+    out = remove_repeated_bytes(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries():
     return dict(QUERIES)
 
