@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from voxcohort.llm.ngram_join import similar_documents
 from voxcohort.llm.registry import QUERIES, SQL, query, table
 from voxcohort.llm.suffix_dedup import remove_repeated_bytes
 from voxcohort.llm.substring_dedup import remove_repeated_words
@@ -47,6 +48,25 @@ def op6(spark, sf_dir):
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op9_ngram_join", """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
+p AS (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0),
+s AS (SELECT DISTINCT doc_id, hash(array_to_string(words[i:i + 4], ' ')) AS g FROM p),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+f AS (SELECT g FROM s GROUP BY g HAVING count(*) > 1),
+r AS (SELECT s.doc_id, s.g FROM s JOIN f USING (g)),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM r a JOIN r b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+t(node, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, t.seen FROM t JOIN e ON e.a = t.node),
+c AS (SELECT node, min(seen) AS low FROM t GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.low AS component_id FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = d.doc_id""")
+def op9(spark, sf_dir):
+    """Number of shingles and component of every document under links of similarity 0.8 or more."""
+    return similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def queries():
     return dict(QUERIES)
 
