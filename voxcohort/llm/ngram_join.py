@@ -110,6 +110,7 @@ def _links(batches, percent: int):
             shared = len(np.intersect1d(x, y, assume_unique=True))
             if 100 * shared >= percent * (len(x) + len(y) - shared):
                 keep.append(i)
+        keep = pa.array(keep, pa.int64())
         yield pa.record_batch([a.take(keep), b.take(keep)], ["a", "b"])
 
 
