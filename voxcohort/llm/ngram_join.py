@@ -142,12 +142,18 @@ def similar_documents(documents: DataFrame, key: str = "doc_id", text: str = "te
     prefixes = shelf.put(docs.where("doc is not null and text is not null").select("text").mapInArrow(
         lambda b: _prefix_rows(b, gram, percent, level), "key long, cls long, n long, pos long"))
     shared = shelf.put(prefixes.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("key"))
-    members = shelf.put(prefixes.join(shared.hint("shuffle_hash"), "key").distinct())
+    # before: how many of a set's shared prefix n-grams come earlier; all others before pos are in no other set
+    members = shelf.put(prefixes.join(shared.hint("shuffle_hash"), "key").distinct().withColumn(
+        "before", F.row_number().over(Window.partitionBy("cls").orderBy("pos")) - 1))
     shelf.drop(prefixes, shared)
-    compared = classes.join(members.select("cls").distinct(), "cls").select(F.col("node").alias("doc")).distinct()
-    sets = shelf.put(docs.join(compared, "doc").select("text")
-                     .mapInArrow(lambda b: _set_rows(b, gram), "node long, grams array<long>").dropDuplicates(["node"]))
-    edges = shelf.put(_linked(members.withColumnRenamed("cls", "node"), sets, shelf, percent))
+
+    def fetch(nodes: DataFrame) -> DataFrame:
+        """The sets of some classes, from the text of one document each."""
+        wanted = classes.join(nodes, classes["cls"] == nodes["node"], "left_semi").select(F.col("node").alias("doc")).distinct()
+        return (docs.join(wanted, "doc").select("text").mapInArrow(lambda b: _set_rows(b, gram), "node long, grams array<long>")
+                .join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+
+    edges = shelf.put(_linked(members.withColumnRenamed("cls", "node"), fetch, shelf, percent))
     labels = components(edges, shelf)
 
     # copies are in one class, linked classes in one component, which is named by its least key
@@ -159,34 +165,39 @@ def similar_documents(documents: DataFrame, key: str = "doc_id", text: str = "te
                       *(F.when(F.col("doc").isNotNull(), F.coalesce(x, "doc")).alias(y) for x, y in (("node", "class_id"), ("component", "component_id"))))
 
 
-def _linked(members: DataFrame, sets: DataFrame, shelf: Shelf, percent: int) -> DataFrame:
-    """Edges (a, b) that connect all that is linked."""
+def _linked(members: DataFrame, fetch, shelf: Shelf, percent: int) -> DataFrame:
+    """Edges (a, b) that connect all that is linked; ``fetch`` reads the sets of those nodes that pairs are built of."""
     spark = shelf.spark
-    edges = shelf.put(spark.createDataFrame([], "a long, b long"))
-    checked = edges
-    labelled = members.withColumn("label", F.col("node"))
+    edges = checked = spark.createDataFrame([], "a long, b long")
+    sets = spark.createDataFrame([], "node long, grams array<long>")
+    # In a linked pair the smaller set shares at least 2 t / (1 + t) of itself, so only an early n-gram can find its partners.
+    labelled = members.withColumn("label", F.col("node")).withColumn(
+        "leads", F.expr(f"{100 + percent} * (before + n - pos) >= {2 * percent} * n"))
     begin, many = 0, 1
     order = Window.partitionBy("key").orderBy("n", "node")
     while True:
-        groups = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
-        open_keys = groups.where(f"low <> high and size > {begin + 1}").select("key")
+        groups = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count_if("leads").alias("leads"))
+        open_keys = groups.where(f"low <> high and leads > {begin}").select("key")
         live = shelf.put(labelled.join(open_keys.hint("shuffle_hash"), "key"))
         if live.isEmpty():
             return edges
-        pivots = (live.withColumn("rank", F.row_number().over(order)).where(f"rank <= {begin + many}").where(f"rank > {begin}")
-                  .select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la")))
-        pairs = live.join(pivots, "key").where(
-            f"label <> la and (na < n or (na = n and a < node)) and 100 * na >= {percent} * n")
-        found = (pairs.groupBy("a", F.col("node").alias("b")).agg(F.min("pa").alias("pa"), F.min("pos").alias("pb"), F.first("na").alias("na"),
-                                                                 F.first("n").alias("nb"))
-                 .where(f"{100 + percent} * (least(pa, pb) + least(na - pa, nb - pb)) >= {percent} * (na + nb)").select("a", "b")
-                 .join(checked, ["a", "b"], "left_anti"))
+        pivots = (live.where("leads").withColumn("rank", F.row_number().over(order)).where(f"rank <= {begin + many}").where(f"rank > {begin}")
+                  .select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("before").alias("ba"),
+                          F.col("label").alias("la")))
+        # length filter, and the positional bound: what both can share before this n-gram, and from it on
+        found = (live.join(pivots, "key").where(
+            f"label <> la and (na < n or (na = n and a < node)) and 100 * na >= {percent} * n and "
+            f"{100 + percent} * (least(ba, before) + least(na - pa, n - pos)) >= {percent} * (na + n)")
+            .select("a", F.col("node").alias("b")).distinct().join(checked, ["a", "b"], "left_anti"))
         found = shelf.put(found)
+        new = shelf.put(found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node", "left_anti"))
+        if not new.isEmpty():
+            sets = sets.union(shelf.put(fetch(new)))
         held = found.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
         both = held.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").select("a", "b", "ga", "gb")
         more = shelf.put(both.mapInArrow(lambda b: _links(b, percent), "a long, b long"))
         checked = checked.union(found)
         edges = edges.union(more)
         labels = components(edges, shelf)
-        labelled = live.drop("label").join(labels, "node", "left").select("key", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
+        labelled = live.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         begin, many = begin + many, 4 * many
