@@ -148,10 +148,9 @@ def similar_documents(documents: DataFrame, key: str = "doc_id", text: str = "te
     shelf.drop(prefixes, shared)
 
     def fetch(nodes: DataFrame) -> DataFrame:
-        """The sets of some classes, from the text of one document each."""
-        wanted = classes.join(nodes, classes["cls"] == nodes["node"], "left_semi").select(F.col("node").alias("doc")).distinct()
-        return (docs.join(wanted, "doc").select("text").mapInArrow(lambda b: _set_rows(b, gram), "node long, grams array<long>")
-                .join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+        """The sets of some classes, from the text of one document each (of all its rows, if its key repeats)."""
+        wanted = classes.join(nodes.withColumnRenamed("node", "cls"), "cls", "left_semi").select(F.col("node").alias("doc")).distinct()
+        return docs.join(wanted, "doc").select("text").mapInArrow(lambda b: _set_rows(b, gram), "node long, grams array<long>")
 
     edges = shelf.put(_linked(members.withColumnRenamed("cls", "node"), fetch, shelf, percent))
     labels = components(edges, shelf)
@@ -169,7 +168,6 @@ def _linked(members: DataFrame, fetch, shelf: Shelf, percent: int) -> DataFrame:
     """Edges (a, b) that connect all that is linked; ``fetch`` reads the sets of those nodes that pairs are built of."""
     spark = shelf.spark
     edges = checked = spark.createDataFrame([], "a long, b long")
-    sets = spark.createDataFrame([], "node long, grams array<long>")
     # In a linked pair the smaller set shares at least 2 t / (1 + t) of itself, so only an early n-gram can find its partners.
     labelled = members.withColumn("label", F.col("node")).withColumn(
         "leads", F.expr(f"{100 + percent} * (before + n - pos) >= {2 * percent} * n"))
@@ -190,12 +188,11 @@ def _linked(members: DataFrame, fetch, shelf: Shelf, percent: int) -> DataFrame:
             f"{100 + percent} * (least(ba, before) + least(na - pa, n - pos)) >= {percent} * (na + n)")
             .select("a", F.col("node").alias("b")).distinct().join(checked, ["a", "b"], "left_anti"))
         found = shelf.put(found)
-        new = shelf.put(found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node", "left_anti"))
-        if not new.isEmpty():
-            sets = sets.union(shelf.put(fetch(new)))
+        sets = shelf.put(fetch(found.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
         held = found.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
         both = held.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").select("a", "b", "ga", "gb")
         more = shelf.put(both.mapInArrow(lambda b: _links(b, percent), "a long, b long"))
+        shelf.drop(sets)
         checked = checked.union(found)
         edges = edges.union(more)
         labels = components(edges, shelf)
