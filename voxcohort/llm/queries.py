@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from voxcohort.llm.chat_format import preference_pairs
+from voxcohort.llm.decontaminate import contaminated
+from voxcohort.llm.exact_search import exact_top_k
 from voxcohort.llm.ngram_join import similar_documents
 from voxcohort.llm.registry import QUERIES, SQL, query, table
+from voxcohort.llm.source_mixing import mix_sources
 from voxcohort.llm.suffix_dedup import remove_repeated_bytes
 from voxcohort.llm.substring_dedup import remove_repeated_words
 
@@ -67,6 +71,56 @@ def op9(spark, sf_dir):
     return similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+@query("op3_exact_search", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""")
+def op3(spark, sf_dir):
+    """The 20 best matches of every twentieth vector among all others."""
+    return exact_top_k(table(spark, sf_dir, "embeddings"), lambda key: key % 20 == 0)
+
+
+@query("op7_source_mixing")
+def op7(spark, sf_dir):
+    """Words that the mix takes of every document."""
+    out = mix_sources(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "rate")
+
+
+@query("op8_decontamination")
+def op8(spark, sf_dir):
+    """Documents that hold a benchmark item, with the edits between them."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_chat_format", """
+WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i,
+  coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT pair_id, count(*) FILTER (WHERE side = 0) AS a, count(*) FILTER (WHERE side = 1) AS b FROM t GROUP BY pair_id HAVING a > 0 AND b > 0),
+e AS (SELECT x.pair_id, x.i FROM t x JOIN t y ON x.pair_id = y.pair_id AND x.i = y.i AND x.side = 0 AND y.side = 1 AND x.role = y.role AND x.text = y.text),
+g AS (SELECT pair_id, i, row_number() OVER (PARTITION BY pair_id ORDER BY i) AS k FROM e),
+c AS (SELECT n.pair_id, coalesce(max(k) FILTER (WHERE k = i), 0) AS common FROM n LEFT JOIN g USING (pair_id) GROUP BY n.pair_id),
+r AS (SELECT pair_id, side, i, role, i > common AS tail, common, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS piece FROM t JOIN c USING (pair_id)),
+o AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY pair_id, side, tail ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins FROM r),
+z AS (SELECT *, CASE WHEN role = 'assistant' THEN CAST(begins + 14 AS BIGINT) || '-' || CAST(begins + length(piece) - 1 AS BIGINT) END AS span FROM o)
+SELECT pair_id, any_value(common) AS prompt_turns,
+  coalesce(string_agg(piece, '' ORDER BY i) FILTER (WHERE side = 0 AND NOT tail), '') AS prompt,
+  coalesce(string_agg(piece, '' ORDER BY i) FILTER (WHERE side = 0 AND tail), '') AS chosen,
+  coalesce(string_agg(piece, '' ORDER BY i) FILTER (WHERE side = 1 AND tail), '') AS rejected,
+  coalesce(string_agg(span, ',' ORDER BY i) FILTER (WHERE side = 0 AND tail), '') AS chosen_mask,
+  coalesce(string_agg(span, ',' ORDER BY i) FILTER (WHERE side = 1 AND tail), '') AS rejected_mask FROM z GROUP BY pair_id""")
+def op10(spark, sf_dir):
+    """Conversations 2 n (chosen) and 2 n + 1 (rejected) as prompt and masked completions."""
+    key = F.col("conv_id")
+    out = preference_pairs(table(spark, sf_dir, "conversations"), F.floor(key / 2), key % 2 == 0)
+    mask = lambda name: F.array_join(F.transform(name, lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+    return out.select("pair_id", F.col("prompt_turns").cast("long").alias("prompt_turns"), "prompt", "chosen", "rejected",
+                      mask("chosen_spans").alias("chosen_mask"), mask("rejected_spans").alias("rejected_mask"))
+
+
 def queries():
     return dict(QUERIES)
 
