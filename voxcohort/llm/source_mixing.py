@@ -72,7 +72,7 @@ def mix_sources(documents: DataFrame, key: str = "doc_id", source: str = "source
     sized = shelf.put(documents.select(F.col(key).alias("doc"), F.col(source).cast("string").alias("source"), F.col(text)).mapInArrow(
         _sizes, f"doc {kind}, source string, size long"))
     groups = shelf.put(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
-    targets = _targets(groups.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("mass")), weights, most, shelf)
+    targets = _targets(groups.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).cast("long").alias("mass")), weights, most, shelf)
     rates = _tilts(targets, shelf)
 
     same = lambda a, b, *names: [a[x].eqNullSafe(b[x]) for x in names]
