@@ -2,12 +2,14 @@
 
 Documents start with equal rates a token. The rates that meet every source's token target and stay closest to that in relative
 entropy are exponential tilts, rate = exp(tilt of the source); the tilts minimise a convex dual. Its gradient and curvature are
-sums over documents, formed per source in Spark; Newton steps run until every constraint holds. Rates become whole copies by
-cumulative rounding in the order of size, largest first, so that a source misses its target by about half a document.
+sums over documents, formed per source in Spark; Newton steps run until every constraint holds. Rates become whole copies
+largest documents first, each size correcting what the larger ones left, so that a source misses its target by about half
+of its smallest document.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,6 +60,21 @@ def _tilts(targets: DataFrame, shelf: Shelf) -> DataFrame:
     return state.select("source", "mass", "target", F.when(ready, F.exp("tilt")).otherwise(0.0).alias("rate"))
 
 
+def _whole(table: pd.DataFrame, most: int) -> pd.DataFrame:
+    """Copies that all documents of one size take together, largest size first; each size corrects what the larger ones left.
+
+    One row a size, so a source has at most as many rows as its longest document has words.
+    """
+    table = table.sort_values("size", ascending=False, ignore_index=True)
+    total, wanted, taken = [], 0.0, 0
+    for size, n, rate in zip(table["size"], table["n"], table["rate"]):
+        wanted += rate * size * n
+        copies = min(max(round((wanted - taken) / size), 0), most * n) if size else 0
+        taken += copies * size
+        total.append(copies)
+    return table.assign(total=total)
+
+
 def mix_sources(documents: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text",
                 weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
     """(key, source, size, source_size, target, rate, copies) per row.
@@ -75,33 +92,21 @@ def mix_sources(documents: DataFrame, key: str = "doc_id", source: str = "source
     targets = _targets(groups.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).cast("long").alias("mass")), weights, most, shelf)
     rates = _tilts(targets, shelf)
 
-    same = lambda a, b, *names: [a[x].eqNullSafe(b[x]) for x in names]
-    salted = sized.join(groups.withColumnRenamed("source", "_s").withColumnRenamed("size", "_z"),
-                        F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z"))).drop("_s", "_z")
-    salted = salted.withColumn("order", F.xxhash64("doc")).withColumn("bucket", F.pmod("order", F.ceil(F.col("n") / BUCKET)))
-    # places before a bucket: all larger documents of the source, then the earlier buckets of its size
-    buckets = salted.groupBy("source", "size", "bucket").agg(F.count("*").alias("here"))
+    joined = groups.alias("g").join(rates.alias("r"), F.col("g.source").eqNullSafe(F.col("r.source"))).select(
+        "g.source", "size", "n", "mass", "target", "rate")
+    whole = shelf.put(joined.groupBy("source").applyInPandas(
+        lambda table: _whole(table, int(most)), "source string, size long, n long, mass long, target double, rate double, total long"))
+
+    # which rows of a source and size take one copy more: the first by hash, counted over buckets of bounded size
+    counted = sized.alias("d").join(whole.alias("w"), F.col("d.source").eqNullSafe(F.col("w.source")) & (F.col("d.size") == F.col("w.size"))).select(
+        "doc", "d.source", "d.size", "n", "mass", "target", "rate", "total", F.xxhash64("doc").alias("order"))
+    counted = counted.withColumn("bucket", F.pmod("order", F.ceil(F.col("n") / BUCKET)))
+    buckets = counted.groupBy("source", "size", "bucket").agg(F.count("*").alias("here"))
     within = F.sum("here").over(Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    larger = groups.select("source", "size", F.coalesce(F.sum("n").over(
-        Window.partitionBy("source").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("larger"))
-    begin = buckets.select("source", "size", "bucket", F.coalesce(within, F.lit(0)).alias("earlier")).alias("b").join(
-        larger.alias("l"), same(F_("b"), F_("l"), "source", "size")).select("b.*", "larger")
-    begin = shelf.put(begin.alias("b").join(rates.alias("r"), same(F_("b"), F_("r"), "source")).select(
-        "b.*", F.col("r.mass"), F.col("r.target"), F.col("r.rate")))
+    begin = buckets.select("source", "size", "bucket", F.coalesce(within, F.lit(0)).alias("earlier"))
     place = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("order", "doc"))
-    ranked = salted.withColumn("place", place).alias("d").join(begin.alias("b"), same(F_("d"), F_("b"), "source", "size", "bucket")).select(
-        "d.doc", "d.source", "d.size", "b.mass", "b.target", "b.rate", (F.col("larger") + F.col("earlier") + F.col("place")).alias("i"))
-    upto = lambda i: F.floor(F.col("rate") * i + 0.5)
-    copies = F.when(F.col("size") > 0, F.least(upto(F.col("i")) - upto(F.col("i") - 1), F.lit(int(most)))).otherwise(0).cast("long")
-    return ranked.select(F.col("doc").alias(key), "source", "size", F.col("mass").cast("long").alias("source_size"),
-                         F.col("target").cast("double").alias("target"), "rate", copies.alias("copies"))
-
-
-class F_:  # noqa: N801
-    """Columns of an aliased side of a join: F_("b")["size"]."""
-
-    def __init__(self, side: str):
-        self.side = side
-
-    def __getitem__(self, name: str) -> Column:
-        return F.col(f"{self.side}.{name}")
+    ranked = counted.withColumn("place", place).alias("d").join(begin.alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & (
+        F.col("d.size") == F.col("b.size")) & (F.col("d.bucket") == F.col("b.bucket"))).select("d.*", "earlier")
+    more = (F.col("earlier") + F.col("place") <= F.expr("total % n")).cast("long")
+    return ranked.select(F.col("doc").alias(key), "source", "size", F.col("mass").alias("source_size"), "target", "rate",
+                         (F.expr("total div n") + more).alias("copies"))
