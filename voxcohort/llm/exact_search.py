@@ -1,6 +1,6 @@
 """Exact nearest neighbours by inner product over integer vectors with a vector-approximation file.
 
-The file holds one byte a component: the number of its cell among up to 16 cells between approximate quantiles. For a block of
+The file holds one byte a component: the number of its cell among up to 64 cells between approximate quantiles. For a block of
 queries and a block of cells, two matrix products give a lower and an upper bound of every score. Candidates whose upper bound
 is below the k-th lower bound are out. The exact vectors of the others are read in the order of their bounds: first the most
 promising, then those that the k-th exact score so far has not ruled out; after that the k-th result is certain.
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from voxcohort.llm.common import Shelf, int64, prepare
 
-CELLS, QUERY_BLOCK, CELL_BLOCK = 16, 1024, 8192
+CELLS, QUERY_BLOCK, CELL_BLOCK = 64, 512, 32768
 
 
 def _matrix(column, kind) -> np.ndarray:
