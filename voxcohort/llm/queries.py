@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from voxcohort.llm.chat_format import preference_pairs
 from voxcohort.llm.decontaminate import contaminated
 from voxcohort.llm.exact_search import exact_top_k
+from voxcohort.llm.html_text import extract_text
 from voxcohort.llm.ngram_join import similar_documents
+from voxcohort.llm.quality import score_quality
 from voxcohort.llm.registry import QUERIES, SQL, query, table
 from voxcohort.llm.source_mixing import mix_sources
 from voxcohort.llm.suffix_dedup import remove_repeated_bytes
+from voxcohort.llm.toxicity import flag_toxic
 from voxcohort.llm.substring_dedup import remove_repeated_words
 
 
@@ -121,6 +124,34 @@ def op10(spark, sf_dir):
                       mask("chosen_spans").alias("chosen_mask"), mask("rejected_spans").alias("rejected_mask"))
 
 
+def _fold(n: int):
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+@query("op2_toxicity")
+def op2(spark, sf_dir):
+    """Toxicity of every document; labels of the fourth whose checksum leaves 2 are not seen."""
+    fold = _fold(4)
+    out = flag_toxic(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold.isin(0, 1), fold == 3)
+    return out.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "score",
+                      (F.col("score") >= 0.3).cast("int").alias("predicted"), "threshold", "flagged")
+
+
+@query("op4_html_text")
+def op4(spark, sf_dir):
+    """Main text of every page."""
+    out = extract_text(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op5_quality")
+def op5(spark, sf_dir):
+    """Quality of every document; labels of the fifth whose checksum is divisible by 5 are not seen."""
+    fold = _fold(5)
+    out = score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), fold.isin(1, 2, 3), fold == 4)
+    return out.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def queries():
     return dict(QUERIES)
 
