@@ -180,7 +180,7 @@ def _judge_groups(batches, band: int):
         yield _judge(pa.Table.from_batches(waiting), band)
 
 
-def _cut(batches, window: int):
+def _cut(batches, window: int, carry: list[str]):
     for batch in batches:
         where = {name: i for i, name in enumerate(batch.schema.names)}
         texts_all, kept_all, n_all, spans_all = utf8(batch.column(where["_text"])), [], [], []
@@ -209,8 +209,8 @@ def _cut(batches, window: int):
                 spans_all.append([{"start": int(s), "end": int(e)} for s, e in zip(edges[::2], edges[1::2])])
                 kept_all.append(text if not len(edges) else np.frombuffer(text, np.uint8)[~own].tobytes())
         spans = pa.array(spans_all, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-        yield pa.record_batch([batch.column(where["_key"]), int64(n_all), pa.array(kept_all, pa.binary()), spans],
-                              ["_key", "n_bytes", "kept", "removed"])
+        yield pa.record_batch([*(batch.column(where[c]) for c in carry), int64(n_all), pa.array(kept_all, pa.binary()), spans],
+                              [*carry, "n_bytes", "kept", "removed"])
 
 
 def _repeated_windows(probes: DataFrame, shelf: Shelf, band: int, largest: int) -> DataFrame:
@@ -233,8 +233,9 @@ def _repeated_windows(probes: DataFrame, shelf: Shelf, band: int, largest: int)
 
 
 def remove_repeated_bytes(documents: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW,
-                          largest: int = LARGEST) -> DataFrame:
-    """(key, n_bytes, kept binary, removed) per row; removed holds the byte ranges [start, end) of the UTF-8 text.
+                          largest: int = LARGEST, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, n_bytes, kept binary, removed) per row; removed holds the byte ranges [start, end) of the UTF-8 text. The columns in
+    ``carry`` come along between key and n_bytes.
 
     Null text counts as empty. Rows that repeat a key, and rows without a key, count as documents of their own, so equal texts
     remove each other. Other columns are ignored.
@@ -243,7 +244,8 @@ def remove_repeated_bytes(documents: DataFrame, key: str = "doc_id", text: str =
     prepare(spark)
     shelf = Shelf(spark)
     # A row is known by key and text together: keys may repeat or be missing, and rows equal in both have equal results.
-    docs = documents.select(F.col(key).alias("_key"), F.xxhash64(key, text).alias("doc"), F.col(text).alias("_text"))
+    carried = [f"_c{i}" for i in range(len(carry) + 1)]
+    docs = documents.select(*(F.col(c).alias(a) for c, a in zip((key, *carry), carried)), F.xxhash64(key, text).alias("doc"), F.col(text).alias("_text"))
     found = shelf.put(docs.select("doc", "_text").mapInArrow(lambda b: _anchor_rows(b, window), "doc long, key long, seg long, n long"))
     repeated = shelf.put(found.groupBy("key").agg(F.sum("n").alias("n"), F.min("seg").alias("low"), F.max("seg").alias("high"))
                          .where("n > 1").select("key", (F.col("low") != F.col("high")).alias("mixed")))
@@ -257,7 +259,7 @@ def remove_repeated_bytes(documents: DataFrame, key: str = "doc_id", text: str =
              .groupBy("doc").agg(F.collect_set(F.struct("start", "bits")).alias("_marks")))
     joined = docs.join(hits, "doc", "left").join(shelf.put(marks), "doc", "left")
     spans = "array<struct<start: long, end: long>>"
-    kind = docs.schema["_key"].dataType.simpleString()
-    out = joined.select("_key", "_text", "_hits", "_marks").mapInArrow(
-        lambda b: _cut(b, window), f"_key {kind}, n_bytes long, kept binary, removed {spans}")
-    return out.withColumnRenamed("_key", key)
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carried)
+    out = joined.select(*carried, "_text", "_hits", "_marks").mapInArrow(
+        lambda b: _cut(b, window, carried), f"{kinds}, n_bytes long, kept binary, removed {spans}")
+    return out.select(*(F.col(a).alias(c) for c, a in zip((key, *carry), carried)), "n_bytes", "kept", "removed")
