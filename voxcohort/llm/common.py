@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step holds at a time; a longer document is a step of its own.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 U = np.uint64
 _BASE, _INVERSE = 0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 1 << 64)
