@@ -109,9 +109,11 @@ def score_quality(documents: DataFrame, labels: DataFrame, train: Column, calibr
     shelf = Shelf(spark)
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.avg(label).alias("_y"))
     use = F.when(train, "train").when(calibrate, "calibrate")
-    rows = documents.select(F.col(key).alias("_key"), F.col(text).alias("_text"), use.alias("_use")).where("_use is not null").join(known, "_key")
     facts = F.pandas_udf(lambda s: pd.Series(list(statistics([(t or "").encode("utf-8", "surrogatepass") for t in s]))), "array<double>")
-    taught = shelf.put(rows.select(facts("_text").alias("x"), "_y", "_use"))
+    # the statistics are shuffled to the labels, not the texts
+    rows = documents.select(F.col(key).alias("_key"), F.col(text).alias("_text"), use.alias("_use")).where("_use is not null and _key is not null")
+    taught = shelf.put(rows.select("_key", "_use", facts("_text").alias("x"))).join(known, "_key").select("x", "_y", "_use")
+    taught = shelf.put(taught)
     learn = taught.where("_use = 'train'")
     count = learn.count()
     if not count:

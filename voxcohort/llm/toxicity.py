@@ -150,17 +150,25 @@ def _bytes(texts: pd.Series) -> list[bytes]:
 
 def fit_network(documents: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id", text: str = "text", label: str = "toxic",
                 most: int = MOST) -> Network:
-    """The trained network; ``most`` rows of either class at most, those of least hash. Without both classes it stays untrained."""
-    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(label).alias("_y"))
-    rows = documents.where(train).select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(known, "_key")
-    share = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("_y") > 0).cast("long")), F.lit(0)).alias("ones")).first()
+    """The trained network, from ``most`` labelled keys of either class at most, those of least hash.
+
+    ``train`` picks labelled rows by their key. Without both classes the network stays untrained and scores the same for every text.
+    """
+    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max(label).alias("_y")).where(train)
+    share = known.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("_y") > 0).cast("long")), F.lit(0)).alias("ones")).first()
     network = Network()
     if not 0 < share["ones"] < share["n"]:
         network.out[:] = 0
         return network
     coded = F.pandas_udf(lambda s: pd.Series([x for t in _bytes(s) for x in [word_codes([t])[0].view(np.int64)]]), "array<long>")
-    sample = [rows.where(F.col("_y") > 0 if one else F.col("_y") <= 0).orderBy(F.xxhash64("_key"), "_key").limit(most) for one in (True, False)]
-    taken = sample[0].union(sample[1]).select(coded("_text").alias("codes"), (F.col("_y") > 0).cast("int").alias("y"), "_key").toArrow().sort_by([("_key", "ascending")])
+    part = lambda one: known.where(F.col("_y") > 0 if one else F.col("_y") <= 0).orderBy(F.xxhash64(key), key).limit(most)
+    sample = part(True).union(part(False)).withColumnRenamed(key, "_key")
+    # the sample has at most 2 * most keys, so it can be sent to the documents
+    rows = documents.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(sample), "_key")
+    taken = rows.select(coded("_text").alias("codes"), (F.col("_y") > 0).cast("int").alias("y"), "_key").toArrow().sort_by([("_key", "ascending")])
+    if not 0 < sum(taken["y"].to_pylist()) < taken.num_rows:
+        network.out[:] = 0
+        return network
     codes = [np.asarray(row.values).view(np.uint64) for chunk in taken["codes"].chunks for row in chunk]
     y = np.asarray(taken["y"]).astype(np.float32)
     network.train(codes, y)
