@@ -11,9 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step holds at a time; a longer document is a step of its own.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 
 U = np.uint64
+
+# Memory that Arrow frees goes back at once; several workers share an executor.
+pa.set_memory_pool(pa.system_memory_pool())
+np.seterr(over="ignore")  # fingerprints wrap around
 _BASE, _INVERSE = 0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 1 << 64)
 _BYTE = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 _SPACE = np.zeros(256, bool)
@@ -22,7 +26,7 @@ _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 def prepare(spark: SparkSession) -> None:
     """Session settings of the text operators: small Arrow batches, and shuffle files that go with their job."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
