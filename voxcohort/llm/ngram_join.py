@@ -188,7 +188,7 @@ def _linked(members: DataFrame, fetch, shelf: Shelf, percent: int) -> DataFrame:
             f"{100 + percent} * (least(ba, before) + least(na - pa, n - pos)) >= {percent} * (na + n)")
             .select("a", F.col("node").alias("b")).distinct().join(checked, ["a", "b"], "left_anti"))
         found = shelf.put(found)
-        sets = shelf.put(fetch(found.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+        sets = shelf.put(fetch(found.select(F.col("a").alias("node")).union(found.select("b")).distinct()))
         held = found.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
         both = held.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").select("a", "b", "ga", "gb")
         more = shelf.put(both.mapInArrow(lambda b: _links(b, percent), "a long, b long"))
