@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as registry
+from voxcohort import catalog
 from tools.check import TABLES, difference
 
 DIRECTORY = "/root/testdata/sf0.001"
@@ -16,7 +17,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DIRECTORY), reason="needs the
 
 
 def test_every_sql_has_a_query():
-    queries, sql = registry.queries(), registry.oracle_sql()
+    assert set(registry.oracle_sql()) <= set(registry.queries())
+    queries, sql = catalog.queries(), catalog.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) > 150
     assert set(queries) - set(sql) == {"fuse_staple", "fuse_simple", "pca_projection", "svm_scores", "train_val_split"}
 

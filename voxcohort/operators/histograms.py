@@ -190,15 +190,20 @@ def patch_ncc(pair: DataFrame, radius: int = 1, a: Sequence[str] = ("a",), b: Se
 
 def voxel_differences(ref: DataFrame, test: DataFrame, radius: int = 0, on: Sequence[str] = (*IMAGE, *XYZ),
                       value: str = "value") -> DataFrame:
-    """Smallest absolute difference of each reference voxel to the test voxels within the radius."""
+    """Smallest absolute difference of each reference voxel to the test voxels within the radius.
+
+    An absent voxel is 0: a voxel of either image counts at radius 0, a reference voxel without test voxels around it always.
+    """
     keys = [c for c in on if c not in XYZ]
     left = ref.select(*on, F.col(value).alias("_ref"))
     if radius == 0:
         right = test.select(*on, F.col(value).alias("_test"))
-        return left.join(right, list(on)).select(*on, F.abs(F.col("_ref") - F.col("_test")).alias("difference"))
+        zero = F.lit(0.0)
+        return left.join(right, list(on), "full").select(
+            *on, F.abs(F.coalesce("_ref", zero) - F.coalesce("_test", zero)).alias("difference"))
     spread = joins.spread(test.select(*keys, *XYZ, F.col(value).alias("_test")), joins.offsets(radius, "box"))
-    return left.join(spread.select(*on, "_test"), list(on)).groupBy(*on).agg(
-        F.min(F.abs(F.col("_ref") - F.col("_test"))).alias("difference"))
+    return left.join(spread.select(*on, "_test"), list(on), "left").groupBy(*on).agg(
+        F.min(F.abs(F.col("_ref") - F.coalesce("_test", F.lit(0.0)))).alias("difference"))
 
 
 def compare_images(ref: DataFrame, test: DataFrame, threshold: float = 0.0, radius: int = 0,

@@ -104,26 +104,33 @@ def select_ranks(df: DataFrame, ranks: Mapping[str, Callable[[Column], Column]],
     ``ranks`` maps a name to a function of the group size n. While a range that holds a wanted position
     has more than ``walk_rows`` rows, it is split into equal bins: the bins are counted map-side, a
     running sum over at most ``bins`` rows finds the bin of the position, and only that bin is kept,
-    with the bounds of the values that are really in it. What is left is walked distinct value by
-    distinct value. Rows are never shuffled before they are reduced, and as binning is monotone the
+    with the bounds of the finite values that are really in it. What is left is walked distinct value
+    by distinct value. Rows are never shuffled before they are reduced, and as binning is monotone the
     result is exact for every distribution. Only row counts reach the driver.
+
+    -Infinity comes first, Infinity after all finite values and NaN last; each of them has a bin of its
+    own. Every split leaves the least and the greatest finite value in different bins, so it ends.
     """
     limit = WALK_ROWS if walk_rows is None else walk_rows
     key = list(keys)
     rows = df.where(F.col(value).isNotNull()).select(*key, F.col(value).alias("value"))
     wanted = F.array(*[F.struct(F.lit(name).alias("name"), rank(F.col("n")).cast("long").alias("rank"))
                        for name, rank in ranks.items()])
-    spans = settle(rows.groupBy(*key).agg(F.count("value").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    as_double = F.col("value").cast("double")
+    finite = F.when(~F.isnan(as_double) & (F.abs(as_double) < float("inf")), F.col("value"))
+    spans = settle(rows.groupBy(*key).agg(F.count("value").alias("n"), F.min(finite).alias("low"), F.max(finite).alias("high"))
                    .select(*key, "low", "high", "n", wanted.alias("wanted")))
     # later rounds have at most one row per group and name
     small = fits_broadcast(spans.count() * len(ranks))
     while not spans.where((F.col("n") > limit) & (F.col("low") < F.col("high"))).isEmpty():
         name = f"_bin{len(key) - len(keys)}"
-        width = F.col("high") - F.col("low")
-        place = F.when(width > 0, F.least(F.floor((F.col("value") - F.col("low")) / width * bins), F.lit(bins - 1)))
+        low, high = F.col("low").cast("double") / 2, F.col("high").cast("double") / 2  # halves, so that a difference cannot overflow
+        within = F.least(F.floor((as_double / 2 - low) / (high - low) * bins), F.lit(bins - 1))
+        place = (F.when(F.isnan(as_double), bins + 1).when(as_double == float("inf"), bins).when(as_double == float("-inf"), -1)
+                 .when(high > low, within))
         bounds = spans.select(*key, "low", "high")
         binned = join_summary(rows, bounds, key, "inner", small).select(*key, F.coalesce(place, F.lit(0)).alias(name), "value")
-        filled = binned.groupBy(*key, name).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+        filled = binned.groupBy(*key, name).agg(F.count(F.lit(1)).alias("n"), F.min(finite).alias("low"), F.max(finite).alias("high"))
         running = Window.partitionBy(*key).orderBy(name).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         placed = join_summary(filled, spans.select(*key, "wanted"), key, "inner", small).withColumn(
             "before", F.sum("n").over(running) - F.col("n"))

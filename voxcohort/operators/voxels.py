@@ -171,12 +171,16 @@ def combine(a: Column, b: Column, op: str, scale: float = 1.0) -> Column:
 
 def image_arithmetic(a: DataFrame, b: DataFrame | None, op: str, scale: float = 1.0, on: Sequence[str] = (*IMAGE, *XYZ),
                      value: str = "value", vector: bool = False) -> DataFrame:
-    """Voxel-wise arithmetic of two images; per component if ``vector``. "scale" needs no second image."""
+    """Voxel-wise arithmetic of two images; per component if ``vector``. "scale" needs no second image.
+
+    A voxel that one of the images lacks is 0 there, so only a product can leave it out.
+    """
     if op == "scale":
         scaled = F.transform(value, lambda v: v * F.lit(scale)) if vector else F.col(value) * F.lit(scale)
         return a.withColumn(value, scaled)
-    joined = a.join(b.select(*on, F.col(value).alias("_other")), list(on))
-    left, right = F.col(value), F.col("_other")
+    joined = a.join(b.select(*on, F.col(value).alias("_other")), list(on), "inner" if op == "multiply" else "full")
+    zero = (lambda c: F.transform(c, lambda v: v * 0)) if vector else (lambda c: c * 0)
+    left, right = F.coalesce(value, zero(F.col("_other"))), F.coalesce("_other", zero(F.col(value)))
     result = F.zip_with(left, right, lambda p, q: combine(p, q, op, scale)) if vector else combine(left, right, op, scale)
     return joined.withColumn(value, result).drop("_other")
 
