@@ -121,11 +121,15 @@ def patch_ncc(t):
 COMPARED = """SELECT image_id, count(*) AS voxels, count(*) FILTER (WHERE dd > 40) AS differing, CAST(floor(100 * count(*) FILTER (WHERE dd > 40) / count(*)) AS BIGINT) AS percent,
   coalesce(min(dd) FILTER (WHERE dd > 40), 0) AS minimum, coalesce(max(dd) FILTER (WHERE dd > 40), 0) AS maximum,
   round(coalesce(avg(dd) FILTER (WHERE dd > 40), 0), 6) AS average, coalesce(sum(dd) FILTER (WHERE dd > 40), 0) AS total FROM diffs GROUP BY 1"""
-NEAR = """diffs AS (SELECT c.image_id, c.x, c.y, c.z, min(abs(c.value - v.value)) AS dd FROM voxels c JOIN second v ON c.image_id = v.image_id
+NEAR = """diffs AS (SELECT c.image_id, c.x, c.y, c.z, min(abs(c.value - coalesce(v.value, 0))) AS dd FROM voxels c LEFT JOIN second v ON c.image_id = v.image_id
   AND v.x BETWEEN c.x-1 AND c.x+1 AND v.y BETWEEN c.y-1 AND c.y+1 AND v.z BETWEEN c.z-1 AND c.z+1 GROUP BY ALL)"""
 
 
-@query("compare_images", d.with_ctes(d.VOXELS, d.SECOND, BOTH, "diffs AS (SELECT image_id, abs(a - b) AS dd FROM both_images)", COMPARED))
+SPARSE = """diffs AS (SELECT image_id, abs(coalesce(v.value, 0) - coalesce(s.value, 0)) AS dd
+  FROM voxels v FULL JOIN second s USING (image_id, x, y, z))"""
+
+
+@query("compare_images", d.with_ctes(d.VOXELS, d.SECOND, SPARSE, COMPARED))
 def compare_images(t):
     return _round(hi.compare_images(d.voxels(t), d.second_image(t), 40.0), "average")
 
@@ -135,7 +139,7 @@ def compare_images_radius(t):
     return _round(hi.compare_images(d.voxels(t), d.second_image(t), 40.0, radius=1), "average")
 
 
-@query("images_similar", d.with_ctes(d.VOXELS, d.SECOND, BOTH, "diffs AS (SELECT image_id, abs(a - b) AS dd FROM both_images)",
+@query("images_similar", d.with_ctes(d.VOXELS, d.SECOND, SPARSE,
        f"SELECT image_id, NOT (total > 12000 AND differing > 180) AS similar FROM ({COMPARED})"))
 def images_similar(t):
     return hi.images_similar(hi.compare_images(d.voxels(t), d.second_image(t), 40.0), 12000.0, 180).select("image_id", "similar")

@@ -269,15 +269,15 @@ def reorient_vectors(t):
     return d.features(t).select("vec_id", *[_r(c).alias(n) for c, n in zip(moved, ("vx", "vy", "vz"))])
 
 
-def _arithmetic(op, sql):
-    @query(f"image_{op}", d.with_ctes(d.VOXELS, d.SECOND, f"SELECT image_id, x, y, z, {sql} AS value FROM voxels v JOIN second s USING (image_id, x, y, z)"))
+def _arithmetic(op, sql, join):
+    @query(f"image_{op}", d.with_ctes(d.VOXELS, d.SECOND, f"SELECT image_id, x, y, z, {sql} AS value FROM voxels v {join} JOIN second s USING (image_id, x, y, z)"))
     def run(t):
         return voxels.image_arithmetic(d.voxels(t), d.second_image(t), op, 0.5)
 
 
-for _op, _sql in (("add", "v.value + s.value"), ("subtract", "v.value - s.value"), ("multiply", "v.value * s.value"),
-                  ("add_scaled", "v.value + 0.5 * s.value")):
-    _arithmetic(_op, _sql)
+for _op, _sql, _join in (("add", "coalesce(v.value, 0) + coalesce(s.value, 0)", "FULL"), ("subtract", "coalesce(v.value, 0) - coalesce(s.value, 0)", "FULL"),
+                         ("multiply", "v.value * s.value", ""), ("add_scaled", "coalesce(v.value, 0) + 0.5 * coalesce(s.value, 0)", "FULL")):
+    _arithmetic(_op, _sql, _join)
 
 
 @query("image_scale", d.with_ctes(d.VOXELS, "SELECT image_id, x, y, z, value * 0.5 AS value FROM voxels"))
