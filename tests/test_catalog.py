@@ -1,6 +1,8 @@
 """The registered queries against their SQL on the smallest tables."""
 
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -33,3 +35,9 @@ def test_matches_sql(spark, name):
     for table in TABLES:
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DIRECTORY}/{table}.parquet'")
     assert difference(registry.queries()[name](spark, DIRECTORY).toPandas(), connection.execute(registry.oracle_sql()[name]).df()) is None
+
+
+def test_queries_are_listed_without_a_session():
+    code = "import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 150)"
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(__file__)))
+    assert said.stdout.strip() == "True", said.stderr[-500:]

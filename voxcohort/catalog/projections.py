@@ -9,7 +9,6 @@ from voxcohort.functions import geometry, intensity, tensor
 from voxcohort.operators import joins, voxels
 from voxcohort.plans import derive as d
 
-V = F.col("value")
 XYZ = d.XYZ
 
 
@@ -17,20 +16,20 @@ def _r(column, digits=6):
     return F.round(column, digits)
 
 
-def _value_query(name, column, sql):
+def _value_query(name, change, sql):
     @query(name, d.with_ctes(d.VOXELS, f"SELECT image_id, x, y, z, {sql} AS value FROM voxels"))
     def run(t):
-        return d.voxels(t).withColumn("value", column)
+        return d.voxels(t).withColumn("value", change(F.col("value")))
 
 
-_value_query("threshold_above", intensity.threshold_above(V, 80.0, -1.0), "CASE WHEN value > 80 THEN -1.0::DOUBLE ELSE value END")
-_value_query("threshold_below", intensity.threshold_below(V, 30.0), "CASE WHEN value < 30 THEN 0.0::DOUBLE ELSE value END")
-_value_query("threshold_outside", intensity.threshold_outside(V, 20.0, 90.0, 5.0),
+_value_query("threshold_above", lambda v: intensity.threshold_above(v, 80.0, -1.0), "CASE WHEN value > 80 THEN -1.0::DOUBLE ELSE value END")
+_value_query("threshold_below", lambda v: intensity.threshold_below(v, 30.0), "CASE WHEN value < 30 THEN 0.0::DOUBLE ELSE value END")
+_value_query("threshold_outside", lambda v: intensity.threshold_outside(v, 20.0, 90.0, 5.0),
              "CASE WHEN value < 20 OR value > 90 THEN 5.0::DOUBLE ELSE value END")
-_value_query("threshold_binary", intensity.threshold_binary(V, 20.0, 90.0),
+_value_query("threshold_binary", lambda v: intensity.threshold_binary(v, 20.0, 90.0),
              "CASE WHEN value BETWEEN 20 AND 90 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END")
-_value_query("create_mask", intensity.create_mask(V, 40.0), "CASE WHEN value >= 40 THEN 1 ELSE 0 END")
-_value_query("change_values", intensity.change_values(V, [1.0, 2.0, 50.0], [2.0, 3.0, 0.0]),
+_value_query("create_mask", lambda v: intensity.create_mask(v, 40.0), "CASE WHEN value >= 40 THEN 1 ELSE 0 END")
+_value_query("change_values", lambda v: intensity.change_values(v, [1.0, 2.0, 50.0], [2.0, 3.0, 0.0]),
              "CASE WHEN value IN (1, 2) THEN 3.0::DOUBLE WHEN value = 50 THEN 0.0::DOUBLE ELSE value END")
 
 
@@ -70,14 +69,14 @@ def apply_mask_series(t):
 @query("abs_then_mask", d.with_ctes(d.VOXELS, d.CELLS, d.MASK,
        f"SELECT image_id, x, y, z, CASE WHEN m.mask IS NULL THEN 0.0 ELSE abs(value - 60) END AS value {MASKED}"))
 def abs_then_mask(t):
-    return voxels.abs_then_mask(d.voxels(t).withColumn("value", V - 60), d.mask(t))
+    return voxels.abs_then_mask(d.voxels(t).withColumn("value", F.col("value") - 60), d.mask(t))
 
 
 @query("shift_negatives", d.with_ctes(d.VOXELS,
        "SELECT image_id, x, y, z, CASE WHEN lo < 0 AND v <> 0 THEN v - lo ELSE v END AS value FROM "
        "(SELECT *, value - 20 AS v, min(value - 20) OVER (PARTITION BY image_id) AS lo FROM voxels)"))
 def shift_negatives(t):
-    return voxels.shift_negatives(d.stored(d.voxels(t)).withColumn("value", V - 20))
+    return voxels.shift_negatives(d.stored(d.voxels(t)).withColumn("value", F.col("value") - 20))
 
 
 @query("relabel_top", d.with_ctes(d.CELLS, "SELECT image_id, x, y, z, CASE WHEN top = 3 AND label = 3 THEN 4 ELSE label END AS label "
