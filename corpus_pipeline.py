@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxcohort.llm.common import Shelf
-from voxcohort.llm.decontaminate import contaminated
+from voxcohort.llm.decontaminate import without_leaks
 from voxcohort.llm.ngram_join import similar_documents
 from voxcohort.llm.quality import score_quality
 from voxcohort.llm.registry import table
-from voxcohort.llm.source_mixing import mix_sources
+from voxcohort.llm.source_mixing import mixed_rows
 from voxcohort.llm.suffix_dedup import remove_repeated_bytes
 
 #: Least probability of good quality of a document that stays.
@@ -32,7 +32,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least key of every component of similar documents. Rows that repeat a key go or stay together."""
     found = similar_documents(docs.select("doc_id", "text"))
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+    gone = Shelf(spark).put(found.where("component_id <> doc_id").select("doc_id").distinct())  # stored, so that the join knows its size
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
@@ -53,16 +53,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    hits = contaminated(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+    return without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the mix with size, target and the copies taken; rows that repeat a key share the greatest number of copies."""
-    mixed = mix_sources(docs.select("doc_id", "source", "text")).where("copies > 0")
-    taken = mixed.groupBy(F.col("doc_id").alias("_key")).agg(
-        F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.max("copies").alias("copies"))
-    return docs.drop("size", "source_size", "target", "copies").join(taken, F.col("doc_id").eqNullSafe(F.col("_key"))).drop("_key")
+    """Documents of the mix with size, source_size, target and the copies taken."""
+    return mixed_rows(docs)
 
 
 STAGES = [

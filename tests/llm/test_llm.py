@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from voxcohort.llm.chat_format import preference_pairs
 from voxcohort.llm.column_bwt import column_bwt
-from voxcohort.llm.decontaminate import banded_distance, contaminated
+from voxcohort.llm.decontaminate import banded_distance, contaminated, without_leaks
 from voxcohort.llm.exact_search import exact_top_k
 from voxcohort.llm.html_text import main_text
 from voxcohort.llm.ngram_join import similar_documents
 from voxcohort.llm.quality import pool_adjacent, score_quality
-from voxcohort.llm.source_mixing import mix_sources
+from voxcohort.llm.source_mixing import mix_sources, mixed_rows
 from voxcohort.llm.substring_dedup import remove_repeated_words
 from voxcohort.llm.suffix_dedup import remove_repeated_bytes
 from voxcohort.llm.toxicity import flag_toxic
@@ -171,6 +171,13 @@ def test_mixing_meets_targets(corpus, nothing):
         assert abs(taken - target) <= max(20, 0.01 * target), source
     assert got and sorted(map(str, got)) == sorted(map(str, plain(mix_sources(corpus))))
     assert mix_sources(nothing).count() == 0
+    # the rows themselves: same copies, all columns, for keys that do not repeat
+    clashing = corpus.withColumns({"size": F.lit("old"), "_key": F.lit("k"), "n": F.lit(1), "least": F.lit(2)})
+    rows = mixed_rows(clashing)
+    assert set(rows.columns) == {*clashing.columns, "source_size", "target", "copies"}
+    have = sorted((r["doc_id"] or -1, r["size"], r["copies"]) for r in plain(rows) if r["doc_id"] != 5 and r["_key"] == "k")
+    assert have == sorted((r["doc_id"] or -1, r["size"], r["copies"]) for r in got if r["doc_id"] != 5 and r["copies"])
+    assert mixed_rows(nothing).count() == 0
 
 
 def test_decontamination_within_budget(spark, nothing):
@@ -189,6 +196,8 @@ def test_decontamination_within_budget(spark, nothing):
     got = {(r["doc_id"], r["item_id"]): r["distance"] for r in plain(contaminated(docs, bench))}
     assert set(got) == {(1, 7), (2, 7), (None, 7)} and got[1, 7] == 0 and 0 < got[2, 7] <= len(item) // 16
     assert contaminated(nothing, bench).count() == 0 and contaminated(docs, bench.where("false")).count() == 0
+    assert sorted(r["doc_id"] for r in plain(without_leaks(docs, bench))) == [3, 4, 5]
+    assert without_leaks(nothing, bench).count() == 0 and without_leaks(docs, bench.where("false")).count() == 6
     assert banded_distance("kitten", "a sitting b", 9)[0] == 2
 
 

@@ -105,29 +105,49 @@ def _pieces(text: str, most: int, overlap: int):
             return
 
 
-def _hits(batches, index: Index):
+def _found(raw: str | None, index: Index):
+    """(item, edits, where the passage ends in the compared form) for every band of the text that holds an item."""
     longest = max((len(t) for t in index.texts), default=0)
+    for offset, piece in _pieces(normal(raw or ""), CHUNK, 2 * longest):
+        for n, band in index.regions(piece):
+            k, item = int(index.budget[n]), index.texts[n]
+            low = max(0, band * (k + 1) - k)
+            area = piece[low: (band + 2) * (k + 1) + k + len(item)]
+            exact = area.find(item)
+            distance, end = (0, exact + len(item)) if exact >= 0 else banded_distance(item, area, max(0, len(area) - len(item) + k))
+            if distance <= k:
+                yield n, distance, offset + low + end
+
+
+def _hits(batches, index: Index):
     names = ["doc", "item_id", "distance", "start", "end"]
     for batch in batches:
         out = {}
         for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            text = normal(raw or "")
-            for offset, piece in _pieces(text, CHUNK, 2 * longest):
-                for n, band in index.regions(piece):
-                    k, item = int(index.budget[n]), index.texts[n]
-                    low = max(0, band * (k + 1) - k)
-                    area = piece[low: (band + 2) * (k + 1) + k + len(item)]
-                    exact = area.find(item)
-                    distance, end = (0, exact + len(item)) if exact >= 0 else banded_distance(item, area, max(0, len(area) - len(item) + k))
-                    if distance <= k:
-                        found = (distance, offset + low + end)
-                        out[doc, n] = min(found, out.get((doc, n), found))
+            for n, *found in _found(raw, index):
+                out[doc, n] = min(found, out.get((doc, n), found))
         rows = [(doc, index.ids[n], d, max(0, e - len(index.texts[n])), e) for (doc, n), (d, e) in out.items()]
         if rows:
             doc, item, *numbers = zip(*rows)
             yield pa.record_batch([pa.array(doc, batch.column(0).type), pa.array(item, pa.int64()), *map(int64, numbers)], names)
 
 
+def _indices(benchmark: DataFrame, key: str, text: str, edits: int, gram: int):
+    """The items as indices of at most ``BLOCK`` characters, or of one longer item."""
+    block, size = [], 0
+    for row in benchmark.select(F.col(key).cast("long"), F.col(text)).where(F.col(text).isNotNull()).toLocalIterator():
+        item = normal(row[1])
+        if not item:
+            continue
+        if block and size + len(item) > BLOCK:
+            yield Index(block, edits, gram)
+            block, size = [], 0
+        block.append((row[0], item))
+        size += len(item)
+    if block:
+        yield Index(block, edits, gram)
+
+
 def contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
                  item_text: str = "text", edits: int = EDITS, gram: int = GRAM) -> DataFrame:
     """(key, item_id, distance, start, end): documents that hold an item with at most one edit in ``edits`` characters.
@@ -140,24 +160,21 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id"
     kind = documents.schema[key].dataType.simpleString()
     docs = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.col(text))
     schema = f"doc {kind}, item_id long, distance long, start long, end long"
-    blocks, block, size = [], [], 0
-
-    def close():
-        index = Index(block, edits, gram)
-        blocks.append(docs.mapInArrow(lambda b: _hits(b, index), schema))
-
-    for row in benchmark.select(F.col(item_key).cast("long"), F.col(item_text)).where(F.col(item_text).isNotNull()).toLocalIterator():
-        item = normal(row[1])
-        if not item:
-            continue
-        block.append((row[0], item))
-        size += len(item)
-        if size >= BLOCK:
-            close()
-            block, size = [], 0
-    if block:
-        close()
     out = spark.createDataFrame([], schema)
-    for part in blocks:
-        out = out.unionByName(part)
+    for index in _indices(benchmark, item_key, item_text, edits, gram):
+        out = out.unionByName(docs.mapInArrow(lambda b, index=index: _hits(b, index), schema))
     return out.withColumnRenamed("doc", key)
+
+
+def without_leaks(documents: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", edits: int = EDITS,
+                  gram: int = GRAM) -> DataFrame:
+    """The rows that hold no item in the sense of ``contaminated``, with all their columns.
+
+    Every row is judged by its own text, where it lies: nothing is shuffled, and null or repeated keys do not matter. A row that one
+    block of items removes is not read for the next. Null and blank texts stay.
+    """
+    prepare(documents.sparkSession)
+    for index in _indices(benchmark.withColumn("_none", F.lit(None)), "_none", item_text, edits, gram):
+        leak = F.pandas_udf(lambda texts, index=index: texts.map(lambda t: next(_found(t, index), None) is not None).astype(bool), "boolean")
+        documents = documents.where(~leak(F.col(text)))
+    return documents

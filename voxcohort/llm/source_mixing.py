@@ -110,3 +110,38 @@ def mix_sources(documents: DataFrame, key: str = "doc_id", source: str = "source
     more = (F.col("earlier") + F.col("place") <= F.expr("total % n")).cast("long")
     return ranked.select(F.col("doc").alias(key), "source", "size", F.col("mass").alias("source_size"), "target", "rate",
                          (F.expr("total div n") + more).alias("copies"))
+
+
+def mixed_rows(documents: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text",
+               weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
+    """The rows that the mix takes, with all their columns and size, source_size, target and copies, which replace columns of those names.
+
+    ``mix_sources`` gives the first rows of a source and size, in the order of its buckets, one copy more than the others. Its result
+    is kept as one row a source and size: the copies of all, and the last row that gets one more. Texts meet that table and are
+    shuffled only if it is too long to broadcast. Rows that share key, source and size share the number of copies.
+    """
+    shelf = Shelf(documents.sparkSession)
+    order = F.xxhash64("_key")
+    mixed = mix_sources(documents.select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col(text).alias("_text")),
+                        "_key", "_source", "_text", weights, most)
+    place = F.struct(F.pmod(order, F.ceil(F.col("n") / BUCKET)).alias("bucket"), order.alias("order"), F.col("_key").alias("key"))
+    mixed = shelf.put(mixed.select("_key", "source", "size", "source_size", "target", "copies"))
+    groups = mixed.groupBy("source", "size").agg(
+        F.count("*").alias("n"), F.min("copies").alias("least"), F.max("copies").alias("greatest"),
+        F.first("source_size").alias("source_size"), F.first("target").alias("target")).where("greatest > 0")
+    same = F.col("m.source").eqNullSafe(F.col("g.source")) & (F.col("m.size") == F.col("g.size"))
+    # groups have a row a source and size; only rows above the least number of copies tell where it ends
+    lasts = mixed.alias("m").join(groups.alias("g"), same & (F.col("m.copies") > F.col("g.least"))).select(
+        "m.source", "m.size", place.alias("place")).groupBy("source", "size").agg(F.max("place").alias("last"))
+    same = F.col("g.source").eqNullSafe(F.col("l.source")) & (F.col("g.size") == F.col("l.size"))
+    table = shelf.put(groups.alias("g").join(lasts.alias("l"), same, "left").select(
+        F.col("g.source").alias("_source"), F.col("g.size").alias("_size"), "n", "least", "source_size", "target", "last"))
+    shelf.drop(mixed)
+
+    words = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    own = documents.drop("size", "source_size", "target", "copies")
+    asked = own.select(F.struct(*(F.col(f"`{c}`") for c in own.columns)).alias("_row"), F.col(key).alias("_key"),
+                       F.col(source).cast("string").alias("_from"), words.alias("_words"))
+    joined = asked.join(table, F.col("_from").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")))
+    copies = F.col("least") + F.coalesce(place <= F.col("last"), F.lit(False)).cast("long")
+    return joined.select("_row.*", F.col("_size").alias("size"), "source_size", "target", copies.alias("copies")).where("copies > 0")
