@@ -22,7 +22,7 @@ def test_every_sql_has_a_query():
     assert set(registry.oracle_sql()) <= set(registry.queries())
     queries, sql = catalog.queries(), catalog.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) > 150
-    assert set(queries) - set(sql) == {"fuse_staple", "fuse_simple", "pca_projection", "svm_scores", "train_val_split"}
+    assert set(queries) - set(sql) == {"fuse_staple", "fuse_simple", "pca_projection", "svm_scores"}
 
 
 def test_entry(spark):

@@ -119,10 +119,14 @@ def documents(spark, expected, actual):
     ({"a": [1, 2]}, {"a": [1]}, {}, ("$.a[1]", "length mismatch")),
     ({"a": [1, 2]}, {"a": [2, 1]}, {}, ("$.a[0]", "different value")),
     ({"a": [1, 2]}, {"a": [2, 1]}, {"ignore_order": True}, None),
-    ({"a": 1}, {"a": 1, "b": 3}, {}, ("$.b", "extra key")),
-    ({"a": 1}, {"a": 1, "b": 3}, {"contains": True}, None),
+    ({"a": 1}, {"a": 1, "b": 3}, {"contains": False}, ("$.b", "extra key")),
+    ({"a": 1}, {"a": 1, "b": 3}, {}, None),
     ({"a": 1, "t": 5}, {"a": 1, "t": 6}, {"ignore_keys": ["t"]}, None),
-    ({"a": {"b": {"c": {"d": {"e": {"f": 1}}}}}}, {"a": {"b": {"c": {"d": {"e": {"f": 2}}}}}}, {}, ("$.a.b.c.d", "different value")),
+    ({"a": {"b": {"c": {"d": {"e": {"f": 1}}}}}}, {"a": {"b": {"c": {"d": {"e": {"f": 2}}}}}}, {}, ("$.a.b.c.d.e.f", "different value")),
+    ({"a": [[{"b": [{"t": 1, "c": [1, 2]}, {"t": 2, "c": [3]}]}]]}, {"a": [[{"b": [{"t": 5, "c": [3]}, {"t": 4, "c": [2, 1]}]}]]},
+     {"ignore_order": True, "ignore_keys": ["t"]}, None),
+    ({"a": '}}\\"]{'}, {"a": '}}\\"]['}, {}, ("$.a", "different value")),
+    ({"a": {}}, {"a": []}, {}, ("$.a", "type mismatch")),
     ({"a.b": 1, "a": {"b": 2}}, {"a.b": 1, "a": {"b": 3}}, {}, ("$.a.b", "different value")),
 ])
 def test_json_diff(spark, expected, actual, options, result):

@@ -121,7 +121,8 @@ def svm_scores(t):
     return fe.svm_score(f, fe.svm_fit(f)).select("vec_id", "label", "predicted", F.round("score", 6).alias("score"))
 
 
-@query("train_val_split")
+@query("train_val_split", """SELECT 'sub' || c_custkey AS subject_id, CASE WHEN CAST('0x' || substr(md5('42:sub' || c_custkey), 1, 7) AS BIGINT) % 1000000 < 800000
+  THEN 'train' ELSE 'validation' END AS split FROM customer""")
 def train_val_split(t):
     subjects = t.customer.select(F.concat(F.lit("sub"), F.col("c_custkey").cast("string")).alias("subject_id"))
     return fe.train_val_split(subjects)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json as jsonlib
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,15 +136,45 @@ def prune_code_tree(tree: DataFrame, column: str = "tree", label: str = "label")
 
 # --- JSON comparison --------------------------------------------------------------------------
 
-def json_nodes(df: DataFrame, keys: Sequence[str], json: str, depth: int = 4, ignore_order: bool = False, ignore_keys: Sequence[str] = ()) -> DataFrame:
-    """Nodes of JSON documents as (keys, path, type, value), down to ``depth`` levels.
+def json_depth(json: str) -> Column:
+    """Number of objects and arrays around the deepest value of a JSON text."""
+    plain = F.regexp_replace(F.regexp_replace(json, r"(?s)\\.", ""), r'"[^"]*+"', "")  # no escapes, then no strings
+    brackets = F.split(F.regexp_replace(plain, r"[^\[\]{}]++", ""), "")
+    step = F.create_map(*(F.lit(x) for x in ("{", 1, "[", 1, "}", -1, "]", -1)))
 
-    Objects and arrays are nodes without a value; what lies below the last level is kept as text of its
-    node. With ``ignore_order`` the elements of an array are addressed by the rank of their text. Each
-    level is one explode that keeps the nodes seen so far and adds the children of the newest ones.
+    def count(seen: Column, bracket: Column) -> Column:
+        now = seen["now"] + F.coalesce(step[bracket], F.lit(0))
+        return F.struct(now.alias("now"), F.greatest(seen["most"], now).alias("most"))
+
+    return F.aggregate(brackets, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), count, lambda seen: seen["most"])
+
+
+def sorted_json(json: Column, ignore_keys: Sequence[str] = ()) -> Column:
+    """JSON text without the ignored keys and with the elements of every array in the order of their own sorted text."""
+    ignored = frozenset(ignore_keys)
+
+    def sort(node):
+        if isinstance(node, list):
+            return sorted(map(sort, node), key=lambda e: jsonlib.dumps(e, sort_keys=True))
+        if isinstance(node, dict):
+            return {k: sort(v) for k, v in node.items() if k not in ignored}
+        return node
+
+    def texts(column: pd.Series) -> pd.Series:
+        return column.map(lambda t: None if t is None else jsonlib.dumps(sort(jsonlib.loads(t)), ensure_ascii=False))
+
+    return F.pandas_udf(texts, "string")(json)
+
+
+def json_nodes(df: DataFrame, keys: Sequence[str], json: str, ignore_keys: Sequence[str] = ()) -> DataFrame:
+    """All nodes of JSON documents as (keys, path, type, value); objects and arrays are nodes without a value.
+
+    Each level is one explode that keeps the nodes seen so far and adds the children of the newest ones. There are as many levels as
+    the deepest document has, which is the only number that reaches the driver.
     """
     keys = list(keys)
     no_path = F.lit(None).cast("string")
+    depth = df.agg(F.max(json_depth(json)).alias("depth")).first()["depth"] or 0
     rows = df.select(*keys, F.lit("$").alias("path"), F.parse_json(json).alias("node"), F.lit(True).alias("open"))
     for _ in range(depth):
         rows = rows.select(*keys, "path", "node", "open", F.when(F.col("open"), F.col("node").try_cast("map<string,variant>")).alias("_object"),
@@ -150,12 +182,7 @@ def json_nodes(df: DataFrame, keys: Sequence[str], json: str, depth: int = 4, ig
         fields = F.transform(F.map_entries("_object"), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("child")))
         if ignore_keys:
             fields = F.filter(fields, lambda e: ~e["name"].isin(*ignore_keys))
-        items = F.col("_array")
-        if ignore_order:
-            by_text = lambda a, b: F.when(a["t"] < b["t"], -1).when(a["t"] > b["t"], 1).otherwise(0)
-            texts = F.transform("_array", lambda e: F.struct(F.to_json(e).alias("t"), e.alias("e")))
-            items = F.transform(F.array_sort(texts, by_text), lambda e: e["e"])
-        elements = F.transform(items, lambda e, i: F.struct(F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("name"), e.alias("child")))
+        elements = F.transform("_array", lambda e, i: F.struct(F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("name"), e.alias("child")))
         itself = F.array(F.struct(no_path.alias("name"), F.col("node").alias("child")))
         rows = rows.select(*keys, "path", "open", F.explode(F.concat(itself, F.coalesce(fields, elements, F.filter(itself, lambda e: F.lit(False))))).alias("e"),
                            F.col("_object").isNotNull().alias("_fields"))
@@ -165,24 +192,26 @@ def json_nodes(df: DataFrame, keys: Sequence[str], json: str, depth: int = 4, ig
         rows = rows.select(*keys, F.when(name.isNull(), F.col("path")).otherwise(F.concat("path", label)).alias("path"),
                            F.col("e.child").alias("node"), (F.col("open") & name.isNotNull()).alias("open"))
     kind = F.regexp_extract(F.schema_of_variant("node"), "^([A-Z]+)", 1)
-    typed = rows.select(*keys, "path", "node", "open", F.when(kind.isin("BIGINT", "DECIMAL", "DOUBLE"), "NUMBER").otherwise(kind).alias("type"))
-    container = F.col("type").isin("OBJECT", "ARRAY") & ~F.col("open")
-    return typed.select(*keys, "path", "type", F.when(container, F.lit("")).otherwise(F.to_json("node")).alias("value"))
+    typed = rows.select(*keys, "path", "node", F.when(kind.isin("BIGINT", "DECIMAL", "DOUBLE"), "NUMBER").otherwise(kind).alias("type"))
+    return typed.select(*keys, "path", "type", F.when(F.col("type").isin("OBJECT", "ARRAY"), F.lit("")).otherwise(F.to_json("node")).alias("value"))
 
 
 def json_diff(df: DataFrame, key: str, expected: str, actual: str, ignore_keys: Sequence[str] = (), ignore_order: bool = False,
-              contains: bool = False, depth: int = 4) -> DataFrame:
+              contains: bool = True) -> DataFrame:
     """First difference of each pair of documents in path order; pairs that agree are not returned.
 
-    Reasons: missing key, extra key, length mismatch, type mismatch, different value. With
-    ``contains`` the actual document may have more than the expected one. The pairs are spread by key
-    once, before they are opened; all nodes of a pair then stay where they are and meet in one aggregate.
+    Reasons: missing key, extra key, length mismatch, type mismatch, different value. The actual document may have more keys and
+    elements than the expected one unless ``contains`` is off. With ``ignore_order`` the elements of arrays are addressed by their
+    place in ``sorted_json``. Keys are compared at every depth. The pairs are spread by key once, before they are opened; all nodes
+    of a pair then stay where they are and meet in one aggregate.
     """
     sides = F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("json")) for i, c in enumerate((expected, actual))])
     unequal = ~F.col(expected).eqNullSafe(F.col(actual))  # equal texts cannot differ
     pairs = df.where(unequal).select(key, expected, actual).repartition(key)
     both = pairs.select(key, F.explode(sides).alias("d")).select(key, "d.side", "d.json")
-    nodes = json_nodes(both, [key, "side"], "json", depth, ignore_order, ignore_keys)
+    if ignore_order:
+        both = both.withColumn("json", sorted_json(F.col("json"), ignore_keys))
+    nodes = json_nodes(both, [key, "side"], "json", ignore_keys)
     of = lambda column, side: F.max(F.when(F.col("side") == side, F.col(column)))
     both = nodes.groupBy(key, "path").agg(of("type", 0).alias("t1"), of("value", 0).alias("v1"), of("type", 1).alias("t2"), of("value", 1).alias("v2"))
     if contains:
