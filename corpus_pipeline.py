@@ -1,8 +1,8 @@
 """From raw documents to a training mix: quality, near duplicates, repeated passages, benchmark leaks, source weights.
 
 Every stage takes (spark, docs, sf_dir) and returns a table that is written as Parquet and read again as the next stage's docs.
-All but the last keep the columns of docs. Rows with a null key or text pass the stages that compare keys or texts; empty tables
-pass all of them.
+All but the last keep the columns of docs. Rows with a null text pass the stages that compare texts, rows with a null key are
+compared like all others; empty tables pass all of them.
 """
 
 from __future__ import annotations
@@ -30,10 +30,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least key of every component of similar documents. Rows that repeat a key go or stay together."""
-    found = similar_documents(docs.select("doc_id", "text"))
-    gone = Shelf(spark).put(found.where("component_id <> doc_id").select("doc_id").distinct())  # stored, so that the join knows its size
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of every component of similar rows: that of least key, one without a key only where no other has one.
+
+    Rows are the nodes, by key and text together: keys may repeat or be missing. Of rows equal in both one stays. Rows without
+    words are similar to none.
+    """
+    shelf = Shelf(spark)
+    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    found = shelf.put(similar_documents(rows, "_row", carry=("doc_id",)).where("n_shingles > 0").select("_row", "doc_id", "component_id"))
+    stay = found.groupBy("component_id").agg(F.min(F.struct(F.isnull("doc_id").alias("keyless"), "doc_id", "_row")).alias("least")).select(F.col("least._row").alias("_row"), F.lit(True).alias("stays"))
+    copies = found.groupBy("_row").agg(F.count("*").alias("n"))
+    # stored, so that the join knows its size
+    marked = shelf.put(copies.join(stay, "_row", "left").where("stays is null or n > 1").select("_row", F.col("stays").isNotNull().alias("once")))
+    out = rows.join(marked.select("_row"), "_row", "left_anti")
+    once = marked.where("once").select("_row")
+    if not once.isEmpty():
+        out = out.unionByName(rows.join(once, "_row", "left_semi").dropDuplicates(["_row"]))
+    return out.select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

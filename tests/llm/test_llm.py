@@ -244,3 +244,19 @@ def test_pipeline_stages(spark, corpus, nothing, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         assert set(corpus.columns) <= set(stage(spark, corpus, str(tmp_path)).columns)
         assert stage(spark, nothing, str(tmp_path)).count() == 0
+
+
+def test_one_row_of_each_group_passes_deduplication(spark, tmp_path):
+    """Keys that repeat or are missing: copies go but for one, and repeated_passages then finds nothing to cut."""
+    rng = random.Random(11)
+    a, b, c, e, f = (words(rng, 120, 10 ** 6) for _ in range(5))
+    near = lambda w: " ".join([*w[:-1], "edit"])
+    one, two, three, five, six = (" ".join(w) for w in (a, b, c, e, f))
+    rows = [(1, one), (1, one), (1, one), (3, two), (None, two), (None, near(b)), (None, three), (None, three),
+            (4, five), (5, near(e)), (5, six), (7, None), (7, None), (None, None), (8, ""), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or ""), 7, 1) for i, t in rows], SCHEMA).repartition(4)
+    near_free = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    kept = sorted(((r.doc_id, r.text) for r in near_free.collect()), key=str)
+    assert near_free.columns == docs.columns
+    assert kept == sorted([(1, one), (3, two), (None, three), (4, five), (5, six), (7, None), (7, None), (None, None), (8, ""), (8, "")], key=str)
+    assert sorted(((r.doc_id, r.text) for r in corpus_pipeline.repeated_passages(spark, near_free, str(tmp_path)).collect()), key=str) == kept

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from voxcohort.llm.common import Ranges, Shelf, U, Words, chunks, int64, lower_ascii, mix, prepare, utf8
 from voxcohort.llm.components import components
@@ -44,10 +45,10 @@ def _class_of(grams: np.ndarray) -> int:
     return int(mix(np.array([mix(grams ^ U(0x9E3779B97F4A7C15)).sum(dtype=U) + U(len(grams))], U)).view(np.int64)[0])
 
 
-def _describe(batches, gram: int):
-    """Per document (doc, n, cls); at the end of a task also its n-gram counts by bucket."""
+def _describe(batches, gram: int, carry: list[tuple[str, pa.DataType]]):
+    """Per document (doc, carried columns, n, cls); at the end of a task also its n-gram counts by bucket."""
     counts = np.zeros(1 << BUCKETS, np.int64)
-    names = ["doc", "n", "cls", "bucket", "count"]
+    names = ["doc", *(c for c, _ in carry), "n", "cls", "bucket", "count"]
     for batch in batches:
         n, cls = [], []
         for _, texts in chunks(utf8(batch.column(1))):
@@ -56,10 +57,11 @@ def _describe(batches, gram: int):
                 cls.append(_class_of(grams) if len(grams) else None)
                 np.add.at(counts, (grams >> U(64 - BUCKETS)).astype(np.int64), 1)
         nothing = pa.nulls(len(n), pa.int64())
-        yield pa.record_batch([batch.column(0), int64(n), pa.array(cls, pa.int64()), nothing, nothing], names)
+        carried = [batch.column(2 + i) for i in range(len(carry))]
+        yield pa.record_batch([batch.column(0), *carried, int64(n), pa.array(cls, pa.int64()), nothing, nothing], names)
     used = np.flatnonzero(counts)
     nothing = pa.nulls(len(used), pa.int64())
-    yield pa.record_batch([nothing, nothing, nothing, int64(used), int64(counts[used])], names)
+    yield pa.record_batch([nothing, *(pa.nulls(len(used), kind) for _, kind in carry), nothing, nothing, int64(used), int64(counts[used])], names)
 
 
 def _prefix_rows(batches, gram: int, percent: int, level: np.ndarray):
@@ -123,8 +125,8 @@ def _levels(counts: DataFrame) -> np.ndarray:
 
 
 def similar_documents(documents: DataFrame, key: str = "doc_id", text: str = "text", gram: int = GRAM,
-                      percent: int = PERCENT) -> DataFrame:
-    """(key, n_shingles, class_id, component_id) per row.
+                      percent: int = PERCENT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, n_shingles, class_id, component_id) per row. The columns in ``carry`` come along between key and n_shingles.
 
     class_id is the least key with the same set, component_id the least key that links lead to. Words are
     ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered; fewer than ``gram`` words are one shingle. Null and empty texts have no shingle
@@ -133,8 +135,12 @@ def similar_documents(documents: DataFrame, key: str = "doc_id", text: str = "te
     spark = documents.sparkSession
     prepare(spark)
     shelf = Shelf(spark)
-    docs = documents.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    seen = shelf.put(docs.mapInArrow(lambda b: _describe(b, gram), "doc long, n long, cls long, bucket long, count long"))
+    carried = [f"_c{i}" for i in range(len(carry))]
+    whole = documents.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"), *(F.col(c).alias(a) for c, a in zip(carry, carried)))
+    docs = whole.select("doc", "text")
+    kinds = [(a, to_arrow_type(whole.schema[a].dataType)) for a in carried]
+    schema = "".join(f"{a} {whole.schema[a].dataType.simpleString()}, " for a in carried)
+    seen = shelf.put(whole.mapInArrow(lambda b: _describe(b, gram, kinds), f"doc long, {schema}n long, cls long, bucket long, count long"))
     level = _levels(seen.where("bucket is not null"))
     rows = seen.where("n is not null")
     classes = shelf.put(rows.where("cls is not null and doc is not null").groupBy("cls").agg(F.min("doc").alias("node")))
@@ -160,7 +166,7 @@ def similar_documents(documents: DataFrame, key: str = "doc_id", text: str = "te
     least = joined.groupBy("label").agg(F.min("node").alias("component"))
     names = joined.join(least, "label").select("cls", "node", "component")
     own = rows.join(names, "cls", "left")
-    return own.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"),
+    return own.select(F.col("doc").alias(key), *(F.col(a).alias(c) for c, a in zip(carry, carried)), F.col("n").alias("n_shingles"),
                       *(F.when(F.col("doc").isNotNull(), F.coalesce(x, "doc")).alias(y) for x, y in (("node", "class_id"), ("component", "component_id"))))
 
 
