@@ -158,6 +158,18 @@ def test_main_text():
     assert main_text(loose) == "It is the case that the rules of this page are met by the words in it.\nSo."
 
 
+@pytest.mark.parametrize("wrapper", ["class='content has-sidebar'", "class='content-with-sidebar'", "class=nav-layout", "id='main-search'", "class='page layout--sidebar'"])
+def test_main_text_within_named_wrappers(wrapper):
+    said = "It is the case that the rules of this page are met by the words in it."
+    aside = '<div class="sidebar-left"><p>That is what the others have read on the pages of this site.</p></div>'
+    for tag in ("article", "main"):
+        page = f"<body><div {wrapper}><{tag}><h1>Head</h1><p>{said}</p><div class=ad>{said}</div></{tag}>{aside}</div><footer><article>{said}</article></footer>"
+        assert main_text(page) == f"Head\n{said}"
+    if "search" not in wrapper:
+        assert main_text(f"<body><div {wrapper}><p>{said}</p>{aside}</div>") == said
+    assert main_text(f"<main><p>{said}</p><div id=comments><article class=comment-body><p>I think that it is so, and that they are right on it.</p></article></div>") == said
+
+
 def test_mixing_meets_targets(corpus, nothing):
     got = plain(mix_sources(corpus))
     total = sum(r["size"] for r in got)

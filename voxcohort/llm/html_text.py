@@ -1,8 +1,9 @@
 """Main text of web pages by two passes of block rules.
 
 The markup is cut into blocks at block-level tags. The first pass decides blocks by where they stand (menus, footers, forms and
-such are boilerplate; if the page marks an article, so is all else), by link density, length and the share of stop words. Blocks
-that stay ambiguous, mostly short ones, take the label of the nearest decided block of the same container in the second pass.
+such are boilerplate; if the page marks an article, so is all else), by link density, length and the share of stop words. What
+only a class, id or role around an article or main calls boilerplate does not count inside of it. Blocks that stay ambiguous,
+mostly short ones, take the label of the nearest decided block of the same container in the second pass.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ _HINT = re.compile(
     r"^(ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|sidebar|side|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|"
     r"footer|comment|comments|reply|replies|disqus|cookie|cookies|consent|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|"
     r"share|sharing|social|related|recommended|widget|toolbar|pagination|pager|legal|copyright|complementary|contentinfo|search|form)$")
+#: Names with such a part tell how the page around is laid out: has-sidebar, content-with-nav; and so do first parts before the others: nav-layout.
+_ABOUT, _LAID = frozenset("has with without no".split()), frozenset("layout page theme grid".split())
 
 
 @dataclass
@@ -52,14 +55,22 @@ class Block:
     good: bool | None = None
 
 
+def _names_away(name: str) -> bool:
+    """Whether a class, id or role names boilerplate by its last part, or by its first; what follows -- is a variant."""
+    parts = [x for x in re.split("[_-]+", name.partition("--")[0]) if x]
+    if not parts or not _ABOUT.isdisjoint(parts):
+        return False
+    return bool(_HINT.match(parts[-1]) or (_HINT.match(parts[0]) and parts[-1] not in _LAID))
+
+
 def _hinted(rest: str) -> bool:
-    return any(_HINT.match(part) for found in _ATTRIBUTE.finditer(rest) for value in found.groups() if value for part in re.split(r"[\s_-]+", value.lower()))
+    return any(_names_away(name) for found in _ATTRIBUTE.finditer(rest) for value in found.groups() if value for name in value.lower().split())
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order, with what the rules look at."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # tag, away, main, container
+    stack: list[tuple[str, bool, bool, bool, int]] = []  # tag, away by tags, away by hints, main, container
     pieces: list[str] = []
     linked = link = containers = 0
     heading = False
@@ -69,9 +80,9 @@ def blocks(page: str) -> list[Block]:
         text = re.sub(r"\s+", " ", html.unescape("".join(pieces))).strip()
         if text:
             words = text.split(" ")
-            _, away, main, container = stack[-1] if stack else ("", False, False, 0)
+            _, away, hint, main, container = stack[-1] if stack else ("", False, False, False, 0)
             stops = sum(w.strip(".,;:!?\"'()").lower() in STOP_WORDS for w in words) / len(words)
-            out.append(Block(text, linked / max(1, len(text)), len(words), stops, away, container, main, heading))
+            out.append(Block(text, linked / max(1, len(text)), len(words), stops, away or hint, container, main, heading))
         pieces.clear()
         linked = 0
 
@@ -100,13 +111,16 @@ def blocks(page: str) -> list[Block]:
         if not token["close"]:
             if tag == "p" and stack and stack[-1][0] == "p":
                 stack.pop()
-            _, away, main, container = stack[-1] if stack else ("", False, False, 0)
+            _, away, hint, main, container = stack[-1] if stack else ("", False, False, False, 0)
             inside = main or tag in ("article", "main")
-            gone = away or tag in _AWAY or (tag == "header" and not main) or (tag not in ("html", "body", "article", "main") and _hinted(token["rest"]))
-            if gone != away or inside != main:
+            gone = away or tag in _AWAY or (tag == "header" and not main)
+            named = tag not in ("html", "body", "main") and _hinted(token["rest"])
+            # an article stands against the hints around it, unless it is a comment or the like itself
+            doubt = (hint and named) if tag == "article" else tag != "main" and (hint or named)
+            if (gone or doubt) != (away or hint) or inside != main:
                 containers += 1
                 container = containers
-            stack.append((tag, gone, inside, container))
+            stack.append((tag, gone, doubt, inside, container))
         elif any(tag == s[0] for s in stack):
             while stack.pop()[0] != tag:
                 pass
