@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from voxcohort import catalog
 from voxcohort.operators import features as fe
 from voxcohort.operators import fusion as fu
 
@@ -85,6 +86,18 @@ def test_scaling_and_pca(spark):
     assert rows.var(axis=0, ddof=1) == pytest.approx(values[::-1][:2])
 
 
+def test_pca_projection_has_full_rank(spark, tmp_path):
+    x = np.random.default_rng(10).normal(size=(50, 6)).astype(np.float32)
+    spark.createDataFrame([(i, row.tolist(), 0) for i, row in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = catalog.queries()["pca_projection"](spark, str(tmp_path)).collect()
+    got = np.full(x.shape, np.nan)
+    for r in rows:
+        got[r["vec_id"], r["component"]] = r["value"]
+    vectors = np.linalg.eigh(np.cov(x.T.astype(float)))[1][:, ::-1]
+    vectors = vectors * np.sign([c[abs(c).argmax()] for c in vectors.T])
+    assert len(rows) == x.size and got == pytest.approx((x - x.mean(axis=0, dtype=float)) @ vectors, abs=1e-5)
+
+
 def test_svm_separates(spark):
     rows = [(float(i % 2), [3.0 * (i % 2) + (i % 7) * 0.1, 1.0]) for i in range(100)]
     df = spark.createDataFrame(rows, "label double, features array<double>")

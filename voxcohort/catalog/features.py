@@ -111,8 +111,9 @@ def transpose(t):
 @query("pca_projection")
 def pca_projection(t):
     f = d.features(t)
-    projected = fe.pca_transform(f, fe.pca_fit(f, 4))
-    return projected.select("vec_id", *[F.round(F.col("projected")[i], 6).alias(f"pc{i}") for i in range(4)])
+    projected = fe.pca_transform(f, fe.pca_fit(f, fe.feature_count(f)))
+    return projected.select("vec_id", F.posexplode("projected").alias("component", "value")).select(
+        "vec_id", F.col("component").cast("long"), F.round("value", 6).alias("value"))
 
 
 @query("svm_scores")

@@ -102,6 +102,11 @@ def scale_transform(df: DataFrame, model: DataFrame, features: str = "features")
     return joined.withColumn(features, scaled).drop("_model")
 
 
+def feature_count(df: DataFrame, features: str = "features") -> int:
+    """Length of the feature vectors, the number of components of full rank."""
+    return df.select(F.max(F.size(features))).first()[0] or 0
+
+
 def pca_fit(df: DataFrame, k: int, features: str = "features"):
     """Principal components by the distributed covariance; features are centred by their mean first."""
     means = scale_fit(df, features)
