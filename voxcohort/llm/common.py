@@ -47,9 +47,13 @@ class Shelf:
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.paths = spark, f"{shared_folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex}", []
 
+    def path(self) -> str:
+        """A new place for files."""
+        self.paths.append(f"{self.root}/{len(self.paths)}")
+        return self.paths[-1]
+
     def put(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{len(self.paths)}"
-        self.paths.append(path)
+        path = self.path()
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -1,4 +1,4 @@
-"""The ten operators as queries over the given tables, and the whole pipeline."""
+"""The operators as queries over the given tables, and the whole pipeline."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from voxcohort.llm.quality import score_quality
 from voxcohort.llm.registry import QUERIES, SQL, query, table
 from voxcohort.llm.source_mixing import mix_sources
 from voxcohort.llm.suffix_dedup import remove_repeated_bytes
+from voxcohort.llm.token_files import coded_tokens
 from voxcohort.llm.toxicity import flag_toxic
 from voxcohort.llm.substring_dedup import remove_repeated_words
 
@@ -152,6 +153,16 @@ def op5(spark, sf_dir):
     return out.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@query("op13_token_files")
+def op13(spark, sf_dir, tokenizer: str | None = None):
+    """Place, number and checksum of every document's token ids, read back from the coded files."""
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return coded_tokens(table(spark, sf_dir, "documents"), tokenizer)
+
+
 def queries():
     return dict(QUERIES)
 
