@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from voxcohort.llm.chat_format import preference_pairs
 from voxcohort.llm.decontaminate import contaminated
 from voxcohort.llm.exact_search import exact_top_k
+from voxcohort.llm.filter_audit import audit, failing_ids, words
 from voxcohort.llm.html_text import extract_text
 from voxcohort.llm.ngram_join import similar_documents
+from voxcohort.llm.periodic_runs import periodic_runs
 from voxcohort.llm.quality import score_quality
 from voxcohort.llm.registry import QUERIES, SQL, query, table
 from voxcohort.llm.source_mixing import mix_sources
@@ -153,6 +155,70 @@ def op5(spark, sf_dir):
     return out.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@query("op11_filter_audit", """
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS low FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM d),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, CAST(len(words) < 100 AS INTEGER)
+  + 2 * CAST(100 * len(list_distinct(words)) < 80 * len(words) AS INTEGER)
+  + 4 * CAST(100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 10 * length(t) AS INTEGER)
+  + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INTEGER) + 16 * CAST(coalesce(low < w.doc_id, false) AS INTEGER) AS fails FROM w LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, fails),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS name, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM f a, f b, f c, f d, f e
+  WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+s AS (SELECT filter_order, step, bits[step] AS bit, CAST(list_sum(bits[1:step - 1]) AS INTEGER) AS before FROM o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (SELECT part, filter_order, step, bit,
+  coalesce(sum(n) FILTER (WHERE fails & (coalesce(before, 0) | bit) = 0), 0) AS kept,
+  coalesce(sum(n) FILTER (WHERE fails & coalesce(before, 0) = 0 AND fails & bit > 0), 0) AS removed,
+  coalesce(sum(n) FILTER (WHERE fails & coalesce(before, 0) > 0 AND fails & bit > 0), 0) AS redundant,
+  coalesce(sum(n) FILTER (WHERE fails = bit), 0) AS unique_fails,
+  coalesce(sum(good) FILTER (WHERE fails & coalesce(before, 0) = 0 AND fails & bit > 0), 0) AS good_lost,
+  coalesce(sum(toxic) FILTER (WHERE fails & coalesce(before, 0) = 0 AND fails & bit > 0), 0) AS toxic_lost
+  FROM s, c GROUP BY part, filter_order, step, bit, before)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r""")
+def op11(spark, sf_dir):
+    """Five filters in all 120 orders, by language."""
+    return audit(failing_ids(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+@query("op12_periodic_runs", """
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words,
+  4294967295 - list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda r, b: list_reduce(list_prepend(xor(r, b), range(8)), lambda c, i: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))) AS h FROM documents),
+z AS (SELECT doc_id, words, len(words) AS n, coalesce(h % 10 = 0 AND len(words) > 0, false) AS turned, (h // 10) % greatest(len(words), 1) AS a, 3 + (h // 10) % 8 AS k FROM w),
+d AS (SELECT doc_id, n, CASE WHEN turned THEN list_transform(range(n), lambda i: words[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // k) END]) ELSE words END AS words FROM z),
+g AS (SELECT doc_id, i, hash(array_to_string(words[i + 1:i + 6], ' ')) AS g FROM (SELECT doc_id, words, unnest(range(0, greatest(n - 5, 0))) AS i FROM d)),
+m AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM g x JOIN g y ON x.doc_id = y.doc_id AND x.g = y.g AND x.i < y.i),
+t AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS block FROM m),
+s AS (SELECT doc_id, min(i) AS s, max(i) - min(i) + 6 + q AS n, q FROM t GROUP BY doc_id, q, block),
+r AS (SELECT doc_id, s, n, min(q) AS q FROM s WHERE n >= greatest(12, 2 * q) GROUP BY doc_id, s, n),
+c AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS runs, arg_min({'s': s, 'n': n, 'q': q}, {'a': -n, 'b': s, 'c': q}) AS top FROM r GROUP BY doc_id),
+x AS (SELECT doc_id, list(DISTINCT i) AS gone FROM (SELECT doc_id, unnest(range(s + q, s + n)) AS i FROM r) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, top.s AS start, top.n AS length, top.q AS period, 1000 * top.n // top.q AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN words ELSE list_filter(words, lambda x, j: NOT list_contains(gone, j - 1)) END, ' ')) AS collapsed_sha256
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN x USING (doc_id)""")
+def op12(spark, sf_dir):
+    """Longest run, checksum of all runs and of the collapsed text of every document; a tenth of the documents gets a periodic end."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"),
+                                                    words(F.coalesce("text", F.lit(""))).alias("w"))
+    n, g = F.size("w"), F.floor(F.col("h") / 10)
+    a = (g % n).cast("int")
+    p = (F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))).cast("int")
+    numbers = docs.select("doc_id", "text", "w", ((F.col("h") % 10 == 0) & (n > 0)).alias("turned"), a.alias("a"), p.alias("p"))
+    turned = F.array_join(F.transform("w", lambda x, i: F.when(i < F.col("a"), x).otherwise(F.get("w", F.col("a") + (i - F.col("a")) % F.col("p")))), " ")
+    out = periodic_runs(numbers.select("doc_id", F.when(F.col("turned"), turned).otherwise(F.col("text")).alias("text")))
+    top = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("n"), (-r["start"]).alias("s"), (-r["period"]).alias("q"))))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.when(F.size("runs") > 0, F.concat(F.array_join(line, "\n"), F.lit("\n"))).otherwise(F.lit(""))
+    out = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), top.alias("top"), listed.alias("listed"), "collapsed")
+    length, period = F.col("top.n"), -F.col("top.q")
+    return out.select("doc_id", "n_runs", (-F.col("top.s")).alias("start"), length.alias("length"), period.alias("period"),
+                      F.floor(1000 * length / period).alias("exponent_milli"), F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 @query("op13_token_files")
 def op13(spark, sf_dir, tokenizer: str | None = None):
     """Place, number and checksum of every document's token ids, read back from the coded files."""
