@@ -25,9 +25,8 @@ _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 
 def prepare(spark: SparkSession) -> None:
-    """Session settings of the text operators: small Arrow batches, and shuffle files that go with their job."""
+    """Session setting of the text operators: small Arrow batches, as a row may hold a long text."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,7 +41,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Shelf:
-    """Intermediate tables as compressed Parquet in the shared folder, so that lost executors cost nothing."""
+    """Intermediate tables as compressed Parquet in the shared folder, so that lost executors cost nothing.
+
+    Once a table is stored, the shuffle files of the plan behind it are needed no more. Spark removes them when the driver collects
+    its garbage, which may be half an hour away; so ``put`` asks for it.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.paths = spark, f"{shared_folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex}", []
@@ -55,7 +58,10 @@ class Shelf:
     def put(self, df: DataFrame) -> DataFrame:
         path = self.path()
         df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        schema = df.schema
+        del df
+        self.spark.sparkContext._jvm.System.gc()
+        return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *tables: DataFrame) -> None:
         """Free the files of tables that nothing reads any more."""

@@ -22,6 +22,8 @@ from voxcohort.llm.common import CHUNK, Ranges, U, int64, mix, prepare
 #: Edits allowed: one in so many characters. Longest q-gram.
 EDITS, GRAM = 16, 10
 BLOCK = 1 << 21
+#: Pairs of equal q-grams that are counted at a time (one place of the text may hold more).
+HITS = 1 << 20
 _TABLE = 22
 
 
@@ -67,32 +69,52 @@ class Index:
             at = np.flatnonzero(present[(grams >> U(64 - _TABLE)).astype(np.int64)])
             low, high = np.searchsorted(key, grams[at]), np.searchsorted(key, grams[at], "right")
             count = high - low
-            hit = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-            if not len(hit):
+            if not count.any():
                 continue
-            n = item[hit]
-            band = (np.repeat(at, count) - place[hit]) // (self.budget[n] + 1)
-            pair, found = np.unique(np.concatenate([[n, band], [n, band - 1]], axis=1), axis=1, return_counts=True)
-            for which in np.flatnonzero(found >= self.need[pair[0]]):
-                yield int(pair[0, which]), int(pair[1, which])
-
-
-def banded_distance(item: str, text: str, slack: int) -> tuple[int, int]:
-    """(least edits that turn ``item`` into a part of ``text``, where the part ends) on diagonals 0 to ``slack``."""
+            # shared q-grams of each (item, band), some at a time: a periodic text meets a periodic item very often
+            parts = np.searchsorted(np.cumsum(count), np.arange(HITS, count.sum() + HITS, HITS)) + 1
+            bands = [self._bands(at[a:b], low[a:b], count[a:b], item, place) for a, b in zip([0, *parts[:-1]], parts) if b > a]
+            pair, which = np.unique(np.concatenate([p for p, _ in bands], axis=1), axis=1, return_inverse=True)
+            found = np.bincount(which.reshape(-1), np.concatenate([c for _, c in bands]))
+            # a region is two neighbouring bands
+            after = np.flatnonzero((pair[0, 1:] == pair[0, :-1]) & (pair[1, 1:] == pair[1, :-1] + 1))
+            both = found.copy()
+            both[after] += found[after + 1]
+            alone = np.ones(len(found), bool)
+            alone[after + 1] = False  # its region with the band before it has been counted
+            regions = np.concatenate([pair, pair[:, alone] - [[0], [1]]], axis=1)
+            shared = np.concatenate([both, found[alone]])
+            regions = regions[:, shared >= self.need[regions[0]]]
+            for which in np.lexsort(regions[::-1]):
+                yield int(regions[0, which]), int(regions[1, which])
+
+    def _bands(self, at, low, count, item, place) -> tuple[np.ndarray, np.ndarray]:
+        """((item, band) pairs, q-grams that both share there); bands are k + 1 diagonals wide."""
+        hit = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        n = item[hit]
+        return np.unique([n, (np.repeat(at, count) - place[hit]) // (self.budget[n] + 1)], axis=1, return_counts=True)
+
+
+def banded_distance(item: str, text: str, slack: int, missing: int = 0) -> tuple[int, int]:
+    """(least edits that turn ``item`` into a part of ``text``, where the part ends) on diagonals -``missing`` to ``slack``.
+
+    A diagonal is a place in the text less the place in the item; on one below 0 the item begins before the text does.
+    """
     a, b = np.frombuffer(item.encode("utf-32-le", "surrogatepass"), "<u4"), np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    far, width = len(a) + len(b) + 1, slack + 1
+    b = np.concatenate([np.zeros(missing, b.dtype), b])  # cells in front of the text: no part begins there, so none is ever used
+    far, width = len(a) + len(b) + 1, slack + missing + 1
     padded = np.concatenate([b, np.zeros(len(a) + width + 1, b.dtype)])
     beyond = np.arange(len(a) + width) > len(b)  # ends behind the text
     steps = np.arange(width)
-    row = np.where(beyond[:width], far, 0)  # item not begun: the part may begin on any diagonal
+    row = np.where(beyond[:width] | (steps < missing), far, 0)  # item not begun: the part may begin on any diagonal
     for i, c in enumerate(a, 1):
         change = row + (padded[i - 1: i - 1 + width] != c)
         drop = np.append(row[1:] + 1, far)
-        best = np.where(beyond[i: i + width] if i + width <= len(beyond) else np.resize(beyond[i:], width) | True, far, np.minimum(change, drop))
+        best = np.where(beyond[i: i + width], far, np.minimum(change, drop))
         row = np.minimum.accumulate(best - steps) + steps  # characters of the text that the item lacks
         row = np.minimum(row, far)
     end = int(row.argmin())
-    return int(row[end]), len(a) + end
+    return int(row[end]), len(a) + end - missing
 
 
 def _pieces(text: str, most: int, overlap: int):
@@ -106,17 +128,28 @@ def _pieces(text: str, most: int, overlap: int):
 
 
 def _found(raw: str | None, index: Index):
-    """(item, edits, where the passage ends in the compared form) for every band of the text that holds an item."""
+    """(item, edits, where the passage ends in the compared form) for every band of the text that holds an item.
+
+    After a place without edits, later places of the item are not looked at: none is better.
+    """
     longest = max((len(t) for t in index.texts), default=0)
+    exactly: set[int] = set()
     for offset, piece in _pieces(normal(raw or ""), CHUNK, 2 * longest):
         for n, band in index.regions(piece):
+            if n in exactly:
+                continue
             k, item = int(index.budget[n]), index.texts[n]
-            low = max(0, band * (k + 1) - k)
-            area = piece[low: (band + 2) * (k + 1) + k + len(item)]
+            low = band * (k + 1) - k
+            area = piece[max(0, low): (band + 2) * (k + 1) + k + len(item)]
             exact = area.find(item)
-            distance, end = (0, exact + len(item)) if exact >= 0 else banded_distance(item, area, max(0, len(area) - len(item) + k))
+            if exact >= 0:
+                exactly.add(n)
+                distance, end = 0, exact + len(item)
+            else:
+                # in front of the text an item can lack its first characters, up to k of them
+                distance, end = banded_distance(item, area, max(0, len(area) - len(item) + k), min(k, max(0, -low)))
             if distance <= k:
-                yield n, distance, offset + low + end
+                yield n, distance, offset + max(0, low) + end
 
 
 def _hits(batches, index: Index):

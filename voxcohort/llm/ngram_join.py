@@ -119,8 +119,8 @@ def _links(batches, percent: int):
 def _levels(counts: DataFrame) -> np.ndarray:
     """Rarity of each bucket in 200 steps; 2^18 sums whatever the corpus."""
     total = np.zeros(1 << BUCKETS)
-    for row in counts.groupBy("bucket").agg(F.sum("count").alias("n")).toLocalIterator():
-        total[row["bucket"]] = row["n"]
+    sums = counts.groupBy("bucket").agg(F.sum("count").alias("n")).toArrow()
+    total[np.asarray(sums["bucket"])] = np.asarray(sums["n"])
     return np.minimum(np.floor(6 * np.log2(total + 1)), 200).astype(U)
 
 
