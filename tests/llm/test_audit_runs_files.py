@@ -14,7 +14,7 @@ from voxcohort.llm.common import mix
 from voxcohort.llm.filter_audit import audit, failing_ids
 from voxcohort.llm.periodic_runs import periodic_runs, runs_of
 from voxcohort.llm.suffix_tree import SuffixTree
-from voxcohort.llm.token_files import Encoder, coded_tokens, pack, read_token_files, unpack, write_token_files
+from voxcohort.llm.token_files import Encoder, coded_tokens, joined_checksum, pack, read_token_files, unpack, write_token_files
 
 DOCS = "doc_id long, text string, lang string, part string, n long, step int, kept string, runs string, frame binary"
 
@@ -199,6 +199,13 @@ def test_frames_detect_damage():
         unpack(frame[:-9])
 
 
+def test_joined_checksum():
+    rng = random.Random(5)
+    for _ in range(50):
+        parts = [rng.randbytes(rng.choice([0, 1, 4, 1000])) for _ in range(rng.randrange(1, 5))] + [bytes(4)]
+        assert joined_checksum([zlib.crc32(p) for p in parts], map(len, parts)) == zlib.crc32(b"".join(parts))
+
+
 def expected(rows, tokenizer):
     from tokenizers import Tokenizer
 

@@ -17,6 +17,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,40 @@ from voxcohort.llm.common import Shelf, int64, prepare, shuffle_partitions
 _HEAD = struct.Struct("<4s5Iq")
 _PART = np.dtype([("row", "<i8"), ("key", "<i8"), ("null", "u1"), ("ids", "<u4")])
 #: Different pieces of text whose ids a task remembers.
-_PIECES = 1 << 18
+_PIECES = 1 << 19
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
 
 
+class _Numbers(dict):
+    """Numbers pieces of text as they are first asked for."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        number = self[piece] = len(self)
+        self.new.append(piece)
+        return number
+
+
+class _Memory:
+    """Ids of the pieces with one beginning (a space, or nothing), in one array."""
+
+    def __init__(self, tokenizer, begins: str):
+        self.tokenizer, self.begins, self.numbers = tokenizer, begins, _Numbers()
+        self.first, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def __call__(self, pieces) -> np.ndarray:
+        """The number of each piece; ids of piece n lie from ``first[n]`` to ``first[n + 1]``."""
+        found = np.fromiter(map(self.numbers.__getitem__, pieces), np.int64)
+        new, self.numbers.new = self.numbers.new, []
+        if new:
+            made = [e.ids for e in self.tokenizer.encode_batch([self.begins + p for p in new], add_special_tokens=False)]
+            self.first = np.append(self.first, self.first[-1] + np.cumsum([len(m) for m in made]))
+            self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(made), np.uint32))
+        return found
+
+
 class Encoder:
     """Ids of texts by a tokenizer file. A byte-level pre-tokenizer always cuts before a single space between two other characters,
     so such pieces are encoded once and remembered; with any other pre-tokenizer a text is one piece."""
@@ -49,7 +80,10 @@ class Encoder:
         plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"])) for t in made["added_tokens"])
         self.cuts = (cut.get("type") == "ByteLevel" and cut["use_regex"] and not cut["add_prefix_space"] and not made["normalizer"]
                      and plain and not made["truncation"] and not made["padding"])
-        self.known: dict[str, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.head, self.rest = _Memory(self.tokenizer, ""), _Memory(self.tokenizer, " ")
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -61,20 +95,30 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.cuts:
             return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        if len(self.known) > _PIECES:
-            self.known.clear()
-        known, out, cut = self.known, [], []
-        new: dict[str, None] = {}
-        for text in texts:
-            pieces = [p if i == 0 else " " + p for i, p in enumerate(_SPLIT.split(text))]
-            cut.append(pieces)
-            new.update((p, None) for p in pieces if p not in known)
-        if new:
-            for piece, found in zip(new, self.tokenizer.encode_batch(list(new), add_special_tokens=False)):
-                known[piece] = np.array(found.ids, np.uint32)
-        for pieces in cut:
-            out.append(np.concatenate([known[p] for p in pieces]))
-        return out
+        if len(self.rest.numbers) + len(self.head.numbers) > _PIECES:
+            self._forget()
+        cut = [_pieces(text) for text in texts]
+        heads, rest = self.head([c[0] for c in cut]), self.rest(chain.from_iterable(c[1:] for c in cut))
+        n = np.array([len(c) for c in cut])
+        place = np.cumsum(n) - n
+        inner = np.ones(int(n.sum()), bool)
+        inner[place] = False
+        begin, size = np.empty(len(inner), np.int64), np.empty(len(inner), np.int64)
+        # ids of first pieces lie behind those of the others
+        for at, memory, found, offset in ((inner, self.rest, rest, 0), (~inner, self.head, heads, len(self.rest.ids))):
+            begin[at], size[at] = memory.first[found] + offset, memory.first[found + 1] - memory.first[found]
+        ends = np.cumsum(size)
+        every = np.repeat(begin - (ends - size), size) + np.arange(int(size.sum()))
+        ids = np.concatenate([self.rest.ids, self.head.ids])[every]
+        return np.split(ids, ends[place[1:] - 1]) if len(texts) else []
+
+
+def _pieces(text: str) -> list[str]:
+    """The text cut at single spaces between other characters than white space."""
+    # a printable text has no white space but spaces
+    if text.isprintable() and "  " not in text and text[:1] != " " and text[-1:] != " ":
+        return text.split(" ")
+    return _SPLIT.split(text)
 
 
 def _gaps(alphabet: np.ndarray) -> bytes:
@@ -158,25 +202,55 @@ def _frames(batches: Iterator[pa.RecordBatch], path: str, end: int, block: int,
         yield write(np.concatenate(ids), rows, first)
 
 
-def _documents(batches: Iterator[pa.RecordBatch], lanes: int):
-    """Parts of documents: (part, row, key, place in the range, n, checksum or null, ids or null) from rows (part, n, frame).
+def _times(a: int, b: int) -> int:
+    """Product modulo the CRC-32 polynomial; bit 31 is the constant term."""
+    out = 0
+    while b:
+        if b & 0x80000000:
+            out ^= a
+        b = b << 1 & 0xFFFFFFFF
+        a = a >> 1 ^ (0xEDB88320 if a & 1 else 0)
+    return out
 
-    A document that lies in one block has its checksum at once; parts of others carry their ids.
-    """
+
+def _shifts() -> list[int]:
+    """x to the power of 8, 16, 32, ...: what one, two, four, ... further bytes multiply a checksum by."""
+    out = [0x80000000 >> 8]
+    for _ in range(62):
+        out.append(_times(out[-1], out[-1]))
+    return out
+
+
+_SHIFTS = _shifts()
+
+
+def joined_checksum(crcs, sizes) -> int:
+    """CRC-32 of several strings of bytes after one another, from their own."""
+    whole = 0
+    for crc, size in zip(crcs, sizes):
+        k = 0
+        while size:
+            if whole and size & 1:
+                whole = _times(whole, _SHIFTS[k])
+            size >>= 1
+            k += 1
+        whole ^= crc
+    return whole
+
+
+def _documents(batches: Iterator[pa.RecordBatch], lanes: int):
+    """Parts of documents: (part, row, key, place in the range, n, checksum) from (part, frame)."""
     def read(waiting: list[tuple[int, bytes]]):
         opened = [unpack(f) for _, f in waiting]
         blocks = mixing_coder.decode([(o[2], o[3]) for o in opened], [o[1] for o in opened])
-        out: tuple[list, ...] = ([], [], [], [], [], [], [])
-        for (part, _), (first, count, _, _, table), ids in zip(waiting, opened, blocks):
-            raw = ids.astype("<u4")
-            ends = np.cumsum(table["ids"].astype(np.int64))
-            for j, (row, key, null, n) in enumerate(table.tolist()):
-                data = raw[ends[j] - n: ends[j]].tobytes()
-                inner = 0 < j < len(table) - 1  # others may go on in the next block
-                for column, x in zip(out, (part, row, None if null else key, first + int(ends[j]) - n, n, zlib.crc32(data) if inner else None, None if inner else data)):
+        out: tuple[list, ...] = ([], [], [], [], [], [])
+        for (part, _), (first, _, _, _, table), ids in zip(waiting, opened, blocks):
+            raw, low = memoryview(ids.astype("<u4").tobytes()), 0
+            for row, key, null, n in table.tolist():
+                for column, x in zip(out, (part, row, None if null else key, first + low, n, zlib.crc32(raw[4 * low: 4 * (low + n)]))):
                     column.append(x)
-        kinds = [pa.int64()] * 6 + [pa.binary()]
-        return pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds)], ["part", "row", "key", "place", "n", "crc", "ids"])
+                low += n
+        return pa.record_batch([pa.array(c, pa.int64()) for c in out], ["part", "row", "key", "place", "n", "crc"])
 
     waiting: list[tuple[int, bytes]] = []
     for batch in batches:
@@ -214,11 +288,12 @@ def read_token_files(documents: DataFrame, lanes: int = mixing_coder.LANES) -> D
     the end id included. Damaged blocks raise an error.
     """
     parts = documents.select("part", "frame").mapInArrow(
-        lambda b: _documents(b, lanes), "part long, row long, key long, place long, n long, crc long, ids binary")
-    pieces = F.transform(F.array_sort(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("place", "ids")))), lambda p: p["ids"])
-    joined = F.aggregate(pieces, F.lit(b""), lambda a, b: F.concat(a, b))
+        lambda b: _documents(b, lanes), "part long, row long, key long, place long, n long, crc long")
+    join = F.udf(lambda pieces: joined_checksum([p["crc"] for p in pieces], [4 * p["n"] for p in pieces]), "long")
+    # one row a document and block that it touches
+    pieces = F.array_sort(F.collect_list(F.struct("place", "n", "crc")))
     whole = parts.groupBy("part", "row").agg(F.first("key").alias("key"), F.min("place").alias("place"), F.sum("n").alias("n_tokens"),
-                                             F.coalesce(F.first("crc", ignorenulls=True), F.crc32(joined)).alias("ids_crc32"))
+                                             pieces.alias("pieces")).withColumn("ids_crc32", join("pieces"))
     # one row a range: their number is that of the writing tasks
     sizes = documents.groupBy("part").agg(F.sum("n").alias("size"))
     before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
