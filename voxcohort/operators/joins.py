@@ -5,9 +5,10 @@ from __future__ import annotations
 import itertools
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxcohort.operators.envelope import line_minima
 from voxcohort.session import fits_broadcast, join_summary, settle
 
 IMAGE = ["image_id"]
@@ -71,47 +72,44 @@ def nearest_squared(points: DataFrame, targets: DataFrame, keys: Sequence[str] =
                     spacing: DataFrame | None = None) -> DataFrame:
     """Exact squared Euclidean distance (``d2``) from every point to the nearest target of its group.
 
-    The minimum is taken one axis after the other. Along z every target serves the planes that are
-    closer to it than to the next target of its (x, y) column. Along y and x the rows of one scan line
-    meet, whose number is bounded by the axis length of an image; the data is partitioned by line, so
-    these minima need no further shuffle, no group grows with the data, and nothing is compared
-    all-against-all. Points of a group without targets are not returned. ``spacing`` optionally has
-    one ``spacing`` array per group.
+    The minimum is taken along z, then y, then x. Each time a scan line of an image is one row: the targets or minima that it holds,
+    and the places that are asked for; ``envelope`` finds all minima of a line in time linear in both, so the work grows with
+    the voxels between targets and points, not with their number times the length of an axis. A line has at most as many entries as an image
+    is long; nothing is compared all-against-all. Points of a group without targets are not returned. ``spacing`` optionally
+    has one ``spacing`` array per group.
     """
     keys = list(keys)
     points = points.select(*keys, *XYZ)
-    bounds = points.groupBy(*keys).agg(F.min("y").alias("_y0"), F.max("y").alias("_y1"), F.min("z").alias("_z0"), F.max("z").alias("_z1"))
-    unit, units = [F.lit(1)] * 3, []
+    # the planes and rows at which there are points; a number per group stands for its keys on the way
+    bounds = points.groupBy(*keys).agg(F.collect_set("y").alias("_ys"), F.collect_set("z").alias("_zs"))
+    weights = [F.lit(1.0).alias(f"_u{i}") for i in range(3)]
     if spacing is not None:
-        weights = [(F.col("spacing")[i] * F.col("spacing")[i]).alias(f"_u{i}") for i in range(3)]
-        bounds = bounds.join(spacing.select(*keys, *weights), keys)
-        units = ["_u0", "_u1", "_u2"]
-        unit = [F.col(u) for u in units]
-    # a number per group stands for its keys on the way, which keeps the aggregation keys short
-    bounds = settle(bounds.withColumn("_g", F.monotonically_increasing_id()))
+        weights = [(F.col("spacing")[i] * F.col("spacing")[i]).cast("double").alias(f"_u{i}") for i in range(3)]
+        bounds = bounds.join(spacing.select(*keys, "spacing"), keys)
+    bounds = settle(bounds.select(*keys, "_ys", "_zs", *weights, F.monotonically_increasing_id().alias("_g")))
     small = fits_broadcast(bounds.count())
-    near = lambda df, columns: join_summary(df.select(*keys, *XYZ), bounds.select(*keys, "_g", *columns), keys, "inner", small)
-    # z: planes between the midpoints to the neighbouring targets of the column
-    column = Window.partitionBy("_g", "x", "y").orderBy("z")
-    middle = lambda a, b: F.floor((a + b) / 2).cast("long")
-    own = near(targets, ["_y0", "_y1", "_z0", "_z1", *units]).drop(*keys).withColumns(
-        {"_prev": F.lag("z").over(column), "_next": F.lead("z").over(column)})
-    first = F.greatest(F.coalesce(middle(F.col("_prev"), F.col("z")) + 1, F.col("_z0")), F.col("_z0"))
-    last = F.least(F.coalesce(middle(F.col("z"), F.col("_next")), F.col("_z1")), F.col("_z1"))
-    along_z = own.withColumns({"_first": first, "_last": last}).where("_first <= _last").select(
-        "_g", *units, "_y0", "_y1", "x", "y", F.col("z").alias("_t"), F.explode(F.sequence("_first", "_last")).alias("z"))
-    gap = F.col("z") - F.col("_t")
-    along_z = along_z.withColumn("g", gap * gap * unit[2]).drop("_t")
-    # y: every row of a line against all y at which points may lie
-    lines_y = along_z.repartition("_g", "x", "z").withColumn("_q", F.explode(F.sequence("_y0", "_y1")))
-    gap = F.col("_q") - F.col("y")
-    along_y = lines_y.groupBy("_g", *units, "x", "z", "_q").agg(F.min(gap * gap * unit[1] + F.col("g")).alias("g"))
-    # x: the rows of a line against its points
-    lines_x = along_y.select("_g", *units, F.col("x").alias("_tx"), F.col("_q").alias("y"), "z", "g")
-    gap = F.col("x") - F.col("_tx")
-    found = near(points, []).drop(*keys).join(lines_x, ["_g", "y", "z"]).groupBy("_g", *XYZ).agg(
-        F.min(gap * gap * unit[0] + F.col("g")).cast("double").alias("d2"))
-    return join_summary(found, bounds.select("_g", *keys), ["_g"], "inner", small).select(*keys, *XYZ, "d2")
+    numbered = lambda df: join_summary(df.select(*keys, *XYZ), bounds.select(*keys, "_g"), keys, "inner", small).drop(*keys)
+
+    def along(rows: DataFrame, axis: str, line: list[str], asked: DataFrame | None, weight: str) -> DataFrame:
+        """Minima along an axis: rows (_g, x, y, z, g) become such rows at the places that are asked for."""
+        lines = rows.groupBy("_g", *line).agg(F.collect_list(F.struct(F.col(axis).alias("at"), F.col("g").alias("cost"))).alias("sources"))
+        if asked is None:  # the same places for all lines of a group
+            lines = join_summary(lines, bounds.select("_g", F.col(f"_{axis}s").alias("asked"), F.col(weight).alias("weight")), ["_g"], "inner", small)
+        else:
+            lines = join_summary(lines.join(asked, ["_g", *line]), bounds.select("_g", F.col(weight).alias("weight")), ["_g"], "inner", small)
+        kinds = ", ".join(f"{c} long" for c in ("_g", *line))
+        found = lines.mapInArrow(lambda b: line_minima(b, ["_g", *line]), f"{kinds}, asked array<long>, minima array<double>")
+        return found.select("_g", *line, F.explode(F.arrays_zip("asked", "minima")).alias("_e")).select(
+            "_g", *line, F.col("_e.asked").alias(axis), F.col("_e.minima").alias("g"))
+
+    longs = lambda df: df.select("_g", *[F.col(c).cast("long").alias(c) for c in XYZ])
+    columns = along(longs(numbered(targets)).withColumn("g", F.lit(0.0)), "z", ["x", "y"], None, "_u2")
+    rows = along(columns, "y", ["x", "z"], None, "_u1")
+    wanted = longs(numbered(points)).groupBy("_g", "y", "z").agg(F.collect_set("x").alias("asked"))
+    found = along(rows, "x", ["y", "z"], wanted, "_u0")
+    kinds = {f.name: f.dataType for f in points.schema.fields}
+    return join_summary(found, bounds.select("_g", *keys), ["_g"], "inner", small).select(
+        *keys, *[F.col(c).cast(kinds[c]).alias(c) for c in XYZ], F.col("g").alias("d2"))
 
 
 def distance_to_set(points: DataFrame, targets: DataFrame, keys: Sequence[str] = IMAGE,
