@@ -1,11 +1,13 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from voxcohort.operators import agreement as ag
 from voxcohort.operators import joins, quality, regions
+from voxcohort.operators.envelope import line_minima
 
 
 def brute_d2(points, targets, spacing=(1, 1, 1)):
@@ -163,6 +165,62 @@ def test_hausdorff_variants(spark, label_pairs):
         max(brute_d2(s, t).max(), brute_d2(t, s).max()) ** 0.5)
 
 
+def plain_hd95(s, t, spacing, pooled):
+    """95th percentile of surface distances of two masks, pair by pair."""
+    steps = joins.offsets(1, "cross" if pooled else "ball", include_centre=False)
+    surface = [np.array(sorted(border(m, steps))) for m in (s, t)]
+    whole = surface if pooled else [np.argwhere(m) for m in (s, t)]
+    far = [np.sqrt(brute_d2(surface[i], whole[1 - i], spacing)) for i in (0, 1)]
+    if pooled:
+        return np.percentile(np.concatenate(far), 95)
+    return max(np.sort(d)[int(np.floor(0.95 * (len(d) - 1)))] for d in far)
+
+
+def test_surface_distances_of_all_labels_and_regions(spark, label_pairs):
+    rng = np.random.default_rng(17)
+    noisy = [rng.choice([0, 0, 1, 2, 4, 4], size=(70, 6, 5)) for _ in range(2)]
+    pairs = label_pairs | {"noisy": tuple(noisy)}
+    table, spacing = pair_table(spark, pairs), (1.0, 1.5, 2.0)
+    meta = spark.createDataFrame([(n, list(map(float, spacing)), list(s.shape)) for n, (s, _) in pairs.items()], "image_id string, spacing array<double>, size array<int>")
+    counts = ag.contingency(table)
+    got = {(r["image_id"], r["metric"]): r["value"] for r in ag.label_statistics(counts, pair=table, spacing=meta.select("image_id", "spacing")).collect()}
+    far = {k: v for k, v in got.items() if k[1].startswith("hausdorff95")}
+    expected = {("none", "hausdorff95_overall"): 0.0}
+    for name in ("same", "shift", "noisy"):
+        s, t = pairs[name]
+        expected[name, "hausdorff95_overall"] = plain_hd95(s != 0, t != 0, spacing, False)
+        expected |= {(name, f"hausdorff95_label{v}"): plain_hd95(s == v, t == v, spacing, False) for v in np.unique(s) if v}
+    assert far == pytest.approx(expected)
+    assert len(got) > len(far) and ag.label_statistics(counts).count() == len(got) - len(far)
+
+    rows = {(r["image_id"], r["region"]): r["hausdorff95"] for r in ag.region_statistics(counts, pair=table, extents=meta.select("image_id", "size")).collect()}
+    for (name, region), value in rows.items():
+        s, t = (np.isin(x, ag.REGIONS[region]) for x in pairs[name])
+        if s.any() and t.any():
+            want = plain_hd95(s, t, (1, 1, 1), True)
+        else:
+            want = np.linalg.norm(pairs[name][0].shape) if s.any() or t.any() else 0.0
+        assert value == pytest.approx(want), (name, region)
+
+
+def test_line_minima_against_all_pairs():
+    rng = np.random.default_rng(3)
+    for trial in range(60):
+        lines = []
+        for _ in range(rng.integers(1, 25)):
+            n = rng.integers(0, 20)
+            costs = rng.integers(0, 200, n) if trial % 2 else np.zeros(n, int)
+            lines.append((rng.integers(-30, 30, n), costs, rng.choice(np.arange(-40, 40), rng.integers(0, 30), replace=False), float(rng.choice([1, 1, 2.25, 0]))))
+        batch = pa.RecordBatch.from_pylist(
+            [{"k": i, "sources": [{"at": int(p), "cost": float(c)} for p, c in zip(at, cost)], "asked": asked.tolist(), "weight": w} for i, (at, cost, asked, w) in enumerate(lines)],
+            pa.schema([("k", pa.int64()), ("sources", pa.list_(pa.struct([("at", pa.int64()), ("cost", pa.float64())]))), ("asked", pa.list_(pa.int64())), ("weight", pa.float64())]))
+        got = {r["k"]: (r["asked"], r["minima"]) for out in line_minima([batch], ["k"]) for r in out.to_pylist()}
+        assert got.keys() == {i for i, line in enumerate(lines) if len(line[0])}
+        for i, (asked, minima) in got.items():
+            at, cost, questions, w = lines[i]
+            assert asked == sorted(questions.tolist()) and minima == [float((w * (x - at) ** 2 + cost).min()) for x in asked]
+
+
 def test_formatted_metrics(spark):
     df = spark.createDataFrame([(1.5,), (float("nan"),), (None,), (float("inf"),), (2e101,)], "v double")
     assert [r[0] for r in df.select(ag.formatted_metric(F.col("v"))).collect()] == ["1.500000", "NaN", "NaN", "INF", "INF"]

@@ -9,6 +9,7 @@ from voxcohort.operators import agreement as ag
 from voxcohort.operators import histograms as hi
 from voxcohort.operators import joins
 from voxcohort.operators import statistics as st
+from voxcohort.plans import cohort
 from voxcohort.plans import derive as d
 
 R = rounded
@@ -145,6 +146,34 @@ def images_similar(t):
     return hi.images_similar(hi.compare_images(d.voxels(t), d.second_image(t), 40.0), 12000.0, 180).select("image_id", "similar")
 
 
+# --- surface distances in SQL -------------------------------------------------------------------
+
+SIDES = """sides AS (SELECT image_id, x, y, z, 'src' AS side FROM pair WHERE src <> 0 UNION ALL SELECT image_id, x, y, z, 'tgt' FROM pair WHERE tgt <> 0)"""
+D2 = "(p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)+(p.z-q.z)*(p.z-q.z)"
+
+
+def border_sql(source, reach, keys="image_id, side", count=None):
+    cond = " AND ".join(f"a.{k.strip()} = b.{k.strip()}" for k in keys.split(","))
+    n = count or {1: 7, 2: 19}[reach]
+    return f"""(SELECT {', '.join('a.' + k.strip() for k in keys.split(','))}, a.x, a.y, a.z FROM {source} a JOIN {source} b ON {cond}
+      AND b.x BETWEEN a.x-1 AND a.x+1 AND b.y BETWEEN a.y-1 AND a.y+1 AND b.z BETWEEN a.z-1 AND a.z+1
+      AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) <= {reach} GROUP BY ALL HAVING count(*) < {n})"""
+
+
+REGION_SIDES = "rsides AS (SELECT image_id, region, 'src' AS side, x, y, z FROM regions WHERE src = 1 UNION ALL SELECT image_id, region, 'tgt', x, y, z FROM regions WHERE tgt = 1)"
+REGION_FAR = [f"border AS {border_sql('rsides', 1, 'image_id, region, side')}",
+              f"""h AS (SELECT image_id, region, quantile_cont(sqrt(d2), 0.95) AS hd FROM (SELECT p.image_id, p.region, p.side, p.x, p.y, p.z, min({D2}) AS d2
+  FROM border p JOIN border q ON p.image_id = q.image_id AND p.region = q.region AND p.side <> q.side GROUP BY ALL) GROUP BY 1, 2)"""]
+REGION_HD = "CASE WHEN s = 0 AND t = 0 THEN 0 WHEN s = 0 OR t = 0 THEN sqrt(size[1]*size[1]+size[2]*size[2]+size[3]*size[3]) ELSE hd END"
+PLANE_FAR = ["""lsides AS (SELECT image_id, '_overall' AS plane, 'src' AS side, x, y, z FROM pair WHERE src <> 0 UNION ALL SELECT image_id, '_overall', 'tgt', x, y, z FROM pair WHERE tgt <> 0
+  UNION ALL SELECT image_id, '_label' || src, 'src', x, y, z FROM pair WHERE src <> 0 UNION ALL SELECT image_id, '_label' || tgt, 'tgt', x, y, z FROM pair WHERE tgt <> 0)""",
+             f"lborder AS {border_sql('lsides', 2, 'image_id, plane, side')}",
+             """ldist AS (SELECT p.image_id, p.plane, p.side, p.x, p.y, p.z, min((p.x-q.x)*(p.x-q.x)*spacing[1]*spacing[1]+(p.y-q.y)*(p.y-q.y)*spacing[2]*spacing[2]+(p.z-q.z)*(p.z-q.z)*spacing[3]*spacing[3]) AS d2
+  FROM lborder p JOIN lsides q ON p.image_id = q.image_id AND p.plane = q.plane AND p.side <> q.side JOIN meta m ON m.image_id = p.image_id GROUP BY ALL)""",
+             """lfar AS (SELECT image_id, plane, max(sqrt(d2)) AS hd FROM (SELECT image_id, plane, d2, row_number() OVER (PARTITION BY image_id, plane, side ORDER BY d2) - 1 AS r,
+  count(*) OVER (PARTITION BY image_id, plane, side) AS n FROM ldist) WHERE r = floor(0.95 * (n - 1)) GROUP BY 1, 2)"""]
+
+
 # --- label agreement --------------------------------------------------------------------------
 
 TABLE = "tbl AS (SELECT image_id, src, tgt, count(*) AS n FROM pair GROUP BY ALL)"
@@ -186,7 +215,9 @@ def _label_statistics_sql():
     rows += [f"SELECT image_id, '{m}_label' || label, ({a}) / nullif({b}, 0) FROM vol" for m, (a, b) in (OVERLAP | RATES).items()]
     one = {"sensitivity": ("tp", "rp"), "specificity": ("tn", "tn + fp"), "accuracy": ("tp + tn", "tp + tn + fp + fn"), "precision": ("tp", "pp")}
     rows += [f"SELECT image_id, '{m}_overall', ({a}) / nullif({b}, 0) FROM ones" for m, (a, b) in one.items()]
-    return d.with_ctes(d.CELLS, d.PAIR, VOLUMES, """ones AS (SELECT image_id, CAST(count(*) FILTER (WHERE src = 1 AND tgt = 1) AS DOUBLE) AS tp,
+    rows += ["SELECT image_id, 'hausdorff95_overall', coalesce(hd, 0) FROM same LEFT JOIN (SELECT * FROM lfar WHERE plane = '_overall') USING (image_id)",
+             "SELECT image_id, 'hausdorff95' || plane, hd FROM lfar WHERE plane <> '_overall'"]
+    return d.with_ctes(d.CELLS, d.PAIR, d.META, VOLUMES, *PLANE_FAR, """ones AS (SELECT image_id, CAST(count(*) FILTER (WHERE src = 1 AND tgt = 1) AS DOUBLE) AS tp,
       count(*) FILTER (WHERE src = tgt AND src <> 1) AS tn, count(*) FILTER (WHERE src = 1 AND tgt <> 1) AS fn, count(*) FILTER (WHERE src <> 1 AND src <> tgt) AS fp,
       count(*) FILTER (WHERE src = 1) AS rp, count(*) FILTER (WHERE tgt = 1) AS pp FROM pair GROUP BY 1)""",
                        "same AS (SELECT image_id FROM pair GROUP BY 1 HAVING list_sort(list(DISTINCT src)) = list_sort(list(DISTINCT tgt)))",
@@ -195,7 +226,8 @@ def _label_statistics_sql():
 
 @query("label_statistics", _label_statistics_sql())
 def label_statistics(t):
-    return _round(ag.label_statistics(_pair_table(t)), "value")
+    pair = d.stored(d.label_pair(t))
+    return _round(ag.label_statistics(d.stored(ag.contingency(pair)), pair=pair, spacing=d.image_meta(t).select("image_id", "spacing")), "value")
 
 
 MEMBERS = {"NET": "(1)", "ED": "(2)", "ET": "(4)", "TC": "(1, 4)", "WT": "(1, 2, 4)"}
@@ -212,18 +244,36 @@ REGION_VOLUMES = ("rv AS (SELECT image_id, region, CAST(sum(src * tgt) AS DOUBLE
                   "CAST({n} AS DOUBLE) AS n FROM regions GROUP BY 1, 2)")
 
 
-def _region_sql(n, source="pair", extra=()):
+def _region_sql(n, source="pair", extra=(), far=False):
     c = {m: f"({a}) / nullif({b}, 0)" for m, (a, b) in (OVERLAP | RATES).items()}
     for m in ("dice", "specificity"):
         c[m] = f"CASE WHEN s + t = 0 THEN 1 ELSE {c[m]} END"
     c["sensitivity"] = f"CASE WHEN s + t = 0 THEN 1 ELSE coalesce({c['sensitivity']}, 0) END"
-    return d.with_ctes(d.CELLS, d.PAIR, *extra, REGION_PAIR.replace("FROM pair", f"FROM {source}"), REGION_VOLUMES.format(n=n),
-                       "SELECT image_id, region, " + ", ".join(f"{R(e)} AS {m}" for m, e in c.items()) + " FROM rv")
+    if far:
+        c["hausdorff95"] = REGION_HD
+    return d.with_ctes(d.CELLS, d.PAIR, *extra, REGION_PAIR.replace("FROM pair", f"FROM {source}"), REGION_VOLUMES.format(n=n), *([d.META, REGION_SIDES, *REGION_FAR] if far else []),
+                       "SELECT image_id, region, " + ", ".join(f"{R(e)} AS {m}" for m, e in c.items()) + " FROM rv"
+                       + (" JOIN meta USING (image_id) LEFT JOIN h USING (image_id, region)" if far else ""))
 
 
-@query("region_statistics", _region_sql("count(*)"))
+@query("region_statistics", _region_sql("count(*)", far=True))
 def region_statistics(t):
-    return _round(ag.region_statistics(_pair_table(t)), *OVERLAP, *RATES)
+    pair = d.stored(d.label_pair(t))
+    scores = ag.region_statistics(d.stored(ag.contingency(pair)), pair=pair, extents=d.image_meta(t).select("image_id", "size"))
+    return _round(scores, *OVERLAP, *RATES, "hausdorff95")
+
+
+@query("validation_scores", d.with_ctes(d.CELLS, d.PAIR, REGION_PAIR, REGION_VOLUMES.format(n="count(*)"), d.META, REGION_SIDES, *REGION_FAR, f"""SELECT subject_id AS subject, modality AS arch, region, measure,
+  {R('value')} AS value FROM (SELECT subject_id, modality, region, unnest(['Dice', 'Hausdorff95', 'Sensitivity', 'Specificity']) AS measure, unnest([
+    CASE WHEN s + t = 0 THEN 1 ELSE 2 * b / nullif(s + t, 0) END, {REGION_HD},
+    CASE WHEN s + t = 0 THEN 1 ELSE coalesce(b / nullif(s, 0), 0) END, CASE WHEN s + t = 0 THEN 1 ELSE (n - s - t + b) / nullif(n - s, 0) END]) AS value
+  FROM rv JOIN meta USING (image_id) LEFT JOIN h USING (image_id, region) WHERE region IN ('WT', 'TC', 'ET'))"""))
+def validation_scores(t):
+    """Score table of a validation run: subjects of four scans, one a modality."""
+    pair, meta = d.stored(d.label_pair(t)), d.image_meta(t)
+    named = lambda df: df.join(meta.select("image_id", F.col("subject_id").alias("subject"), F.col("modality").alias("arch")), "image_id").drop("image_id")
+    statistics = named(ag.region_statistics(d.stored(ag.contingency(pair))))
+    return _round(cohort.validation_scores(statistics, named(ag.region_hausdorff95(pair, meta.select("image_id", "size")))), "value")
 
 
 @query("region_statistics_full_grid", _region_sql("960"))
@@ -239,18 +289,6 @@ def region_statistics_masked(t):
     return _round(ag.region_statistics(d.stored(ag.contingency(masked))), *OVERLAP, *RATES)
 
 
-SIDES = """sides AS (SELECT image_id, x, y, z, 'src' AS side FROM pair WHERE src <> 0 UNION ALL SELECT image_id, x, y, z, 'tgt' FROM pair WHERE tgt <> 0)"""
-D2 = "(p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)+(p.z-q.z)*(p.z-q.z)"
-
-
-def border_sql(source, reach, keys="image_id, side", count=None):
-    cond = " AND ".join(f"a.{k.strip()} = b.{k.strip()}" for k in keys.split(","))
-    n = count or {1: 7, 2: 19}[reach]
-    return f"""(SELECT {', '.join('a.' + k.strip() for k in keys.split(','))}, a.x, a.y, a.z FROM {source} a JOIN {source} b ON {cond}
-      AND b.x BETWEEN a.x-1 AND a.x+1 AND b.y BETWEEN a.y-1 AND a.y+1 AND b.z BETWEEN a.z-1 AND a.z+1
-      AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) <= {reach} GROUP BY ALL HAVING count(*) < {n})"""
-
-
 @query("hausdorff", d.with_ctes(d.CELLS, d.PAIR, SIDES, f"""SELECT image_id, {R('sqrt(max(d2))')} AS hausdorff FROM
   (SELECT p.image_id, p.side, p.x, p.y, p.z, min({D2}) AS d2 FROM sides p JOIN sides q ON p.image_id = q.image_id AND p.side <> q.side GROUP BY ALL) GROUP BY 1"""))
 def hausdorff(t):
@@ -273,19 +311,27 @@ def hausdorff95_pooled(t):
     return _round(ag.hausdorff95(d.stored(d.label_pair(t)), pooled=True), "hd95")
 
 
-REGION_SIDES = "rsides AS (SELECT image_id, region, 'src' AS side, x, y, z FROM regions WHERE src = 1 UNION ALL SELECT image_id, region, 'tgt', x, y, z FROM regions WHERE tgt = 1)"
-
-
-@query("region_hausdorff95", d.with_ctes(d.CELLS, d.PAIR, d.META, REGION_PAIR, REGION_SIDES, f"border AS {border_sql('rsides', 1, 'image_id, region, side')}",
-       f"""h AS (SELECT image_id, region, quantile_cont(sqrt(d2), 0.95) AS hd FROM (SELECT p.image_id, p.region, p.side, p.x, p.y, p.z, min({D2}) AS d2
-  FROM border p JOIN border q ON p.image_id = q.image_id AND p.region = q.region AND p.side <> q.side GROUP BY ALL) GROUP BY 1, 2)""",
-       f"""SELECT image_id, region, {R('CASE WHEN s = 0 AND t = 0 THEN 0 WHEN s = 0 OR t = 0 THEN sqrt(size[1]*size[1]+size[2]*size[2]+size[3]*size[3]) ELSE hd END')} AS hausdorff95
-  FROM (SELECT image_id, region, sum(src) AS s, sum(tgt) AS t FROM regions GROUP BY 1, 2) JOIN meta USING (image_id) LEFT JOIN h USING (image_id, region)"""))
+@query("region_hausdorff95", d.with_ctes(d.CELLS, d.PAIR, d.META, REGION_PAIR, REGION_SIDES, *REGION_FAR,
+       f"SELECT image_id, region, {R(REGION_HD)} AS hausdorff95 FROM (SELECT image_id, region, sum(src) AS s, sum(tgt) AS t FROM regions GROUP BY 1, 2) "
+       "JOIN meta USING (image_id) LEFT JOIN h USING (image_id, region)"))
 def region_hausdorff95(t):
     found = ag.region_hausdorff95(d.stored(d.label_pair(t)), d.image_meta(t).select("image_id", "size"))
     return _round(found, "hausdorff95")
 
 
+LONG_CELL = "'img' || (l_orderkey // 500) AS image_id, l_partkey % 64 AS x, l_suppkey % 64 AS y, (l_orderkey * 7 + l_linenumber) % 64 AS z"
+
+
+@query("distance_long_axes", f"""WITH cells AS (SELECT DISTINCT {LONG_CELL}, l_linestatus AS side FROM lineitem)
+SELECT p.image_id, p.x, p.y, p.z, CAST(min({D2}) AS DOUBLE) AS d2 FROM cells p JOIN cells q ON p.image_id = q.image_id AND p.side = 'O' AND q.side = 'F' GROUP BY ALL""")
+def distance_long_axes(t):
+    """Nearest shipped line of every open one in images with axes of 64 voxels."""
+    number = F.col("l_orderkey")
+    cells = d.stored(t.lineitem.select(F.concat(F.lit("img"), F.expr("l_orderkey div 500").cast("string")).alias("image_id"), (F.col("l_partkey") % 64).alias("x"),
+                                       (F.col("l_suppkey") % 64).alias("y"), ((number * 7 + F.col("l_linenumber")) % 64).alias("z"), F.col("l_linestatus").alias("side")).distinct())
+    return joins.nearest_squared(cells.where("side = 'O'"), cells.where("side = 'F'"))
+
+
 FORMAT = "CASE WHEN {v} IS NULL THEN 'NaN' WHEN abs({v}) > 1e101 THEN 'INF' ELSE printf('%.6f', round({v}, 6) + 0.0) END"
 
 

@@ -69,11 +69,13 @@ def _rates(both: Column, s: Column, t: Column, n: Column) -> dict[str, Column]:
             "accuracy": ratio(both + counts["tn"], n), "precision": ratio(both, t)}
 
 
-def label_statistics(table: DataFrame, keys: Sequence[str] = IMAGE) -> DataFrame:
-    """Long table (metric, value): overlap and rates, overall and per label.
+def label_statistics(table: DataFrame, keys: Sequence[str] = IMAGE, pair: DataFrame | None = None,
+                     spacing: DataFrame | None = None) -> DataFrame:
+    """Long table (metric, value): overlap and rates, overall and per label, and surface distances if the voxels (``pair``) are given.
 
     Only maps whose two sides hold the same labels are scored. The overall rates take class 1 as
-    positive and every other equal pair as a true negative.
+    positive and every other equal pair as a true negative. The distances are those of ``hausdorff95`` (by rank, in units of
+    ``spacing``) between all voxels other than 0, and between the voxels of each label; two empty masks are 0 apart.
     """
     keys = list(keys)
     seen = table.groupBy(*keys).agg(F.array_sort(F.collect_set("src")).alias("a"), F.array_sort(F.collect_set("tgt")).alias("b"))
@@ -97,9 +99,17 @@ def label_statistics(table: DataFrame, keys: Sequence[str] = IMAGE) -> DataFrame
         counted(src == 1).alias("rp"), counted(tgt == 1).alias("pp"))
     roc = roc_columns()
     suffix = F.concat(F.lit("_label"), F.col("label").cast("string"))
-    return (long(whole, overlap_columns(b, s, t), F.lit("_overall"))
-            .unionByName(long(pairs, {m: roc[m] for m in ("sensitivity", "specificity", "accuracy", "precision")}, F.lit("_overall")))
-            .unionByName(long(per_label, overlap_columns(b, s, t) | _rates(b, s, t, n), suffix)))
+    scores = (long(whole, overlap_columns(b, s, t), F.lit("_overall"))
+              .unionByName(long(pairs, {m: roc[m] for m in ("sensitivity", "specificity", "accuracy", "precision")}, F.lit("_overall")))
+              .unionByName(long(per_label, overlap_columns(b, s, t) | _rates(b, s, t, n), suffix)))
+    if pair is None:
+        return scores
+    names = F.array(F.lit("_overall"), F.concat(F.lit("_label"), F.col("label").cast("string")))
+    words = _planes(label_words(pair.join(same.select(*keys).distinct(), keys, "left_semi"), keys), names, keys)
+    far = _planes_hausdorff95(words, [*keys, "plane"], spacing=spacing).select(
+        *keys, F.concat(F.lit("hausdorff95"), F.col("plane")).alias("metric"), F.col("hd95").alias("value"))
+    empty = same.select(*keys).distinct().join(volumes, keys, "left_anti").select(*keys, F.lit("hausdorff95_overall").alias("metric"), F.lit(0.0).alias("value"))
+    return scores.unionByName(far).unionByName(empty)
 
 
 # --- regions ----------------------------------------------------------------------------------
@@ -130,11 +140,13 @@ def region_volumes(table: DataFrame, keys: Sequence[str] = IMAGE, sizes: DataFra
     return long
 
 
-def region_statistics(table: DataFrame, keys: Sequence[str] = IMAGE, sizes: DataFrame | None = None) -> DataFrame:
+def region_statistics(table: DataFrame, keys: Sequence[str] = IMAGE, sizes: DataFrame | None = None, pair: DataFrame | None = None,
+                      extents: DataFrame | None = None) -> DataFrame:
     """Overlap, accuracy, precision, sensitivity and specificity of each region from a contingency table.
 
     Two empty masks have Dice, sensitivity and specificity 1; where only one side is empty, an
-    undefined sensitivity is 0.
+    undefined sensitivity is 0. With the voxels (``pair``) and the ``size`` array of each image (``extents``) there is a
+    column hausdorff95 by the rules of ``region_hausdorff95``.
     """
     b, s, t, n = (F.col(c) for c in ("both", "s", "t", "n"))
     measures = overlap_columns(b, s, t) | _rates(b, s, t, n)
@@ -142,7 +154,10 @@ def region_statistics(table: DataFrame, keys: Sequence[str] = IMAGE, sizes: Data
     measures["dice"] = F.when(both_empty, F.lit(1.0)).otherwise(measures["dice"])
     measures["specificity"] = F.when(both_empty, F.lit(1.0)).otherwise(measures["specificity"])
     measures["sensitivity"] = F.when(both_empty, F.lit(1.0)).otherwise(F.coalesce(measures["sensitivity"], F.lit(0.0)))
-    return region_volumes(table, keys, sizes).select(*keys, "region", *[c.alias(m) for m, c in measures.items()])
+    scores = region_volumes(table, keys, sizes).select(*keys, "region", *[c.alias(m) for m, c in measures.items()])
+    if pair is None:
+        return scores
+    return scores.join(region_hausdorff95(pair, extents, keys), [*keys, "region"], "left")
 
 
 # --- surface distances ------------------------------------------------------------------------
@@ -163,22 +178,17 @@ def hausdorff(pair: DataFrame, keys: Sequence[str] = IMAGE, src: str = "src", tg
     return far.groupBy(*keys).agg(F.sqrt(F.max("d2")).alias("hausdorff"))
 
 
-def _per_side(spacing: DataFrame | None, keys: Sequence[str]) -> DataFrame | None:
+def _per_side(spacing: DataFrame | None, keys: Sequence[str], words: DataFrame | None = None) -> DataFrame | None:
+    """The spacing of every group of a search; ``spacing`` may have only some of the ``keys``, which ``words`` have all."""
     if spacing is None:
         return None
+    missing = [k for k in keys if k not in spacing.columns]
+    if missing:
+        own = [k for k in keys if k not in missing]
+        spacing = words.select(*keys).distinct().join(spacing.select(*own, "spacing"), own)
     return spacing.withColumn("side", F.explode(F.array(F.lit("src"), F.lit("tgt"))))
 
 
-def surface_distances(pair: DataFrame, keys: Sequence[str] = IMAGE, src: str = "src", tgt: str = "tgt",
-                      spacing: DataFrame | None = None, to_surface: bool = False, shape: str = "ball") -> DataFrame:
-    """Squared distance from each surface voxel of one mask to the other mask (or its surface)."""
-    members, targets = _sides(pair, keys, src, tgt)
-    border = settle(regions.surface(members, [*keys, "side"], shape))
-    if to_surface:
-        targets = border.withColumn("side", F.when(F.col("side") == "src", F.lit("tgt")).otherwise(F.lit("src")))
-    return joins.nearest_squared(border, targets, [*keys, "side"], _per_side(spacing, keys))
-
-
 def hausdorff95(pair: DataFrame, keys: Sequence[str] = IMAGE, src: str = "src", tgt: str = "tgt",
                 spacing: DataFrame | None = None, percentile: float = 0.95, pooled: bool = False,
                 one_empty: Column | None = None) -> DataFrame:
@@ -190,39 +200,62 @@ def hausdorff95(pair: DataFrame, keys: Sequence[str] = IMAGE, src: str = "src",
     """
     keys = list(keys)
     filled = pair.groupBy(*keys).agg(F.bool_or(F.col(src) != 0).alias("_s"), F.bool_or(F.col(tgt) != 0).alias("_t"))
-    distances = settle(surface_distances(pair, keys, src, tgt, spacing, pooled, "cross" if pooled else "ball"))
+    members, _ = _sides(pair, keys, src, tgt)
+    words = settle(regions.pack_lines(members, [*keys, "side"]))
+    found = _surface_percentile(words, keys, spacing, percentile, pooled)
+    missing = F.when(~F.col("_s") & ~F.col("_t"), F.lit(0.0)).otherwise(
+        F.lit(float("inf")) if one_empty is None else one_empty)
+    return filled.join(found, keys, "left").select(
+        *keys, F.when(F.col("_s") & F.col("_t"), F.col("hd95")).otherwise(missing).alias("hd95"))
+
+
+def _surface_percentile(words: DataFrame, keys: list[str], spacing: DataFrame | None, percentile: float, pooled: bool) -> DataFrame:
+    """(keys, hd95) of the groups that have voxels on both sides; ``words`` are the lines of both masks by ``side``."""
+    other = F.when(F.col("side") == "src", F.lit("tgt")).otherwise(F.lit("src"))
+    border = settle(regions.surface_of_words(words, [*keys, "side"], "cross" if pooled else "ball"))
+    targets = border if pooled else regions.unpack_lines(words, [*keys, "side"])
+    distances = settle(joins.nearest_squared(border, targets.withColumn("side", other), [*keys, "side"], _per_side(spacing, keys, words)))
     if pooled:
         at = lambda n: F.lit(percentile) * (n - 1)
         ends = select_ranks(distances, {"lo": lambda n: F.floor(at(n)), "hi": lambda n: F.ceil(at(n))}, keys, "d2")
         n = distances.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
         part = at(F.col("n")) - F.floor(at(F.col("n")))
         low, high = F.sqrt("lo"), F.sqrt("hi")
-        found = ends.join(n, keys).select(*keys, (low + (high - low) * part).alias("hd95"))
-    else:
-        ranked = select_ranks(distances, {"d2": lambda n: F.floor(F.lit(percentile) * (n - 1))}, [*keys, "side"], "d2")
-        found = ranked.groupBy(*keys).agg(F.sqrt(F.max("d2")).alias("hd95"))
-    missing = F.when(~F.col("_s") & ~F.col("_t"), F.lit(0.0)).otherwise(
-        F.lit(float("inf")) if one_empty is None else one_empty)
-    return filled.join(found, keys, "left").select(
-        *keys, F.when(F.col("_s") & F.col("_t"), F.col("hd95")).otherwise(missing).alias("hd95"))
+        return ends.join(n, keys).select(*keys, (low + (high - low) * part).alias("hd95"))
+    ranked = select_ranks(distances, {"d2": lambda n: F.floor(F.lit(percentile) * (n - 1))}, [*keys, "side"], "d2")
+    return ranked.groupBy(*keys).agg(F.sqrt(F.max("d2")).alias("hd95"))
+
+
+def label_words(pair: DataFrame, keys: Sequence[str] = IMAGE, src: str = "src", tgt: str = "tgt") -> DataFrame:
+    """Lines of 64 voxels of every label other than 0 on either side (columns side, label, y, z, w, bits)."""
+    one = lambda c: F.when(F.col(c) != 0, F.struct(F.lit("src" if c == src else "tgt").alias("side"), F.col(c).alias("label")))
+    members = pair.select(*keys, *XYZ, F.explode(F.array_compact(F.array(one(src), one(tgt)))).alias("_m"))
+    return regions.pack_lines(members.select(*keys, *XYZ, "_m.side", "_m.label"), [*keys, "side", "label"])
+
+
+def _planes(words: DataFrame, names: Column, keys: Sequence[str]) -> DataFrame:
+    """Masks made of labels: the words of each plane that ``names`` lists for a label, put together bit by bit."""
+    named = words.select(*keys, "side", "y", "z", "w", "bits", F.explode(names).alias("plane"))
+    return settle(named.groupBy(*keys, "plane", "side", "y", "z", "w").agg(F.bit_or("bits").alias("bits")))
 
 
-def region_pairs(pair: DataFrame, keys: Sequence[str] = IMAGE, src: str = "src", tgt: str = "tgt") -> DataFrame:
-    """Voxels of each region as 0/1 masks ``src`` and ``tgt``; voxels outside both masks are left out."""
-    entries = F.array(*[F.struct(F.lit(name).alias("region"), F.col(src).isin(*codes).cast("int").alias("src"),
-                                 F.col(tgt).isin(*codes).cast("int").alias("tgt")) for name, codes in REGIONS.items()])
-    long = pair.select(*keys, *XYZ, F.explode(entries).alias("e")).select(*keys, *XYZ, "e.*")
-    return long.where("src + tgt > 0")
+def _planes_hausdorff95(words: DataFrame, keys: list[str], spacing: DataFrame | None = None, percentile: float = 0.95, pooled: bool = False) -> DataFrame:
+    """hd95 of every plane, all in one search; infinity where one side has no voxel."""
+    found = _surface_percentile(words, keys, spacing, percentile, pooled)
+    return words.select(*keys).distinct().join(found, keys, "left").select(*keys, F.coalesce("hd95", F.lit(float("inf"))).alias("hd95"))
 
 
 def region_hausdorff95(pair: DataFrame, sizes: DataFrame, keys: Sequence[str] = IMAGE, src: str = "src",
                        tgt: str = "tgt") -> DataFrame:
     """Pooled 95th percentile per region in voxel units; if one mask is empty the diagonal of the image.
 
-    ``sizes`` has one ``size`` array per group. Regions that are empty on both sides score 0.
+    ``sizes`` has one ``size`` array per group. Regions that are empty on both sides score 0. Voxels are packed by label; regions
+    are put together from words of 64 voxels.
     """
     keys = list(keys)
-    scored = hausdorff95(region_pairs(pair, keys, src, tgt), [*keys, "region"], pooled=True)
+    names = F.array_compact(F.array(*[F.when(F.col("label").isin(*codes), F.lit(name)) for name, codes in REGIONS.items()]))
+    words = _planes(label_words(pair, keys, src, tgt), names, keys)
+    scored = _planes_hausdorff95(words, [*keys, "plane"], pooled=True).withColumnRenamed("plane", "region")
     every = sizes.select(*keys, "size", F.explode(F.array(*[F.lit(r) for r in REGIONS])).alias("region"))
     diagonal = F.sqrt(F.aggregate("size", F.lit(0.0), lambda acc, v: acc + v * v))
     value = F.when(F.col("hd95") == float("inf"), diagonal).otherwise(F.coalesce("hd95", F.lit(0.0)))

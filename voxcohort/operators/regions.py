@@ -62,14 +62,19 @@ def _to_lines(words: DataFrame, steps: dict[tuple[int, int], int], keys: Sequenc
 
 
 def surface(mask: DataFrame, keys: Sequence[str] = IMAGE, shape: str = "ball") -> DataFrame:
-    """Mask voxels with a radius-1 neighbour outside the mask ("ball", or the face neighbours "cross").
+    """Mask voxels with a radius-1 neighbour outside the mask ("ball", or the face neighbours "cross")."""
+    return surface_of_words(pack_lines(mask, keys), keys, shape)
+
+
+def surface_of_words(words: DataFrame, keys: Sequence[str] = IMAGE, shape: str = "ball") -> DataFrame:
+    """``surface`` of a mask as ``pack_lines`` gives it.
 
     A voxel is interior if all shifted copies of the neighbouring lines have its bit.
     """
     steps = _line_steps(1, shape)
     line = Window.partitionBy(*keys, "y", "z").orderBy("w")
     beside = lambda fn, step: F.when(fn("w").over(line) == F.col("w") + step, fn("bits").over(line)).otherwise(F.lit(0).cast("long"))
-    words = pack_lines(mask, keys).withColumns({"_before": beside(F.lag, -1), "_after": beside(F.lead, 1)})
+    words = words.withColumns({"_before": beside(F.lag, -1), "_after": beside(F.lead, 1)})
     bits = F.col("bits")
     core = bits.bitwiseAND(_left(bits, 1).bitwiseOR(_right(F.col("_before"), 63))).bitwiseAND(
         _right(bits, 1).bitwiseOR(_left(F.col("_after"), 63)))
