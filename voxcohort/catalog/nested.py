@@ -13,12 +13,23 @@ def _code(value, meaning, scheme="SRT"):
     return F.struct(value.alias("CodeValue"), F.lit(scheme).alias("CodingSchemeDesignator"), meaning.alias("CodeMeaning"))
 
 
-def _reports(t, swap=False):
-    """One report per order with one group, two numeric items and a qualitative evaluation for odd orders."""
+def _reports(t, swap=False, full=False):
+    """One report per order with one group, two numeric items and a qualitative evaluation for odd orders.
+
+    ``full`` adds the algorithm of the group, and to the items their parameters and modifiers.
+    """
     k = F.col("o_orderkey").cast("string")
+    parameter = lambda name, value: F.struct(_code(F.lit("P"), F.lit(name)).alias("derivationParameter"), value.cast("string").alias("derivationParameterValue"))
+    modifier = lambda name, value: F.struct(_code(F.lit("M"), F.lit(name)).alias("modifier"), _code(F.lit("V"), value).alias("modifierValue"))
+
+    def more(name):
+        parameters = [parameter("Threshold", F.col("o_orderkey") % 7), parameter("Radius", F.col("o_custkey") % 5)]
+        return (F.array(*parameters[: 2 if name == "Mean" else 1]).alias("derivationParameters"),
+                F.when(F.col("o_orderkey") % 3 == 0, F.array(modifier("Status", F.col("o_orderstatus")))).alias("otherModifiers"))
+
     item = lambda value, name, unit: F.struct(
         value.cast("string").alias("value"), _code(F.lit("Q"), F.lit(name)).alias("quantity"), _code(F.lit(unit), F.lit(unit), "UCUM").alias("units"),
-        _code(F.lit("R-00317"), F.col("o_orderpriority")).alias("derivationModifier"))
+        _code(F.lit("R-00317"), F.col("o_orderpriority")).alias("derivationModifier"), *(more(name) if full else ()))
     items = [item(F.col("o_custkey"), "Volume", "cm3"), item(F.col("o_orderkey") % 97, "Mean", "g/ml")]
     evaluations = F.when(F.col("o_orderkey") % 2 == 1, F.array(
         F.struct(_code(F.lit("E1"), F.lit("Visible")).alias("conceptCode"), F.col("o_orderstatus").alias("conceptValue"))))
@@ -26,19 +37,21 @@ def _reports(t, swap=False):
         F.concat(F.lit("group "), k).alias("TrackingIdentifier"), (F.col("o_custkey") % 3).cast("int").alias("ReferencedSegment"),
         _code(F.lit("M-80003"), F.lit("Neoplasm")).alias("Finding"), _code(F.lit("T"), F.col("o_orderpriority")).alias("FindingSite"),
         F.when(F.col("o_custkey") % 2 == 0, _code(F.lit("G-A101"), F.lit("Left"))).alias("Laterality"),
+        *([F.struct(F.concat(F.lit("tool "), (F.col("o_custkey") % 4).cast("string")).alias("AlgorithmName"),
+                    F.lit("1").alias("AlgorithmVersion")).alias("measurementAlgorithmIdentification")] if full else []),
         F.array(*items[::-1 if swap else 1]).alias("measurementItems"),
         evaluations.alias("qualitativeEvaluations"))
     return t.orders.select("o_orderkey", F.to_json(F.struct(F.lit("Measurements").alias("SeriesDescription"), F.array(group).alias("Measurements"))).alias("json"))
 
 
 @query("flatten_report", """SELECT o_orderkey, 'group ' || o_orderkey AS tracking, CAST(o_custkey % 3 AS INTEGER) AS segment, 'Neoplasm' AS finding, o_orderpriority AS finding_site,
-  CASE WHEN o_custkey % 2 = 0 THEN 'Left' ELSE '' END AS laterality, kind, value, quantity, units, derivation FROM (
-  SELECT *, 'numeric' AS kind, CAST(o_custkey AS VARCHAR) AS value, 'Volume' AS quantity, 'cm3' AS units, o_orderpriority AS derivation FROM orders UNION ALL
-  SELECT *, 'numeric', CAST(o_orderkey % 97 AS VARCHAR), 'Mean', 'g/ml', o_orderpriority FROM orders UNION ALL
-  SELECT *, 'qualitative', o_orderstatus, 'Visible', '', '' FROM orders WHERE o_orderkey % 2 = 1)""")
+  CASE WHEN o_custkey % 2 = 0 THEN 'Left' ELSE '' END AS laterality, 'tool ' || o_custkey % 4 AS algorithm, kind, value, quantity, units, derivation, derivation_parameters,
+  CASE WHEN kind = 'numeric' AND o_orderkey % 3 = 0 THEN 'Status=' || o_orderstatus ELSE '' END AS other_modifiers FROM (
+  SELECT *, 'numeric' AS kind, CAST(o_custkey AS VARCHAR) AS value, 'Volume' AS quantity, 'cm3' AS units, o_orderpriority AS derivation, 'Threshold=' || o_orderkey % 7 AS derivation_parameters FROM orders UNION ALL
+  SELECT *, 'numeric', CAST(o_orderkey % 97 AS VARCHAR), 'Mean', 'g/ml', o_orderpriority, 'Threshold=' || o_orderkey % 7 || ';Radius=' || o_custkey % 5 FROM orders UNION ALL
+  SELECT *, 'qualitative', o_orderstatus, 'Visible', '', '', '' FROM orders WHERE o_orderkey % 2 = 1)""")
 def flatten_report(t):
-    rows = ne.flatten_report(_reports(t))
-    return rows.drop("algorithm", "derivation_parameters", "other_modifiers").fillna("")
+    return ne.flatten_report(_reports(t, full=True)).fillna("")
 
 
 @query("build_report", """SELECT l_orderkey AS report_id, '{"SeriesDescription":"Measurements","InstanceNumber":"1","VerificationFlag":"VERIFIED","CompletionFlag":"COMPLETE","activitySession":"1","Measurements":['
@@ -59,10 +72,12 @@ def mapped_value_range(t):
     return ne.mapped_value_range(d.voxels(t))
 
 
-@query("label_attribute_match", "SELECT DISTINCT l_returnflag AS file, l_partkey AS label FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 40)")
+@query("label_attribute_match", "SELECT DISTINCT l_returnflag AS file, l_partkey AS label FROM lineitem WHERE NOT EXISTS "
+       "(SELECT 1 FROM part WHERE p_partkey = l_partkey AND l_returnflag = ['A', 'N', 'R'][p_size % 3 + 1])")
 def label_attribute_match(t):
     labels = t.lineitem.select(F.col("l_returnflag").alias("file"), F.col("l_partkey").alias("label"))
-    attributes = t.part.where("p_size < 40").select(F.col("p_partkey").alias("label"), F.explode(F.array(*map(F.lit, ["A", "N", "R"]))).alias("file"))
+    file = F.element_at(F.array(*map(F.lit, ["A", "N", "R"])), (F.col("p_size") % 3 + 1).cast("int"))
+    attributes = t.part.select(F.col("p_partkey").alias("label"), file.alias("file"))
     return ne.label_attribute_match(labels, attributes)
 
 
@@ -224,11 +239,12 @@ def flatten_segments(t):
     return ne.flatten_segments(_segment_documents(t))
 
 
-@query("build_segments", """SELECT p_brand, '{"segmentAttributes":[' || string_agg('[{"labelID":' || p_partkey || ',"SegmentDescription":"","SegmentLabel":"' || p_name
-  || '","SegmentAlgorithmType":"","SegmentedPropertyCategoryCodeSequence":{"CodeValue":"' || p_brand || '","CodingSchemeDesignator":"SRT","CodeMeaning":"Meaning"},"recommendedDisplayRGBValue":['
-  || p_size || ',0,255]}]', ',' ORDER BY p_partkey) || ']}' AS json FROM part WHERE p_size > 20 AND p_partkey % 9 <> 0 GROUP BY 1""")
+@query("build_segments", """SELECT p_brand, '{"segmentAttributes":[' || string_agg('[{"labelID":' || label_id || ',"SegmentDescription":"","SegmentLabel":"' || p_name
+  || '","SegmentAlgorithmType":"","SegmentedPropertyCategoryCodeSequence":{"CodeValue":"' || p_brand || '","CodingSchemeDesignator":"SRT","CodeMeaning":"Meaning"}'
+  || CASE WHEN p_size > 20 THEN ',"recommendedDisplayRGBValue":[' || p_size || ',0,255]' ELSE '' END || '}]', ',' ORDER BY label_id, p_name, p_size > 20, p_size) || ']}' AS json
+  FROM (SELECT *, CASE WHEN p_partkey % 9 <> 0 THEN p_partkey ELSE 1 END AS label_id FROM part) GROUP BY 1""")
 def build_segments(t):
-    rows = ne.flatten_segments(_segment_documents(t).where("p_partkey % 9 <> 0")).where("rgb <> ''")
+    rows = ne.flatten_segments(_segment_documents(t))
     return ne.build_segments(rows.join(t.part.select("p_partkey", "p_brand"), "p_partkey"), ["p_brand"])
 
 

@@ -159,12 +159,14 @@ def nonzero_indices(t):
 
 
 @query("values_at", d.with_ctes(d.VOXELS, "SELECT p_partkey AS position, image_id, x, y, z, value FROM part "
-       "JOIN voxels ON image_id = 'img' || (p_partkey % 3) AND x = p_partkey % 12 AND y = p_size % 10 AND z = p_size % 8"))
+       "JOIN voxels ON image_id = 'img' || (p_partkey % (SELECT count(DISTINCT image_id) FROM voxels)) AND x = p_partkey % 12 AND y = p_size % 10 AND z = p_size % 8"))
 def values_at(t):
+    image = d.voxels(t)
+    images = image.select(F.count_distinct("image_id")).first()[0]
     indices = t.part.select(
-        F.col("p_partkey").alias("position"), F.concat(F.lit("img"), (F.col("p_partkey") % 3).cast("string")).alias("image_id"),
+        F.col("p_partkey").alias("position"), F.concat(F.lit("img"), (F.col("p_partkey") % images).cast("string")).alias("image_id"),
         (F.col("p_partkey") % 12).alias("x"), (F.col("p_size") % 10).cast("long").alias("y"), (F.col("p_size") % 8).cast("long").alias("z"))
-    return voxels.values_at(d.voxels(t), indices)
+    return voxels.values_at(image, indices)
 
 
 @query("one_hot_labels", d.with_ctes(d.CELLS, d.PAIR, "SELECT image_id, x, y, z, src AS label, "
@@ -292,11 +294,11 @@ def vector_image_add(t):
     return added.select("vec_id", _r(F.aggregate("features", F.lit(0.0), lambda a, v: a + v)).alias("total"))
 
 
-@query("limit_vector_length", d.with_ctes(d.FEATURES, f"""SELECT vec_id, {rounded('features[1] * f')} AS v1, {rounded('features[2] * f')} AS v2 FROM
-  (SELECT *, 0.5 / max(sqrt(list_sum(list_transform(features, lambda v: v * v)))) OVER (PARTITION BY label) AS f FROM features)"""))
+@query("limit_vector_length", d.with_ctes(d.FEATURES, f"""SELECT vec_id, CAST(i - 1 AS INTEGER) AS component, {rounded('features[i] * f')} AS value FROM
+  (SELECT *, unnest(range(1, len(features) + 1)) AS i FROM (SELECT *, 0.5 / max(sqrt(list_sum(list_transform(features, lambda v: v * v)))) OVER (PARTITION BY label) AS f FROM features))"""))
 def limit_vector_length(t):
     scaled = voxels.limit_vector_length(d.features(t), 0.5, keys=["label"], vector="features")
-    return scaled.select("vec_id", _r(F.col("features")[0]).alias("v1"), _r(F.col("features")[1]).alias("v2"))
+    return scaled.select("vec_id", F.posexplode("features").alias("component", "value")).withColumn("value", _r(F.col("value")))
 
 
 # --- joins ------------------------------------------------------------------------------------

@@ -60,10 +60,10 @@ def modality_completeness(t):
 def _candidates(t):
     method = F.element_at(F.array(*map(F.lit, ["fused_STAPLE_seg", "fused_ITKVoting_seg", "fused_MajorityVoting_seg", "fused_SIMPLE_seg", "other_seg"])), (F.col("l_linenumber") % 5 + 1).cast("int"))
     subject = F.concat(F.lit("sub"), (F.col("l_suppkey") * 10 + F.col("l_partkey") % 10).cast("string"))
-    return t.lineitem.where("l_quantity > 40").select(subject.alias("subject_id"), method.alias("name"), (F.col("l_quantity") > 44).alias("passed"))
+    return t.lineitem.select(subject.alias("subject_id"), method.alias("name"), (F.col("l_quantity") > 48).alias("passed"))
 
 
-CANDIDATES = "cand AS (SELECT 'sub' || (l_suppkey * 10 + l_partkey % 10) AS subject_id, l_linenumber % 5 AS m, l_quantity > 44 AS passed FROM lineitem WHERE l_quantity > 40)"
+CANDIDATES = "cand AS (SELECT 'sub' || (l_suppkey * 10 + l_partkey % 10) AS subject_id, l_linenumber % 5 AS m, l_quantity > 48 AS passed FROM lineitem)"
 ADVICE = "advice AS (SELECT subject_id, coalesce(['staple', 'itkvoting', 'majorityvoting'][min(CASE WHEN passed AND m < 3 THEN m END) + 1], 'nnunet_or_deepscan') AS recommended FROM cand GROUP BY 1)"
 
 
@@ -72,30 +72,42 @@ def recommend_fusion(t):
     return qu.recommend_fusion(_candidates(t))
 
 
-LABELS = "lc AS (SELECT 'sub' || o_custkey AS subject_id, CAST(o_orderkey % 7 AS INTEGER) AS label, CAST(sum(o_orderkey % 1500) AS BIGINT) AS voxels FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2)"
-REPORT = f"""report AS (
-  SELECT subject_id, problem, CAST(scans AS VARCHAR) AS detail FROM problems WHERE problem <> '' UNION ALL
-  SELECT subject_id, 'geometry', path || ': ' || mm FROM (SELECT *, {SPACE} AS mm FROM paired) WHERE mm <> '' UNION ALL
-  SELECT subject_id, 'unexpected label', label || ': ' || voxels FROM lc WHERE label NOT IN (0, 1, 2, 4) AND voxels > 1000 UNION ALL
-  SELECT subject_id, 'no label map', '' FROM (SELECT DISTINCT subject_id FROM headers) WHERE subject_id NOT IN (SELECT subject_id FROM lc) UNION ALL
-  SELECT subject_id, 'no folder of fused maps', '' FROM (SELECT DISTINCT subject_id FROM headers) WHERE subject_id NOT IN (SELECT subject_id FROM cand) UNION ALL
-  SELECT subject_id, 'recommended fusion', recommended FROM advice WHERE subject_id NOT IN (SELECT subject_id FROM lc))"""
+LABELS = """lc AS (SELECT subject_id, CASE WHEN label = 3 AND top = 3 THEN 4 ELSE label END AS label, CAST(sum(voxels) AS BIGINT) AS voxels FROM
+  (SELECT *, max(label) OVER (PARTITION BY subject_id) AS top FROM (SELECT 'sub' || (l_suppkey * 10 + l_linenumber) AS subject_id,
+    CAST(l_partkey % CASE l_suppkey % 4 WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 7 END AS INTEGER) AS label, l_orderkey % 1500 AS voxels FROM lineitem)) GROUP BY 1, 2),
+  odd AS (SELECT subject_id, label, voxels, row_number() OVER (PARTITION BY subject_id ORDER BY label) AS i FROM lc WHERE label NOT IN (0, 1, 2, 4) AND voxels > 1000)"""
+STATE = """slots AS (SELECT subject_id, image_id % 7 AS slot, max(path) AS path FROM headers WHERE image_id % 7 < 5 GROUP BY 1, 2),
+  held AS (SELECT subject_id, count(slot) AS n, coalesce(bool_or(slot = 4), false) AS mask, min(slot) AS first FROM (SELECT DISTINCT subject_id FROM headers) LEFT JOIN slots USING (subject_id) GROUP BY 1),
+  complete AS (SELECT * FROM held WHERE n = 5 OR n = 4 AND NOT mask),
+  bad AS (SELECT *, mask AND subject_id IN (SELECT subject_id FROM odd) AS strange, subject_id IN (SELECT subject_id FROM cand) AS folder,
+    subject_id IN (SELECT subject_id FROM cand WHERE passed AND m < 4) AS passing FROM complete)"""
+REPORT = """report AS (
+  SELECT subject_id, 'All_required_modalities_are_not_present' AS problem, '' AS detail, 1 AS counted FROM held WHERE NOT (n = 5 OR n = 4 AND NOT mask) UNION ALL
+  SELECT s.subject_id, 'geometry', 'Image_dimension/size/origin/spacing_mismatch_between_' || ['T1', 'T1CE', 'T2', 'FL'][first + 1] || '_and_' || ['T1', 'T1CE', 'T2', 'FL', 'MASK'][s.slot + 1], 1
+    FROM complete c JOIN slots s ON s.subject_id = c.subject_id AND s.slot <> first JOIN slots f ON f.subject_id = c.subject_id AND f.slot = first
+    JOIN headers a ON a.path = f.path JOIN headers b ON b.path = s.path
+    WHERE a.size <> [240, 240, 155] OR b.dims <> 3 OR a.size <> b.size OR a.origin <> b.origin OR a.spacing <> b.spacing UNION ALL
+  SELECT subject_id, 'unexpected label', label || ': ' || voxels, CAST(i = 1 AS INTEGER) FROM odd WHERE subject_id IN (SELECT subject_id FROM complete WHERE mask) UNION ALL
+  SELECT DISTINCT subject_id, 'unusable fused map', ['fused_STAPLE_seg', 'fused_ITKVoting_seg', 'fused_MajorityVoting_seg', 'fused_SIMPLE_seg'][m + 1], 0 FROM cand JOIN bad USING (subject_id)
+    WHERE (strange OR NOT mask) AND NOT passing AND m < 4 AND NOT cand.passed UNION ALL
+  SELECT subject_id, 'SegmentationsForQC_folder_is_absent', '', 1 FROM bad WHERE (strange OR NOT mask) AND NOT folder UNION ALL
+  SELECT subject_id, 'recommended fusion', coalesce(recommended, 'nnunet_or_deepscan'), 1 FROM bad LEFT JOIN advice USING (subject_id) WHERE NOT mask AND folder)"""
 
 
 def _report(t):
-    counts = t.orders.where("o_orderstatus = 'F'").groupBy(
-        F.concat(F.lit("sub"), F.col("o_custkey").cast("string")).alias("subject_id"), (F.col("o_orderkey") % 7).cast("int").alias("label")).agg(
-        F.sum(F.col("o_orderkey") % 1500).alias("voxels"))
+    label = F.col("l_partkey") % F.when(F.col("l_suppkey") % 4 == 0, 4).when(F.col("l_suppkey") % 4 == 1, 3).otherwise(7)
+    counts = t.lineitem.groupBy(F.concat(F.lit("sub"), (F.col("l_suppkey") * 10 + F.col("l_linenumber")).cast("string")).alias("subject_id"), label.cast("int").alias("label")).agg(
+        F.sum(F.col("l_orderkey") % 1500).alias("voxels"))
     headers = d.headers(t)
     return cohort.cohort_qc(headers, headers, counts, _candidates(t))
 
 
-@query("cohort_qc", d.with_ctes(d.HEADERS, COMPLETENESS, FIRST, PAIRED, LABELS, CANDIDATES, ADVICE, REPORT, "SELECT * FROM report"))
+@query("cohort_qc", d.with_ctes(d.HEADERS, LABELS, CANDIDATES, ADVICE, STATE, REPORT, "SELECT * FROM report"))
 def cohort_qc(t):
     return _report(t)
 
 
-@query("problem_count", d.with_ctes(d.HEADERS, COMPLETENESS, FIRST, PAIRED, LABELS, CANDIDATES, ADVICE, REPORT, "SELECT count(DISTINCT subject_id) AS problem_cases FROM report"))
+@query("problem_count", d.with_ctes(d.HEADERS, LABELS, CANDIDATES, ADVICE, STATE, REPORT, "SELECT CAST(sum(counted) AS BIGINT) AS problem_cases FROM report"))
 def problem_count(t):
     return cohort.problem_count(_report(t))
 
@@ -115,10 +127,10 @@ def repair_negatives(t):
     return qu.repair_negatives(d.stored(d.voxels(t).withColumn("value", F.col("value") - 40)), 80)
 
 
-@query("preparation_plan", """SELECT CAST(c_custkey AS VARCHAR) AS "ID", c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderkey % 4 = 0)""")
+@query("preparation_plan", """SELECT CAST(c_custkey AS VARCHAR) AS "ID", c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH'))""")
 def preparation_plan(t):
     key = F.col("o_custkey").cast("string")
-    outputs = t.orders.where("o_orderkey % 4 = 0").select(
+    outputs = t.orders.select(
         F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(key, F.lit("_brain_t1.nii.gz")))
         .when(F.col("o_orderpriority") == "2-HIGH", F.concat(key, F.lit("_t1.nii.gz"))).otherwise(F.concat(key, F.lit("_x.nii.gz"))).alias("output"))
     manifest = t.customer.select(F.col("c_custkey").cast("string").alias("ID"), "c_name")

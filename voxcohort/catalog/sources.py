@@ -64,26 +64,30 @@ def split_index(t):
     return man.split_index(t.pages, "page_id", "html")
 
 
+REGIONS, MEASURES = ("WT", "TC", "ET"), ("Dice", "Hausdorff95", "Sensitivity", "Specificity")
+
+
 def _scores(t, source):
-    """Long score table: one score per subject, architecture, region and measure."""
-    regions, measures = ("WT", "TC", "ET"), ("Dice", "Hausdorff95", "Sensitivity", "Specificity")
-    base = t.orders.where("o_orderkey % 2 = 0" if source == "new" else "o_orderkey % 3 = 0").select(
-        F.concat(F.lit("sub"), F.col("o_custkey").cast("string")).alias("subject"),
-        F.element_at(F.array(*map(F.lit, ["archA", "archB", "archC"])), (F.col("o_orderkey") % 5 % 3 + 1).cast("int")).alias("arch"), "o_orderkey")
-    pairs = F.array(*[F.struct(F.lit(r).alias("region"), F.lit(m).alias("measure"), F.lit(i * 4 + j).alias("k"))
-                      for i, r in enumerate(regions) for j, m in enumerate(measures)])
-    long = base.withColumn("p", F.explode(pairs))
-    if source == "cache":
-        long = long.where("(o_orderkey + p.k) % 12 <> 5 OR o_orderkey % 2 = 0")
-    value = F.max((F.col("o_orderkey") * 7 + F.col("p.k")) % 1000 / F.lit(1000.0))
-    return long.groupBy("subject", "arch", F.col("p.region").alias("region"), F.col("p.measure").alias("measure")).agg(value.alias("value"))
+    """Long score table: one score per subject, architecture, region and measure.
+
+    New scores have all twelve of each order's subject. Stored ones come from single line items, so that some subjects lack some.
+    """
+    k = F.col("k")
+    if source == "new":
+        rows = t.orders.select(F.col("o_custkey").alias("s"), F.col("o_orderkey").alias("o"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("k"))
+    else:
+        rows = t.lineitem.select((F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("s"), F.col("l_orderkey").alias("o"), (F.col("l_partkey") % 12).alias("k"))
+    named = lambda names, i: F.element_at(F.array(*map(F.lit, names)), (i + 1).cast("int"))
+    return rows.groupBy(F.concat(F.lit("sub"), F.col("s").cast("string")).alias("subject"), named(["archA", "archB", "archC"], F.col("o") % 5 % 3).alias("arch"),
+                        named(REGIONS, F.floor(k / 4)).alias("region"), named(MEASURES, k % 4).alias("measure")).agg(
+        F.max((F.col("o") * 7 + k) % 1000 / F.lit(1000.0)).alias("value"))
 
 
 def scores_sql(source):
-    condition = "o_orderkey % 2 = 0" if source == "new" else "o_orderkey % 3 = 0 AND ((o_orderkey + k) % 12 <> 5 OR o_orderkey % 2 = 0)"
-    return (f"{source} AS (SELECT 'sub' || o_custkey AS subject, ['archA','archB','archC'][o_orderkey % 5 % 3 + 1] AS arch, ['WT','TC','ET'][k // 4 + 1] AS region, "
-            f"['Dice','Hausdorff95','Sensitivity','Specificity'][k % 4 + 1] AS measure, max((o_orderkey * 7 + k) % 1000 / 1000.0::DOUBLE) AS value "
-            f"FROM orders, (SELECT unnest(range(12)) AS k) WHERE {condition} GROUP BY ALL)")
+    rows = ("SELECT o_custkey AS s, o_orderkey AS o, k FROM orders, (SELECT unnest(range(12)) AS k)" if source == "new"
+            else "SELECT l_suppkey * 10 + l_linenumber AS s, l_orderkey AS o, l_partkey % 12 AS k FROM lineitem")
+    return (f"{source} AS (SELECT 'sub' || s AS subject, ['archA','archB','archC'][o % 5 % 3 + 1] AS arch, ['WT','TC','ET'][k // 4 + 1] AS region, "
+            f"['Dice','Hausdorff95','Sensitivity','Specificity'][k % 4 + 1] AS measure, max((o * 7 + k) % 1000 / 1000.0::DOUBLE) AS value FROM ({rows}) GROUP BY ALL)")
 
 
 @query("merge_cached_metrics", d.with_ctes(scores_sql("new"), scores_sql("cache"), """keyed AS (SELECT subject, arch, sum(h) AS have, max(f) AS fresh FROM
@@ -205,12 +209,15 @@ def qualified_subjects(t):
 
 
 @query("pending_work", "SELECT 'a' || c_custkey AS first_name, 'b' || c_custkey AS second_name, c_custkey FROM customer WHERE 'a' || c_custkey NOT IN "
-       "(SELECT 'a' || o_custkey FROM orders WHERE o_orderkey % 20 = 0) AND 'b' || c_custkey NOT IN (SELECT 'b' || o_custkey FROM orders WHERE o_orderkey % 30 = 1 AND o_orderstatus = 'F')")
+       "(SELECT 'a' || o_custkey FROM orders WHERE o_orderpriority = '5-LOW' AND o_orderstatus = 'F') AND 'b' || c_custkey NOT IN "
+       "(SELECT 'b' || o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'O')")
 def pending_work(t):
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     plan = t.customer.select(name("a", "c_custkey").alias("first_name"), name("b", "c_custkey").alias("second_name"), "c_custkey")
-    outputs = t.orders.where("o_orderkey % 20 = 0").select(name("a", "o_custkey").alias("output")).unionByName(
-        t.orders.where("o_orderkey % 30 = 1 AND o_orderstatus = 'F'").select(name("b", "o_custkey").alias("output")))
+    # every order leaves a file; those of other names are no output that was planned
+    is_ = lambda priority, status: (F.col("o_orderpriority") == priority) & (F.col("o_orderstatus") == status)
+    kind = F.when(is_("5-LOW", "F"), "a").when(is_("1-URGENT", "O"), "b").otherwise("log")
+    outputs = t.orders.select(F.concat(kind, F.col("o_custkey").cast("string")).alias("output"))
     return inv.pending_work(plan, outputs, ["first_name", "second_name"])
 
 

@@ -336,7 +336,8 @@ def build_segments(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     segment = F.struct(
         F.col("label_id").alias("labelID"), F.col("description").alias("SegmentDescription"), F.col("label").alias("SegmentLabel"),
         F.col("algorithm_type").alias("SegmentAlgorithmType"), code("category").alias("SegmentedPropertyCategoryCodeSequence"),
-        code("type").alias("SegmentedPropertyTypeCodeSequence"), F.transform(F.split("rgb", ","), lambda v: v.try_cast("int")).alias("recommendedDisplayRGBValue"))
+        code("type").alias("SegmentedPropertyTypeCodeSequence"),
+        F.when(F.col("rgb") != "", F.transform(F.split("rgb", ","), lambda v: v.try_cast("int"))).alias("recommendedDisplayRGBValue"))
     gathered = rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(segment)), lambda s: F.array(s)).alias("segmentAttributes"))
     return gathered.select(*keys, F.to_json(F.struct("segmentAttributes")).alias("json"))
 

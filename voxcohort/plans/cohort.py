@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxcohort.operators import quality
@@ -14,6 +14,10 @@ from voxcohort.sources import inventories, manifests
 SUMMARY_REGIONS = ("WT", "TC", "ET")
 SUMMARY_MEASURES = ("Dice", "Hausdorff95", "Sensitivity", "Specificity")
 
+# The files of a subject folder, in the order in which they are compared, and what of their headers is.
+QC_FILES = {"T1": "_t1.nii.gz", "T1CE": "_t1ce.nii.gz", "T2": "_t2.nii.gz", "FL": "_flair.nii.gz", "MASK": "_final_seg.nii.gz"}
+PROPERTIES = ("size", "origin", "spacing")
+
 
 def subject_summary(metrics: DataFrame, keys: Sequence[str] = ("subject", "arch")) -> DataFrame:
     """One record per subject and architecture with a column for each region and measure."""
@@ -23,35 +27,67 @@ def subject_summary(metrics: DataFrame, keys: Sequence[str] = ("subject", "arch"
     return named.groupBy(*keys).pivot("_name", names).agg(F.first("value"))
 
 
-def cohort_qc(files: DataFrame, meta: DataFrame, label_counts: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
-    """Issues of a cohort as (subject_id, problem, detail).
+def cohort_qc(files: DataFrame, meta: DataFrame, label_counts: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Issues of a cohort as (subject_id, problem, detail, counted), one subject folder after the other:
+
+    1. Four scans or all five files must be there; if not, nothing else of the subject is looked at.
+    2. Every further file must share dimension, size, origin and spacing with the first, which must be a standard scan.
+    3. In the label map a largest label 3 stands for 4; other labels than the allowed ones may cover few voxels only.
+    4. Where the label map is absent or has such labels, the folder of candidate maps must exist; if no fused map of it passes,
+       the failing ones are listed. Where the label map is absent the best passing one is recommended.
 
-    ``files`` has subject_id, path; ``meta`` the headers of the same paths; ``label_counts`` subject_id,
-    label, voxels of the final maps; ``candidates`` subject_id, name, passed of the fused maps.
+    ``files`` has subject_id, path; ``meta`` the headers of the same paths; ``label_counts`` subject_id, label, voxels of the
+    label maps; ``candidates`` subject_id, name, passed of the maps in the candidate folders. ``counted`` is 1 where the row adds
+    to the number of problems. One row a subject meets its labels and candidates; only issues become rows.
     """
-    slots = inventories.subject_inventory(files)
-    issues = quality.modality_completeness(files).where("problem <> ''").select(
-        "subject_id", "problem", F.col("scans").cast("string").alias("detail"))
-    space = quality.space_against_first(meta).where("mismatch <> ''").select(
-        "subject_id", F.lit("geometry").alias("problem"), F.concat_ws(": ", "path", "mismatch").alias("detail"))
-    labels = quality.unexpected_labels(label_counts, keys=["subject_id"]).select(
-        "subject_id", F.lit("unexpected label").alias("problem"), F.concat_ws(": ", F.col("label").cast("string"), F.col("voxels").cast("string")).alias("detail"))
-    unlabelled = slots.select("subject_id").join(label_counts.select("subject_id").distinct(), "subject_id", "left_anti").select(
-        "subject_id", F.lit("no label map").alias("problem"), F.lit("").alias("detail"))
-    report = issues.unionByName(space).unionByName(labels).unionByName(unlabelled)
-    if candidates is not None:
-        fused = candidates.select("subject_id").distinct()
-        absent = slots.select("subject_id").join(fused, "subject_id", "left_anti").select(
-            "subject_id", F.lit("no folder of fused maps").alias("problem"), F.lit("").alias("detail"))
-        advice = quality.recommend_fusion(candidates).join(label_counts.select("subject_id").distinct(), "subject_id", "left_anti").select(
-            "subject_id", F.lit("recommended fusion").alias("problem"), F.col("recommended").alias("detail"))
-        report = report.unionByName(absent).unionByName(advice)
-    return report
+    header = F.struct("path", *PROPERTIES)
+    listed = files.select("subject_id", "path").join(meta.select("path", *PROPERTIES), "path", "left")
+    slot = {name: F.max(F.when(F.col("path").endswith(suffix), header)).alias(name) for name, suffix in QC_FILES.items()}
+    subjects = listed.groupBy("subject_id").agg(*slot.values())
+    relabelled = F.when((F.max("label").over(Window.partitionBy("subject_id")) == 3) & (F.col("label") == 3), 4).otherwise(F.col("label"))
+    merged = label_counts.withColumn("label", relabelled).groupBy("subject_id", "label").agg(F.sum("voxels").alias("voxels"))
+    entry = F.concat_ws(": ", F.col("label").cast("string"), F.col("voxels").cast("string"))
+    strange = quality.unexpected_labels(merged, keys=["subject_id"]).groupBy("subject_id").agg(
+        F.array_sort(F.collect_list(F.struct("label", entry.alias("detail")))).alias("strange"))
+    fused = F.lower("name").contains("fused")
+    folders = candidates.groupBy("subject_id").agg(F.array_sort(F.collect_set(F.when(fused & ~F.col("passed"), F.col("name")))).alias("failing"),
+                                                   F.coalesce(F.bool_or(fused & F.col("passed")), F.lit(False)).alias("passing"))
+    advice = quality.recommend_fusion(candidates.where(fused))
+    state = subjects.join(strange, "subject_id", "left").join(folders, "subject_id", "left").join(advice, "subject_id", "left")
+
+    row = lambda problem, detail="", counted=1: F.struct(
+        (problem if isinstance(problem, Column) else F.lit(problem)).alias("problem"), (detail if isinstance(detail, Column) else F.lit(detail)).alias("detail"),
+        (counted if isinstance(counted, Column) else F.lit(counted)).cast("int").alias("counted"))
+    none = F.array().cast("array<struct<problem:string,detail:string,counted:int>>")
+    held = sum((F.col(name).isNotNull().cast("int") for name in QC_FILES), F.lit(0))
+    mask = F.col("MASK").isNotNull()
+    complete = (held == 5) | ((held == 4) & ~mask)
+    first = F.coalesce(*[F.when(F.col(name).isNotNull(), F.struct(F.lit(name).alias("slot"), F.col(name).alias("file"))) for name in QC_FILES])
+    standard = F.array(*map(F.lit, quality.STANDARD_SIZE))
+
+    def geometry(name: str) -> Column:
+        a, b = first["file"], F.col(name)
+        differs = ((a["size"].cast("array<int>") != standard) | (F.size(b["size"]) != 3)
+                   | (a["size"] != b["size"]) | (a["origin"] != b["origin"]) | (a["spacing"] != b["spacing"]))
+        text = F.concat(F.lit("Image_dimension/size/origin/spacing_mismatch_between_"), first["slot"], F.lit(f"_and_{name}"))
+        return F.when(b.isNotNull() & (first["slot"] != name) & differs, row("geometry", text))
+
+    unusual = F.transform(F.coalesce("strange", F.array()), lambda e, i: row("unexpected label", e["detail"], (i == 0).cast("int")))
+    bad = mask & (F.size(unusual) > 0)
+    folder = F.col("failing").isNotNull()
+    spoilt = F.transform(F.coalesce("failing", F.array().cast("array<string>")), lambda name: row("unusable fused map", name, 0))
+    lines = F.concat(
+        F.array_compact(F.array(*[geometry(name) for name in QC_FILES])), F.when(bad, unusual).otherwise(none),
+        F.when((bad | ~mask) & folder & ~F.col("passing"), spoilt).otherwise(none),
+        F.when((bad | ~mask) & ~folder, F.array(row("SegmentationsForQC_folder_is_absent"))).otherwise(none),
+        F.when(~mask & folder, F.array(row("recommended fusion", F.coalesce("recommended", F.lit(quality.FUSION_FALLBACK))))).otherwise(none))
+    issues = F.when(complete, lines).otherwise(F.array(row("All_required_modalities_are_not_present")))
+    return state.select("subject_id", F.explode(issues).alias("_i")).select("subject_id", "_i.problem", "_i.detail", "_i.counted")
 
 
 def problem_count(report: DataFrame) -> DataFrame:
-    """Number of subjects with any issue."""
-    return report.agg(F.count_distinct("subject_id").alias("problem_cases"))
+    """Number of problems of a cohort."""
+    return report.agg(F.coalesce(F.sum("counted"), F.lit(0)).alias("problem_cases"))
 
 
 def preparation_plan(manifest: DataFrame, outputs: DataFrame, names: Sequence[str] = ("{id}_brain_t1.nii.gz", "{id}_t1.nii.gz")) -> DataFrame:
