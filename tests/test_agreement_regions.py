@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxcohort.operators import agreement as ag
-from voxcohort.operators import joins, quality, regions
+from voxcohort.operators import histograms, joins, quality, regions, tiles
 from voxcohort.operators.envelope import line_minima
 
 
@@ -252,3 +252,29 @@ def test_geometry_check_names_the_property(spark, name, change):
     first, second = quality.geometry_check(df).collect()
     assert (first["mismatch"], first["same_space"]) == (name, False)
     assert (second["mismatch"], second["same_space"]) == ("", True)
+
+
+@pytest.mark.parametrize("radius", [1, 3])
+def test_neighbourhoods_across_tiles(spark, radius):
+    """Boxes that reach over the borders of tiles, in a sparse image with negative places."""
+    rng = np.random.default_rng(radius)
+    volume = np.where(rng.random((40, 19, 18)) < 0.5, rng.integers(1, 90, (40, 19, 18)), 0).astype(float)
+    at = np.argwhere(volume > 0)
+    rows = [("a", *(int(v) - 17 for v in p), float(volume[tuple(p)])) for p in at]
+    image = spark.createDataFrame(rows, "image_id string, x int, y bigint, z bigint, value double").repartition(5)
+    padded = np.pad(volume, radius)
+    box = {tuple(p): padded[tuple(slice(v, v + 2 * radius + 1) for v in p)] for p in at}
+    sums = tiles.box_sums(image, radius, {"n": F.lit(1), "total": F.col("value")}, ["image_id"])
+    got = {(r.x + 17, r.y + 17, r.z + 17): (r.n, r.total) for r in sums.collect()}
+    assert got == {p: ((b > 0).sum(), b.sum()) for p, b in box.items()} and sums.schema["x"].dataType == image.schema["x"].dataType
+    pairs = joins.neighbours(image, radius, "box").groupBy("c_x", "c_y", "c_z").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.max("centre").alias("centre"))
+    assert {(r.c_x + 17, r.c_y + 17, r.c_z + 17): (r.n, r.total) for r in pairs.collect()} == got
+    # shuffled rows: fewer than two a voxel
+    assert (1 + 2 * radius / tiles.tile_size(radius)) ** 3 < 2
+    # nearest difference to another image that lies in the box
+    other = spark.createDataFrame([r for r in rows if r[4] > 60], image.schema)
+    far = np.pad(np.where(volume > 60, volume, np.inf), radius, constant_values=np.inf)
+    diff = {(r.x + 17, r.y + 17, r.z + 17): r.difference for r in histograms.voxel_differences(image, other, radius).collect()}
+    for p in map(tuple, at):
+        near = far[tuple(slice(v, v + 2 * radius + 1) for v in p)]
+        assert diff[p] == (np.abs(near - volume[p]).min() if np.isfinite(near).any() else volume[p])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from voxcohort.catalog.registry import query, rounded
 from voxcohort.functions import geometry, intensity, tensor
-from voxcohort.operators import joins, voxels
+from voxcohort.operators import joins, tiles, voxels
 from voxcohort.plans import derive as d
 
 XYZ = d.XYZ
@@ -345,6 +345,14 @@ def neighbours_ball(t):
     return _neighbour_totals(t, "ball")
 
 
+@query("neighbours_wide", d.with_ctes(d.VOXELS, """SELECT c.image_id, c.x, c.y, c.z, count(*) AS n, sum(v.value) AS total FROM voxels c JOIN voxels v
+      ON c.image_id = v.image_id AND v.x BETWEEN c.x-3 AND c.x+3 AND v.y BETWEEN c.y-3 AND c.y+3 AND v.z BETWEEN c.z-3 AND c.z+3 GROUP BY ALL"""))
+def neighbours_wide(t):
+    """Number and sum of the voxels of a box of radius 3."""
+    sums = tiles.box_sums(d.voxels(t), 3, {"n": F.lit(1), "total": F.col("value")}, ["image_id"])
+    return sums.withColumn("n", F.col("n").cast("long"))
+
+
 @query("distance_to_set", d.with_ctes(d.CELLS, d.PAIR, f"""SELECT a.image_id, a.x, a.y, a.z,
   {rounded('sqrt(min((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)))')} AS distance
   FROM (SELECT * FROM pair WHERE src = 2) a JOIN (SELECT * FROM pair WHERE tgt = 4) b ON a.image_id = b.image_id GROUP BY ALL"""))

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from voxcohort.operators import joins
+from voxcohort.operators import joins, tiles
 from voxcohort.session import attach
 
 IMAGE = ["image_id"]
@@ -155,19 +158,6 @@ def signed_correlation(pair: DataFrame, a: str = "a", b: str = "b", keys: Sequen
     return pair.groupBy(*keys).agg(value.alias("correlation"))
 
 
-def box_sums(df: DataFrame, radius: int, sums: dict[str, Column], keys: Sequence[str] = IMAGE) -> DataFrame:
-    """Sums over the box around every coordinate, one axis after the other.
-
-    Three passes with 2r+1 copies each replace one with (2r+1)³ copies.
-    """
-    current = df.select(*keys, *XYZ, *[c.alias(n) for n, c in sums.items()])
-    for axis in XYZ:
-        moved = current.withColumn("_o", F.explode(F.sequence(F.lit(-radius), F.lit(radius))))
-        moved = moved.withColumn(axis, F.col(axis) + F.col("_o"))
-        current = moved.groupBy(*keys, *XYZ).agg(*[F.sum(n).alias(n) for n in sums])
-    return current
-
-
 def patch_ncc(pair: DataFrame, radius: int = 1, a: Sequence[str] = ("a",), b: Sequence[str] = ("b",),
               weights: Sequence[float] = (1.0,), keys: Sequence[str] = IMAGE, eps: float = 1e-8) -> DataFrame:
     """Signed squared correlation of the patch around every voxel, weighted over components."""
@@ -175,15 +165,14 @@ def patch_ncc(pair: DataFrame, radius: int = 1, a: Sequence[str] = ("a",), b: Se
     for i, (left, right) in enumerate(zip(a, b)):
         x, y = F.col(left).cast("double"), F.col(right).cast("double")
         sums |= {f"x{i}": x, f"y{i}": y, f"xx{i}": x * x, f"yy{i}": y * y, f"xy{i}": x * y}
-    patches = box_sums(pair, radius, sums, keys)
+    patches = tiles.box_sums(pair, radius, sums, keys)
     n = F.col("n")
     result = F.lit(0.0)
     for i, w in enumerate(weights):
         x, y = F.col(f"x{i}"), F.col(f"y{i}")
         result = result + float(w) * _signed_correlation(
             F.col(f"xx{i}") - x * x / n, F.col(f"yy{i}") - y * y / n, F.col(f"xy{i}") - x * y / n, eps)
-    centres = pair.select(*keys, *XYZ)
-    return centres.join(patches.select(*keys, *XYZ, result.alias("ncc")), [*keys, *XYZ])
+    return patches.select(*keys, *XYZ, result.alias("ncc"))
 
 
 # --- image comparison -------------------------------------------------------------------------
@@ -201,9 +190,23 @@ def voxel_differences(ref: DataFrame, test: DataFrame, radius: int = 0, on: Sequ
         zero = F.lit(0.0)
         return left.join(right, list(on), "full").select(
             *on, F.abs(F.coalesce("_ref", zero) - F.coalesce("_test", zero)).alias("difference"))
-    spread = joins.spread(test.select(*keys, *XYZ, F.col(value).alias("_test")), joins.offsets(radius, "box"))
-    return left.join(spread.select(*on, "_test"), list(on), "left").groupBy(*on).agg(
-        F.min(F.abs(F.col("_ref") - F.coalesce("_test", F.lit(0.0)))).alias("difference"))
+    both = left.select(*keys, *XYZ, F.col("_ref").cast("double").alias("_ref"), F.lit(None).cast("double").alias("_test"), F.lit(False).alias("_near")).unionByName(
+        test.select(*keys, *XYZ, F.lit(None).cast("double").alias("_ref"), F.col(value).cast("double").alias("_test"), F.lit(True).alias("_near")))
+
+    def compute(tile: tiles.Tile) -> dict:
+        near = tile.column("_near").astype(bool)
+        rows, others = tile.core[~near[tile.core]], np.flatnonzero(near)
+        cube = tile.cube(tile.column("_test")[others], np.nan, others)
+        reference = tile.column("_ref")[rows]
+        least = np.full(len(rows), np.inf)
+        for step in joins.offsets(radius, "box"):
+            x, y, z = (tile.at[rows] + np.array(step)).T
+            least = np.fmin(least, np.abs(reference - cube[x, y, z]))
+        made = {c: tile.cells.field(c).take(pa.array(rows)) for c in XYZ}
+        return made | {"difference": np.where(np.isinf(least), np.abs(reference), least)}
+
+    out = StructType([*tiles.places(ref), StructField("difference", DoubleType())])
+    return tiles.map_tiles(both, radius, ["_ref", "_test", "_near"], keys, compute, out, near="_near")
 
 
 def compare_images(ref: DataFrame, test: DataFrame, threshold: float = 0.0, radius: int = 0,

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxcohort.operators import tiles
 from voxcohort.operators.envelope import line_minima
 from voxcohort.session import fits_broadcast, join_summary, settle
 
@@ -47,25 +48,11 @@ def offsets(radius: int | Sequence[int], shape: str = "box", include_centre: boo
     return chosen
 
 
-def spread(image: DataFrame, steps: Sequence[tuple[int, ...]], columns: Sequence[str] = XYZ) -> DataFrame:
-    """One row per voxel and offset; the shifted coordinates replace the old ones, kept as c_x, c_y, c_z."""
-    table = F.array(*[F.array(*[F.lit(v) for v in step]) for step in steps])
-    kept = [c for c in image.columns if c not in columns]
-    rows = image.select(*kept, *[F.col(c).alias(f"c_{c}") for c in columns], F.explode(table).alias("_step"))
-    return rows.select(*kept, *[f"c_{c}" for c in columns],
-                       *[(F.col(f"c_{c}") + F.col("_step")[i]).alias(c) for i, c in enumerate(columns)])
-
-
 def neighbours(image: DataFrame, radius: int | Sequence[int], shape: str = "box", keys: Sequence[str] = IMAGE,
                value: str = "value", include_centre: bool = True) -> DataFrame:
-    """Each voxel (c_x, c_y, c_z, centre) with the existing voxels around it (x, y, z, value).
-
-    Every voxel is sent to the fixed offsets and joined on the full coordinate, so an image of any
-    size is spread evenly over the tasks.
-    """
-    centres = spread(image.select(*keys, *XYZ, F.col(value).alias("centre")),
-                     offsets(radius, shape, include_centre))
-    return centres.join(image.select(*keys, *XYZ, value), [*keys, *XYZ])
+    """Each voxel (c_x, c_y, c_z, centre) with the existing voxels around it (x, y, z, value); found tile by tile."""
+    reach = radius if isinstance(radius, int) else max(radius)
+    return tiles.pairs(image, reach, offsets(radius, shape, include_centre), keys, value)
 
 
 def nearest_squared(points: DataFrame, targets: DataFrame, keys: Sequence[str] = IMAGE,

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from voxcohort.operators import histograms, joins
+from voxcohort.operators import histograms, joins, tiles
 from voxcohort.operators.statistics import percentile_rank, select_ranks
 from voxcohort.session import attach, settle
 
@@ -126,17 +129,34 @@ def susan_smooth(image: DataFrame, sigma: float = 0.5, threshold: float = 80.0,
     Weights are exp(-d² / 2σ² - Δ² / threshold²). Where all weights vanish the median of the neighbours
     is taken; a voxel without neighbours keeps its value. All results come from the input values.
     """
-    near = joins.neighbours(image, radius, "box", keys, value, include_centre=False)
-    d2 = sum(((F.col(c) - F.col(f"c_{c}")) * (F.col(c) - F.col(f"c_{c}")) for c in ("y", "z")),
-             (F.col("x") - F.col("c_x")) * (F.col("x") - F.col("c_x")))
-    delta = F.col(value) - F.col("centre")
-    weight = F.exp(-d2 / (2 * sigma * sigma) - delta * delta / (threshold * threshold))
-    centre = [F.col(f"c_{c}").alias(c) for c in XYZ]
-    smoothed = near.withColumn("w", weight).groupBy(*keys, *centre).agg(
-        F.sum("w").alias("_w"), F.sum(F.col("w") * F.col(value)).alias("_wv"), F.median(value).alias("_median"))
-    joined = image.join(smoothed, [*keys, *XYZ], "left")
-    result = F.when(F.col("_w") > 0, F.round(F.col("_wv") / F.col("_w"))).otherwise(F.coalesce("_median", F.col(value)))
-    return joined.withColumn(value, result).drop("_w", "_wv", "_median")
+    steps = joins.offsets(radius, "box", include_centre=False)
+
+    def compute(tile: tiles.Tile) -> dict:
+        values = tile.column("_v")
+        centre = values[tile.core]
+        whole, weighed = np.zeros(len(centre)), np.zeros(len(centre))
+        for step in steps:
+            other = tile.neighbour(step)
+            near = values[other]
+            with np.errstate(under="ignore"):
+                weight = np.where(other >= 0, np.exp(-sum(o * o for o in step) / (2 * sigma * sigma) - (near - centre) ** 2 / (threshold * threshold)), 0.0)
+            whole += weight
+            weighed += weight * np.where(other >= 0, near, 0.0)
+        median = centre.copy()
+        lost = tile.core[whole == 0]
+        if len(lost):
+            around = np.stack([np.where((other := tile.neighbour(step, lost)) >= 0, values[other], np.nan) for step in steps])
+            some = ~np.isnan(around).all(axis=0)
+            median[np.flatnonzero(whole == 0)[some]] = np.nanmedian(around[:, some], axis=0)
+        made = {c: tile.cells.field(c).take(pa.array(tile.core)) for c in XYZ}
+        return made | {"_w": whole, "_wv": weighed, "_median": median}
+
+    out = StructType([*tiles.places(image), *[StructField(n, DoubleType()) for n in ("_w", "_wv", "_median")]])
+    smoothed = tiles.map_tiles(image.select(*keys, *XYZ, F.col(value).cast("double").alias("_v")), radius, ["_v"], keys, compute, out)
+    result = F.when(F.col("_w") > 0, F.round(F.col("_wv") / F.col("_w"))).otherwise(F.col("_median"))
+    others = [c for c in image.columns if c not in (*keys, *XYZ, value)]
+    smoothed = smoothed.select(*keys, *XYZ, result.alias(value))
+    return smoothed if not others else image.drop(value).join(smoothed, [*keys, *XYZ]).select(*image.columns)
 
 
 # --- resampling -------------------------------------------------------------------------------
