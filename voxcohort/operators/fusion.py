@@ -6,10 +6,9 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxcohort.functions.intensity import vote_key
 from voxcohort.session import attach, fits_broadcast, join_summary, settle
 
 IMAGE = ["image_id"]
@@ -22,35 +21,38 @@ def fusion_inputs(files: DataFrame, path: str = "path") -> DataFrame:
     return files.where(~name.contains("final") & ~name.contains("fused"))
 
 
+def _counted(entries: Column, label: str) -> Column:
+    """(score, -label) of every label among the votes of a voxel, whose number is that of the raters."""
+    same = lambda v: F.filter(entries, lambda e: e[label] == v)
+    score = lambda v: F.round(F.aggregate(F.transform(same(v), lambda e: e["weight"]), F.lit(0.0), lambda a, w: a + w), 9)
+    return F.transform(F.array_distinct(F.transform(entries, lambda e: e[label])), lambda v: F.struct(score(v).alias("score"), (-v).alias("order"), v.alias(label)))
+
+
 def weighted_vote(maps: DataFrame, weights: DataFrame, keys: Sequence[str] = IMAGE, label: str = "label") -> DataFrame:
     """Label with the largest summed rater weight; equal sums go to the lowest label.
 
-    ``weights`` has one ``weight`` per rater, or per image and rater.
+    ``weights`` has one ``weight`` per rater, or per image and rater. The votes of a voxel meet once, as one short array.
     """
     on = [c for c in weights.columns if c != "weight"]
-    weighed = attach(maps, weights, on)
-    sums = weighed.groupBy(*keys, *XYZ, label).agg(F.round(F.sum("weight"), 9).alias("score"))
-    return sums.groupBy(*keys, *XYZ).agg(F.max_by(label, vote_key(F.col("score"), F.col(label))).alias(label))
-
-
-def _votes(maps: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
-    return maps.groupBy(*keys, *XYZ, label).agg(F.count(F.lit(1)).alias("votes"))
+    entry = F.struct(F.col(label), F.col("weight").cast("double").alias("weight"))
+    # sorted, so that sums don't depend on the order in which votes arrive
+    voted = attach(maps, weights, on).groupBy(*keys, *XYZ).agg(F.array_sort(F.collect_list(entry)).alias("_votes"))
+    return voted.select(*keys, *XYZ, F.array_max(_counted(F.col("_votes"), label))[label].alias(label))
 
 
 def fuse_majority(maps: DataFrame, keys: Sequence[str] = IMAGE, label: str = "label") -> DataFrame:
-    """Most frequent label of each voxel; ties go to the lowest label."""
-    return _votes(maps, keys, label).groupBy(*keys, *XYZ).agg(
-        F.max_by(label, vote_key(F.col("votes"), F.col(label))).alias(label))
+    """Most frequent label of each voxel; ties go to the lowest label. Counts of labels are merged in one aggregate."""
+    return maps.groupBy(*keys, *XYZ).agg(F.mode(F.col(label), True).alias(label))
 
 
 def fuse_voting(maps: DataFrame, undecided: int | None = None, keys: Sequence[str] = IMAGE, label: str = "label") -> DataFrame:
     """Most frequent label; a tie gives ``undecided``, by default one above the largest label of the image."""
     keys = list(keys)
-    votes = _votes(maps, keys, label)
-    entries = F.collect_list(F.struct("votes", label))
-    voted = votes.groupBy(*keys, *XYZ).agg(entries.alias("entries"), F.max("votes").alias("top"))
-    winners = F.filter("entries", lambda e: e["votes"] == F.col("top"))
-    decided = voted.select(*keys, *XYZ, F.when(F.size(winners) == 1, winners[0][label]).alias(label))
+    voted = maps.where(F.col(label).isNotNull()).groupBy(*keys, *XYZ).agg(F.collect_list(F.struct(F.col(label), F.lit(1.0).alias("weight"))).alias("_votes"))
+    scored = voted.select(*keys, *XYZ, _counted(F.col("_votes"), label).alias("_scores"))
+    top = F.array_max("_scores")
+    alone = F.size(F.filter("_scores", lambda s: s["score"] == top["score"])) == 1
+    decided = scored.select(*keys, *XYZ, F.when(alone, top[label]).alias(label))
     if undecided is not None:
         return decided.fillna({label: undecided})
     largest = maps.groupBy(*keys).agg((F.max(label) + 1).alias("_undecided"))
