@@ -49,7 +49,7 @@ def test_moments_and_order_statistics(spark):
 
 
 def test_running_position_and_group_rank(spark):
-    orders = [0, 3, 70_000, 70_001, 2 ** 33, 2 ** 33 + 9]
+    orders = [0, 3, 70_000, 70_001, 2 ** 33, 2 ** 33 + 9, 2 ** 50, 2 ** 50 + 2 ** 33, 2 ** 62]
     df = spark.createDataFrame([(o, o % 5 + 1) for o in orders], "o bigint, w bigint")
     found = {r["o"]: r["position"] for r in ordering.running_position(df, "o", F.col("w")).collect()}
     before, expected = 0, {}
@@ -64,6 +64,22 @@ def test_running_position_and_group_rank(spark):
     assert sorted(r["rank"] for r in ranked.collect()) == list(range(200))
 
 
+def test_line_numbers_follow_files(spark, tmp_path):
+    """Files of unequal length are numbered one after the other, however Spark packs their blocks."""
+    sizes = {"a.txt": 10, "b.txt": 9000, "c.txt": 1, "d.txt": 700}
+    for name, n in sizes.items():
+        (tmp_path / name).write_text("".join(f"{name} {i}\n" for i in range(n)))
+    expected = [f"{name} {i}" for name, n in sizes.items() for i in range(n)]
+    limit = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for most in ("3000", "50m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+            found = ordering.number_lines(spark.read.text(str(tmp_path))).collect()
+            assert {r["line"]: r["value"] for r in found} == dict(enumerate(expected))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
+
+
 def test_number_lines(spark, tmp_path):
     (tmp_path / "m.txt").write_text("\n".join(f"line {i}" for i in range(5000)))
     lines = spark.read.option("maxPartitionBytes", 1000).text(str(tmp_path / "m.txt"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from voxcohort.catalog.registry import query, rounded
@@ -129,11 +130,69 @@ def train_val_split(t):
     return fe.train_val_split(subjects)
 
 
-@query("model_tables", d.with_ctes(d.FEATURES, LONG, MODEL, f"SELECT CAST(feature AS BIGINT) AS feature, {R('mean')} AS mean, {R('std')} AS std FROM model"))
-def model_tables(t):
-    # saved to and loaded from the folder that all executors share
+def _saved(t, **tables):
+    """Model tables saved to and loaded from the folder that all executors share."""
     ensure_checkpoint_dir(t.spark)
     path = f"{t.spark.sparkContext.getCheckpointDir()}/model-{uuid.uuid4().hex}"
     f = d.features(t)
-    save_model_tables(path, fe.scale_fit(f), flags={"T1": True, "T2": False})
-    return load_model_tables(t.spark, path)["scaling"].select(F.col("feature").cast("long"), F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+    save_model_tables(path, fe.scale_fit(f), **tables)
+    return f, load_model_tables(t.spark, path)
+
+
+def _saved_pca(t):
+    f = d.features(t)
+    return _saved(t, pca=fe.pca_loadings(t.spark, fe.pca_fit(f, fe.feature_count(f))))
+
+
+CENTRED = "centred AS (SELECT vec_id, feature, v, v - avg(v) OVER (PARTITION BY feature) AS c FROM long)"
+
+
+@query("model_tables", d.with_ctes(d.FEATURES, LONG, MODEL, f"SELECT CAST(feature AS BIGINT) AS feature, {R('mean')} AS mean, {R('std')} AS std FROM model"))
+def model_tables(t):
+    _, tables = _saved(t)
+    return tables["scaling"].select(F.col("feature").cast("long"), F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@query("model_flags", """SELECT upper(lang) AS modality, max(n_chars) > 10000 AS used FROM documents WHERE lang IS NOT NULL GROUP BY 1""")
+def model_flags(t):
+    """Flags of a model, written and read back: which of the languages, taken as modalities, have long enough documents."""
+    used = t.documents.where("lang is not null").groupBy(F.upper("lang").alias("m")).agg((F.max("n_chars") > 10000).alias("u"))
+    _, tables = _saved(t, flags={r.m: r.u for r in used.collect()})  # one row a modality
+    return tables["flags"]
+
+
+@query("model_pca_means", d.with_ctes(d.FEATURES, LONG, MODEL, f"SELECT CAST(feature AS BIGINT) AS feature, {R('mean')} AS mean, (SELECT count(*) FROM model) AS components FROM model"))
+def model_pca_means(t):
+    """Means of the saved components, and how many there are."""
+    _, tables = _saved_pca(t)
+    return tables["pca"].groupBy(F.col("feature").cast("long").alias("feature")).agg(F.round(F.max("mean"), 6).alias("mean"), F.count_distinct("component").alias("components"))
+
+
+@query("model_pca_gram", d.with_ctes(d.FEATURES, LONG, MODEL, "SELECT CAST(a.feature AS BIGINT) AS a, CAST(b.feature AS BIGINT) AS b, CASE WHEN a.feature = b.feature THEN 1.0::DOUBLE ELSE 0 END AS product FROM model a, model b"))
+def model_pca_gram(t):
+    """Products of the saved components with one another: they are orthonormal."""
+    pca = _saved_pca(t)[1]["pca"]
+    side = lambda name: pca.select(F.col("component").cast("long").alias(name), "feature", F.col("loading").alias(f"_{name}"))
+    product = F.sum(F.col("_a") * F.col("_b"))
+    return side("a").join(side("b"), "feature").groupBy("a", "b").agg((F.round(product, 6) + F.lit(0.0)).alias("product"))
+
+
+@query("pca_lengths", d.with_ctes(d.FEATURES, LONG, CENTRED, f"SELECT vec_id, {R('sum(c * c)', 4)} AS squared FROM centred GROUP BY 1"))
+def pca_lengths(t):
+    """Squared length of every projected vector: a projection on all components keeps it."""
+    f, tables = _saved_pca(t)
+    return fe.project(f, tables["pca"]).select("vec_id", F.round(F.aggregate("projected", F.lit(0.0), lambda s, v: s + v * v), 4).alias("squared"))
+
+
+@query("pca_variances", d.with_ctes(d.FEATURES, LONG, CENTRED, f"""SELECT CAST(a.feature AS BIGINT) AS component, 0.0::DOUBLE AS with_next, true AS falls,
+  {R('(SELECT sum(c * c) / (count(DISTINCT vec_id) - 1) FROM centred)', 4)} AS total FROM (SELECT DISTINCT feature FROM centred) a"""))
+def pca_variances(t):
+    """Components vary without their neighbours, each less than the one before, and all together as the features do."""
+    f = d.features(t)
+    rows = fe.pca_transform(f, fe.pca_fit(f, fe.feature_count(f))).select("vec_id", F.posexplode("projected").alias("component", "v"))
+    following = F.lead("v").over(Window.partitionBy("vec_id").orderBy("component"))
+    sums = rows.withColumn("w", following).groupBy("component").agg(F.var_samp("v").alias("variance"), F.coalesce(F.covar_samp("v", "w"), F.lit(0.0)).alias("shared"))
+    order = Window.partitionBy(F.lit(0)).orderBy("component")  # one row a component
+    before, total = F.lag("variance").over(order), F.sum("variance").over(Window.partitionBy(F.lit(0)))
+    return sums.select(F.col("component").cast("long").alias("component"), F.abs(F.round("shared", 6)).alias("with_next"),
+                       F.coalesce(F.col("variance") <= before + 1e-9, F.lit(True)).alias("falls"), F.round(total, 4).alias("total"))

@@ -47,6 +47,56 @@ def weighted_vote(t):
     return fu.weighted_vote(d.rater_maps(t), weights)
 
 
+PATTERNS = """wide AS (SELECT image_id, x, y, z, """ + ", ".join(f"max(CASE WHEN rater = 'rater{r}' THEN label END) AS v{r}" for r in range(5)) + """ FROM raters GROUP BY ALL),
+  pat AS (SELECT image_id, v0, v1, v2, v3, v4, count(*) AS n FROM wide GROUP BY ALL), lab AS (SELECT DISTINCT image_id, label AS k FROM raters UNION SELECT DISTINCT image_id, 0 FROM raters)"""
+
+
+def _staple_sql(rounds):
+    """Expectation and maximisation written out round by round."""
+    each = lambda text: ", ".join(text.format(r=r) for r in range(5))
+    parts = [f"e AS (SELECT *, {each('CAST(v{r} = k AS INTEGER) AS b{r}')} FROM pat JOIN lab USING (image_id))",
+             "prior AS (SELECT image_id, k, sum((b0 + b1 + b2 + b3 + b4) * n) / (5.0 * sum(n)) AS pr FROM e GROUP BY 1, 2)",
+             f"m0 AS (SELECT image_id, k, {each('0.99999::DOUBLE AS p{r}, 0.99999::DOUBLE AS q{r}')} FROM prior)"]
+    for i in range(rounds):
+        yes = " + ".join(f"CASE WHEN b{r} = 1 THEN ln(p{r}) ELSE ln(1 - p{r}) END" for r in range(5))
+        no = " + ".join(f"CASE WHEN b{r} = 1 THEN ln(1 - q{r}) ELSE ln(q{r}) END" for r in range(5))
+        columns = "image_id, k, n, v0, v1, v2, v3, v4, b0, b1, b2, b3, b4"
+        parts.append(f"w{i} AS (SELECT {columns}, CASE WHEN pr IN (0, 1) THEN pr ELSE exp(yes - greatest(yes, no)) / (exp(yes - greatest(yes, no)) + exp(no - greatest(yes, no))) END AS w FROM "
+                     f"(SELECT {columns}, pr, CASE WHEN pr IN (0, 1) THEN 0 ELSE ln(pr) + {yes} END AS yes, CASE WHEN pr IN (0, 1) THEN 0 ELSE ln(1 - pr) + {no} END AS no FROM e JOIN prior USING (image_id, k) JOIN m{i} USING (image_id, k)))")
+        clip = lambda value: f"greatest(least({value}, 1 - 1e-7), 1e-7)"
+        rates = ", ".join(f"{clip(f'sum(w * n * b{r}) / greatest(sum(w * n), 1e-300)')} AS p{r}, {clip(f'sum((1 - w) * n * (1 - b{r})) / greatest(sum((1 - w) * n), 1e-300)')} AS q{r}" for r in range(5))
+        parts.append(f"m{i + 1} AS (SELECT image_id, k, {rates} FROM w{i} GROUP BY 1, 2)")
+    parts.append(f"best AS (SELECT image_id, v0, v1, v2, v3, v4, CAST(arg_max(k, {{'w': round(w, 9), 'k': -k}}) AS INTEGER) AS label FROM w{rounds - 1} GROUP BY ALL)")
+    return d.with_ctes(d.CELLS, d.RATERS, PATTERNS, *parts, "SELECT image_id, x, y, z, label FROM wide JOIN best USING (image_id, v0, v1, v2, v3, v4)")
+
+
+def _simple_sql(rounds, alpha=1.5):
+    parts = [f"m0 AS (SELECT DISTINCT image_id, {', '.join(f'1.0::DOUBLE AS w{r}' for r in range(5))} FROM pat)"]
+    for i in range(rounds):
+        score = " + ".join(f"CASE WHEN v{r} = k THEN w{r} ELSE 0 END" for r in range(5))
+        parts.append(f"f{i} AS (SELECT image_id, v0, v1, v2, v3, v4, any_value(n) AS n, CAST(arg_max(k, {{'s': round({score}, 9), 'k': -k}}) AS INTEGER) AS label "
+                     f"FROM pat JOIN lab USING (image_id) JOIN m{i} USING (image_id) GROUP BY image_id, v0, v1, v2, v3, v4)")
+        total = lambda r: f"(sum(CASE WHEN v{r} <> 0 THEN n ELSE 0 END) + sum(CASE WHEN label <> 0 THEN n ELSE 0 END))"
+        overlap = ", ".join(f"CASE WHEN {total(r)} > 0 THEN 2.0 * sum(CASE WHEN v{r} = label AND label <> 0 THEN n ELSE 0 END) / {total(r)} ELSE 1 END AS o{r}" for r in range(5))
+        parts.append(f"o{i} AS (SELECT image_id, {overlap} FROM f{i} GROUP BY 1)")
+        active = "list_filter([" + ", ".join(f"CASE WHEN w{r} > 0 THEN o{r} END" for r in range(5)) + "], lambda v: v IS NOT NULL)"
+        kept = ", ".join(f"CASE WHEN w{r} > 0 AND o{r} >= list_avg(a) - {alpha} * list_stddev_pop(a) - 1e-12 THEN o{r} ELSE 0 END AS w{r}" for r in range(5))
+        parts.append(f"m{i + 1} AS (SELECT image_id, {kept} FROM (SELECT *, {active} AS a FROM o{i} JOIN m{i} USING (image_id)))")
+    return d.with_ctes(d.CELLS, d.RATERS, PATTERNS, *parts, f"SELECT image_id, x, y, z, label FROM wide JOIN f{rounds - 1} USING (image_id, v0, v1, v2, v3, v4)")
+
+
+@query("fuse_staple_rounds", _staple_sql(3))
+def fuse_staple_rounds(t):
+    """Three rounds of expectation maximisation, which SQL can write out."""
+    return fu.fuse_staple(d.rater_maps(t), iterations=3)
+
+
+@query("fuse_simple_rounds", _simple_sql(2))
+def fuse_simple_rounds(t):
+    """Two rounds of weighing and removal, which SQL can write out."""
+    return fu.fuse_simple(d.rater_maps(t), iterations=2)
+
+
 @query("fuse_staple")
 def fuse_staple(t):
     return fu.fuse_staple(d.rater_maps(t))

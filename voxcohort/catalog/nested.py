@@ -82,13 +82,13 @@ def label_attribute_match(t):
 
 
 def _trees(t):
-    """One category tree per brand: types of the brand with part numbers as modifiers; small parts have labels."""
+    """Category trees of 40 neighbouring parts each, one per brand: types with part numbers as modifiers; small parts have labels."""
     label = F.when(F.col("p_size") < 12, F.col("p_name"))
     modifiers = F.array_sort(F.collect_list(F.struct(F.col("p_partkey").cast("string").alias("codeValue"), label.alias("label"))))
-    types = t.part.groupBy("p_brand", "p_type").agg(modifiers.alias("Modifier"))
+    types = t.part.groupBy(F.expr("p_partkey div 40").alias("file"), "p_brand", "p_type").agg(modifiers.alias("Modifier"))
     entry = F.struct(F.col("p_type").alias("codeValue"), F.lit(None).cast("string").alias("label"), "Modifier")
-    tree = types.groupBy("p_brand").agg(F.collect_list(entry).alias("Type"))
-    return tree.select("p_brand", F.struct(F.col("p_brand").alias("codeValue"), "Type").alias("tree"))
+    tree = types.groupBy("file", "p_brand").agg(F.collect_list(entry).alias("Type"))
+    return tree.select("file", "p_brand", F.struct(F.col("p_brand").alias("codeValue"), "Type").alias("tree"))
 
 
 @query("join_codes", """SELECT key, coalesce(name, '') AS name, coalesce(rgb, '') AS rgb, CASE WHEN a IS NULL THEN 'table only' WHEN b IS NULL THEN 'tree only' ELSE 'matched' END AS side FROM
@@ -239,13 +239,13 @@ def flatten_segments(t):
     return ne.flatten_segments(_segment_documents(t))
 
 
-@query("build_segments", """SELECT p_brand, '{"segmentAttributes":[' || string_agg('[{"labelID":' || label_id || ',"SegmentDescription":"","SegmentLabel":"' || p_name
+@query("build_segments", """SELECT p_partkey // 40 AS file, '{"segmentAttributes":[' || string_agg('[{"labelID":' || label_id || ',"SegmentDescription":"","SegmentLabel":"' || p_name
   || '","SegmentAlgorithmType":"","SegmentedPropertyCategoryCodeSequence":{"CodeValue":"' || p_brand || '","CodingSchemeDesignator":"SRT","CodeMeaning":"Meaning"}'
-  || CASE WHEN p_size > 20 THEN ',"recommendedDisplayRGBValue":[' || p_size || ',0,255]' ELSE '' END || '}]', ',' ORDER BY label_id, p_name, p_size > 20, p_size) || ']}' AS json
+  || CASE WHEN p_size > 20 THEN ',"recommendedDisplayRGBValue":[' || p_size || ',0,255]' ELSE '' END || '}]', ',' ORDER BY label_id, p_name, p_brand, p_size > 20, p_size) || ']}' AS json
   FROM (SELECT *, CASE WHEN p_partkey % 9 <> 0 THEN p_partkey ELSE 1 END AS label_id FROM part) GROUP BY 1""")
 def build_segments(t):
-    rows = ne.flatten_segments(_segment_documents(t))
-    return ne.build_segments(rows.join(t.part.select("p_partkey", "p_brand"), "p_partkey"), ["p_brand"])
+    rows = ne.flatten_segments(_segment_documents(t)).drop("file")
+    return ne.build_segments(rows.withColumn("file", F.expr("p_partkey div 40")), ["file"])
 
 
 @query("frames_to_labelmaps", """SELECT DISTINCT image_id, x, y, z, label FROM (SELECT 'img' || (o_orderkey // 500) AS image_id, o_orderkey, o_custkey % 8 AS z, CAST(1 + o_custkey % 3 AS INTEGER) AS label FROM orders)

@@ -136,6 +136,19 @@ def reorient(t):
     return voxels.reorient(d.voxels(t), d.image_meta(t), "LPI")
 
 
+@query("reorient_series", d.with_ctes(d.SERIES, d.META, """vec AS (SELECT 'img' || (l_orderkey // 500) AS image_id, CAST(l_linenumber AS BIGINT) AS t, sum(l_quantity) AS a, CAST(count(*) AS DOUBLE) AS b,
+  CAST(min(l_partkey) AS DOUBLE) AS c FROM lineitem GROUP BY 1, 2)""", """SELECT image_id, t, value, CASE k WHEN 0 THEN 5 - x WHEN 1 THEN x ELSE 3 - z END AS x, CASE k WHEN 0 THEN 4 - y WHEN 1 THEN y ELSE 5 - x END AS y,
+  CASE k WHEN 2 THEN 4 - y ELSE z END AS z, ['RAI', 'LPI', 'ASR'][k + 1] AS source_code,
+  CASE k WHEN 0 THEN -a WHEN 1 THEN a ELSE -c END AS vx, CASE k WHEN 0 THEN -b WHEN 1 THEN b ELSE -a END AS vy, CASE k WHEN 2 THEN -b ELSE c END AS vz
+  FROM (SELECT *, CASE WHEN direction[1][1] = 1 THEN 0 WHEN direction[1][1] = -1 THEN 1 ELSE 2 END AS k FROM series JOIN meta USING (image_id) LEFT JOIN vec USING (image_id, t))"""))
+def reorient_series(t):
+    """4-D images turned to another orientation together with the direction vector of each time point."""
+    vectors = t.lineitem.groupBy(F.concat(F.lit("img"), F.expr("l_orderkey div 500").cast("string")).alias("image_id"), F.col("l_linenumber").cast("long").alias("t")).agg(
+        F.sum("l_quantity").alias("vx"), F.count(F.lit(1)).cast("double").alias("vy"), F.min("l_partkey").cast("double").alias("vz"))
+    meta = d.image_meta(t).withColumn("size", F.array(F.lit(6), F.lit(5), F.lit(4)))
+    return voxels.reorient_series(d.series(t), vectors, meta, "LPI")
+
+
 @query("unstack_series", d.with_ctes(d.SERIES, "SELECT image_id, x, y, z, value, image_id || '_' || t AS slice_id FROM series"))
 def unstack_series(t):
     return voxels.unstack(d.series(t))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from voxcohort.catalog.registry import query, rounded
 from voxcohort.plans import derive as d
+from voxcohort.session import ensure_checkpoint_dir
 from voxcohort.sources import inventories as inv
 from voxcohort.sources import manifests as man
 
@@ -13,11 +16,14 @@ from voxcohort.sources import manifests as man
 @query("resolve_manifest", """SELECT c_custkey || '' AS "ID", '/d/' || c_custkey || '_t1ce' AS "T1GD", '/d/' || c_custkey || '_t1' AS "T1",
   '/d/' || c_custkey || '_t2' AS "T2", '/d/' || c_custkey || '_' || c_mktsegment AS "FLAIR" FROM customer""")
 def resolve_manifest(t):
+    return man.resolve_manifest(_manifest(t))
+
+
+def _manifest(t):
     key = F.col("c_custkey").cast("string")
     name = lambda suffix: F.concat(F.lit("/d/"), key, F.lit("_"), suffix)
-    raw = t.customer.select(key.alias("Subject-ID"), name(F.lit("t2")).alias("T2"), name(F.col("c_mktsegment")).alias("T2_FLAIR"),
-                            name(F.lit("t1")).alias("T1-pre"), name(F.lit("t1ce")).alias("T1_Post"))
-    return man.resolve_manifest(raw)
+    return t.customer.select(key.alias("Subject-ID"), name(F.lit("t2")).alias("T2"), name(F.col("c_mktsegment")).alias("T2_FLAIR"),
+                             name(F.lit("t1")).alias("T1-pre"), name(F.lit("t1ce")).alias("T1_Post"))
 
 
 @query("labeled_rows", f"""SELECT p_partkey, '/root/' || p_name || '|' || '/root/' || p_type AS images, {rounded('p_size')} AS size_label, p_retailprice AS price_label,
@@ -117,6 +123,53 @@ def subject_summary(t):
     return summary(_scores(t, "new")).fillna(-1.0)
 
 
+# --- files written and read back --------------------------------------------------------------
+
+def _folder(t):
+    """A new folder among those that all executors share."""
+    ensure_checkpoint_dir(t.spark)
+    return f"{t.spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
+
+
+@query("manifest_files", """SELECT c_custkey || '' AS "ID", '/d/' || c_custkey || '_t1ce' AS "T1GD", '/d/' || c_custkey || '_t1' AS "T1",
+  '/d/' || c_custkey || '_t2' AS "T2", '/d/' || c_custkey || '_' || c_mktsegment AS "FLAIR" FROM customer""")
+def manifest_files(t):
+    """A manifest read from CSV parts with its own header spellings."""
+    path = _folder(t)
+    _manifest(t).write.csv(path, header=True)
+    return man.read_manifest(t.spark, path)
+
+
+@query("labeled_files", f"""SELECT '/root/' || p_name || '|' || '/root/' || p_type AS images, {rounded('p_size')} AS size_label, p_retailprice AS price_label FROM part""")
+def labeled_files(t):
+    path = _folder(t)
+    t.part.select(F.col("p_name").alias("image_a"), F.col("p_type").alias("image_b"), F.concat(F.col("p_size").cast("string"), F.lit(" cm")).alias("size"),
+                  F.col("p_retailprice").cast("string").alias("price")).write.csv(path, header=True)
+    rows = man.read_labeled_csv(t.spark, path, ["image_a", "image_b"], prefix="/root/")
+    return rows.select(F.array_join("images", "|").alias("images"), F.col("labels")[0].alias("size_label"), F.col("labels")[1].alias("price_label"))
+
+
+@query("matrix_files", """WITH lines AS (SELECT *, row_number() OVER (ORDER BY s_suppkey) - 1 AS row FROM supplier)
+  SELECT row, 0 AS col, CAST(s_suppkey AS DOUBLE) AS value FROM lines UNION ALL SELECT row, 1, s_nationkey FROM lines
+  UNION ALL SELECT row, 2, s_acctbal FROM lines UNION ALL SELECT row, 3, 0 FROM lines""")
+def matrix_files(t):
+    """A matrix in several text files of unequal length; its rows are numbered from file to file."""
+    path = _folder(t)
+    _lines(t).repartitionByRange(5, "line").sortWithinPartitions("line").select("value").write.text(path)
+    return man.read_matrix(t.spark, path)
+
+
+@query("validation_files", d.with_ctes(scores_sql("new"), f"SELECT subject, arch, region, measure, {rounded('value')} AS value FROM new"))
+def validation_files(t):
+    """Scores written as one JSON document a subject and read back."""
+    path = _folder(t)
+    man.write_validation(_scores(t, "new"), path)
+    document = F.from_json("value", "subject string, scores map<string, map<string, map<string, string>>>").alias("d")
+    rows = t.spark.read.text(path).select(document).select("d.subject", F.explode("d.scores").alias("arch", "r"))
+    rows = rows.select("subject", "arch", F.explode("r").alias("region", "m")).select("subject", "arch", "region", F.explode("m").alias("measure", "value"))
+    return rows.withColumn("value", F.col("value").cast("double"))
+
+
 # --- inventories ------------------------------------------------------------------------------
 
 def _catalogue_sql(where):

@@ -125,6 +125,27 @@ def component_signs(model) -> list[int]:
     return [1 if column[abs(column).argmax()] >= 0 else -1 for column in loadings.T]
 
 
+def pca_loadings(spark, fitted) -> DataFrame:
+    """(component, feature, loading, mean) of fitted components: as many rows as the square of the vector length.
+
+    The largest loading of every component is positive.
+    """
+    model, means = fitted
+    loadings, signs = model.pc.toArray(), component_signs(model)
+    rows = [(c, f, float(loadings[f, c] * signs[c])) for f in range(loadings.shape[0]) for c in range(loadings.shape[1])]
+    table = spark.createDataFrame(rows, "component int, feature int, loading double")
+    return table.join(means.select("feature", "mean"), "feature").select("component", "feature", "loading", "mean")
+
+
+def project(df: DataFrame, loadings: DataFrame, features: str = "features", output: str = "projected") -> DataFrame:
+    """Project vectors by a table of loadings, as ``pca_loadings`` makes it or a saved model holds it."""
+    by_component = loadings.groupBy("component").agg(F.array_sort(F.collect_list(F.struct("feature", "loading", "mean"))).alias("_l"))
+    row = by_component.agg(F.array_sort(F.collect_list(F.struct("component", "_l"))).alias("_model")).withColumn("_all", F.lit(1))
+    joined = attach(df.withColumn("_all", F.lit(1)), row, ["_all"])
+    part = lambda c: F.aggregate(F.zip_with(features, c["_l"], lambda v, l: (v - l["mean"]) * l["loading"]), F.lit(0.0), lambda s, x: s + x)
+    return joined.withColumn(output, F.transform("_model", part)).drop("_all", "_model")
+
+
 def pca_transform(df: DataFrame, fitted, features: str = "features", output: str = "projected") -> DataFrame:
     """Project centred vectors; the largest loading of every component is positive."""
     model, means = fitted

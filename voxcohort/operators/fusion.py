@@ -134,7 +134,7 @@ def _fuse_patterns(maps: DataFrame, solve, keys: Sequence[str], label: str) -> D
     fields = [maps.schema[k] for k in keys]
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in fields), "pattern array<int>", "label int"])
     lookup = settle(counted.groupBy(*keys).applyInPandas(fuse, schema))
-    joined = join_summary(patterns, lookup, [*keys, "pattern"], "inner", fits_broadcast(lookup.count()))
+    joined = join_summary(patterns, lookup, [*keys, "pattern"], "inner", fits_broadcast(lookup))
     return joined.select(*keys, *XYZ, F.col("label").alias(label))
 
 

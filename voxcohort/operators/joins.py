@@ -74,7 +74,7 @@ def nearest_squared(points: DataFrame, targets: DataFrame, keys: Sequence[str] =
         weights = [(F.col("spacing")[i] * F.col("spacing")[i]).cast("double").alias(f"_u{i}") for i in range(3)]
         bounds = bounds.join(spacing.select(*keys, "spacing"), keys)
     bounds = settle(bounds.select(*keys, "_ys", "_zs", *weights, F.monotonically_increasing_id().alias("_g")))
-    small = fits_broadcast(bounds.count())
+    small = fits_broadcast(bounds)
     numbered = lambda df: join_summary(df.select(*keys, *XYZ), bounds.select(*keys, "_g"), keys, "inner", small).drop(*keys)
 
     def along(rows: DataFrame, axis: str, line: list[str], asked: DataFrame | None, weight: str) -> DataFrame:

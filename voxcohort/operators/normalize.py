@@ -37,6 +37,7 @@ def zscore_image(image: DataFrame, mask: DataFrame | None = None, quantiles: Seq
         some = marks.groupBy(*keys).agg(F.lit(True).alias("_some"))
         tagged = attach(image.join(marks, [*keys, *XYZ], "left"), some, keys, "left")
         counted = tagged.where((v > 0) & (F.col("_in").isNotNull() | F.col("_some").isNull())).select(*keys, v.alias("v"))
+    counted = settle(counted)  # read four times
     x = F.col("v")
     rough = counted.groupBy(*keys).agg(F.min(x).alias("_min"), F.max(x).alias("_max"), F.avg(x).alias("_m"), F.stddev_samp(x).alias("_s"))
     limits = select_ranks(counted, {"_lo": percentile_rank(quantiles[0]), "_hi": percentile_rank(quantiles[1])}, keys, "v")

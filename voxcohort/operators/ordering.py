@@ -5,44 +5,61 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxcohort.session import attach
+from voxcohort.session import attach, settle
+
+
+#: Bits of an order value that one level of running sums covers; a sum sees at most 2^16 rows.
+LEVEL = 16
 
 
 def running_position(df: DataFrame, order: str, weight: Column | None = None, name: str = "position") -> DataFrame:
     """Sum of the weights (by default: number) of all rows with a smaller ``order``.
 
-    ``order`` is a unique non-negative bigint. Its upper bits form two levels of buckets, so every
-    running sum sees at most 65536 rows; only the topmost level, one row per 2³² order values, is
-    summed as a whole.
+    ``order`` is a unique non-negative bigint. Its bits form four levels of buckets. Sums are gathered upwards and offsets handed
+    down, so each running sum sees the at most 65536 buckets (or rows) below one bucket, and no task more.
     """
     w = F.lit(1).cast("long") if weight is None else weight
-    tagged = df.withColumns({"_w": w, "_b1": F.shiftright(order, 16), "_b2": F.shiftright(order, 32)})
-    inner = tagged.groupBy("_b2", "_b1").agg(F.sum("_w").alias("_s"))
-    outer = inner.groupBy("_b2").agg(F.sum("_s").alias("_s"))
+    levels = range(1, 64 // LEVEL)
+    tagged = df.withColumns({"_w": w} | {f"_b{k}": F.shiftright(order, LEVEL * k) for k in levels} | {f"_b{len(levels) + 1}": F.lit(0).cast("long")})
 
-    def before(window) -> Column:
-        return F.coalesce(F.sum("_s").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    def before(above: str, by: str) -> Column:
+        window = Window.partitionBy(above).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_s").over(window), F.lit(0).cast("long"))
 
-    outer = outer.select("_b2", before(Window.orderBy("_b2")).alias("_o2"))
-    starts = inner.withColumn("_o1", before(Window.partitionBy("_b2").orderBy("_b1"))).join(outer, "_b2").select(
-        "_b1", (F.col("_o1") + F.col("_o2")).alias("_start"))
+    buckets = [f"_b{k}" for k in levels]
+    sums = {"_b1": settle(tagged.groupBy(*buckets, f"_b{len(levels) + 1}").agg(F.sum("_w").alias("_s")))}
+    for lower, upper in zip(buckets, buckets[1:]):
+        above = [b for b in sums[lower].columns if b not in (lower, "_s")]
+        sums[upper] = sums[lower].groupBy(*above).agg(F.sum("_s").alias("_s"))
+    starts = None
+    for k in reversed(levels):
+        own, above = f"_b{k}", f"_b{k + 1}"
+        placed = sums[own].withColumn("_o", before(above, own))
+        if starts is not None:
+            placed = placed.join(starts, above).withColumn("_o", F.col("_o") + F.col("_start"))
+        starts = placed.select(own, F.col("_o").alias("_start"))
     here = Window.partitionBy("_b1").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     local = F.coalesce(F.sum("_w").over(here), F.lit(0))
     placed = attach(tagged, starts, ["_b1"]).withColumn(name, F.col("_start") + local)
-    return placed.drop("_w", "_b1", "_b2", "_start")
+    return placed.drop("_w", *[f"_b{k}" for k in range(1, len(levels) + 2)], "_start")
 
 
 def number_lines(lines: DataFrame, name: str = "line") -> DataFrame:
-    """Number the lines of a text scan 0, 1, ... in file order.
+    """Number the lines of a text scan 0, 1, ...: files in the order of their paths, lines as they stand in a file.
 
-    Within a scan partition the engine numbers rows itself; one row per partition gives the offsets.
+    ``lines`` is the scan itself. Spark reads a file in blocks, in any order of files, but numbers the rows of a block in their order. So
+    one row a block, with its first number and its size, gives every line its place; blocks are summed by file, files by
+    path.
     """
-    tagged = lines.withColumn("_id", F.monotonically_increasing_id())
-    tagged = tagged.withColumns({"_part": F.shiftright("_id", 33), "_in": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))})
-    sizes = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_offset"))
-    return attach(tagged, offsets, ["_part"]).withColumn(name, F.col("_offset") + F.col("_in")).drop("_id", "_part", "_in", "_offset")
+    tagged = lines.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")).withColumn(
+        "_id", F.monotonically_increasing_id())
+    blocks = settle(tagged.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")))
+    # one row a file
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    begins = blocks.groupBy("_file").agg(F.sum("_n").alias("_lines")).select("_file", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)).alias("_begin"))
+    within = F.coalesce(F.sum("_n").over(Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.withColumn("_within", within).join(begins, "_file").select("_file", "_block", (F.col("_begin") + F.col("_within") - F.col("_first")).alias("_shift"))
+    return attach(tagged, starts, ["_file", "_block"]).withColumn(name, F.col("_id") + F.col("_shift")).drop("_id", "_file", "_block", "_shift")
 
 
 def rank_in_group(df: DataFrame, keys: list[str], value: str, tie: str, bins: int = 1024, name: str = "rank") -> DataFrame:

@@ -121,7 +121,7 @@ def repair_negatives(image: DataFrame, limit: int = REPAIRABLE_VOXELS, keys: Seq
     """Lift the non-zero voxels of images whose negative blobs are small; other images stay as they are."""
     keys = list(keys)
     small = settle(negative_components(image, keys, value).where(F.col("largest") < limit).select(*keys))
-    repairable = join_summary(image, small, keys, "left_semi", fits_broadcast(small.count()))
+    repairable = join_summary(image, small, keys, "left_semi", fits_broadcast(small))
     low = repairable.groupBy(*keys).agg(F.min(value).alias("_min"))
     joined = attach(image, low, keys, "left")
     lifted = F.when((F.col("_min") < 0) & (F.col(value) != 0), F.col(value) - F.col("_min")).otherwise(F.col(value))

@@ -120,10 +120,6 @@ def dilate(mask: DataFrame, radius: int, keys: Sequence[str] = IMAGE, size: Sequ
     return voxels if size is None else voxels.where(F.col("x").between(0, size[0] - 1))
 
 
-def _lines(mask: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return mask.groupBy(*keys, "y", "z").agg(F.collect_set("x").alias("xs"))
-
-
 # --- connected components ---------------------------------------------------------------------
 
 def mask_runs(mask: DataFrame, keys: Sequence[str], same: Sequence[str]) -> DataFrame:
@@ -146,9 +142,14 @@ def connected_components(mask: DataFrame, keys: Sequence[str] = IMAGE, same: Seq
     leaves behind is checkpointed, so a lost executor never replays earlier rounds.
     """
     keys, same = list(keys), list(same)
+    return components_of_runs(mask_runs(mask.select(*keys, *same, *XYZ), keys, same), keys, same, full)
+
+
+def components_of_runs(runs: DataFrame, keys: Sequence[str] = IMAGE, same: Sequence[str] = (), full: bool = False) -> DataFrame:
+    """``connected_components`` of a mask that is given as maximal runs (y, z, x0, x1)."""
+    keys, same = list(keys), list(same)
     group = [*keys, *same]
-    runs = settle(mask_runs(mask.select(*group, *XYZ), keys, same)
-                  .withColumn("node", F.struct("z", "y", "x0")))
+    runs = settle(runs.withColumn("node", F.struct("z", "y", "x0")))
     slack = 1 if full else 0
     steps = [(1, 0), (0, 1), (1, 1), (-1, 1)] if full else [(1, 0), (0, 1)]
     table = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dz).alias("dz")) for dy, dz in steps])
@@ -182,7 +183,7 @@ def _follow_smallest(edges: DataFrame, group: list[str]) -> tuple[DataFrame, boo
     Also tells whether the table is small enough to broadcast.
     """
     step = settle(edges.groupBy(*group, F.col("a").alias("node")).agg(F.min("b").alias("to")).withColumn("to", F.least("node", "to")))
-    small = fits_broadcast(step.count())
+    small = fits_broadcast(step)
     for _ in range(3):
         onward = step.select(*group, F.col("node").alias("to"), F.col("to").alias("next"))
         step = join_summary(step, onward, [*group, "to"], "inner", small).select(*group, "node", F.col("next").alias("to"))
@@ -211,7 +212,7 @@ def _components_of(components: DataFrame, seeds: DataFrame, keys: Sequence[str],
     line = seeds.select(*keys, F.col("x").alias("seed_x"), "y", "z")
     hit = components.join(line, [*keys, "y", "z"]).where(F.col("seed_x").between(F.col("x0"), F.col("x1")))
     chosen = settle(hit.select(*group, "component").distinct())
-    return join_summary(components, chosen, [*group, "component"], "left_semi", fits_broadcast(chosen.count()))
+    return join_summary(components, chosen, [*group, "component"], "left_semi", fits_broadcast(chosen))
 
 
 def grow_region(image: DataFrame, seeds: DataFrame, low: float | None = 300.0, high: float | None = 500.0,
@@ -225,7 +226,7 @@ def grow_region(image: DataFrame, seeds: DataFrame, low: float | None = 300.0, h
     if low is None or high is None:
         at_seeds = seeds.select(*keys, *XYZ).join(image, [*keys, *XYZ])
         band = settle(at_seeds.groupBy(*keys).agg(F.avg(value).alias("_m"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("_s")))
-        inside = join_summary(image, band, keys, "inner", fits_broadcast(band.count())).where(
+        inside = join_summary(image, band, keys, "inner", fits_broadcast(band)).where(
             F.col(value).between(F.col("_m") - F.col("_s"), F.col("_m") + F.col("_s")))
     else:
         inside = image.where(F.col(value).between(low, high))
@@ -241,9 +242,12 @@ def farthest_in_component(labelmap: DataFrame, seeds: DataFrame, keys: Sequence[
     (index * spacing + origin). Equal distances go to the first voxel in z, y, x order.
     """
     keys = list(keys)
-    mine = _components_of(connected_components(labelmap, keys, [label]), seeds, keys, [label])
+    # only voxels of the seeds' own values can be connected to them
+    own = settle(labelmap.join(seeds.select(*keys, *XYZ), [*keys, *XYZ], "left_semi").select(*keys, label).distinct())
+    same = join_summary(labelmap, own, [*keys, label], "left_semi", fits_broadcast(own))
+    mine = _components_of(connected_components(same, keys, [label]), seeds, keys, [label])
     seed = settle(seeds.select(*keys, *[F.col(c).alias(f"s_{c}") for c in XYZ]))
-    rows = join_summary(mine.drop("component", label), seed, keys, "inner", fits_broadcast(seed.count()))
+    rows = join_summary(mine.drop("component", label), seed, keys, "inner", fits_broadcast(seed))
     # within a run the farthest voxel is one of its two ends
     ends = rows.withColumn("x", F.explode(F.array("x0", "x1")))
     d2 = sum(((F.col(c) - F.col(f"s_{c}")) * (F.col(c) - F.col(f"s_{c}")) for c in ("y", "z")),
@@ -261,24 +265,27 @@ def farthest_in_component(labelmap: DataFrame, seeds: DataFrame, keys: Sequence[
 def fill_holes(mask: DataFrame, sizes: DataFrame, keys: Sequence[str] = IMAGE, full: bool = False) -> DataFrame:
     """Mask voxels plus the background regions that do not reach the border of the image.
 
-    ``sizes`` has one ``size`` array per group. Background lines are built from the lines of the mask,
-    so the dense background only exists as runs.
+    ``sizes`` has one ``size`` array per group. The background is what lies between the runs of the mask on each line: it exists as
+    runs only, and voxels are written for the holes alone.
     """
     keys = list(keys)
     inside = mask.select(*keys, *XYZ).distinct()
-    grid = sizes.select(*keys, "size", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("size")[1] - 1).cast("long"))).alias("y"))
-    grid = grid.withColumn("z", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("size")[2] - 1).cast("long"))))
-    lines = grid.join(_lines(inside, keys), [*keys, "y", "z"], "left")
-    row = F.sequence(F.lit(0).cast("long"), (F.col("size")[0] - 1).cast("long"))
-    empty = F.array_except(row, F.coalesce("xs", F.array().cast("array<bigint>")))
-    background = lines.select(*keys, "size", F.explode(empty).alias("x"), "y", "z")
-    components = connected_components(background, keys, full=full)
+    every = lambda axis: F.explode(F.sequence(F.lit(0).cast("long"), (F.col("size")[axis] - 1).cast("long")))
+    grid = sizes.select(*keys, "size", every(1).alias("y")).withColumn("z", every(2))
+    held = mask_runs(mask.select(*keys, *XYZ), keys, []).groupBy(*keys, "y", "z").agg(F.array_sort(F.collect_list(F.struct("x0", "x1"))).alias("_held"))
+    lines = grid.join(held, [*keys, "y", "z"], "left").withColumn("_held", F.coalesce("_held", F.array().cast(held.schema["_held"].dataType)))
+    zero, last = F.lit(0).cast("long"), (F.col("size")[0] - 1).cast("long")
+    starts = F.concat(F.array(zero), F.transform("_held", lambda r: F.greatest(r["x1"] + 1, zero)))
+    ends = F.concat(F.transform("_held", lambda r: F.least(r["x0"] - 1, last)), F.array(last))
+    gaps = F.filter(F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("x0"), b.alias("x1"))), lambda g: g["x0"] <= g["x1"])
+    background = lines.select(*keys, "y", "z", F.explode(gaps).alias("_gap")).select(*keys, "y", "z", "_gap.x0", "_gap.x1")
+    components = components_of_runs(background, keys, full=full)
     known = settle(sizes.select(*keys, "size"))
-    sized = join_summary(components, known, keys, "inner", fits_broadcast(known.count()))
+    sized = join_summary(components, known, keys, "inner", fits_broadcast(known))
     at_border = ((F.col("x0") == 0) | (F.col("x1") == F.col("size")[0] - 1) | (F.col("y") == 0)
                  | (F.col("y") == F.col("size")[1] - 1) | (F.col("z") == 0) | (F.col("z") == F.col("size")[2] - 1))
     outside = settle(sized.where(at_border).select(*keys, "component").distinct())
-    holes = join_summary(components, outside, [*keys, "component"], "left_anti", fits_broadcast(outside.count()))
+    holes = join_summary(components, outside, [*keys, "component"], "left_anti", fits_broadcast(outside))
     return inside.unionByName(component_voxels(holes.drop("component")).select(*keys, *XYZ))
 
 

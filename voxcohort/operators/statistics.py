@@ -121,7 +121,7 @@ def select_ranks(df: DataFrame, ranks: Mapping[str, Callable[[Column], Column]],
     spans = settle(rows.groupBy(*key).agg(F.count("value").alias("n"), F.min(finite).alias("low"), F.max(finite).alias("high"))
                    .select(*key, "low", "high", "n", wanted.alias("wanted")))
     # later rounds have at most one row per group and name
-    small = fits_broadcast(spans.count() * len(ranks))
+    small = fits_broadcast(spans)
     while not spans.where((F.col("n") > limit) & (F.col("low") < F.col("high"))).isEmpty():
         name = f"_bin{len(key) - len(keys)}"
         low, high = F.col("low").cast("double") / 2, F.col("high").cast("double") / 2  # halves, so that a difference cannot overflow

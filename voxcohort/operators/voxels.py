@@ -59,29 +59,52 @@ def with_index(points: DataFrame, meta: DataFrame, world: Sequence[str] = ("wx",
     return joined.withColumns(dict(zip(("ix", "iy", "iz"), index))).drop("spacing", "origin", "direction")
 
 
-def reorient(image: DataFrame, meta: DataFrame, target: str) -> DataFrame:
-    """Permute and flip the axes of every image to ``target``; adds the orientation it came from.
+def _turned(columns: Sequence[Column], target: str, flipped) -> list[Column]:
+    """The columns of the axes x, y, z in the orientation ``target``; ``flipped(axis, column)`` gives one that runs the other way.
 
-    The transform depends only on the code the image has, so it is looked up in one small
-    expression per possible source code.
+    The transform depends only on the code the image has (column source_code), so it is looked up in one small
+    expression per possible letter.
     """
-    known = meta.select("image_id", "size", geometry.orientation_code(F.col("direction")).alias("source_code"))
-    joined = attach(image, known, IMAGE)
-    index, size = [F.col(c) for c in XYZ], geometry.items(F.col("size"))
-    wanted = geometry.parse_orientation(target)
-    moved = {}
-    for name, (axis, sign) in zip(XYZ, wanted):
+    moved = []
+    for axis, sign in geometry.parse_orientation(target):
         letters = [c for c, (a, _) in geometry.AXIS_OF_LETTER.items() if a == axis]
         expression = None
         for position in range(3):
             for letter in letters:
                 same = geometry.AXIS_OF_LETTER[letter][1] == sign
-                result = index[position] if same else size[position] - 1 - index[position]
+                result = columns[position] if same else flipped(position, columns[position])
                 matches = F.substring("source_code", position + 1, 1) == letter
                 expression = F.when(matches, result) if expression is None else expression.when(matches, result)
-        moved[name] = expression
+        moved.append(expression)
+    return moved
+
+
+def reorient(image: DataFrame, meta: DataFrame, target: str) -> DataFrame:
+    """Permute and flip the axes of every image to ``target``; adds the orientation it came from."""
+    known = meta.select("image_id", "size", geometry.orientation_code(F.col("direction")).alias("source_code"))
+    joined = attach(image, known, IMAGE)
+    size = geometry.items(F.col("size"))
+    moved = _turned([F.col(c) for c in XYZ], target, lambda axis, index: size[axis] - 1 - index)
     kept = [c for c in image.columns if c not in XYZ]
-    return joined.select(*kept, *[e.cast("long").alias(n) for n, e in moved.items()], "source_code")
+    return joined.select(*kept, *[e.cast("long").alias(n) for n, e in zip(XYZ, moved)], "source_code")
+
+
+def reorient_series(series: DataFrame, vectors: DataFrame, meta: DataFrame, target: str, time: str = "t",
+                    vector: Sequence[str] = ("vx", "vy", "vz")) -> DataFrame:
+    """Time points of 4-D images in the orientation ``target``, each voxel with the direction vector of its time point.
+
+    ``vectors`` has one vector per image and time point; it is turned by the same axes and signs as the voxels. Images
+    whose directions name an anatomical axis twice stop the job; time points without a vector keep null ones.
+    """
+    code = geometry.orientation_code(F.col("direction"))
+    axes = F.size(F.array_distinct(F.array(*[F.translate(F.substring(code, i, 1), "LPS", "RAI") for i in (1, 2, 3)])))
+    checked = meta.withColumn("source_code", F.when(axes == 3, code).otherwise(
+        F.raise_error(F.concat(F.lit("no valid orientation: "), code)).cast("string")))
+    turned = attach(vectors.select(*IMAGE, time, *vector), checked.select(*IMAGE, "source_code"), IMAGE)
+    moved = _turned([F.col(v) for v in vector], target, lambda _, value: -value)
+    turned = turned.select(*IMAGE, time, *[e.alias(v) for v, e in zip(vector, moved)])
+    placed = reorient(series, meta, target)
+    return attach(placed, turned, [*IMAGE, time], "left")
 
 
 def unstack(series: DataFrame, keys: Sequence[str] = IMAGE, time: str = "t") -> DataFrame:

@@ -7,8 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A broadcast side holds at most this many short rows (a few dozen MB); above it the join is salted.
-BROADCAST_ROWS = 200_000
+# A broadcast side holds at most this many bytes of values; above it the join is salted.
+BROADCAST_BYTES = 32 << 20
 SALTS = 16
 
 
@@ -31,8 +31,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def fits_broadcast(rows: int, max_rows: int | None = None) -> bool:
-    return rows <= (BROADCAST_ROWS if max_rows is None else max_rows)
+def fits_broadcast(table: DataFrame, max_rows: int | None = None) -> bool:
+    """Whether a computed table can be sent to every task, by what its rows hold: 16 bytes a row and their values as text."""
+    values = [f.name for f in table.schema.fields if f.dataType.typeName() not in ("variant", "binary")]
+    binaries = [F.coalesce(F.length(f.name), F.lit(0)) for f in table.schema.fields if f.dataType.typeName() == "binary"]
+    width = sum(binaries, F.coalesce(F.length(F.to_json(F.struct(*values))), F.lit(0)) + 16 if values else F.lit(16))
+    found = table.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
+    return found["bytes"] <= BROADCAST_BYTES and (max_rows is None or found["rows"] <= max_rows)
 
 
 def join_summary(df: DataFrame, summary: DataFrame, on: list[str], how: str, small: bool) -> DataFrame:
@@ -52,8 +57,8 @@ def attach(df: DataFrame, summary: DataFrame, on: list[str], how: str = "inner",
            max_rows: int | None = None) -> DataFrame:
     """Join a large table with a summary that has one row per ``on`` key.
 
-    The summary is computed once and counted, so that the large side is shuffled only if the summary
+    The summary is computed once and measured, so that the large side is shuffled only if the summary
     is too large to broadcast.
     """
     summary = settle(summary)
-    return join_summary(df, summary, on, how, fits_broadcast(summary.count(), max_rows))
+    return join_summary(df, summary, on, how, fits_broadcast(summary, max_rows))
