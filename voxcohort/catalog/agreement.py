@@ -140,6 +140,20 @@ def compare_images_radius(t):
     return _round(hi.compare_images(d.voxels(t), d.second_image(t), 40.0, radius=1), "average")
 
 
+@query("golden_comparison", d.with_ctes(d.VOXELS, d.SECOND, d.META, SPARSE, f"compared AS ({COMPARED})", """SELECT image_id, same AS same_space,
+  CASE WHEN same THEN '' ELSE 'Images are in different spaces (size/origin/spacing mismatch)' END AS message, CASE WHEN same THEN voxels END AS voxels, CASE WHEN same THEN differing END AS differing,
+  CASE WHEN same THEN percent END AS percent, CASE WHEN same THEN minimum END AS minimum, CASE WHEN same THEN maximum END AS maximum, CASE WHEN same THEN average END AS average,
+  CASE WHEN same THEN total END AS total FROM (SELECT image_id, spacing[2] <> 1.5 AND origin[1] <> 3 AS same FROM meta) LEFT JOIN compared USING (image_id)"""))
+def golden_comparison(t):
+    """Images against others whose headers differ in spacing or origin for some of them."""
+    meta = d.image_meta(t)
+    spacing, origin = F.col("spacing"), F.col("origin")
+    other = meta.withColumns({
+        "spacing": F.when(spacing[1] == 1.5, F.array(spacing[0], F.lit(1.25), spacing[2])).otherwise(spacing),
+        "origin": F.when(origin[0] == 3, F.array(F.lit(2.0), origin[1], origin[2])).otherwise(origin)})
+    return _round(hi.golden_comparison(d.stored(d.voxels(t)), d.stored(d.second_image(t)), meta, other, 40.0), "average")
+
+
 @query("images_similar", d.with_ctes(d.VOXELS, d.SECOND, SPARSE,
        f"SELECT image_id, NOT (total > 12000 AND differing > 180) AS similar FROM ({COMPARED})"))
 def images_similar(t):

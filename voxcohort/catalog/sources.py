@@ -214,16 +214,23 @@ def tag_value(t):
     return inv.tag_value(_tags(t), "0008|0060").drop("tags")
 
 
-def _modality_sql(words, text):
-    cases = []
-    for modality, options in words:
-        hit = " OR ".join(f"contains(s, '{w}')" for w in options)
-        value = "CASE WHEN contains(s, 'flair') THEN 'FLAIR' ELSE 'T2' END" if modality == "T2" else f"'{modality}'"
-        cases.append(f"WHEN {hit} THEN {value}")
-    return f"CASE {' '.join(cases)} ELSE 'UNDEFINED' END"
-
-
-@query("guess_modality", f"SELECT id, {_modality_sql(inv.MODALITY_WORDS, 's')} AS modality FROM (SELECT 'd' || doc_id AS id, lower(text) AS s FROM documents "
+# Fixed values, written down once more for the SQL: the words of a name, in the order in which they are tried.
+MODALITY_CASES = r"""CASE WHEN regexp_matches(s, 't1ce|t1gd|t1gad|t1-ce|t1-gd|t1-gad') THEN 'T1CE' WHEN regexp_matches(s, 't1') THEN 'T1'
+  WHEN regexp_matches(s, 't2') AND regexp_matches(s, 'flair') THEN 'FLAIR' WHEN regexp_matches(s, 't2') THEN 'T2' WHEN regexp_matches(s, 'flair') THEN 'FLAIR'
+  WHEN regexp_matches(s, 'dti|b0') THEN 'DTI' WHEN regexp_matches(s, 'rad') THEN 'RAD' WHEN regexp_matches(s, 'ax') THEN 'AX' WHEN regexp_matches(s, 'fractional|fa') THEN 'FA'
+  WHEN regexp_matches(s, 'tr') THEN 'TR' WHEN regexp_matches(s, 'rcbv') THEN 'RCBV' WHEN regexp_matches(s, 'psr') THEN 'PSR' WHEN regexp_matches(s, 'ph') THEN 'PH'
+  WHEN regexp_matches(s, 'perf|dsc') THEN 'PERFUSION' WHEN regexp_matches(s, 'ct') THEN 'CT' WHEN regexp_matches(s, 'pet') THEN 'PET'
+  WHEN regexp_matches(s, 'label|segmentation|annotation|roi') THEN 'SEG' ELSE 'UNDEFINED' END"""
+STRICT_CASES = r"""CASE WHEN regexp_matches(s, 't1ce|t1-gad|t1-ce|t1-gd|_t1gd|t1gd_|t1gd\.nii\.gz') THEN 'T1CE' WHEN regexp_matches(s, '_t1|t1_|t1\.nii\.gz') THEN 'T1'
+  WHEN regexp_matches(s, '_t2|t2_|t2\.nii\.gz') AND regexp_matches(s, 'flair') THEN 'FLAIR' WHEN regexp_matches(s, '_t2|t2_|t2\.nii\.gz') THEN 'T2'
+  WHEN regexp_matches(s, '_flair|flair_|\.flair\.|flair\.nii\.gz|fl\.nii\.gz') THEN 'FLAIR' WHEN regexp_matches(s, '_dti|dti_|_b0|b0_') THEN 'DTI'
+  WHEN regexp_matches(s, '_rad|rad_|radial_|radial\.nii\.gz|rad\.nii\.gz') THEN 'RAD' WHEN regexp_matches(s, '_ax|ax_|axial_|axial\.nii\.gz|ax\.nii\.gz') THEN 'AX'
+  WHEN regexp_matches(s, '_fa|fa_|fractional_|_fractional|fractional\.nii\.gz|fa\.nii\.gz') THEN 'FA' WHEN regexp_matches(s, '_tr|tr_|trace_|trace\.nii\.gz|tr\.nii\.gz') THEN 'TR'
+  WHEN regexp_matches(s, 'rcbv') THEN 'RCBV' WHEN regexp_matches(s, 'psr') THEN 'PSR' WHEN regexp_matches(s, 'ph') THEN 'PH' WHEN regexp_matches(s, 'perf') THEN 'PERFUSION'
+  WHEN regexp_matches(s, 'label|segmentation') THEN 'SEG' WHEN regexp_matches(s, 'ct2pet|_ct\.') THEN 'CT' WHEN regexp_matches(s, '_pet|pet_') THEN 'PET' ELSE 'UNDEFINED' END"""
+
+
+@query("guess_modality", f"SELECT id, {MODALITY_CASES} AS modality FROM (SELECT 'd' || doc_id AS id, lower(text) AS s FROM documents "
        "UNION ALL SELECT 'p' || page_id, lower(url) FROM pages)")
 def guess_modality(t):
     names = t.documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("s")).unionByName(
@@ -231,7 +238,7 @@ def guess_modality(t):
     return names.select("id", inv.guess_modality(F.col("s")).alias("modality"))
 
 
-@query("guess_modality_strict", d.with_ctes(d.HEADERS, f"SELECT id, {_modality_sql(inv.STRICT_WORDS, 's')} AS modality FROM (SELECT 'h' || image_id AS id, lower(split_part(path, '/', -1)) AS s FROM headers "
+@query("guess_modality_strict", d.with_ctes(d.HEADERS, f"SELECT id, {STRICT_CASES} AS modality FROM (SELECT 'h' || image_id AS id, lower(split_part(path, '/', -1)) AS s FROM headers "
        "UNION ALL SELECT 'p' || page_id, lower(split_part(url, '/', -1)) FROM pages)"))
 def guess_modality_strict(t):
     names = d.headers(t).select(F.concat(F.lit("h"), F.col("image_id").cast("string")).alias("id"), F.col("path").alias("s")).unionByName(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from voxcohort.operators import joins, tiles
-from voxcohort.session import attach
+from voxcohort.session import attach, settle
 
 IMAGE = ["image_id"]
 XYZ = ["x", "y", "z"]
@@ -228,3 +228,20 @@ def images_similar(comparison: DataFrame, limit: float = 0.0, tolerance: int = 1
     too_far = (F.col("total") > limit) & (F.col("differing") > tolerance)
     sized = F.lit(True) if same_size is None else same_size
     return comparison.withColumn("similar", sized & ~too_far)
+
+
+def golden_comparison(ref: DataFrame, test: DataFrame, ref_meta: DataFrame, test_meta: DataFrame, threshold: float = 0.0, radius: int = 0,
+                      on: Sequence[str] = (*IMAGE, *XYZ), value: str = "value") -> DataFrame:
+    """``compare_images`` of the images that lie in the same space; the others have a message instead of figures.
+
+    Both headers have dims, size, origin and spacing; every one of them must be equal.
+    """
+    keys = [c for c in on if c not in XYZ]
+    properties = ("dims", "size", "origin", "spacing")
+    header = lambda meta, name: meta.select(*keys, F.struct(*properties).alias(name))
+    both = header(ref_meta, "_a").join(header(test_meta, "_b"), keys)
+    spaces = settle(both.select(*keys, (F.col("_a") == F.col("_b")).alias("same_space")))
+    here = attach(ref, spaces.where("same_space").select(*keys), keys, "left_semi")
+    figures = compare_images(here, attach(test, spaces.where("same_space").select(*keys), keys, "left_semi"), threshold, radius, on, value)
+    message = F.when(F.col("same_space"), "").otherwise("Images are in different spaces (size/origin/spacing mismatch)")
+    return spaces.join(figures, keys, "left").select(*spaces.columns, message.alias("message"), *[c for c in figures.columns if c not in keys])
