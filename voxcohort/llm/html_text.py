@@ -2,8 +2,12 @@
 
 The markup is cut into blocks at block-level tags. The first pass decides blocks by where they stand (menus, footers, forms and
 such are boilerplate; if the page marks an article, so is all else), by link density, length and the share of stop words. What
-only a class, id or role around an article or main calls boilerplate does not count inside of it. Blocks that stay ambiguous,
-mostly short ones, take the label of the nearest decided block of the same container in the second pass.
+only a class, id or role around an article or main calls boilerplate does not count inside of it, and neither does a form around
+the page or a menu that is never closed. Blocks that stay ambiguous, mostly short ones, take the label of the nearest decided block of the
+same container in the second pass.
+
+If that finds nothing at all, the page is read once more without such doubtful marks, and then, for languages whose stop words are not
+known, by length and link density alone.
 """
 
 from __future__ import annotations
@@ -34,6 +38,9 @@ _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _AWAY = frozenset("nav footer aside form button dialog menu label fieldset".split())
+_LISTS = frozenset("li ul ol dl dt dd".split())
+#: Scripts that write words without spaces between them; two characters count as a word.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 _HINT = re.compile(
     r"^(ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|sidebar|side|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|"
     r"footer|comment|comments|reply|replies|disqus|cookie|cookies|consent|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|"
@@ -49,9 +56,11 @@ class Block:
     words: int
     stops: float
     away: bool
+    doubtful: bool
     container: int
     main: bool
     heading: bool
+    listed: bool
     good: bool | None = None
 
 
@@ -67,10 +76,29 @@ def _hinted(rest: str) -> bool:
     return any(_names_away(name) for found in _ATTRIBUTE.finditer(rest) for value in found.groups() if value for name in value.lower().split())
 
 
+def _unclosed(tokens: list[re.Match]) -> set[int]:
+    """Where the boilerplate tags begin that no end tag closes."""
+    stack: list[tuple[str, int]] = []
+    lost: set[int] = set()
+    for token in tokens:
+        tag = (token["tag"] or "").lower()
+        if not tag or tag in _INLINE or tag in _VOID or token["rest"].endswith("/"):
+            continue
+        if not token["close"]:
+            stack.append((tag, token.start()))
+        elif any(tag == t for t, _ in stack):
+            while stack[-1][0] != tag:
+                lost.add(stack.pop()[1])
+            stack.pop()
+    return lost | {at for _, at in stack}
+
+
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order, with what the rules look at."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool, int]] = []  # tag, away by tags, away by hints, main, container
+    tokens = list(_TOKEN.finditer(page))
+    unclosed = _unclosed(tokens)
+    stack: list[tuple[str, bool, bool, bool, int]] = []  # tag, away by tags, away by hints, forms or unclosed tags, main, container
     pieces: list[str] = []
     linked = link = containers = 0
     heading = False
@@ -80,14 +108,15 @@ def blocks(page: str) -> list[Block]:
         text = re.sub(r"\s+", " ", html.unescape("".join(pieces))).strip()
         if text:
             words = text.split(" ")
-            _, away, hint, main, container = stack[-1] if stack else ("", False, False, False, 0)
+            tag, away, hint, main, container = stack[-1] if stack else ("", False, False, False, 0)
             stops = sum(w.strip(".,;:!?\"'()").lower() in STOP_WORDS for w in words) / len(words)
-            out.append(Block(text, linked / max(1, len(text)), len(words), stops, away or hint, container, main, heading))
+            size = len(words) + len(_UNSPACED.findall(text)) // 2
+            out.append(Block(text, linked / max(1, len(text)), size, stops, away or hint, hint and not away, container, main, heading, tag in _LISTS))
         pieces.clear()
         linked = 0
 
     at = 0
-    for token in _TOKEN.finditer(page):
+    for token in tokens:
         text = page[at: token.start()]
         if text:
             pieces.append(text)
@@ -113,8 +142,10 @@ def blocks(page: str) -> list[Block]:
                 stack.pop()
             _, away, hint, main, container = stack[-1] if stack else ("", False, False, False, 0)
             inside = main or tag in ("article", "main")
-            gone = away or tag in _AWAY or (tag == "header" and not main)
-            named = tag not in ("html", "body", "main") and _hinted(token["rest"])
+            marked = tag in _AWAY or (tag == "header" and not main)
+            weak = tag == "form" or token.start() in unclosed
+            gone = away or (marked and not weak)
+            named = (marked and weak) or (tag not in ("html", "body", "main") and _hinted(token["rest"]))
             # an article stands against the hints around it, unless it is a comment or the like itself
             doubt = (hint and named) if tag == "article" else tag != "main" and (hint or named)
             if (gone or doubt) != (away or hint) or inside != main:
@@ -131,13 +162,18 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def decide(found: list[Block]) -> None:
-    """First pass: clear cases. Second pass: the others follow the nearest decided block of their container."""
+def decide(found: list[Block], known: bool = True) -> None:
+    """First pass: clear cases. Second pass: the others follow the nearest decided block of their container.
+
+    ``known`` asks for stop words of the known languages.
+    """
     marked = any(b.main and not b.away for b in found)
     for b in found:
-        if b.away or (marked and not b.main) or (b.links > 0.5 and b.words < 40):
+        b.good = None
+        # inside a marked article only lists of links are menus
+        if b.away or (marked and not b.main) or (b.links > 0.5 and b.words < 40 and (b.listed or not b.main)):
             b.good = False
-        elif b.words >= 10 and b.links < 0.3 and b.stops >= 0.15:
+        elif b.words >= 10 and b.links < 0.3 and (b.stops >= 0.15 or not known):
             b.good = True
         elif b.words >= 40 and b.links < 0.2 and (b.main or b.stops >= 0.05):
             b.good = True
@@ -154,6 +190,12 @@ def decide(found: list[Block]) -> None:
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
     decide(found)
+    if not any(b.good for b in found):
+        for b in found:
+            b.away = b.away and not b.doubtful
+        decide(found)
+    if not any(b.good for b in found):
+        decide(found, known=False)
     return "\n".join(b.text for b in found if b.good)
 
 
