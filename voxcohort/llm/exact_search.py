@@ -64,7 +64,8 @@ def exact_top_k(vectors: DataFrame, is_query, key: str = "vec_id", vector: str =
     """(query_id, rank, vec_id, score): the ``k`` highest inner products of floor(scale * x) among all other rows.
 
     Ties go to the smaller key. Rows whose key or vector is null, whose vector is empty or holds null, NaN or an infinity take no
-    part. Rows that repeat a key count once, with the least of their vectors. Only vectors of equal length are compared.
+    part, and neither do vectors of which scale * x has a squared length of 2^51 or more: scores of the others are exact in 64 bits and
+    their bounds in double precision. Rows that repeat a key count once, with the least of their vectors. Only vectors of equal length are compared.
     """
     spark = vectors.sparkSession
     prepare(spark)
@@ -72,7 +73,8 @@ def exact_top_k(vectors: DataFrame, is_query, key: str = "vec_id", vector: str =
     x = F.col(vector)
     fine = (F.col(key).isNotNull() & x.isNotNull() & (F.size(x) > 0)
             & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
-    rows = (vectors.where(fine).select(F.col(key).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v.cast("double") * scale)).alias("v"))
+    length = F.aggregate(F.transform(x, lambda v: F.pow(v.cast("double") * scale, F.lit(2.0))), F.lit(0.0), lambda s, t: s + t)
+    rows = (vectors.where(fine).where(length < 2.0 ** 51).select(F.col(key).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v.cast("double") * scale)).alias("v"))
             .groupBy("id").agg(F.min("v").alias("v")))
     rows = shelf.put(rows)
     first = rows.withColumn("i", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(f"i <= {k + 1}")

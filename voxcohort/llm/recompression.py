@@ -61,7 +61,22 @@ def rounds(names: np.ndarray, text: np.ndarray, n: int):
         yield level, names, start, length, left, right
 
 
+#: Words that are parsed at a time.
+STEP = 1 << 22
+
+
 def anchors(names: np.ndarray, text: np.ndarray, window: int, levels: int):
+    """``_anchors`` of any number of words: as a window's symbol depends on the window alone, windows are taken ``STEP`` at a time."""
+    if len(names) < STEP + window:
+        return _anchors(names, text, window, levels)
+    found = []
+    for begin in range(0, len(names) - window + 1, STEP):
+        at, key, first, last = _anchors(names[begin: begin + STEP + window - 1], text[begin: begin + STEP + window - 1], window, levels)
+        found.append((at + begin, key, first + begin, last + begin))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _anchors(names: np.ndarray, text: np.ndarray, window: int, levels: int):
     """One symbol for every window of words, chosen by the window's content alone.
 
     The symbol is of the highest level whose context lies inside the window, among these the one of least name, the
@@ -72,7 +87,6 @@ def anchors(names: np.ndarray, text: np.ndarray, window: int, levels: int):
     empty = np.zeros(0, np.int64)
     if size < window:
         return empty, empty.astype(U), empty, empty
-    assert size < 1 << 24, "a step holds fewer words than the packed position can tell apart"
     none = U(0xFFFFFFFFFFFFFFFF)
     by_length: dict[int, np.ndarray] = {}
     begin, end = [], []
