@@ -64,10 +64,14 @@ def fuse_voting(maps: DataFrame, undecided: int | None = None, keys: Sequence[st
 # most K^R rows, however many voxels there are. The iterations run on that table, one image per task
 # row group; the voxels only meet the result again in a lookup join.
 
-def vote_patterns(maps: DataFrame, raters: Sequence[str], keys: Sequence[str] = IMAGE, label: str = "label") -> DataFrame:
-    """Votes of each voxel as an array in rater order; raters that miss a voxel vote 0."""
-    vote = lambda r: F.coalesce(F.max(F.when(F.col("rater") == r, F.col(label))), F.lit(0)).cast("int")
-    return maps.groupBy(*keys, *XYZ).agg(F.array(*[vote(r) for r in raters]).alias("pattern"))
+def vote_patterns(maps: DataFrame, keys: Sequence[str] = IMAGE, label: str = "label") -> DataFrame:
+    """Votes of each voxel as an array in the order of the image's raters; raters that miss a voxel vote 0."""
+    keys = list(keys)
+    raters = maps.groupBy(*keys).agg(F.array_sort(F.collect_set("rater")).alias("_raters"))
+    voted = maps.groupBy(*keys, *XYZ).agg(F.collect_list(F.struct("rater", F.col(label).alias("label"))).alias("_votes"))
+    own = lambda r: F.transform(F.filter("_votes", lambda e: e["rater"] == r), lambda e: e["label"])
+    pattern = F.transform("_raters", lambda r: F.coalesce(F.array_max(own(r)), F.lit(0)).cast("int"))
+    return attach(voted, raters, keys).select(*keys, *XYZ, pattern.alias("pattern"))
 
 
 def staple_posterior(votes: np.ndarray, counts: np.ndarray, iterations: int, tolerance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,8 +124,7 @@ def simple_weights(votes: np.ndarray, counts: np.ndarray, labels: np.ndarray, it
 def _fuse_patterns(maps: DataFrame, solve, keys: Sequence[str], label: str) -> DataFrame:
     """Run ``solve(votes, counts, labels) -> fused labels`` on the patterns of each image and look voxels up."""
     keys = list(keys)
-    raters = sorted(r[0] for r in maps.select("rater").distinct().collect())
-    patterns = settle(vote_patterns(maps, raters, keys, label))
+    patterns = settle(vote_patterns(maps, keys, label))
     counted = patterns.groupBy(*keys, "pattern").agg(F.count(F.lit(1)).alias("count"))
 
     def fuse(group: pd.DataFrame) -> pd.DataFrame:
