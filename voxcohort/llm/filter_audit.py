@@ -1,9 +1,9 @@
 """How filters interact: what each filter of every order removes, finds already removed, and costs in labelled rows.
 
 1. Every filter has one table: the ids of all rows that fail it. An id is known by key, part and text, so keys may repeat or be null.
-2. What a prefix of filters lets through depends on the filters in it, not on their order. So for each set of filters the survivors
-   are the rows left by one left-anti join per filter; the tables lie by id, so one exchange each serves all sets.
-   Left-semi joins give the rows that fail a filter. Rows are summed to a few numbers a part and set before anything is exchanged.
+2. What a prefix of filters lets through depends on the filters in it, not on their order. The survivors of all sets of filters are
+   one relation (id, set): filter by filter, the rows that it leaves (a left-anti join of all sets so far) are added under the set with that
+   filter. So five joins serve 32 sets. Left-semi joins give the rows that fail a filter. Rows are summed to a few numbers a part and set.
 3. A step removes the survivors before it that are no survivors after it; a failing row that it doesn't remove was removed
    earlier; the unique failures of a filter are what it removes after all others. All orders follow from these sums.
 
@@ -12,6 +12,7 @@ Everything is a DataFrame; only sums by part leave the tasks, and no join has an
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from functools import reduce
 from itertools import permutations
@@ -84,6 +85,16 @@ def failing_ids(documents: DataFrame, labels: DataFrame, filters: dict[str, Call
     return FailingIds(rows, failing)
 
 
+def survivors_of_all_sets(found: FailingIds, names: Sequence[str]) -> DataFrame:
+    """The rows that each set of filters leaves, with the set as a number (bit i stands for filter i) in ``_set``."""
+    shelf = Shelf(found.rows.sparkSession)
+    parts = [found.rows.withColumn("_set", F.lit(0))]
+    for i, name in enumerate(names):
+        left = reduce(DataFrame.unionByName, parts).join(found.failing[name], ID, "left_anti").withColumn("_set", F.col("_set") + F.lit(1 << i))
+        parts.append(shelf.put(left) if i + 1 < len(names) else left)
+    return reduce(DataFrame.unionByName, parts)
+
+
 def audit(found: FailingIds) -> DataFrame:
     """(part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley), zeros included, per part, order
     of the filters and step. A table without rows has no parts."""
@@ -91,31 +102,36 @@ def audit(found: FailingIds) -> DataFrame:
     place = {name: 1 << i for i, name in enumerate(names)}
     everything = (1 << len(names)) - 1
     sets = [(mask, [n for n in names if place[n] & mask]) for mask in range(everything + 1)]
-    # the number of a set of filters; -1, -2, ... for the rows that fail one filter
-    tagged = [found.survivors(chosen).select("_part", "n", "good", "toxic", F.lit(mask).alias("_set")) for mask, chosen in sets]
-    tagged += [found.removed([], n).select("_part", "n", "good", "toxic", F.lit(-1 - i).alias("_set")) for i, n in enumerate(names)]
-    sums = reduce(DataFrame.unionByName, tagged).groupBy("_part", "_set").agg(*(F.sum(c).alias(c) for c in ("n", "good", "toxic")))
+    # -1, -2, ... stand for the rows that fail one filter
+    kinds = [survivors_of_all_sets(found, names)] + [found.removed([], n).withColumn("_set", F.lit(-1 - i)) for i, n in enumerate(names)]
+    sums = reduce(DataFrame.unionByName, kinds).groupBy("_part", "_set").agg(*(F.sum(c).alias(c) for c in ("n", "good", "toxic")))
     # at most 37 rows a part meet here
-    by_part = sums.groupBy("_part").agg(F.map_from_entries(F.collect_list(F.struct("_set", F.struct("n", "good", "toxic")))).alias("_sums"))
+    by_part = Shelf(found.rows.sparkSession).put(sums).groupBy("_part").agg(F.map_from_entries(F.collect_list(F.struct("_set", F.struct("n", "good", "toxic")))).alias("_sums"))
     value = lambda s, c: F.coalesce(F.try_element_at("_sums", s)[c], F.lit(0).cast("long"))
-    lost = lambda before, after, c: value(F.lit(before), c) - value(F.lit(after), c)
-    shapley, unique = {}, {}
-    for name in names:
-        rest = [mask for mask, chosen in sets if not mask & place[name]]
-        weight = lambda mask: factorial(mask.bit_count()) * factorial(len(names) - 1 - mask.bit_count())
-        shapley[name] = sum((weight(m) * lost(m, m | place[name], "n") for m in rest), F.lit(0).cast("long"))
-        unique[name] = lost(everything & ~place[name], everything, "n")
-    table = lambda columns: F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(columns[n] for n in names)))
+    lost = lambda before, after, c: value(before, c) - value(after, c)
+    fixed = lambda rows, schema: F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")
+    # how many orders put exactly the filters of a set before a filter
+    share = [{"name": n, "before": m, "after": m | place[n], "orders": factorial(m.bit_count()) * factorial(len(names) - 1 - m.bit_count())}
+             for n in names for m, _ in sets if not m & place[n]]
+    alone = [{"name": n, "before": everything & ~place[n], "after": everything, "orders": 1} for n in names]
     steps = []
     for order in permutations(names):
-        mask = 0
-        for i, name in enumerate(order):
-            steps.append(F.struct(F.lit("".join(order)).alias("filter_order"), F.lit(i + 1).alias("step"), F.lit(name).alias("name"),
-                                  F.lit(-1 - names.index(name)).alias("failing"), F.lit(mask).alias("before"), F.lit(mask | place[name]).alias("after")))
-            mask |= place[name]
-    wide = by_part.select("_part", "_sums", table(shapley).alias("_shapley"), table(unique).alias("_unique"), F.explode(F.array(*steps)).alias("_s"))
+        before = 0
+        for i, name in enumerate(order, 1):
+            steps.append({"filter_order": "".join(order), "step": i, "name": name, "failing": -1 - names.index(name), "before": before, "after": before | place[name]})
+            before |= place[name]
+
+    def by_name(rows: list[dict]) -> Column:
+        """Removals of each filter, summed over the rows that name it."""
+        listed = fixed(rows, "name string, before int, after int, orders long")
+        total = lambda name: F.aggregate(F.filter(listed, lambda r: r["name"] == name), F.lit(0).cast("long"),
+                                         lambda s, r: s + r["orders"] * lost(r["before"], r["after"], "n"))
+        return F.create_map(*(c for n in names for c in (F.lit(n), total(n))))
+
+    steps = fixed(steps, "filter_order string, step int, name string, failing int, before int, after int")
+    wide = by_part.select("_part", "_sums", by_name(share).alias("_shapley"), by_name(alone).alias("_unique"), F.explode(steps).alias("_s"))
     s = F.col("_s")
-    gone = lambda c: value(s["before"], c) - value(s["after"], c)
-    return wide.select(F.col("_part").alias("part"), s["filter_order"].alias("filter_order"), s["step"].cast("int").alias("step"), value(s["after"], "n").alias("kept"),
+    gone = lambda c: lost(s["before"], s["after"], c)
+    return wide.select(F.col("_part").alias("part"), s["filter_order"].alias("filter_order"), s["step"].alias("step"), value(s["after"], "n").alias("kept"),
                        gone("n").alias("removed"), (value(s["failing"], "n") - gone("n")).alias("redundant"), F.col("_unique")[s["name"]].alias("unique_fails"),
                        gone("good").alias("good_lost"), gone("toxic").alias("toxic_lost"), F.col("_shapley")[s["name"]].alias("shapley"))
