@@ -76,21 +76,21 @@ def test_repeated_words_against_windows(corpus, nothing):
     assert remove_repeated_words(nothing).count() == 0
 
 
-@pytest.mark.parametrize("largest", [100, 1])
-def test_repeated_bytes_against_windows(corpus, nothing, largest):
+@pytest.mark.parametrize("largest,window", [(20000, 400), (1, 400), (20000, 200), (3, 128)])
+def test_repeated_bytes_against_windows(corpus, nothing, largest, window):
     rows = [(r.doc_id, (r.text or "").encode()) for r in corpus.collect()]
     count = {}
     for _, t in rows:
-        for p in range(len(t) - 399):
-            count[t[p:p + 400]] = count.get(t[p:p + 400], 0) + 1
+        for p in range(len(t) - window + 1):
+            count[t[p:p + window]] = count.get(t[p:p + window], 0) + 1
     expected = []
     for doc, t in rows:
         gone = np.zeros(len(t), bool)
-        for p in range(len(t) - 399):
-            if count[t[p:p + 400]] > 1:
-                gone[p:p + 400] = True
+        for p in range(len(t) - window + 1):
+            if count[t[p:p + window]] > 1:
+                gone[p:p + window] = True
         expected.append((doc, len(t), hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~gone])).hexdigest()))
-    got = [(r["doc_id"], r["n_bytes"], hashlib.sha256(r["kept"]).hexdigest()) for r in plain(remove_repeated_bytes(corpus, largest=largest))]
+    got = [(r["doc_id"], r["n_bytes"], hashlib.sha256(r["kept"]).hexdigest()) for r in plain(remove_repeated_bytes(corpus, largest=largest, window=window))]
     assert sorted(map(str, got)) == sorted(map(str, expected))
     assert remove_repeated_bytes(nothing).count() == 0
 
@@ -272,3 +272,28 @@ def test_one_row_of_each_group_passes_deduplication(spark, tmp_path):
     assert near_free.columns == docs.columns
     assert kept == sorted([(1, one), (3, two), (None, three), (4, five), (5, six), (7, None), (7, None), (None, None), (8, ""), (8, "")], key=str)
     assert sorted(((r.doc_id, r.text) for r in corpus_pipeline.repeated_passages(spark, near_free, str(tmp_path)).collect()), key=str) == kept
+
+
+def test_pipeline_keeps_columns_with_inner_names(spark, tmp_path):
+    """Stages carry every column through, whatever its name, and change none but text and n_chars."""
+    rng = random.Random(12)
+    inner = ["row", "_row", "_quality", "score", "kept", "removed", "n_bytes", "cut", "left", "one", "two", "stays", "once", "component_id", "n_shingles",
+             "_text", "_key", "_hits", "_marks", "_c0", "doc", "n", "x.y"]
+    passage = words(rng, 60)
+    rows = [(i, " ".join(words(rng, 70, 10 ** 5) + (passage if i % 4 == 0 else [])), "en", "ab"[i % 2], 500, *[100 * i + k for k in range(len(inner))]) for i in range(40)]
+    rows += [(100, rows[1][1], *rows[1][2:])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` long" for c in inner)
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(words(rng, 30)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    before = {r[0]: r for r in rows}
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        got = {r[0]: tuple(r) for r in out.collect()}
+        assert all(got[i][5:] == before[i][5:] and got[i][2:4] == before[i][2:4] for i in got) and len(got) >= 39
+    mixed = corpus_pipeline.source_mix(spark, docs, str(tmp_path))
+    assert mixed.columns[: len(docs.columns)] == docs.columns
+    cut = {r.doc_id: r for r in corpus_pipeline.repeated_passages(spark, docs, str(tmp_path)).collect()}
+    assert all((" ".join(passage[2:-2]) in before[i][1]) == (len(cut[i].text) < len(before[i][1])) for i in range(2, 40))
+    assert all(cut[i].n_chars == len(cut[i].text) for i in range(0, 40, 4))

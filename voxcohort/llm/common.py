@@ -43,10 +43,13 @@ def shared_folder(spark: SparkSession) -> str:
 class Shelf:
     """Intermediate tables as compressed Parquet in the shared folder, so that lost executors cost nothing.
 
-    Once a table is stored, the shuffle files of the plan behind it are needed no more. Spark removes them when the driver collects
-    its garbage, which may be half an hour away; so ``put`` asks for it.
+    Once a table is stored, the shuffle files of the plan behind it are needed no more, so ``put`` lets Spark remove them with the
+    end of its job. Otherwise they stay until the driver collects its garbage, maybe half an hour later. The caller's session
+    keeps its own setting.
     """
 
+    CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.paths = spark, f"{shared_folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex}", []
 
@@ -57,11 +60,13 @@ class Shelf:
 
     def put(self, df: DataFrame) -> DataFrame:
         path = self.path()
-        df.write.option("compression", "zstd").parquet(path)
-        schema = df.schema
-        del df
-        self.spark.sparkContext._jvm.System.gc()
-        return self.spark.read.schema(schema).parquet(path)
+        before = self.spark.conf.get(self.CLEAN)
+        try:
+            self.spark.conf.set(self.CLEAN, "true")
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(self.CLEAN, before)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tables: DataFrame) -> None:
         """Free the files of tables that nothing reads any more."""

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import LongType, StructField, StructType
 
 from voxcohort.llm.common import Ranges, Shelf, U, Words, chunks, int64, lower_ascii, mix, prepare, utf8
 from voxcohort.llm.components import components
@@ -139,8 +140,8 @@ def similar_documents(documents: DataFrame, key: str = "doc_id", text: str = "te
     whole = documents.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"), *(F.col(c).alias(a) for c, a in zip(carry, carried)))
     docs = whole.select("doc", "text")
     kinds = [(a, to_arrow_type(whole.schema[a].dataType)) for a in carried]
-    schema = "".join(f"{a} {whole.schema[a].dataType.simpleString()}, " for a in carried)
-    seen = shelf.put(whole.mapInArrow(lambda b: _describe(b, gram, kinds), f"doc long, {schema}n long, cls long, bucket long, count long"))
+    schema = StructType([StructField(a, whole.schema[a].dataType if a in carried else LongType()) for a in ("doc", *carried, "n", "cls", "bucket", "count")])
+    seen = shelf.put(whole.mapInArrow(lambda b: _describe(b, gram, kinds), schema))
     level = _levels(seen.where("bucket is not null"))
     rows = seen.where("n is not null")
     classes = shelf.put(rows.where("cls is not null and doc is not null").groupBy("cls").agg(F.min("doc").alias("node")))
@@ -194,6 +195,9 @@ def _linked(members: DataFrame, fetch, shelf: Shelf, percent: int) -> DataFrame:
             f"{100 + percent} * (least(ba, before) + least(na - pa, n - pos)) >= {percent} * (na + n)")
             .select("a", F.col("node").alias("b")).distinct().join(checked, ["a", "b"], "left_anti"))
         found = shelf.put(found)
+        if found.isEmpty():  # nothing to compare: on to more pivots
+            labelled, begin, many = live, begin + many, 4 * many
+            continue
         sets = shelf.put(fetch(found.select(F.col("a").alias("node")).union(found.select("b")).distinct()))
         held = found.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
         both = held.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").select("a", "b", "ga", "gb")

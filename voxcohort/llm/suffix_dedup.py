@@ -2,13 +2,13 @@
 
 1. Every window of bytes has an anchor, its 32-byte gram of least fingerprint; one byte in about 185 is an anchor. Anchors that
    occur once in the corpus cannot lie in a repeat. If all occurrences of one have the same surroundings, all its windows repeat.
-2. Around the other anchors, windows are taken in bands of 32 neighbouring starts. The bytes common to a band (the core) name
+2. Around the other anchors, windows are taken in bands of 64 neighbouring starts. The bytes common to a band (the core) name
    the group in which it is compared; a probe holds what the band adds on the left and on the right. Equal probes collapse
    to one with a count before they are shuffled.
 3. The probes of a group are strings over bytes with the core as one name. Their collection Burrows-Wheeler transform and
    common prefixes are built column by column (``column_bwt``); a window repeats where a common prefix spans it.
-4. A group of more than ``largest`` different probes (one passage in very many contexts) is counted window by window in Spark
-   with the same result, so that no task holds such a group.
+4. A group of more than ``largest`` different probes (one passage in very many contexts: more than a task builds a transform of at
+   once) is counted window by window in Spark with the same result, so that no task holds such a group.
 """
 
 from __future__ import annotations
@@ -17,13 +17,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from voxcohort.llm.column_bwt import column_bwt
 from voxcohort.llm.common import CHUNK, Ranges, Shelf, U, byte_values, chunks, int64, mix, prepare, shuffle_partitions, utf8
 
-WINDOW, GRAM, BAND, LARGEST = 400, 32, 32, 100
-#: Probes whose transform is built at once; a group is never cut.
-BLOCK = 20_000
+WINDOW, GRAM, BAND = 400, 32, 64
+#: Probes whose transform is built at once; a group of more is counted instead.
+BLOCK = LARGEST = 20_000
+#: A window that very many different probes hold is looked up by so many tasks.
+SALTS = 16
 _LOW = U((1 << 24) - 1)
 
 
@@ -152,10 +155,10 @@ def _judge(table: pa.Table, band: int) -> pa.RecordBatch:
     window = lengths[owner] - length
     count = ahead + np.array([len(y) for y in trail]) - (band - 1) + 1
     hit = again & (length > 0) & (window < count[owner])
-    bits = np.zeros(len(one), np.int64)
-    np.bitwise_or.at(bits, owner[hit], np.int64(1) << window[hit])
+    bits = np.zeros(len(one), U)
+    np.bitwise_or.at(bits, owner[hit], U(1) << window[hit].astype(U))
     copies = np.asarray(table["n"].combine_chunks()) > 1
-    bits[copies] = (np.int64(1) << count[copies]) - 1
+    bits[copies] = ~U(0) >> (64 - count[copies]).astype(U)
     return pa.record_batch([table["one"].combine_chunks(), table["two"].combine_chunks(), table["lead"].combine_chunks(),
                             table["trail"].combine_chunks(), int64(bits)], ["one", "two", "lead", "trail", "bits"])
 
@@ -194,7 +197,7 @@ def _cut(batches, window: int, carry: list[str]):
                 row = marks[begin + i]
                 if row.is_valid:
                     start, bits = np.asarray(row.values.field(0)), np.asarray(row.values.field(1))
-                    probe, window_no = np.nonzero((bits[:, None] >> np.arange(BAND)) & 1)
+                    probe, window_no = np.nonzero((bits[:, None] >> np.arange(BAND)) & 1)  # bit 63 is the sign
                     at = b.offsets[i] + start[probe] + window_no
                     low.append(at)
                     high.append(at + window)
@@ -227,19 +230,22 @@ def _repeated_windows(probes: DataFrame, shelf: Shelf, band: int, largest: int)
                .withColumn("head", F.expr("substring(lead, i + 1, length(lead) - i)"))
                .withColumn("tail", F.expr(f"substring(trail, 1, {band - 1} - length(lead) + i)")))
     again = windows.groupBy(*group, "head", "tail").agg(F.sum("n").alias("total")).where("total > 1").drop("total")
-    counted = (windows.join(again, [*group, "head", "tail"]).groupBy(*probe)
-               .agg(F.expr("bit_or(shiftleft(1L, i))").alias("bits")))
+    again = again.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    counted = (windows.withColumn("salt", F.pmod(F.hash("lead", "trail"), F.lit(SALTS))).join(again, [*group, "head", "tail", "salt"])
+               .groupBy(*probe).agg(F.expr("bit_or(shiftleft(1L, i))").alias("bits")))
     return judged.unionByName(counted).where("bits <> 0")
 
 
 def remove_repeated_bytes(documents: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW,
                           largest: int = LARGEST, carry: tuple[str, ...] = ()) -> DataFrame:
     """(key, n_bytes, kept binary, removed) per row; removed holds the byte ranges [start, end) of the UTF-8 text. The columns in
-    ``carry`` come along between key and n_bytes.
+    ``carry`` come along between key and n_bytes; ``window`` is at least 128.
 
     Null text counts as empty. Rows that repeat a key, and rows without a key, count as documents of their own, so equal texts
     remove each other. Other columns are ignored.
     """
+    if window < GRAM + BAND + 32:
+        raise ValueError("windows of fewer bytes have no common core")
     spark = documents.sparkSession
     prepare(spark)
     shelf = Shelf(spark)
@@ -258,8 +264,7 @@ def remove_repeated_bytes(documents: DataFrame, key: str = "doc_id", text: str =
     marks = (probes.join(_repeated_windows(probes, shelf, BAND, largest), ["one", "two", "lead", "trail"])
              .groupBy("doc").agg(F.collect_set(F.struct("start", "bits")).alias("_marks")))
     joined = docs.join(hits, "doc", "left").join(shelf.put(marks), "doc", "left")
-    spans = "array<struct<start: long, end: long>>"
-    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carried)
-    out = joined.select(*carried, "_text", "_hits", "_marks").mapInArrow(
-        lambda b: _cut(b, window, carried), f"{kinds}, n_bytes long, kept binary, removed {spans}")
+    made = StructType.fromDDL("n_bytes long, kept binary, removed array<struct<start: long, end: long>>")
+    schema = StructType([docs.schema[c] for c in carried] + made.fields)
+    out = joined.select(*carried, "_text", "_hits", "_marks").mapInArrow(lambda b: _cut(b, window, carried), schema)
     return out.select(*(F.col(a).alias(c) for c, a in zip((key, *carry), carried)), "n_bytes", "kept", "removed")
