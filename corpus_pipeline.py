@@ -7,7 +7,7 @@ compared like all others; empty tables pass all of them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxcohort.llm.common import Shelf
@@ -22,46 +22,63 @@ from voxcohort.llm.suffix_dedup import remove_repeated_bytes
 LEAST_QUALITY = 0.3
 
 
+#: Bytes of a repeated passage at least; 50 words are 200 to 500 bytes.
+PASSAGE = 200
+
+
+def _row(docs: DataFrame) -> Column:
+    """All columns of a row as one, so that no name meets a stage's own."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it is fitted on three quarters of the labelled rows, calibrated on the rest."""
     fold = F.crc32(F.col("doc_id").cast("string")) % 4
-    scored = score_quality(docs, table(spark, sf_dir, "labels"), fold > 0, fold == 0, into="_quality")
-    return scored.where(F.col("_quality") >= LEAST_QUALITY).drop("_quality")
+    rows = docs.select("doc_id", "text", _row(docs).alias("row"))
+    scored = score_quality(rows, table(spark, sf_dir, "labels"), fold > 0, fold == 0)
+    return scored.where(F.col("score") >= LEAST_QUALITY).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of every component of similar rows: that of least key, one without a key only where no other has one.
 
-    Rows are the nodes, by key and text together: keys may repeat or be missing. Of rows equal in both one stays. Rows without
-    words are similar to none.
+    Rows are the nodes, by key and text together (two 64-bit hashes): keys may repeat or be missing. Of rows equal in both one
+    stays. Rows without words are similar to none.
     """
     shelf = Shelf(spark)
-    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    found = shelf.put(similar_documents(rows, "_row", carry=("doc_id",)).where("n_shingles > 0").select("_row", "doc_id", "component_id"))
-    stay = found.groupBy("component_id").agg(F.min(F.struct(F.isnull("doc_id").alias("keyless"), "doc_id", "_row")).alias("least")).select(F.col("least._row").alias("_row"), F.lit(True).alias("stays"))
-    copies = found.groupBy("_row").agg(F.count("*").alias("n"))
+    same = ["one", "two"]
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("one"), F.xxhash64(F.lit(1), "doc_id", "text").alias("two"), "doc_id", "text", _row(docs).alias("row"))
+    found = similar_documents(rows, "one", carry=("two", "doc_id"))
+    found = shelf.put(found.where("n_shingles > 0").select(*same, "doc_id", "component_id"))
+    least = F.min(F.struct(F.isnull("doc_id").alias("keyless"), "doc_id", *same)).alias("least")
+    stay = found.groupBy("component_id").agg(least).select("least.one", "least.two", F.lit(True).alias("stays"))
+    copies = found.groupBy(*same).agg(F.count("*").alias("n"))
     # stored, so that the join knows its size
-    marked = shelf.put(copies.join(stay, "_row", "left").where("stays is null or n > 1").select("_row", F.col("stays").isNotNull().alias("once")))
-    out = rows.join(marked.select("_row"), "_row", "left_anti")
-    once = marked.where("once").select("_row")
+    marked = shelf.put(copies.join(stay, same, "left").where("stays is null or n > 1").select(*same, F.col("stays").isNotNull().alias("once")))
+    # one hash parts the rows; of those that share it with a row that goes, the second tells who does
+    doubt = marked.select("one").distinct()
+    out = rows.join(doubt, "one", "left_anti").select("row").unionByName(
+        rows.join(doubt, "one", "left_semi").join(marked.select(*same), same, "left_anti").select("row"))
+    once = marked.where("once").select(*same)
     if not once.isEmpty():
-        out = out.unionByName(rows.join(once, "_row", "left_semi").dropDuplicates(["_row"]))
-    return out.select(*docs.columns)
+        out = out.unionByName(rows.join(once, same, "left_semi").dropDuplicates(same).select("row"))
+    return out.select("row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the runs of 400 bytes that repeat; a character that loses a byte goes, and so does a text that loses all.
+    """Documents without the runs of ``PASSAGE`` bytes that repeat; a character that loses a byte goes, and so does a text that loses all.
 
     n_chars follows the text.
     """
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    out = remove_repeated_bytes(docs, carry=("text", *others))
+    rows = docs.select("doc_id", "text", _row(docs).alias("row"))
+    out = remove_repeated_bytes(rows, window=PASSAGE, carry=("text", "row"))
     left = F.pandas_udf(lambda s: s.map(lambda b: bytes(b).decode("utf-8", "ignore")), "string")("kept")
     cut = F.size("removed") > 0
-    out = out.where(~cut | (F.length("kept") > 0)).withColumn("text", F.when(cut, left).otherwise(F.col("text")))
+    out = out.select("row", cut.alias("cut"), F.when(cut, left).otherwise(F.col("text")).alias("left")).where("not cut or length(left) > 0")
+    new = {"text": F.col("left")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.where(~cut | (F.length("text") > 0)).select(*docs.columns)
+        new["n_chars"] = F.when(F.col("cut"), F.length("left").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return out.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
