@@ -142,3 +142,19 @@ def test_report_numbers_and_segment_errors(spark):
     twice = json.dumps({"segmentAttributes": [[{"labelID": 2}, {"labelID": 2}]]})
     with pytest.raises(Exception, match="duplicate label"):
         ne.flatten_segments(spark.createDataFrame([(twice,)], "json string")).collect()
+
+
+def test_deep_documents_are_made_without_a_join(spark, monkeypatch):
+    from voxcohort import catalog
+    from voxcohort.operators import nested
+    monkeypatch.setattr(nested, "json_diff", lambda df, *_, **__: df)
+    pairs = catalog.queries()["json_diff_deep"](spark, "/root/testdata/sf0.001")
+    assert "Join" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_json_diff_below_the_levels_of_one_plan(spark):
+    from voxcohort.operators import nested
+    deep = lambda v: "[" * 11 + '{"a":' + v + "}" + "]" * 11
+    rows = [(1, deep("1"), deep("2")), (2, deep("1"), deep("1")), (3, '{"b":[1,{"c":null}],"a":1}', '{"a":1,"b":[1,{}]}'), (4, "[1,2]", "[1]"), (5, "[1]", '{"a":1}')]
+    found = {r["k"]: (r["path"], r["reason"]) for r in nested.json_diff(spark.createDataFrame(rows, "k long, e string, a string"), "k", "e", "a").collect()}
+    assert found == {1: ("$" + "[0]" * 11 + ".a", "different value"), 3: ("$.b[1].c", "missing key"), 4: ("$[1]", "length mismatch"), 5: ("$", "type mismatch")}

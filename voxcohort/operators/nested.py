@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from voxcohort.functions import geometry
 from voxcohort.operators.ordering import rank_in_group
 from voxcohort.operators.voxels import with_index
-from voxcohort.session import attach
+from voxcohort.session import attach, settle
 
 IMAGE = ["image_id"]
 
@@ -136,19 +136,6 @@ def prune_code_tree(tree: DataFrame, column: str = "tree", label: str = "label")
 
 # --- JSON comparison --------------------------------------------------------------------------
 
-def json_depth(json: str) -> Column:
-    """Number of objects and arrays around the deepest value of a JSON text."""
-    plain = F.regexp_replace(F.regexp_replace(json, r"(?s)\\.", ""), r'"[^"]*+"', "")  # no escapes, then no strings
-    brackets = F.split(F.regexp_replace(plain, r"[^\[\]{}]++", ""), "")
-    step = F.create_map(*(F.lit(x) for x in ("{", 1, "[", 1, "}", -1, "]", -1)))
-
-    def count(seen: Column, bracket: Column) -> Column:
-        now = seen["now"] + F.coalesce(step[bracket], F.lit(0))
-        return F.struct(now.alias("now"), F.greatest(seen["most"], now).alias("most"))
-
-    return F.aggregate(brackets, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), count, lambda seen: seen["most"])
-
-
 def sorted_json(json: Column, ignore_keys: Sequence[str] = ()) -> Column:
     """JSON text without the ignored keys and with the elements of every array in the order of their own sorted text."""
     ignored = frozenset(ignore_keys)
@@ -166,34 +153,13 @@ def sorted_json(json: Column, ignore_keys: Sequence[str] = ()) -> Column:
     return F.pandas_udf(texts, "string")(json)
 
 
-def json_nodes(df: DataFrame, keys: Sequence[str], json: str, ignore_keys: Sequence[str] = ()) -> DataFrame:
-    """All nodes of JSON documents as (keys, path, type, value); objects and arrays are nodes without a value.
+#: Levels of documents that are opened in one plan.
+JSON_LEVELS = 8
 
-    Each level is one explode that keeps the nodes seen so far and adds the children of the newest ones. There are as many levels as
-    the deepest document has, which is the only number that reaches the driver.
-    """
-    keys = list(keys)
-    no_path = F.lit(None).cast("string")
-    depth = df.agg(F.max(json_depth(json)).alias("depth")).first()["depth"] or 0
-    rows = df.select(*keys, F.lit("$").alias("path"), F.parse_json(json).alias("node"), F.lit(True).alias("open"))
-    for _ in range(depth):
-        rows = rows.select(*keys, "path", "node", "open", F.when(F.col("open"), F.col("node").try_cast("map<string,variant>")).alias("_object"),
-                           F.when(F.col("open"), F.col("node").try_cast("array<variant>")).alias("_array"))
-        fields = F.transform(F.map_entries("_object"), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("child")))
-        if ignore_keys:
-            fields = F.filter(fields, lambda e: ~e["name"].isin(*ignore_keys))
-        elements = F.transform("_array", lambda e, i: F.struct(F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("name"), e.alias("child")))
-        itself = F.array(F.struct(no_path.alias("name"), F.col("node").alias("child")))
-        rows = rows.select(*keys, "path", "open", F.explode(F.concat(itself, F.coalesce(fields, elements, F.filter(itself, lambda e: F.lit(False))))).alias("e"),
-                           F.col("_object").isNotNull().alias("_fields"))
-        name = F.col("e.name")
-        label = F.when(~F.col("_fields"), name).when(F.regexp_like(name, F.lit(r"[.\[\]]")), F.concat(F.lit('["'), name, F.lit('"]'))).otherwise(
-            F.concat(F.lit("."), name))
-        rows = rows.select(*keys, F.when(name.isNull(), F.col("path")).otherwise(F.concat("path", label)).alias("path"),
-                           F.col("e.child").alias("node"), (F.col("open") & name.isNotNull()).alias("open"))
-    kind = F.regexp_extract(F.schema_of_variant("node"), "^([A-Z]+)", 1)
-    typed = rows.select(*keys, "path", "node", F.when(kind.isin("BIGINT", "DECIMAL", "DOUBLE"), "NUMBER").otherwise(kind).alias("type"))
-    return typed.select(*keys, "path", "type", F.when(F.col("type").isin("OBJECT", "ARRAY"), F.lit("")).otherwise(F.to_json("node")).alias("value"))
+
+def _json_kind(node: Column) -> Column:
+    kind = F.regexp_extract(F.schema_of_variant(node), "^([A-Z]+)", 1)
+    return F.when(kind.isin("BIGINT", "DECIMAL", "DOUBLE"), "NUMBER").otherwise(kind)
 
 
 def json_diff(df: DataFrame, key: str, expected: str, actual: str, ignore_keys: Sequence[str] = (), ignore_order: bool = False,
@@ -202,25 +168,60 @@ def json_diff(df: DataFrame, key: str, expected: str, actual: str, ignore_keys:
 
     Reasons: missing key, extra key, length mismatch, type mismatch, different value. The actual document may have more keys and
     elements than the expected one unless ``contains`` is off. With ``ignore_order`` the elements of arrays are addressed by their
-    place in ``sorted_json``. Keys are compared at every depth. The pairs are spread by key once, before they are opened; all nodes
-    of a pair then stay where they are and meet in one aggregate.
+    place in ``sorted_json``. Keys are compared at every depth. The pairs are spread by key once and opened level by level: what
+    agrees as text is left out, and below a difference nothing can come before it, so a pair has few rows at any level. After
+    ``JSON_LEVELS`` levels the differences found are stored, and what is still open goes on.
     """
-    sides = F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("json")) for i, c in enumerate((expected, actual))])
     unequal = ~F.col(expected).eqNullSafe(F.col(actual))  # equal texts cannot differ
-    pairs = df.where(unequal).select(key, expected, actual).repartition(key)
-    both = pairs.select(key, F.explode(sides).alias("d")).select(key, "d.side", "d.json")
-    if ignore_order:
-        both = both.withColumn("json", sorted_json(F.col("json"), ignore_keys))
-    nodes = json_nodes(both, [key, "side"], "json", ignore_keys)
-    of = lambda column, side: F.max(F.when(F.col("side") == side, F.col(column)))
-    both = nodes.groupBy(key, "path").agg(of("type", 0).alias("t1"), of("value", 0).alias("v1"), of("type", 1).alias("t2"), of("value", 1).alias("v2"))
-    if contains:
-        both = both.where(F.col("t1").isNotNull())
-    in_array = F.col("path").endswith("]") & ~F.col("path").endswith('"]')
-    absent = F.when(in_array, "length mismatch")
-    reason = (F.when(F.col("t2").isNull(), absent.otherwise("missing key")).when(F.col("t1").isNull(), absent.otherwise("extra key"))
-              .when(F.col("t1") != F.col("t2"), "type mismatch").when(~F.col("v1").eqNullSafe(F.col("v2")), "different value"))
-    return both.where(reason.isNotNull()).groupBy(key).agg(F.min(F.struct("path", reason.alias("reason"))).alias("d")).select(
+    text = (lambda c: sorted_json(F.col(c), ignore_keys)) if ignore_order else F.col
+    pairs = df.where(unequal).select(key, expected, actual).repartition(key).select(key, text(expected).alias("_e"), text(actual).alias("_a"))
+    pairs = pairs.where(~F.col("_e").eqNullSafe(F.col("_a")))
+
+    def judged(rows: DataFrame) -> DataFrame:
+        """Rows (path, _e, _a) that differ, with the reason, or none where both are objects or both are arrays."""
+        rows = rows.where(F.col("_reason").isNotNull() | ~F.to_json("_e").eqNullSafe(F.to_json("_a")))
+        rows = rows.select(key, "path", "_reason", "_e", "_a", _json_kind(F.col("_e")).alias("_t1"), _json_kind(F.col("_a")).alias("_t2"))
+        in_array = F.col("path").endswith("]") & ~F.col("path").endswith('"]')
+        absent = F.when(in_array, "length mismatch")
+        reason = (F.when(F.col("_reason").isNotNull(), F.col("_reason"))
+                  .when(F.col("_a").isNull(), absent.otherwise("missing key")).when(F.col("_e").isNull(), absent.otherwise("extra key"))
+                  .when(F.col("_t1") != F.col("_t2"), "type mismatch").when(~F.col("_t1").isin("OBJECT", "ARRAY"), "different value"))
+        if contains:
+            rows = rows.where(F.col("_reason").isNotNull() | F.col("_e").isNotNull())
+        rows = rows.select(key, "path", "_e", "_a", "_t1", reason.alias("_reason"))
+        held = lambda c: F.when(F.col("_reason").isNull(), F.col(c)).alias(c)
+        return rows.select(key, "path", "_reason", "_t1", held("_e"), held("_a"))
+
+    def opened(rows: DataFrame) -> DataFrame:
+        """The children of open rows; rows with a reason pass as they are."""
+        kind = F.when(F.col("_reason").isNull(), F.col("_t1"))
+        part = lambda c, t, name: F.when(kind == t, F.col(c).try_cast("map<string,variant>" if t == "OBJECT" else "array<variant>")).alias(name)
+        rows = rows.select(key, "path", "_reason", "_e", "_a", part("_e", "OBJECT", "_eo"), part("_a", "OBJECT", "_ao"), part("_e", "ARRAY", "_ea"), part("_a", "ARRAY", "_aa"))
+        names = F.map_keys("_eo") if contains else F.array_union(F.map_keys("_eo"), F.map_keys("_ao"))
+        if ignore_keys:
+            names = F.filter(names, lambda n: ~n.isin(*ignore_keys))
+        label = lambda n: F.when(F.regexp_like(n, F.lit(r"[.\[\]]")), F.concat(F.lit('["'), n, F.lit('"]'))).otherwise(F.concat(F.lit("."), n))
+        child = lambda name, e, a: F.struct(name.alias("name"), e.alias("e"), a.alias("a"))
+        fields = F.transform(names, lambda n: child(label(n), F.try_element_at("_eo", n), F.try_element_at("_ao", n)))
+        size = F.size("_ea") if contains else F.greatest(F.size("_ea"), F.size("_aa"))
+        places = F.when(size > 0, F.sequence(F.lit(0), size - 1)).when(F.col("_ea").isNotNull(), F.array().cast("array<int>"))
+        elements = F.transform(places, lambda i: child(F.concat(F.lit("["), i.cast("string"), F.lit("]")), F.get("_ea", i), F.get("_aa", i)))
+        itself = F.array(child(F.lit(""), F.col("_e"), F.col("_a")))
+        rows = rows.select(key, "path", "_reason", F.explode(F.coalesce(fields, elements, itself)).alias("c"))
+        return rows.select(key, F.concat("path", "c.name").alias("path"), "_reason", F.col("c.e").alias("_e"), F.col("c.a").alias("_a"))
+
+    rows = judged(pairs.select(key, F.lit("$").alias("path"), F.lit(None).cast("string").alias("_reason"), F.parse_json("_e").alias("_e"), F.parse_json("_a").alias("_a")))
+    found = None
+    while True:
+        for _ in range(JSON_LEVELS):
+            rows = judged(opened(rows))
+        rows = settle(rows)
+        done = rows.where(F.col("_reason").isNotNull()).select(key, "path", "_reason")
+        found = done if found is None else found.unionByName(done)
+        rows = rows.where(F.col("_reason").isNull())
+        if rows.isEmpty():
+            break
+    return found.groupBy(key).agg(F.min(F.struct("path", F.col("_reason").alias("reason"))).alias("d")).select(
         key, "d.path", "d.reason")
 
 
