@@ -104,6 +104,27 @@ def test_nearest_distance_matches_brute_force(spark, spacing):
     assert all(result[k] == pytest.approx(v) for k, v in expected.items())
 
 
+@pytest.mark.parametrize("rows", [0, 50, 4096])
+def test_nearest_distance_by_lines_and_by_pairs(spark, rows):
+    rng = np.random.default_rng(6)
+    schema, points, targets, expected = "image_id string, x bigint, y bigint, z bigint", [], [], {}
+    for name, n, m in (("a", 60, 40), ("b", 5, 3), ("c", 1, 30)):
+        p, t = rng.integers(-70, 90, (n, 3)), rng.integers(-70, 90, (m, 3))
+        points += [(name, *map(int, v)) for v in p] * 2  # a point that is listed twice is one
+        targets += [(name, *map(int, v)) for v in t]
+        expected |= {(name, *map(int, v)): d for v, d in zip(p, brute_d2(p, t))}
+    found = joins.nearest_squared(spark.createDataFrame(points, schema), spark.createDataFrame(targets, schema), direct_rows=rows).collect()
+    assert len(found) == len(expected) and {(r["image_id"], r["x"], r["y"], r["z"]): r["d2"] for r in found} == expected
+
+
+def test_few_voxels_in_wide_images_stay_few_rows(spark, monkeypatch):
+    """By lines the rows grow with the volume of the image, not with its voxels."""
+    monkeypatch.setattr(joins, "line_minima", None)
+    place = [("a", x, x * 7 % 100, x * 13 % 100) for x in range(0, 2000, 40)]
+    df = spark.createDataFrame(place, "image_id string, x bigint, y bigint, z bigint")
+    assert joins.nearest_squared(df, df).where("d2 = 0").count() == 50
+
+
 @pytest.mark.parametrize("shape", ["ball", "cross"])
 def test_surface_across_words(spark, shape):
     rng = np.random.default_rng(2)

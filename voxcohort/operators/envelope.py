@@ -98,3 +98,35 @@ def line_minima(batches: Iterator[pa.RecordBatch], kept: list[str]) -> Iterator[
             yield pa.record_batch([*(taken.column(taken.schema.get_field_index(c)) for c in kept),
                                    pa.ListArray.from_arrays(offsets, pa.array(questions[valid].astype(np.int64))),
                                    pa.ListArray.from_arrays(offsets, pa.array(best[valid]))], names)
+
+
+def pair_minima(batches: Iterator[pa.RecordBatch], kept: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows (kept columns, points and targets arrays of (x, y, z), weights _u0.._u2) become (kept columns, _e array of (x, y, z, d2)),
+    every point once."""
+    for batch in batches:
+        column = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: B023,E731
+        sides = []
+        for name in ("points", "targets"):
+            lists = column(name)
+            ends = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))).astype(np.int64)
+            flat = lists.flatten()
+            sides.append((ends, np.stack([np.asarray(flat.field(c), np.int64) for c in "xyz"], axis=1)))
+        weights = np.stack([np.asarray(column(f"_u{i}"), float) for i in range(3)], axis=1)
+        (asks, points), (ends, targets) = sides
+        found, best = [], []
+        for row in range(batch.num_rows):
+            asked, (ux, uy, uz) = np.unique(points[asks[row]: asks[row + 1]], axis=0), weights[row]
+            p, (x, y, z) = asked.astype(float), targets[ends[row]: ends[row + 1]].astype(float).T
+            step = max(1, CELLS // max(1, len(x)))
+            least = np.empty(len(p))
+            for low in range(0, len(p), step):
+                part = p[low: low + step, :, None]
+                gaps = part[:, 0] - x, part[:, 1] - y, part[:, 2] - z
+                least[low: low + step] = (gaps[0] * gaps[0] * ux + (gaps[1] * gaps[1] * uy + gaps[2] * gaps[2] * uz)).min(axis=1)
+            found.append(asked)
+            best.append(least)
+        if not found:
+            continue
+        flat, offsets = np.concatenate(found), np.append(0, np.cumsum([len(f) for f in found])).astype(np.int32)
+        entries = pa.StructArray.from_arrays([*(pa.array(flat[:, i]) for i in range(3)), pa.array(np.concatenate(best))], ["x", "y", "z", "d2"])
+        yield pa.record_batch([*(column(c) for c in kept), pa.ListArray.from_arrays(pa.array(offsets), entries)], [*kept, "_e"])

@@ -7,14 +7,18 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from voxcohort.operators import tiles
-from voxcohort.operators.envelope import line_minima
+from voxcohort.operators.envelope import line_minima, pair_minima
 from voxcohort.session import fits_broadcast, join_summary, settle
 
 IMAGE = ["image_id"]
 XYZ = ["x", "y", "z"]
 
+#: A group is compared pair by pair up to this many points and targets; larger ones are searched along scan lines.
+DIRECT_ROWS = 4096
+
 
 def align_images(a: DataFrame, b: DataFrame, on: Sequence[str] = (*IMAGE, *XYZ), value: str = "value",
                  names: Sequence[str] = ("a", "b")) -> DataFrame:
@@ -56,17 +60,51 @@ def neighbours(image: DataFrame, radius: int | Sequence[int], shape: str = "box"
 
 
 def nearest_squared(points: DataFrame, targets: DataFrame, keys: Sequence[str] = IMAGE,
-                    spacing: DataFrame | None = None) -> DataFrame:
+                    spacing: DataFrame | None = None, direct_rows: int = DIRECT_ROWS) -> DataFrame:
     """Exact squared Euclidean distance (``d2``) from every point to the nearest target of its group.
 
+    Groups of at most ``direct_rows`` points and targets are compared pair by pair, one row a group, so that few voxels in a wide image
+    stay few rows; larger ones are searched along scan lines. Points of a group without targets are not returned. ``spacing``
+    optionally has one ``spacing`` array per group.
+    """
+    keys = list(keys)
+    points, targets = points.select(*keys, *XYZ), targets.select(*keys, *XYZ)
+    longs = [F.col(c).cast("long").alias(c) for c in XYZ]
+    both = points.select(*keys, *longs, F.lit(True).alias("_p")).unionByName(targets.select(*keys, *longs, F.lit(False).alias("_p")))
+    # only the names of the large groups are stored, of which there are few for their rows
+    large = settle(both.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > direct_rows).select(*keys))
+    if large.isEmpty():
+        return _nearest_direct(both, points, keys, spacing)
+    small = fits_broadcast(large)
+    only = lambda df, how: join_summary(df, large, keys, how, small)
+    found = _nearest_by_lines(only(points, "left_semi"), only(targets, "left_semi"), keys, spacing)
+    return found.unionByName(_nearest_direct(only(both, "left_anti"), points, keys, spacing))
+
+
+def _nearest_direct(both: DataFrame, points: DataFrame, keys: list[str], spacing: DataFrame | None) -> DataFrame:
+    """``nearest_squared`` of small groups, given as points and targets in one table (column _p)."""
+    place = F.struct(*XYZ)
+    groups = both.groupBy(*keys).agg(F.collect_list(F.when(F.col("_p"), place)).alias("points"), F.collect_list(F.when(~F.col("_p"), place)).alias("targets"))
+    groups = groups.where((F.size("points") > 0) & (F.size("targets") > 0))
+    weights = [F.lit(1.0).alias(f"_u{i}") for i in range(3)]
+    if spacing is not None:
+        weights = [(F.col("spacing")[i] * F.col("spacing")[i]).cast("double").alias(f"_u{i}") for i in range(3)]
+        groups = groups.join(spacing.select(*keys, "spacing"), keys)
+    groups = groups.select(*keys, "points", "targets", *weights)
+    out = StructType([*[both.schema[k] for k in keys], StructField("_e", ArrayType(StructType([*[StructField(c, LongType()) for c in XYZ], StructField("d2", DoubleType())])))])
+    found = groups.mapInArrow(lambda b: pair_minima(b, keys), out).select(*keys, F.explode("_e").alias("_e"))
+    kinds = {f.name: f.dataType for f in points.schema.fields}
+    return found.select(*keys, *[F.col(f"_e.{c}").cast(kinds[c]).alias(c) for c in XYZ], F.col("_e.d2").alias("d2"))
+
+
+def _nearest_by_lines(points: DataFrame, targets: DataFrame, keys: list[str], spacing: DataFrame | None) -> DataFrame:
+    """``nearest_squared`` along scan lines.
+
     The minimum is taken along z, then y, then x. Each time a scan line of an image is one row: the targets or minima that it holds,
     and the places that are asked for; ``envelope`` finds all minima of a line in time linear in both, so the work grows with
     the voxels between targets and points, not with their number times the length of an axis. A line has at most as many entries as an image
-    is long; nothing is compared all-against-all. Points of a group without targets are not returned. ``spacing`` optionally
-    has one ``spacing`` array per group.
+    is long; nothing is compared all-against-all.
     """
-    keys = list(keys)
-    points = points.select(*keys, *XYZ)
     # the planes and rows at which there are points; a number per group stands for its keys on the way
     bounds = points.groupBy(*keys).agg(F.collect_set("y").alias("_ys"), F.collect_set("z").alias("_zs"))
     weights = [F.lit(1.0).alias(f"_u{i}") for i in range(3)]
