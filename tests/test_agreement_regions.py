@@ -299,3 +299,24 @@ def test_neighbourhoods_across_tiles(spark, radius):
     for p in map(tuple, at):
         near = far[tuple(slice(v, v + 2 * radius + 1) for v in p)]
         assert diff[p] == (np.abs(near - volume[p]).min() if np.isfinite(near).any() else volume[p])
+
+
+@pytest.mark.parametrize("full", [False, True])
+@pytest.mark.parametrize("tile", [(32, 256), (4, 8)])
+def test_components_over_tiles(spark, monkeypatch, tile, full):
+    monkeypatch.setattr(regions, "TILE_LINES", tile[0])
+    monkeypatch.setattr(regions, "TILE_WIDTH", tile[1])
+    mask = np.random.default_rng(3).random((20, 9, 10)) < 0.3
+    rows = [("a", *(int(v) - 3 for v in p)) for p in np.argwhere(mask)] * 2  # negative places, and every voxel twice
+    found = regions.component_voxels(regions.connected_components(spark.createDataFrame(rows, "image_id string, x long, y long, z long"), full=full)).collect()
+    sets = {}
+    for r in found:
+        sets.setdefault(tuple(r["component"]), []).append((r["x"] + 3, r["y"] + 3, r["z"] + 3))
+    assert sum(map(len, sets.values())) == mask.sum() and {frozenset(v) for v in sets.values()} == components(mask, full)
+    assert all(k == min((z - 3, y - 3, x - 3) for x, y, z in v) for k, v in sets.items())
+
+
+def test_images_of_one_tile_need_no_rounds(spark, monkeypatch):
+    monkeypatch.setattr(regions, "_follow_smallest", None)
+    line = spark.createDataFrame([("a", i // 2, (i + 1) // 2, 0) for i in range(40)], "image_id string, x long, y long, z long")
+    assert [r["voxels"] for r in regions.component_sizes(regions.connected_components(line.where("y < 32"))).collect()] == [40]

@@ -1,16 +1,20 @@
 """Morphology and connectivity of masks.
 
 For morphology 64 voxels of one (y, z) line are packed into the bits of one bigint, so that shifts and
-bit aggregates replace neighbour joins on voxels. For connectivity a line becomes its runs of voxels.
-Both cut the rows by one to two orders of magnitude, and no step gathers a whole image in one task.
+bit aggregates replace neighbour joins on voxels. For connectivity a line becomes its runs of voxels, and runs meet in tiles
+of bounded size. Both cut the rows by one to two orders of magnitude, and no step gathers a whole image in one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from voxcohort.operators.joins import offsets
 from voxcohort.session import fits_broadcast, join_summary, settle
@@ -18,6 +22,10 @@ from voxcohort.session import fits_broadcast, join_summary, settle
 IMAGE = ["image_id"]
 XYZ = ["x", "y", "z"]
 
+#: Lines along y and along z, and voxels along x, of a tile whose components are found at once; powers of two.
+TILE_LINES = 32
+TILE_WIDTH = 256
+
 
 def _line_steps(radius: int, shape: str) -> dict[tuple[int, int], int]:
     """Reach along x of a structuring element for each (dy, dz)."""
@@ -135,30 +143,66 @@ def mask_runs(mask: DataFrame, keys: Sequence[str], same: Sequence[str]) -> Data
 def connected_components(mask: DataFrame, keys: Sequence[str] = IMAGE, same: Sequence[str] = (), full: bool = False) -> DataFrame:
     """Runs with the component they belong to: columns y, z, x0, x1, ``component`` (struct of z, y, x0).
 
-    Voxels connect by faces, or with ``full`` also by edges and corners, and only where the ``same``
-    columns agree. Runs that touch runs of adjacent lines form a graph. Each round lets every node
-    follow its smallest neighbours a few steps and contracts the graph to the nodes reached, so the
-    rounds shrink quickly; the answers are looked up backwards through the rounds. Everything a round
-    leaves behind is checkpointed, so a lost executor never replays earlier rounds.
+    Voxels connect by faces, or with ``full`` also by edges and corners, and only where the ``same`` columns agree. A run
+    ends at the tile of ``TILE_WIDTH`` voxels it lies in.
     """
     keys, same = list(keys), list(same)
-    return components_of_runs(mask_runs(mask.select(*keys, *same, *XYZ), keys, same), keys, same, full)
+    return components_of_runs(mask.select(*keys, *same, "y", "z", F.col("x").alias("x0"), F.col("x").alias("x1")), keys, same, full)
 
 
 def components_of_runs(runs: DataFrame, keys: Sequence[str] = IMAGE, same: Sequence[str] = (), full: bool = False) -> DataFrame:
-    """``connected_components`` of a mask that is given as maximal runs (y, z, x0, x1)."""
+    """``connected_components`` of a mask that is given as runs (y, z, x0, x1).
+
+    Components are found within tiles of bounded size first; a tile is one row and a run in it one number. Only in images of several
+    tiles the runs at the faces of tiles form a graph of these components. Each round lets every node follow its smallest neighbours
+    a few steps and contracts the graph to the nodes reached, so the rounds shrink quickly; the answers are looked up backwards
+    through the rounds. Everything a round leaves behind is checkpointed, so a lost executor never replays earlier rounds.
+    """
     keys, same = list(keys), list(same)
-    group = [*keys, *same]
-    runs = settle(runs.withColumn("node", F.struct("z", "y", "x0")))
+    group, tile = [*keys, *same], ["_tx", "_ty", "_tz"]
+    kinds = {c: runs.schema[c].dataType for c in ("y", "z", "x0", "x1")}
+    lines, width = int(math.log2(TILE_LINES)), int(math.log2(TILE_WIDTH))
+    long = lambda c: F.col(c).cast("long")
+    cut = runs.select(*group, long("y").alias("y"), long("z").alias("z"), long("x0").alias("x0"), long("x1").alias("x1")).withColumn(
+        "_tx", F.explode(F.sequence(F.shiftright("x0", width), F.shiftright("x1", width))))
+    low = F.greatest(F.col("x0") - F.col("_tx") * TILE_WIDTH, F.lit(0))
+    high = F.least(F.col("x1") - F.col("_tx") * TILE_WIDTH, F.lit(TILE_WIDTH - 1))
+    place = F.pmod("z", F.lit(TILE_LINES)) * TILE_LINES + F.pmod("y", F.lit(TILE_LINES))
+    packed = cut.select(*group, "_tx", F.shiftright("y", lines).alias("_ty"), F.shiftright("z", lines).alias("_tz"),
+                        ((place * TILE_WIDTH + low) * TILE_WIDTH + high).cast("int").alias("run"))
+    tiles = packed.groupBy(*group, *tile).agg(F.collect_list("run").alias("runs"))
+    out = StructType([*[tiles.schema[c] for c in (*group, *tile)], StructField("runs", ArrayType(IntegerType())), StructField("firsts", ArrayType(IntegerType()))])
+    shape = (TILE_LINES, TILE_WIDTH)
+    tiles = settle(tiles.mapInArrow(lambda b: _tile_components(b, [*group, *tile], full, *shape), out))
+
+    def rows(of: DataFrame) -> DataFrame:
+        """Runs with the first run of their component within the tile (``node``)."""
+        line = lambda v: F.floor(v / (TILE_WIDTH * TILE_WIDTH))
+        y = lambda v: F.col("_ty") * TILE_LINES + F.pmod(line(v), F.lit(TILE_LINES))
+        z = lambda v: F.col("_tz") * TILE_LINES + F.floor(line(v) / TILE_LINES)
+        x0 = lambda v: F.col("_tx") * TILE_WIDTH + F.pmod(F.floor(v / TILE_WIDTH), F.lit(TILE_WIDTH))
+        x1 = lambda v: F.col("_tx") * TILE_WIDTH + F.pmod(v, F.lit(TILE_WIDTH))
+        named = lambda c, name: c.cast(kinds[name]).alias(name)
+        single = of.select(*group, *tile, F.explode(F.arrays_zip("runs", "firsts")).alias("_r")).select(*group, *tile, "_r.runs", "_r.firsts")
+        v, first = F.col("runs"), F.col("firsts")
+        return single.select(*group, named(y(v), "y"), named(z(v), "z"), named(x0(v), "x0"), named(x1(v), "x1"),
+                             F.struct(named(z(first), "z"), named(y(first), "y"), named(x0(first), "x0")).alias("node"))
+
+    several = settle(tiles.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*group))
+    if several.isEmpty():
+        return rows(tiles).withColumnRenamed("node", "component")
+    at_face = lambda c, size: F.pmod(F.col(c), F.lit(size)).isin(0, size - 1)
+    border = rows(join_summary(tiles, several, group, "left_semi", fits_broadcast(several))).where(
+        at_face("y", TILE_LINES) | at_face("z", TILE_LINES) | (F.pmod("x0", F.lit(TILE_WIDTH)) == 0) | (F.pmod("x1", F.lit(TILE_WIDTH)) == TILE_WIDTH - 1))
     slack = 1 if full else 0
-    steps = [(1, 0), (0, 1), (1, 1), (-1, 1)] if full else [(1, 0), (0, 1)]
-    table = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dz).alias("dz")) for dy, dz in steps])
-    moved = runs.withColumn("s", F.explode(table)).select(
-        *group, (F.col("y") + F.col("s.dy")).alias("y"), (F.col("z") + F.col("s.dz")).alias("z"),
+    steps = [(0, 0, 1), *((dy, dz, slack) for dy, dz in ([(1, 0), (0, 1), (1, 1), (-1, 1)] if full else [(1, 0), (0, 1)]))]
+    table = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dz).alias("dz"), F.lit(gap).alias("gap")) for dy, dz, gap in steps])
+    moved = border.withColumn("s", F.explode(table)).select(
+        *group, (F.col("y") + F.col("s.dy")).cast(kinds["y"]).alias("y"), (F.col("z") + F.col("s.dz")).cast(kinds["z"]).alias("z"), "s.gap",
         F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("node").alias("a"))
-    touching = (F.col("a0") <= F.col("x1") + slack) & (F.col("x0") <= F.col("a1") + slack)
-    links = moved.join(runs, [*group, "y", "z"]).where(touching).select(*group, "a", F.col("node").alias("b"))
-    edges = settle(links.unionByName(links.select(*group, F.col("b").alias("a"), F.col("a").alias("b"))))
+    touching = (F.col("a0") <= F.col("x1") + F.col("gap")) & (F.col("x0") <= F.col("a1") + F.col("gap"))
+    links = moved.join(border, [*group, "y", "z"]).where(touching & (F.col("a") != F.col("node"))).select(*group, "a", F.col("node").alias("b"))
+    edges = settle(links.unionByName(links.select(*group, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     rounds = []
     while not edges.isEmpty():
         step, small = _follow_smallest(edges, group)
@@ -167,14 +211,59 @@ def components_of_runs(runs: DataFrame, keys: Sequence[str] = IMAGE, same: Seque
         contracted = join_summary(join_summary(edges, ends["a"], [*group, "a"], "inner", small), ends["b"], [*group, "b"], "inner", small)
         edges = settle(contracted.where("to_a <> to_b").select(*group, F.col("to_a").alias("a"), F.col("to_b").alias("b")).distinct())
     if not rounds:
-        return runs.withColumnRenamed("node", "component")
+        return rows(tiles).withColumnRenamed("node", "component")
     answer, small = rounds.pop()
     while rounds:
         earlier, earlier_small = rounds.pop()
         later = answer.select(*group, F.col("node").alias("to"), F.col("to").alias("root"))
         followed = join_summary(earlier, later, [*group, "to"], "left", small)
         answer, small = followed.select(*group, "node", F.coalesce("root", "to").alias("to")), earlier_small
-    return runs.join(answer, [*group, "node"], "left").withColumn("component", F.coalesce("to", "node")).drop("node", "to")
+    return rows(tiles).join(answer, [*group, "node"], "left").withColumn("component", F.coalesce("to", "node")).drop("node", "to")
+
+
+def _tile_components(batches: Iterator[pa.RecordBatch], kept: list[str], full: bool, tall: int, wide: int) -> Iterator[pa.RecordBatch]:
+    """Rows (kept columns, runs) become (kept columns, runs, firsts): runs that meet are joined, and each gets the first run of its component.
+
+    A run is the number (line * wide + x0) * wide + x1 with line = z * tall + y; all tiles of a batch are done at once.
+    """
+    slack = 1 if full else 0
+    steps = [(1, 0), (0, 1), (1, 1), (-1, 1)] if full else [(1, 0), (0, 1)]
+    stride, room = tall + 2, 2 * wide  # room beside a tile, so that no line or place is taken for one of another
+    for batch in batches:
+        lists = batch.column(batch.schema.get_field_index("runs"))
+        tile = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+        run = np.unique(tile.astype(np.int64) << 32 | np.asarray(lists.flatten(), np.int64))
+        tile, run = run >> 32, run & 0xFFFFFFFF
+        line, x0, x1 = run // wide ** 2, run // wide % wide, run % wide
+        row = tile * stride * stride + (line // tall + 1) * stride + line % tall + 1
+        fresh = np.ones(len(run), bool)
+        fresh[1:] = (row[1:] != row[:-1]) | (x0[1:] > x1[:-1] + 1)
+        start = np.flatnonzero(fresh)
+        tile, line, row, x0 = tile[start], line[start], row[start], x0[start]
+        x1 = np.maximum.reduceat(x1, start) if len(start) else x1
+        first, last = row * room + x0 + 1, row * room + x1 + 1
+        a, b = [], []
+        for dy, dz in steps:
+            other = (row + dz * stride + dy) * room + 1
+            begin, end = np.searchsorted(last, other + x0 - slack, "left"), np.searchsorted(first, other + x1 + slack, "right")
+            n = np.maximum(end - begin, 0)
+            a.append(np.repeat(np.arange(len(row)), n))
+            b.append(np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n))
+        a, b = np.concatenate(a), np.concatenate(b)
+        label = np.arange(len(row))
+        while True:
+            low = np.minimum(label[a], label[b])
+            if (label[a] == label[b]).all():
+                break
+            before = label.copy()
+            np.minimum.at(label, before[a], low)
+            np.minimum.at(label, before[b], low)
+            while (label != label[label]).any():
+                label = label[label]
+        merged = ((line * wide + x0) * wide + x1).astype(np.int32)
+        ends = pa.array(np.append(0, np.cumsum(np.bincount(tile, minlength=batch.num_rows))).astype(np.int32))
+        yield pa.record_batch([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.ListArray.from_arrays(ends, pa.array(merged)),
+                               pa.ListArray.from_arrays(ends, pa.array(merged[label]))], [*kept, "runs", "firsts"])
 
 
 def _follow_smallest(edges: DataFrame, group: list[str]) -> tuple[DataFrame, bool]:
