@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxcohort.session import attach, settle
+from voxcohort.session import attach, fits_broadcast, join_summary, settle
 
 
 #: Bits of an order value that one level of running sums covers; a sum sees at most 2^16 rows.
 LEVEL = 16
 
+#: A group of at most this many rows is ranked in one window.
+WHOLE_ROWS = 1 << 16
+
 
 def running_position(df: DataFrame, order: str, weight: Column | None = None, name: str = "position") -> DataFrame:
     """Sum of the weights (by default: number) of all rows with a smaller ``order``.
@@ -62,12 +65,24 @@ def number_lines(lines: DataFrame, name: str = "line") -> DataFrame:
     return attach(tagged, starts, ["_file", "_block"]).withColumn(name, F.col("_id") + F.col("_shift")).drop("_id", "_file", "_block", "_shift")
 
 
-def rank_in_group(df: DataFrame, keys: list[str], value: str, tie: str, bins: int = 1024, name: str = "rank") -> DataFrame:
+def rank_in_group(df: DataFrame, keys: list[str], value: str, tie: str, bins: int = 1024, name: str = "rank",
+                  whole_rows: int = WHOLE_ROWS) -> DataFrame:
     """0-based rank by ``value`` and ``tie`` within each group.
 
-    The value range of a group is cut into equal bins that are ranked on their own, plus the row count
-    of the bins before; so the rows of a hot group are spread over its bins.
+    Groups of at most ``whole_rows`` rows are ranked as they are. The value range of a larger one is cut into equal bins that are
+    ranked on their own, plus the row count of the bins before; so the rows of a hot group are spread over its bins.
     """
+    # only the names of the large groups are stored, of which there are few for their rows
+    large = settle(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > whole_rows).select(*keys))
+    whole = (F.row_number().over(Window.partitionBy(*keys).orderBy(value, tie)) - 1).cast("long")
+    if large.isEmpty():
+        return df.withColumn(name, whole)
+    small = fits_broadcast(large)
+    rest = join_summary(df, large, keys, "left_anti", small).withColumn(name, whole)
+    return rest.unionByName(_rank_by_bins(join_summary(df, large, keys, "left_semi", small), keys, value, tie, bins, name))
+
+
+def _rank_by_bins(df: DataFrame, keys: list[str], value: str, tie: str, bins: int, name: str) -> DataFrame:
     bounds = df.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
     width = F.col("_high") - F.col("_low")
     place = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("_low")) / width * bins), F.lit(bins - 1)))
