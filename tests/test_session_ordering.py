@@ -85,3 +85,25 @@ def test_number_lines(spark, tmp_path):
     lines = spark.read.option("maxPartitionBytes", 1000).text(str(tmp_path / "m.txt"))
     found = ordering.number_lines(lines).collect()
     assert {r["line"]: r["value"] for r in found} == {i: f"line {i}" for i in range(5000)}
+
+
+def test_small_groups_are_ranked_without_bins(spark, monkeypatch):
+    rows = [(k, float(i * 7 % 5), i) for k in ("g", "h") for i in range(30)] + [("hot", float(i * 31 % 100), i) for i in range(100)]
+    df = spark.createDataFrame(rows, "k string, v double, i bigint")
+    rank = lambda most: {(r["k"], r["i"]): r["rank"] for r in ordering.rank_in_group(df, ["k"], "v", "i", bins=8, whole_rows=most).collect()}
+    expected = {(k, i): n for g in ("g", "h", "hot") for n, (k, v, i) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: r[1:]))}
+    assert rank(50) == rank(10) == expected
+    monkeypatch.setattr(ordering, "attach", None)
+    assert rank(1000) == expected
+
+
+def test_cached_metrics_are_merged_without_a_stored_state(spark, monkeypatch):
+    from voxcohort.sources import manifests
+    schema = "subject string, arch string, region string, measure string, value double"
+    full = [("s1", "a", r, m, 1.0) for r, m in manifests.REQUIRED]
+    cache = spark.createDataFrame([*full, *[("s2", *f[1:]) for f in full[:5]], ("s3", *full[0][1:])], schema)
+    new = spark.createDataFrame([(s, *f[1:4], 2.0) for s in ("s1", "s2") for f in full], schema)
+    merged = manifests.merge_cached_metrics(new, cache)
+    assert "Join" not in merged._jdf.queryExecution().optimizedPlan().toString()
+    counts = {(r["subject"], r["origin"]): r["count"] for r in merged.groupBy("subject", "origin").count().collect()}
+    assert counts == {("s1", "cache"): 12, ("s2", "new"): 12, ("s3", "cache"): 1}

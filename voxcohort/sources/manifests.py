@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxcohort.operators.ordering import number_lines, running_position
-from voxcohort.session import attach
 
 # Header spellings of the manifest columns, after lower-casing.
 MANIFEST_ALIASES = {
@@ -137,12 +136,11 @@ def merge_cached_metrics(new: DataFrame, cache: DataFrame, keys: Sequence[str] =
     needed = F.array(*[F.lit(f"{r}.{m}") for r, m in required])
     name = F.concat_ws(".", "region", "measure")
     tagged = cache.withColumn("_side", F.lit(0)).unionByName(new.withColumn("_side", F.lit(1)))
-    state = tagged.groupBy(*keys).agg(
-        F.count_distinct(F.when((F.col("_side") == 0) & F.array_contains(needed, name), name)).alias("_have"),
-        F.max("_side").alias("_fresh"))
-    use_cache = (F.col("_have") == len(required)) | (F.col("_fresh") == 0)
-    chosen = state.select(*keys, F.when(use_cache, 0).otherwise(1).alias("_take"))
-    return attach(tagged, chosen, keys).where("_side = _take").select(
+    # the few scores of a key meet once
+    record = Window.partitionBy(*keys)
+    have = F.size(F.collect_set(F.when((F.col("_side") == 0) & F.array_contains(needed, name), name)).over(record))
+    use_cache = (have == len(required)) | (F.max("_side").over(record) == 0)
+    return tagged.withColumn("_take", F.when(use_cache, 0).otherwise(1)).where("_side = _take").select(
         *keys, "region", "measure", "value", F.when(F.col("_take") == 0, "cache").otherwise("new").alias("origin"))
 
 
