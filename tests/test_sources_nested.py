@@ -108,6 +108,29 @@ def test_resample_identity_and_constant(spark, voxel_table):
     assert len(rows) == 11 * 4 * 7 and all(r["value"] == pytest.approx(7.0) for r in rows)
 
 
+def test_resample_over_cubes_without_a_row_for_each_output(spark):
+    rng = np.random.default_rng(4)
+    size, step = (21, 5, 9), 0.6
+    volume = {tuple(int(c) for c in p): float(rng.integers(1, 9)) for p in np.argwhere(rng.random(size) < 0.4)}
+    rows = [("a", 1, *p, v) for p, v in volume.items()] + [("a", 1, *next(iter(volume)), 2.0), ("a", 2, 3, 3, 3, None)]
+    image = spark.createDataFrame(rows, "image_id string, t bigint, x bigint, y bigint, z bigint, value double")
+    meta = spark.createDataFrame([("a", list(size), [1.0] * 3)], "image_id string, size array<int>, spacing array<double>")
+    volume[next(iter(volume))] += 2.0  # a place stored twice counts twice
+    new = no.resample(image, meta, step)
+    wanted = {}
+    for o in np.ndindex(*[round(s / step) for s in size]):
+        place = [min(o[i] * step, size[i] - 1.0) for i in range(3)]
+        near = [[(c, 1 - abs(p - c)) for c in (int(p), int(p) + 1) if 1 - abs(p - c) > 1e-12] for p in place]
+        parts = [wx * wy * wz * volume[x, y, z] for x, wx in near[0] for y, wy in near[1] for z, wz in near[2] if (x, y, z) in volume]
+        if parts:
+            wanted[o] = sum(parts)
+    found = {(r["x"], r["y"], r["z"]): r["value"] for r in new.where("t = 1").collect()}
+    assert found == pytest.approx(wanted) and max(o[0] for o in found) > 32
+    unknown = new.where("t = 2").collect()
+    assert len(unknown) > 8 and all(r["value"] is None for r in unknown)
+    assert "sum(" not in new._jdf.queryExecution().optimizedPlan().toString()
+
+
 def documents(spark, expected, actual):
     return spark.createDataFrame([(1, json.dumps(expected), json.dumps(actual))], "id int, e string, a string")
 

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from voxcohort.operators import histograms, joins, tiles
 from voxcohort.operators.statistics import percentile_rank, select_ranks
-from voxcohort.session import attach, settle
+from voxcohort.session import attach, fits_broadcast, join_summary, settle
 
 IMAGE = ["image_id"]
 XYZ = ["x", "y", "z"]
@@ -162,40 +164,136 @@ def susan_smooth(image: DataFrame, sigma: float = 0.5, threshold: float = 80.0,
 
 # --- resampling -------------------------------------------------------------------------------
 
+#: Edge of the cubes of output voxels that are computed together.
+CUBE = 32
+
+#: Output rows of one Arrow batch, about.
+BATCH_ROWS = 1 << 16
+
+
+def _reach(c: str, axis: int, interpolation: str) -> tuple[Column, Column]:
+    """First and last output along an axis that a stored voxel contributes to."""
+    step, last, old_last = F.col("step")[axis], F.col("new_size")[axis] - 1, F.col("old_size")[axis] - 1
+    if interpolation == "nearest":
+        # output o reads index floor(o * step + 1/2), cut to the grid
+        lower, upper = F.ceil((F.col(c) - 0.5) / step), F.ceil((F.col(c) + 0.5) / step) - 1
+    else:
+        lower, upper = F.floor((F.col(c) - 1) / step), F.ceil((F.col(c) + 1) / step)
+    # the last stored voxel also serves the outputs beyond it
+    return F.greatest(lower, F.lit(0)).cast("int"), F.when(F.col(c) == old_last, last).otherwise(F.least(upper, last)).cast("int")
+
+
 def _sample(image: DataFrame, plan: DataFrame, interpolation: str, keys: list[str], value: str, time: list[str]) -> DataFrame:
     """Fill a new grid from the old one. ``plan`` has old_size, new_size and step arrays per image.
 
-    Work starts from the stored voxels: each one is sent to the output voxels it contributes to, so
+    Work starts from the stored voxels: each one is sent to the output voxels it contributes to, or to the cubes that hold them, so
     the join needs no copies of the dense output grid and zero regions cost nothing.
     """
-    joined = attach(image.select(*keys, *time, *XYZ, value), plan, keys)
-    weights = F.lit(1.0)
+    plan = settle(plan)
+    small = fits_broadcast(plan)
+    joined = join_summary(image.select(*keys, *time, *XYZ, value), plan, keys, "inner", small)
+    if interpolation != "nearest":
+        return _sample_cubes(joined, plan, small, keys, value, time)
     for axis, c in enumerate(XYZ):
-        step, last = F.col("step")[axis], F.col("new_size")[axis] - 1
-        old_last = F.col("old_size")[axis] - 1
-        position = lambda o, axis=axis: F.col("step")[axis] * o
-        if interpolation == "nearest":
-            # output o reads index floor(o * step + 1/2), cut to the grid
-            lower, upper = F.ceil((F.col(c) - 0.5) / step), F.ceil((F.col(c) + 0.5) / step) - 1
-        else:
-            lower, upper = F.floor((F.col(c) - 1) / step) , F.ceil((F.col(c) + 1) / step)
-        # the last stored voxel also serves the outputs beyond it
-        first = F.greatest(lower, F.lit(0)).cast("int")
-        final = F.when(F.col(c) == old_last, last).otherwise(F.least(upper, last)).cast("int")
+        first, final = _reach(c, axis, interpolation)
         outputs = F.when(first <= final, F.sequence(first, final)).otherwise(F.array().cast("array<int>"))
         joined = joined.withColumn(f"o_{c}", F.explode(outputs))
-        if interpolation == "nearest":
-            read = F.least(F.floor(position(F.col(f"o_{c}")) + 0.5), old_last)
-            joined = joined.where(read == F.col(c))
-        else:
-            place = F.least(position(F.col(f"o_{c}")), old_last.cast("double"))
-            part = 1 - F.abs(place - F.col(c))
-            joined = joined.where(part > 1e-12)
-            weights = weights * (1 - F.abs(F.least(position(F.col(f"o_{c}")), old_last.cast("double")) - F.col(c)))
-    out = [F.col(f"o_{c}").cast("long").alias(c) for c in XYZ]
-    if interpolation == "nearest":
-        return joined.select(*keys, *time, *out, value)
-    return joined.groupBy(*keys, *time, *out).agg(F.sum(weights * F.col(value)).alias(value))
+        read = F.least(F.floor(F.col("step")[axis] * F.col(f"o_{c}") + 0.5), F.col("old_size")[axis] - 1)
+        joined = joined.where(read == F.col(c))
+    return joined.select(*keys, *time, *[F.col(f"o_{c}").cast("long").alias(c) for c in XYZ], value)
+
+
+def _sample_cubes(joined: DataFrame, plan: DataFrame, small: bool, keys: list[str], value: str, time: list[str]) -> DataFrame:
+    """Linear interpolation, one row a cube of outputs with the stored voxels it reads.
+
+    A cube reads at most two voxels an axis and output, so its row is bounded whatever the image, and a voxel is not copied
+    for each output that it contributes to.
+    """
+    moved = joined.dropna(subset=XYZ)
+    for axis, c in enumerate(XYZ):
+        first, final = _reach(c, axis, "linear")
+        cubes = F.when(first <= final, F.sequence(F.floor(first / CUBE).cast("int"), F.floor(final / CUBE).cast("int"))).otherwise(F.array().cast("array<int>"))
+        moved = moved.withColumn(f"_t{c}", F.explode(cubes))
+    places = [f"_t{c}" for c in XYZ]
+    cell = F.struct(*[F.col(c).cast("long").alias(c) for c in XYZ], F.col(value).cast("double").alias("_v"))
+    gathered = moved.groupBy(*keys, *time, *places).agg(F.collect_list(cell).alias("cells"))
+    cubes = join_summary(gathered, plan, keys, "inner", small)
+    kept = [*keys, *time]
+    schema = StructType([*[joined.schema[k] for k in kept], *[StructField(c, LongType()) for c in XYZ], StructField(value, DoubleType())])
+    arrow = to_arrow_schema(schema)
+    plain = cubes.select(*kept, *places, "old_size", "new_size", "step", "cells")
+    return plain.mapInArrow(lambda batches: _filled(batches, kept, value, arrow), schema)
+
+
+def _filled(batches: Iterator[pa.RecordBatch], kept: list[str], value: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        column = lambda name, batch=batch: batch.column(batch.schema.get_field_index(name))
+        lists = column("cells")
+        ends = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+        cells = lists.flatten()
+        at = np.stack([cells.field(c).to_numpy() for c in XYZ])
+        known = cells.field("_v").is_valid().to_numpy(zero_copy_only=False)
+        values = cells.field("_v").fill_null(0.0).to_numpy()
+        corners, old, new, step = (list(zip(*[column(f"_t{c}").to_pylist() for c in XYZ])), *[column(n).to_pylist() for n in ("old_size", "new_size", "step")])
+        made, count = [], 0
+        for i in range(batch.num_rows):
+            part = slice(ends[i], ends[i + 1])
+            made.append((i, *_fill(at[:, part], values[part], known[part], corners[i], old[i], new[i], step[i])))
+            count += len(made[-1][-1])
+            if count >= BATCH_ROWS or i == batch.num_rows - 1:
+                rows = np.repeat([m[0] for m in made], [len(m[-1]) for m in made])
+                place, sums, some = (np.concatenate([m[k] for m in made], axis=-1) for k in (1, 2, 3))
+                columns = [column(k).take(pa.array(rows)) for k in kept] + [pa.array(p) for p in place] + [pa.array(sums, mask=~some)]
+                yield pa.record_batch([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+                made, count = [], 0
+
+
+@lru_cache(maxsize=4096)
+def _axis(corner: int, old: int, new: int, step: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Outputs of a cube along an axis, the old places they read, and for each output the numbers and shares of its two."""
+    o = np.arange(corner * CUBE, min((corner + 1) * CUBE, new))
+    place = np.minimum(step * o, float(old - 1))
+    near = np.floor(place).astype(np.int64) + np.array([[0], [1]])
+    read, where = np.unique(near, return_inverse=True)
+    share = 1 - np.abs(place - near)
+    return o, read, where.reshape(near.shape), np.where(share > 1e-12, share, 0.0)
+
+
+def _fill(at: np.ndarray, values: np.ndarray, known: np.ndarray, corner, old, new, step) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, sums and whether a value is known, of the outputs of a cube to which some voxel contributes."""
+    outputs, ends, shares, inside, index, shape = [], [], [], np.ones(at.shape[1], bool), [], []
+    for axis in range(3):
+        o, read, where, share = _axis(corner[axis], old[axis], new[axis], step[axis])
+        found = np.minimum(np.searchsorted(read, at[axis]), len(read) - 1)
+        inside &= read[found] == at[axis]
+        outputs.append(o)
+        ends.append(where)
+        shares.append(share)
+        index.append(found)
+        shape.append(len(read))
+    cells = np.ravel_multi_index([f[inside] for f in index], shape)
+    size = int(np.prod(shape))
+    stored = np.bincount(cells, minlength=size).reshape(shape) > 0
+    whole = known.all()
+    some = stored if whole else np.bincount(cells[known[inside]], minlength=size).reshape(shape) > 0
+    dense = np.bincount(cells, values[inside], minlength=size).reshape(shape)
+    grid = tuple(len(o) for o in outputs)
+    sums, any_stored, any_known = np.zeros(grid), np.zeros(grid, bool), np.zeros(grid, bool)
+    for ends_of in np.ndindex(2, 2, 2):
+        read = np.ix_(*[e[k] for e, k in zip(ends, ends_of)])
+        x, y, z = (s[k] for s, k in zip(shares, ends_of))
+        share = x[:, None, None] * y[None, :, None] * z[None, None, :]
+        counts = (x > 0)[:, None, None] & (y > 0)[None, :, None] & (z > 0)[None, None, :]
+        here = some[read] & counts
+        any_known |= here
+        if not whole:
+            any_stored |= stored[read] & counts
+        with np.errstate(invalid="ignore"):
+            sums += np.where(here, share * dense[read], 0.0)
+    if whole:
+        any_stored = any_known
+    places = np.nonzero(any_stored)
+    return np.stack([o[p] for o, p in zip(outputs, places)]).astype(np.int64), sums[places], any_known[places]
 
 
 def _time(image: DataFrame) -> list[str]:
