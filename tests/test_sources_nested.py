@@ -131,6 +131,24 @@ def test_resample_over_cubes_without_a_row_for_each_output(spark):
     assert "sum(" not in new._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_volume_extent_joins_nothing_to_small_series(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(s), int(f), [float(rng.integers(0, 3)), 0.0, float(rng.integers(0, 5)) * 2.5], [0.0, 0.0, 1.0])
+            for s, n in enumerate((1, 2, 7, 40)) for f in range(n)]
+    frames = spark.createDataFrame(rows, "series_id bigint, frame bigint, position array<double>, direction array<double>")
+    whole = ne.volume_extent(frames)
+    assert "Join" not in whole._jdf.queryExecution().optimizedPlan().toString()
+    found = {r["series_id"]: r for r in whole.collect()}
+    for s in range(4):
+        own = [r for r in rows if r[0] == s]
+        places = sorted((p[2] - own[0][2][2], p) for p in {tuple(r[2]) for r in own})
+        assert found[s]["frames"] == len(own) and found[s]["positions"] == len(places) and tuple(found[s]["origin"]) == places[0][1]
+        assert found[s]["spacing"] == (places[1][0] - places[0][0] if len(places) > 1 else 0) and found[s]["extent"] == places[-1][0] - places[0][0]
+        assert found[s]["overlapping"] == sum([tuple(r[2]) for r in own].count(p) > 1 for _, p in places)
+    spread = ne.volume_extent(frames, whole_rows=5)
+    assert sorted(spread.collect()) == sorted(whole.collect())
+
+
 def documents(spark, expected, actual):
     return spark.createDataFrame([(1, json.dumps(expected), json.dumps(actual))], "id int, e string, a string")
 

@@ -6,13 +6,13 @@ import json as jsonlib
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxcohort.functions import geometry
-from voxcohort.operators.ordering import rank_in_group
+from voxcohort.operators.ordering import WHOLE_ROWS, large_groups, rank_in_group
 from voxcohort.operators.voxels import with_index
-from voxcohort.session import attach, settle
+from voxcohort.session import attach, fits_broadcast, join_summary, settle
 
 IMAGE = ["image_id"]
 
@@ -254,22 +254,54 @@ def segment_slices(labelmap: DataFrame, meta: DataFrame, skip_empty: bool = True
                       first.alias("first_slice"), end.alias("end_slice"), (end - first).alias("slices"))
 
 
-def volume_extent(frames: DataFrame, direction: str = "direction", keys: Sequence[str] = ("series_id",), order: str = "frame") -> DataFrame:
+def volume_extent(frames: DataFrame, direction: str = "direction", keys: Sequence[str] = ("series_id",), order: str = "frame",
+                  whole_rows: int = WHOLE_ROWS) -> DataFrame:
     """Origin, slice spacing, extent and counts of the frames of each series.
 
-    Distances are measured along ``direction`` from the first frame. The two smallest distances and all
-    counts come from plain aggregates over distinct positions.
+    Distances are measured along ``direction`` from the first frame. A series of at most ``whole_rows`` frames meets in one task,
+    after one shuffle; the frames of a larger one stay spread, and what they are compared with is joined to them.
     """
     keys = list(keys)
-    first = frames.groupBy(*keys).agg(F.min_by("position", order).alias("_ref"))
-    positions = frames.groupBy(*keys, "position").agg(F.count(F.lit(1)).alias("copies"), F.first(direction).alias("_dir"))
-    placed = attach(positions, first, keys)
+    rows = frames.select(*keys, "position", F.col(order).alias("_order"), *[F.col(direction)[i].alias(f"_d{i}") for i in range(3)])
+    large = large_groups(rows, keys, whole_rows)
+    if large.isEmpty():
+        return _extent_of(_placed_whole(rows, keys), keys)
+    small = fits_broadcast(large)
+    rest = join_summary(rows, large, keys, "left_anti", small)
+    hot = join_summary(rows, large, keys, "left_semi", small)
+    return _extent_of(_placed_whole(rest, keys), keys).unionByName(_extent_of(_placed_spread(hot, keys), keys))
+
+
+def _positions(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row a distinct position, with its number of frames and its first one in the stored order."""
+    return rows.groupBy(*keys, "position").agg(
+        F.count(F.lit(1)).alias("copies"), F.min("_order").alias("_order"), *[F.first(f"_d{i}").alias(f"_d{i}") for i in range(3)])
+
+
+def _offset() -> Column:
     offset = F.zip_with("position", "_ref", lambda p, r: p - r)
-    placed = placed.withColumn("d", F.round(_along(F.col("_dir"), offset), 9))
-    lowest = attach(placed, placed.groupBy(*keys).agg(F.min(F.struct("d", "position")).alias("_low")), keys)
+    return F.round(_along(F.array("_d0", "_d1", "_d2"), offset), 9)
+
+
+def _placed_whole(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Positions with their distance d and the lowest of their series; all steps run on rows dealt by series once."""
+    series = Window.partitionBy(*keys)
+    placed = _positions(rows.repartition(*keys), keys).withColumn("_ref", F.min_by("position", "_order").over(series))
+    placed = placed.select(*keys, "position", "copies", _offset().alias("d"))
+    return placed.withColumn("_low", F.min(F.struct("d", "position")).over(series))
+
+
+def _placed_spread(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The same with the positions of a series spread over tasks."""
+    first = rows.groupBy(*keys).agg(F.min_by("position", "_order").alias("_ref"))
+    placed = attach(_positions(rows, keys), first, keys).withColumn("d", _offset())
+    return attach(placed, placed.groupBy(*keys).agg(F.min(F.struct("d", "position")).alias("_low")), keys)
+
+
+def _extent_of(placed: DataFrame, keys: list[str]) -> DataFrame:
     is_low = (F.col("d") == F.col("_low.d")) & (F.col("position") == F.col("_low.position"))
-    sums = lowest.groupBy(*keys).agg(
-        F.first("_low").alias("low"), F.min(F.when(~is_low, F.col("d"))).alias("second"), F.max("d").alias("high"),
+    sums = placed.groupBy(*keys).agg(
+        F.min("_low").alias("low"), F.min(F.when(~is_low, F.col("d"))).alias("second"), F.max("d").alias("high"),
         F.sum("copies").alias("frames"), F.count(F.lit(1)).alias("positions"), F.count_if(F.col("copies") > 1).alias("overlapping"))
     spacing = F.coalesce(F.abs(F.col("low.d") - F.col("second")), F.lit(0.0))
     extent = F.abs(F.col("high") - F.col("low.d"))

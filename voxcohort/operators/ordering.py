@@ -65,6 +65,11 @@ def number_lines(lines: DataFrame, name: str = "line") -> DataFrame:
     return attach(tagged, starts, ["_file", "_block"]).withColumn(name, F.col("_id") + F.col("_shift")).drop("_id", "_file", "_block", "_shift")
 
 
+def large_groups(df: DataFrame, keys: list[str], whole_rows: int) -> DataFrame:
+    """Keys of the groups of over ``whole_rows`` rows, of which there are few for their rows; stored."""
+    return settle(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > whole_rows).select(*keys))
+
+
 def rank_in_group(df: DataFrame, keys: list[str], value: str, tie: str, bins: int = 1024, name: str = "rank",
                   whole_rows: int = WHOLE_ROWS) -> DataFrame:
     """0-based rank by ``value`` and ``tie`` within each group.
@@ -72,8 +77,7 @@ def rank_in_group(df: DataFrame, keys: list[str], value: str, tie: str, bins: in
     Groups of at most ``whole_rows`` rows are ranked as they are. The value range of a larger one is cut into equal bins that are
     ranked on their own, plus the row count of the bins before; so the rows of a hot group are spread over its bins.
     """
-    # only the names of the large groups are stored, of which there are few for their rows
-    large = settle(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > whole_rows).select(*keys))
+    large = large_groups(df, keys, whole_rows)
     whole = (F.row_number().over(Window.partitionBy(*keys).orderBy(value, tie)) - 1).cast("long")
     if large.isEmpty():
         return df.withColumn(name, whole)
