@@ -199,3 +199,13 @@ def test_json_diff_below_the_levels_of_one_plan(spark):
     rows = [(1, deep("1"), deep("2")), (2, deep("1"), deep("1")), (3, '{"b":[1,{"c":null}],"a":1}', '{"a":1,"b":[1,{}]}'), (4, "[1,2]", "[1]"), (5, "[1]", '{"a":1}')]
     found = {r["k"]: (r["path"], r["reason"]) for r in nested.json_diff(spark.createDataFrame(rows, "k long, e string, a string"), "k", "e", "a").collect()}
     assert found == {1: ("$" + "[0]" * 11 + ".a", "different value"), 3: ("$.b[1].c", "missing key"), 4: ("$[1]", "length mismatch"), 5: ("$", "type mismatch")}
+
+
+def test_json_diff_sorts_each_document_once(spark, monkeypatch):
+    from voxcohort.operators import nested
+    plans, settle = [], nested.settle
+    monkeypatch.setattr(nested, "settle", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or settle(df))
+    rows = [(1, '{"a": [2, 1], "b": 1}', '{"a": [1, 2], "b": 2}'), (2, '{"a": [2, 1]}', '{"a": [1, 2]}')]
+    found = nested.json_diff(spark.createDataFrame(rows, "k long, e string, a string"), "k", "e", "a", ignore_order=True).collect()
+    assert [(r["k"], r["path"], r["reason"]) for r in found] == [(1, "$.b", "different value")]
+    assert plans[0].count("ArrowEvalPython") == 1

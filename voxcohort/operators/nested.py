@@ -139,18 +139,21 @@ def prune_code_tree(tree: DataFrame, column: str = "tree", label: str = "label")
 def sorted_json(json: Column, ignore_keys: Sequence[str] = ()) -> Column:
     """JSON text without the ignored keys and with the elements of every array in the order of their own sorted text."""
     ignored = frozenset(ignore_keys)
+    # made once: jsonlib.dumps with options makes an encoder each time
+    ordering, written = jsonlib.JSONEncoder(sort_keys=True).encode, jsonlib.JSONEncoder(ensure_ascii=False).encode
 
     def sort(node):
         if isinstance(node, list):
-            return sorted(map(sort, node), key=lambda e: jsonlib.dumps(e, sort_keys=True))
+            return sorted(map(sort, node), key=ordering)
         if isinstance(node, dict):
             return {k: sort(v) for k, v in node.items() if k not in ignored}
         return node
 
     def texts(column: pd.Series) -> pd.Series:
-        return column.map(lambda t: None if t is None else jsonlib.dumps(sort(jsonlib.loads(t)), ensure_ascii=False))
+        return column.map(lambda t: None if t is None else written(sort(jsonlib.loads(t))))
 
-    return F.pandas_udf(texts, "string")(json)
+    # a filter on the texts would else be pushed below the exchange and sort each document a second time
+    return F.pandas_udf(texts, "string").asNondeterministic()(json)
 
 
 #: Levels of documents that are opened in one plan.
