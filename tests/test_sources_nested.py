@@ -209,3 +209,15 @@ def test_json_diff_sorts_each_document_once(spark, monkeypatch):
     found = nested.json_diff(spark.createDataFrame(rows, "k long, e string, a string"), "k", "e", "a", ignore_order=True).collect()
     assert [(r["k"], r["path"], r["reason"]) for r in found] == [(1, "$.b", "different value")]
     assert plans[0].count("ArrowEvalPython") == 1
+
+
+def test_validation_documents_are_dealt_by_subject_once(spark, tmp_path):
+    rows = [(s, a, r, m, 0.5) for s in ("s1", "s2") for a in ("B", "A") for r in ("WT", "ET") for m in ("Dice", "Sensitivity")]
+    metrics = spark.createDataFrame(rows, "subject string, arch string, region string, measure string, value double")
+    tree = man.validation_tree(metrics)
+    assert tree._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    region = '{"Dice":"0.500000","Sensitivity":"0.500000"}'
+    wanted = "{" + ",".join(f'"{a}":{{"ET":{region},"WT":{region}}}' for a in "AB") + "}"
+    assert {(r["subject"], r["json"]) for r in tree.collect()} == {("s1", wanted), ("s2", wanted)}
+    man.write_validation(metrics, str(tmp_path / "v"))
+    assert {r["value"] for r in spark.read.text(str(tmp_path / "v")).collect()} == {f'{{"subject":"{s}","scores":{wanted}}}' for s in ("s1", "s2")}

@@ -78,15 +78,20 @@ def _scores(t, source):
 
     New scores have all twelve of each order's subject. Stored ones come from single line items, so that some subjects lack some.
     """
-    k = F.col("k")
-    if source == "new":
-        rows = t.orders.select(F.col("o_custkey").alias("s"), F.col("o_orderkey").alias("o"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("k"))
-    else:
-        rows = t.lineitem.select((F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("s"), F.col("l_orderkey").alias("o"), (F.col("l_partkey") % 12).alias("k"))
     named = lambda names, i: F.element_at(F.array(*map(F.lit, names)), (i + 1).cast("int"))
-    return rows.groupBy(F.concat(F.lit("sub"), F.col("s").cast("string")).alias("subject"), named(["archA", "archB", "archC"], F.col("o") % 5 % 3).alias("arch"),
-                        named(REGIONS, F.floor(k / 4)).alias("region"), named(MEASURES, k % 4).alias("measure")).agg(
-        F.max((F.col("o") * 7 + k) % 1000 / F.lit(1000.0)).alias("value"))
+    subject = lambda s: F.concat(F.lit("sub"), s.cast("string")).alias("subject")
+    score = lambda o, k: F.max((o * 7 + k) % 1000 / F.lit(1000.0))
+    if source == "new":
+        # the twelve scores of a subject and architecture come from one group and become rows afterwards
+        o = F.col("o_orderkey")
+        wide = t.orders.groupBy(subject(F.col("o_custkey")), named(["archA", "archB", "archC"], o % 5 % 3).alias("arch")).agg(
+            *[score(o, F.lit(k)).alias(f"k{k}") for k in range(12)])
+        scores = [F.struct(F.lit(REGIONS[k // 4]).alias("region"), F.lit(MEASURES[k % 4]).alias("measure"), F.col(f"k{k}").alias("value")) for k in range(12)]
+        return wide.select("subject", "arch", F.inline(F.array(*scores)))
+    k = F.col("k")
+    rows = t.lineitem.select((F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("s"), F.col("l_orderkey").alias("o"), (F.col("l_partkey") % 12).alias("k"))
+    return rows.groupBy(subject(F.col("s")), named(["archA", "archB", "archC"], F.col("o") % 5 % 3).alias("arch"),
+                        named(REGIONS, F.floor(k / 4)).alias("region"), named(MEASURES, k % 4).alias("measure")).agg(score(F.col("o"), k).alias("value"))
 
 
 def scores_sql(source):

@@ -145,24 +145,27 @@ def merge_cached_metrics(new: DataFrame, cache: DataFrame, keys: Sequence[str] =
 
 
 def validation_tree(metrics: DataFrame) -> DataFrame:
-    """One JSON document per subject: architecture → region → measure → value with six decimals.
+    """One JSON document per subject: architecture → region → measure → value with six decimals."""
+    return _validation_maps(metrics).select("subject", F.to_json("tree").alias("json"))
 
-    Each level collects only the few entries of its parent.
+
+def _validation_maps(metrics: DataFrame) -> DataFrame:
+    """One row (subject, tree) per subject. Each level collects only the few entries of its parent; rows are dealt by subject once,
+    which serves all levels, as a document is whole by its nature.
     """
     def level(df: DataFrame, keys: list[str], key: str, value: str, name: str) -> DataFrame:
         by_key = lambda a, b: F.when(a[key] < b[key], -1).when(a[key] > b[key], 1).otherwise(0)
         entries = F.array_sort(F.collect_list(F.struct(key, value)), by_key)
         return df.groupBy(*keys).agg(F.map_from_entries(entries).alias(name))
 
-    text = metrics.withColumn("value", F.format_string("%.6f", "value"))
+    text = metrics.repartition("subject").withColumn("value", F.format_string("%.6f", "value"))
     measures = level(text, ["subject", "arch", "region"], "measure", "value", "measures")
     regions = level(measures, ["subject", "arch"], "region", "measures", "regions")
-    return level(regions, ["subject"], "arch", "regions", "tree").select("subject", F.to_json("tree").alias("json"))
+    return level(regions, ["subject"], "arch", "regions", "tree")
 
 
 def write_validation(metrics: DataFrame, path: str) -> None:
-    tree = validation_tree(metrics)
-    tree.select(F.to_json(F.struct("subject", F.parse_json("json").alias("scores"))).alias("value")).write.text(path)
+    _validation_maps(metrics).select(F.to_json(F.struct("subject", F.col("tree").alias("scores"))).alias("value")).write.text(path)
 
 
 # --- model tables -----------------------------------------------------------------------------
