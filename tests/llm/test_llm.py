@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from voxcohort.llm.chat_format import preference_pairs
 from voxcohort.llm.column_bwt import column_bwt
+from voxcohort.llm.common import Shelf
+from voxcohort.llm.components import components
 from voxcohort.llm.decontaminate import banded_distance, contaminated, without_leaks
 from voxcohort.llm.exact_search import exact_top_k
 from voxcohort.llm.html_text import main_text
@@ -133,6 +135,44 @@ def test_similar_documents_against_all_pairs(corpus, nothing):
     assert similar_documents(nothing).count() == 0
 
 
+def test_similar_documents_read_texts_a_fixed_number_of_times(spark, tmp_path, monkeypatch):
+    rng = random.Random(9)
+    near, far = words(rng, 180, 10 ** 6), words(rng, 400, 10 ** 6)
+    # a chain of linked windows, and windows that share much but never enough
+    texts = [near[i:i + 60] for i in range(0, 120, 3)] + [far[i:i + 60] for i in range(0, 330, 8)]
+    path = str(tmp_path / "documents")
+    spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(path)
+    put, reads, rounds = Shelf.put, [], []
+
+    def counted(shelf, df):
+        reads.append(any(path in f for f in df.inputFiles()))
+        rounds.append("na" in df.columns or df.columns[:2] == ["a", "b"])
+        return put(shelf, df)
+
+    monkeypatch.setattr(Shelf, "put", counted)
+    got = plain(similar_documents(spark.read.parquet(path)))
+    assert [r["component_id"] for r in sorted(got, key=lambda r: r["doc_id"])] == [0] * 40 + list(range(40, len(texts)))
+    assert sum(rounds) > 2 and sum(reads) == 3
+
+
+def test_components_against_union_find(spark):
+    rng = random.Random(4)
+    chain = rng.sample(range(1000, 1200), 200)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + list(zip(chain, chain[1:])) + [(2000, i) for i in range(1990, 2050)]
+    root = {x: x for e in edges for x in e}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in edges:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    got = components(spark.createDataFrame(edges, "a long, b long"), Shelf(spark)).collect()
+    assert sorted(map(tuple, got)) == [(x, find(x)) for x in sorted(root)]
+
+
 def test_exact_search_against_all_pairs(spark):
     rng = np.random.default_rng(5)
     vectors = [(i, rng.normal(0, 0.3, 8).tolist()) for i in range(300)] + [(i, [0.5] * 8) for i in range(300, 420)]

@@ -11,17 +11,19 @@ from voxcohort.llm.common import Shelf
 def components(edges: DataFrame, shelf: Shelf) -> DataFrame:
     """(node, label) for the nodes of ``edges`` (a, b): label is the least node that can be reached.
 
-    Each round takes the least label among the neighbours and then the label of that label, so chains shorten by half.
+    Each round takes the least label among the neighbours and the node that is its own label so far, so chains shorten by half.
     """
-    both = shelf.put(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = shelf.put(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
+    # every node is its own neighbour, too
+    ends = F.explode(F.array(*(F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ("ab", "ba", "aa", "bb"))))
+    near = shelf.put(edges.select(ends.alias("end")).select("end.*").distinct())
+    labels = shelf.put(near.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")))
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = shelf.put(labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was")))
-        jump = lower.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        moved = shelf.put(lower.join(jump, "label", "left").select("node", F.least("label", F.coalesce("next", "label")).alias("label"), "was"))
+        asked = near.union(labels.where("label <> node").select("node", "label"))
+        found = asked.join(labels.withColumnRenamed("node", "b"), "b")
+        moved = shelf.put(found.groupBy(F.col("a").alias("node")).agg(F.min("label").alias("label"), F.max(F.when(F.col("a") == F.col("b"), F.col("label"))).alias("was")))
         changed = not moved.where("label <> was").isEmpty()
-        shelf.drop(labels, lower)
+        shelf.drop(labels)
         labels = moved.select("node", "label")
         if not changed:
+            shelf.drop(near)
             return labels

@@ -6,9 +6,11 @@
 3. Two similar sets share an n-gram among their first n - ceil(t n) + 1 (prefix filter). Prefix n-grams of one class only go.
 4. Members of a prefix n-gram are compared with pivots, the smallest members first. Lengths and positions bound the overlap
    before a pair is built, a split at the middle (suffix filter) before it is counted; each pair is verified once.
-5. Links make components. An n-gram whose members are all in one component is done; the others go on with 4, 16, 64, ... more
+5. Links make components. An n-gram whose members are all in one component is done; the others go on with 64, 1024, ... more
    pivots until no pair of different components is left. So no group is ever expanded into all its pairs unless none of them
-   are linked, and no link between components is lost.
+   are linked, and no link between components is lost. A round joins the components of the one before, not documents.
+
+Texts are shuffled once, for the sets that share a prefix n-gram; rounds read what that leaves.
 """
 
 from __future__ import annotations
@@ -82,6 +84,13 @@ def _prefix_rows(batches, gram: int, percent: int, level: np.ndarray):
                 yield pa.record_batch([int64(np.concatenate(x)) for x in (key, cls, n, pos)], ["key", "cls", "n", "pos"])
 
 
+def _text_rows(batches, gram: int):
+    for batch in batches:
+        for begin, texts in chunks(utf8(batch.column(0))):
+            node = [_class_of(s) if len(s) else None for s in gram_sets(texts, gram)]
+            yield pa.record_batch([pa.array(node, pa.int64()), batch.column(0).slice(begin, len(texts))], ["node", "text"])
+
+
 def _set_rows(batches, gram: int):
     for batch in batches:
         for _, texts in chunks(utf8(batch.column(0))):
@@ -103,7 +112,6 @@ def _overlap_bound(x: np.ndarray, y: np.ndarray, depth: int) -> int:
 
 def _links(batches, percent: int):
     for batch in batches:
-        a, b = batch.column(0), batch.column(1)
         keep = []
         for i in range(batch.num_rows):
             x, y = np.asarray(batch.column(2)[i].values).view(U), np.asarray(batch.column(3)[i].values).view(U)
@@ -114,7 +122,7 @@ def _links(batches, percent: int):
             if 100 * shared >= percent * (len(x) + len(y) - shared):
                 keep.append(i)
         keep = pa.array(keep, pa.int64())
-        yield pa.record_batch([a.take(keep), b.take(keep)], ["a", "b"])
+        yield pa.record_batch([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
 
 
 def _levels(counts: DataFrame) -> np.ndarray:
@@ -155,15 +163,15 @@ def similar_documents(documents: DataFrame, key: str = "doc_id", text: str = "te
     shelf.drop(prefixes, shared)
 
     def fetch(nodes: DataFrame) -> DataFrame:
-        """The sets of some classes, from the text of one document each (of all its rows, if its key repeats)."""
+        """(node, text) of some classes, from the text of one document each (of all its rows, if its key repeats)."""
         wanted = classes.join(nodes.withColumnRenamed("node", "cls"), "cls", "left_semi").select(F.col("node").alias("doc")).distinct()
-        return docs.join(wanted, "doc").select("text").mapInArrow(lambda b: _set_rows(b, gram), "node long, grams array<long>")
-
-    edges = shelf.put(_linked(members.withColumnRenamed("cls", "node"), fetch, shelf, percent))
-    labels = components(edges, shelf)
+        return docs.join(wanted, "doc").select("text").mapInArrow(lambda b: _text_rows(b, gram), "node long, text string")
 
     # copies are in one class, linked classes in one component, which is named by its least key
-    joined = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    joined = classes.withColumn("label", F.col("cls"))
+    for merged in _linked(members.withColumnRenamed("cls", "node"), fetch, shelf, gram, percent):
+        joined = _relabelled(joined, merged)
+    joined = shelf.put(joined)
     least = joined.groupBy("label").agg(F.min("node").alias("component"))
     names = joined.join(least, "label").select("cls", "node", "component")
     own = rows.join(names, "cls", "left")
@@ -171,21 +179,34 @@ def similar_documents(documents: DataFrame, key: str = "doc_id", text: str = "te
                       *(F.when(F.col("doc").isNotNull(), F.coalesce(x, "doc")).alias(y) for x, y in (("node", "class_id"), ("component", "component_id"))))
 
 
-def _linked(members: DataFrame, fetch, shelf: Shelf, percent: int) -> DataFrame:
-    """Edges (a, b) that connect all that is linked; ``fetch`` reads the sets of those nodes that pairs are built of."""
+def _relabelled(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    """Rows with the labels that theirs have become in ``merged`` (node, label)."""
+    new = merged.select(F.col("node").alias("label"), F.col("label").alias("new"))
+    return rows.join(new, "label", "left").withColumn("label", F.coalesce("new", "label")).drop("new")
+
+
+def _linked(members: DataFrame, fetch, shelf: Shelf, gram: int, percent: int) -> list[DataFrame]:
+    """What each round makes of the labels before it (node, label); a node is its own label at first, at last linked ones share
+    theirs. ``fetch`` reads the texts of nodes."""
     spark = shelf.spark
-    edges = checked = spark.createDataFrame([], "a long, b long")
+    rounds: list[DataFrame] = []
+    checked = spark.createDataFrame([], "a long, b long")
+    stored, texts = members, None
     # In a linked pair the smaller set shares at least 2 t / (1 + t) of itself, so only an early n-gram can find its partners.
     labelled = members.withColumn("label", F.col("node")).withColumn(
         "leads", F.expr(f"{100 + percent} * (before + n - pos) >= {2 * percent} * n"))
-    begin, many = 0, 1
+    begin, many = 0, 4
     order = Window.partitionBy("key").orderBy("n", "node")
     while True:
         groups = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count_if("leads").alias("leads"))
         open_keys = groups.where(f"low <> high and leads > {begin}").select("key")
         live = shelf.put(labelled.join(open_keys.hint("shuffle_hash"), "key"))
+        shelf.drop(stored)
         if live.isEmpty():
-            return edges
+            if texts is not None:
+                shelf.drop(texts)
+            return rounds
+        stored = live
         pivots = (live.where("leads").withColumn("rank", F.row_number().over(order)).where(f"rank <= {begin + many}").where(f"rank > {begin}")
                   .select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("before").alias("ba"),
                           F.col("label").alias("la")))
@@ -193,18 +214,22 @@ def _linked(members: DataFrame, fetch, shelf: Shelf, percent: int) -> DataFrame:
         found = (live.join(pivots, "key").where(
             f"label <> la and (na < n or (na = n and a < node)) and 100 * na >= {percent} * n and "
             f"{100 + percent} * (least(ba, before) + least(na - pa, n - pos)) >= {percent} * (na + n)")
-            .select("a", F.col("node").alias("b")).distinct().join(checked, ["a", "b"], "left_anti"))
+            .select("a", F.col("node").alias("b"), "la", F.col("label").alias("lb")).distinct().join(checked, ["a", "b"], "left_anti"))
         found = shelf.put(found)
+        labelled, begin, many = live, begin + many, 16 * many
         if found.isEmpty():  # nothing to compare: on to more pivots
-            labelled, begin, many = live, begin + many, 4 * many
             continue
-        sets = shelf.put(fetch(found.select(F.col("a").alias("node")).union(found.select("b")).distinct()))
+        if texts is None:
+            texts = shelf.put(fetch(live.select("node").distinct()))
+        nodes = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
+        sets = shelf.put(texts.join(nodes, "node", "left_semi").select("text").mapInArrow(
+            lambda b: _set_rows(b, gram), "node long, grams array<long>"))
         held = found.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
-        both = held.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").select("a", "b", "ga", "gb")
-        more = shelf.put(both.mapInArrow(lambda b: _links(b, percent), "a long, b long"))
+        both = held.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").select("la", "lb", "ga", "gb")
+        links = shelf.put(both.mapInArrow(lambda b: _links(b, percent), "a long, b long"))
         shelf.drop(sets)
-        checked = checked.union(found)
-        edges = edges.union(more)
-        labels = components(edges, shelf)
-        labelled = live.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        begin, many = begin + many, 4 * many
+        checked = checked.union(found.select("a", "b"))
+        if links.isEmpty():
+            continue
+        rounds.append(components(links, shelf))
+        labelled = _relabelled(live, rounds[-1])
