@@ -10,7 +10,7 @@
    pivots until no pair of different components is left. So no group is ever expanded into all its pairs unless none of them
    are linked, and no link between components is lost. A round joins the components of the one before, not documents.
 
-Texts are shuffled once, for the sets that share a prefix n-gram; rounds read what that leaves.
+The set of a class is read from a text once, in the first round that compares it; later rounds take what is stored.
 """
 
 from __future__ import annotations
@@ -84,13 +84,6 @@ def _prefix_rows(batches, gram: int, percent: int, level: np.ndarray):
                 yield pa.record_batch([int64(np.concatenate(x)) for x in (key, cls, n, pos)], ["key", "cls", "n", "pos"])
 
 
-def _text_rows(batches, gram: int):
-    for batch in batches:
-        for begin, texts in chunks(utf8(batch.column(0))):
-            node = [_class_of(s) if len(s) else None for s in gram_sets(texts, gram)]
-            yield pa.record_batch([pa.array(node, pa.int64()), batch.column(0).slice(begin, len(texts))], ["node", "text"])
-
-
 def _set_rows(batches, gram: int):
     for batch in batches:
         for _, texts in chunks(utf8(batch.column(0))):
@@ -163,13 +156,14 @@ def similar_documents(documents: DataFrame, key: str = "doc_id", text: str = "te
     shelf.drop(prefixes, shared)
 
     def fetch(nodes: DataFrame) -> DataFrame:
-        """(node, text) of some classes, from the text of one document each (of all its rows, if its key repeats)."""
+        """The sets of some classes, from the text of one document each (of all its rows, if its key repeats)."""
         wanted = classes.join(nodes.withColumnRenamed("node", "cls"), "cls", "left_semi").select(F.col("node").alias("doc")).distinct()
-        return docs.join(wanted, "doc").select("text").mapInArrow(lambda b: _text_rows(b, gram), "node long, text string")
+        # stored, so that the join knows its size: texts are not shuffled for a few documents
+        return docs.join(shelf.put(wanted), "doc").select("text").mapInArrow(lambda b: _set_rows(b, gram), "node long, grams array<long>")
 
     # copies are in one class, linked classes in one component, which is named by its least key
     joined = classes.withColumn("label", F.col("cls"))
-    for merged in _linked(members.withColumnRenamed("cls", "node"), fetch, shelf, gram, percent):
+    for merged in _linked(members.withColumnRenamed("cls", "node"), fetch, shelf, percent):
         joined = _relabelled(joined, merged)
     joined = shelf.put(joined)
     least = joined.groupBy("label").agg(F.min("node").alias("component"))
@@ -185,13 +179,13 @@ def _relabelled(rows: DataFrame, merged: DataFrame) -> DataFrame:
     return rows.join(new, "label", "left").withColumn("label", F.coalesce("new", "label")).drop("new")
 
 
-def _linked(members: DataFrame, fetch, shelf: Shelf, gram: int, percent: int) -> list[DataFrame]:
+def _linked(members: DataFrame, fetch, shelf: Shelf, percent: int) -> list[DataFrame]:
     """What each round makes of the labels before it (node, label); a node is its own label at first, at last linked ones share
-    theirs. ``fetch`` reads the texts of nodes."""
+    theirs. ``fetch`` reads the sets of nodes."""
     spark = shelf.spark
     rounds: list[DataFrame] = []
     checked = spark.createDataFrame([], "a long, b long")
-    stored, texts = members, None
+    stored, sets = members, None
     # In a linked pair the smaller set shares at least 2 t / (1 + t) of itself, so only an early n-gram can find its partners.
     labelled = members.withColumn("label", F.col("node")).withColumn(
         "leads", F.expr(f"{100 + percent} * (before + n - pos) >= {2 * percent} * n"))
@@ -203,8 +197,8 @@ def _linked(members: DataFrame, fetch, shelf: Shelf, gram: int, percent: int) ->
         live = shelf.put(labelled.join(open_keys.hint("shuffle_hash"), "key"))
         shelf.drop(stored)
         if live.isEmpty():
-            if texts is not None:
-                shelf.drop(texts)
+            if sets is not None:
+                shelf.drop(sets)
             return rounds
         stored = live
         pivots = (live.where("leads").withColumn("rank", F.row_number().over(order)).where(f"rank <= {begin + many}").where(f"rank > {begin}")
@@ -219,15 +213,15 @@ def _linked(members: DataFrame, fetch, shelf: Shelf, gram: int, percent: int) ->
         labelled, begin, many = live, begin + many, 16 * many
         if found.isEmpty():  # nothing to compare: on to more pivots
             continue
-        if texts is None:
-            texts = shelf.put(fetch(live.select("node").distinct()))
         nodes = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
-        sets = shelf.put(texts.join(nodes, "node", "left_semi").select("text").mapInArrow(
-            lambda b: _set_rows(b, gram), "node long, grams array<long>"))
-        held = found.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
-        both = held.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").select("la", "lb", "ga", "gb")
+        if sets is None:
+            sets = shelf.put(fetch(nodes))
+        else:
+            sets = sets.union(shelf.put(fetch(nodes.join(sets.select("node"), "node", "left_anti"))))
+        # a is the smaller set of the two, so it is the one that travels
+        held = found.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").select("b", "la", "lb", "ga")
+        both = held.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b").select("la", "lb", "ga", "gb")
         links = shelf.put(both.mapInArrow(lambda b: _links(b, percent), "a long, b long"))
-        shelf.drop(sets)
         checked = checked.union(found.select("a", "b"))
         if links.isEmpty():
             continue
