@@ -1,5 +1,6 @@
 """Filter audit, periodic runs and token files against plain versions, and on awkward rows."""
 
+import hashlib
 import itertools
 import random
 import re
@@ -13,6 +14,7 @@ from voxcohort.llm import mixing_coder
 from voxcohort.llm.common import mix
 from voxcohort.llm.filter_audit import audit, failing_ids
 from voxcohort.llm.periodic_runs import periodic_runs, runs_of
+from voxcohort.llm.queries import op12
 from voxcohort.llm.suffix_tree import SuffixTree
 from voxcohort.llm.token_files import Encoder, coded_tokens, joined_checksum, pack, read_token_files, unpack, write_token_files
 
@@ -148,6 +150,29 @@ def test_runs_of_documents(spark):
     assert periodic_runs(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_runs_query_takes_documents_without_words(spark, tmp_path):
+    rng = random.Random(4)
+    texts = [None, "", " \t\n", " ".join(f"w{rng.randrange(1000)}" for _ in range(90))]
+    rows = [(i, t) for i in range(40) for t in texts] + [(None, t) for t in texts]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def wanted(i, text):
+        w, h = (text or "").split(), zlib.crc32(str(i).encode())
+        g, n = h // 10, len(w)
+        if i is not None and h % 10 == 0 and n:
+            a = g % n
+            w[a:] = [w[a + (k - a) % (1 + (n - a) // (3 + g % 8))] for k in range(a, n)]
+        runs = plain_runs(w, 12)
+        s, n, q = min(runs, key=lambda r: (-r[1], r[0], r[2]), default=(None, None, None))
+        gone = {k for s_, n_, q_ in runs for k in range(s_ + q_, s_ + n_)}
+        digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        return (i, len(runs), s, n, q, runs and 1000 * n // q or None, digest("".join(f"{x},{y},{z}\n" for x, y, z in runs)),
+                digest(" ".join(x for k, x in enumerate(w) if k not in gone)))
+
+    got = sorted((tuple(r) for r in op12(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted((wanted(*r) for r in rows), key=str) and any(r[1] for r in got)
+
+
 # --- token files ------------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
