@@ -211,6 +211,42 @@ def test_json_diff_sorts_each_document_once(spark, monkeypatch):
     assert plans[0].count("ArrowEvalPython") == 1
 
 
+@pytest.mark.parametrize("expected, actual, contains, left", [
+    ('{"a": [2, {"x": 1, "s": 5}], "b": "t"}', '{"b": "t", "a": [{"s": 6, "x": 1}, 2]}', True, (None, None)),
+    ('{"a": [2, {"x": 1}], "b": "t", "c": null}', '{"b": "t", "a": [{"x": 3}, 2], "d": 1}', True, ('{"a": [null, {"x": 1}], "c": null}', '{"a": [null, {"x": 3}]}')),
+    ('{"a": [], "b": {}}', '{"a": [1], "b": {"k": 1}}', True, (None, None)),
+    ('{"a": [], "b": {}}', '{"a": [1], "b": {"k": 1}}', False, ('{"a": [], "b": {}}', '{"a": [1], "b": {"k": 1}}')),
+    ('[1, true, 0, "1"]', '[1.0, 1, false, "1"]', True, ('[null, 0, 1, true]', '[null, 1, 1.0, false]')),
+    ("null", "null", True, (None, None)), ("null", "{}", True, ("null", "{}")), ("[2, 1]", None, True, ("[1, 2]", None)),
+])
+def test_differing_json(spark, expected, actual, contains, left):
+    rows = spark.createDataFrame([(expected, actual)], "e string, a string")
+    found = rows.select(ne.differing_json(F.col("e"), F.col("a"), ["s"], contains).alias("d")).select("d.*").first()
+    assert tuple(found) == left
+
+
+def test_json_diff_takes_nulls_and_numbers_of_one_value(spark):
+    rows = [(1, "[1, 2.50]", "[2.5, 1.0]"), (2, "[1]", "[true]"), (3, "[1e0]", "[2]"), (4, "{}", None), (5, None, "{}"), (None, "[1]", "[2]"), (None, "[[1]]", "[2]")]
+    table = spark.createDataFrame(rows, "k long, e string, a string")
+    for contains, extra in ((True, set()), (False, {(5, "$", "extra key")})):
+        found = ne.json_diff(table, "k", "e", "a", ignore_order=True, contains=contains).collect()
+        assert {tuple(r) for r in found} == {(2, "$[0]", "type mismatch"), (3, "$[0]", "different value"), (4, "$", "missing key"), (None, "$[0]", "different value")} | extra
+
+
+def test_deep_documents_are_made_once_from_dealt_orders(spark, tmp_path, monkeypatch):
+    from voxcohort import catalog
+    plans, settle = [], ne.settle
+    monkeypatch.setattr(ne, "settle", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or settle(df))
+    rows = [(k, 7 * k % 11, "F", "5-LOW") for k in range(40)] + [(6, 1, "O", "1-URGENT"), (None, 2, None, None)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    found = catalog.queries()["json_diff_deep"](spark, str(tmp_path)).collect()
+    items = "$.Measurements[0].measurementItems"
+    wanted = {1: (f"{items}[1].units.CodeValue", "different value"), 2: (f"{items}[0].units.CodingSchemeDesignator", "missing key")}
+    assert sorted(map(tuple, found)) == [(k, *wanted[k % 5]) for k in range(40) if k % 5 in wanted]
+    report = "StructsToJsonEvaluator(Map(),StructType(StructField(SeriesDescription"
+    assert plans[0].count(report) == 2 and plans[0].count("Exchange") == 1 and plans[0].index(report) < plans[0].index("Exchange")
+
+
 def test_validation_documents_are_dealt_by_subject_once(spark, tmp_path):
     rows = [(s, a, r, m, 0.5) for s in ("s1", "s2") for a in ("B", "A") for r in ("WT", "ET") for m in ("Dice", "Sensitivity")]
     metrics = spark.createDataFrame(rows, "subject string, arch string, region string, measure string, value double")

@@ -136,33 +136,81 @@ def prune_code_tree(tree: DataFrame, column: str = "tree", label: str = "label")
 
 # --- JSON comparison --------------------------------------------------------------------------
 
-def sorted_json(json: Column, ignore_keys: Sequence[str] = ()) -> Column:
-    """JSON text without the ignored keys and with the elements of every array in the order of their own sorted text."""
+def differing_json(expected: Column, actual: Column, ignore_keys: Sequence[str] = (), contains: bool = True) -> Column:
+    """Two JSON texts (_e, _a) in sorted form, without what agrees; both null if all does.
+
+    Sorted form has no ignored keys, and the elements of every array are in the order of their own sorted text. What agrees has the same
+    type and value: it goes from objects with its key, while arrays keep null in its place. With ``contains``, what only the actual document has
+    goes too. Values that are left are those of the documents, so whether and how they differ is for the reader to tell.
+    """
     ignored = frozenset(ignore_keys)
     # made once: jsonlib.dumps with options makes an encoder each time
     ordering, written = jsonlib.JSONEncoder(sort_keys=True).encode, jsonlib.JSONEncoder(ensure_ascii=False).encode
 
+    def refuse(constant: str):
+        raise ValueError(f"{constant} is not JSON")
+
     def sort(node):
-        if isinstance(node, list):
-            return sorted(map(sort, node), key=ordering)
-        if isinstance(node, dict):
-            return {k: sort(v) for k, v in node.items() if k not in ignored}
+        kind = type(node)
+        if kind is list:
+            for v in node:
+                if type(v) is dict or type(v) is list:
+                    sort(v)
+            if len(node) > 1:
+                node.sort(key=ordering)
+        elif kind is dict:
+            for k in ignored:
+                node.pop(k, None)
+            for v in node.values():
+                if type(v) is dict or type(v) is list:
+                    sort(v)
         return node
 
-    def texts(column: pd.Series) -> pd.Series:
-        return column.map(lambda t: None if t is None else written(sort(jsonlib.loads(t))))
+    def agree(e, a) -> bool:
+        kind = type(e)
+        if kind is not type(a):  # 1 and 1.0, too: which numbers are the same is told by the reader
+            return False
+        if kind is dict:
+            for k, x in list(e.items()):
+                if k in a and (x == a[k] if type(x) is str else agree(x, a[k])):
+                    del e[k], a[k]
+            if contains and a:
+                for k in a.keys() - e.keys():
+                    del a[k]
+            return not e and not a
+        if kind is list:
+            if contains:
+                del a[len(e):]
+            same = len(e) == len(a)
+            for i, (x, y) in enumerate(zip(e, a)):
+                if agree(x, y):
+                    e[i] = a[i] = None
+                else:
+                    same = False
+            return same
+        return e == a
+
+    def texts(expected: pd.Series, actual: pd.Series) -> pd.DataFrame:
+        read = jsonlib.JSONDecoder(parse_constant=refuse).decode  # one a batch, as it cannot be sent to a worker
+        out = []
+        for pair in zip(expected, actual):
+            e, a = (None if t is None else [sort(read(t))] for t in pair)  # in a list, as a document may be null itself
+            if e is not None and a is not None and agree(e[0], a[0]):
+                e = a = None
+            out.append([None if d is None else written(d[0]) for d in (e, a)])
+        return pd.DataFrame(out, columns=["_e", "_a"])
 
     # a filter on the texts would else be pushed below the exchange and sort each document a second time
-    return F.pandas_udf(texts, "string").asNondeterministic()(json)
+    return F.pandas_udf(texts, "_e string, _a string").asNondeterministic()(expected, actual)
 
 
 #: Levels of documents that are opened in one plan.
 JSON_LEVELS = 8
 
 
-def _json_kind(node: Column) -> Column:
-    kind = F.regexp_extract(F.schema_of_variant(node), "^([A-Z]+)", 1)
-    return F.when(kind.isin("BIGINT", "DECIMAL", "DOUBLE"), "NUMBER").otherwise(kind)
+def _json_kind(text: Column) -> Column:
+    """The first character of a value as JSON text, made the same for all numbers and for both truth values."""
+    return F.translate(F.left(text, F.lit(1)), "f0123456789", "t" + "-" * 10)
 
 
 def json_diff(df: DataFrame, key: str, expected: str, actual: str, ignore_keys: Sequence[str] = (), ignore_order: bool = False,
@@ -171,53 +219,59 @@ def json_diff(df: DataFrame, key: str, expected: str, actual: str, ignore_keys:
 
     Reasons: missing key, extra key, length mismatch, type mismatch, different value. The actual document may have more keys and
     elements than the expected one unless ``contains`` is off. With ``ignore_order`` the elements of arrays are addressed by their
-    place in ``sorted_json``. Keys are compared at every depth. The pairs are spread by key once and opened level by level: what
-    agrees as text is left out, and below a difference nothing can come before it, so a pair has few rows at any level. After
+    place in sorted form (``differing_json``). Keys are compared at every depth. The pairs are spread by key once and opened level by level:
+    what agrees as text is left out, and below a difference nothing can come before it, so a pair has few rows at any level. After
     ``JSON_LEVELS`` levels the differences found are stored, and what is still open goes on.
     """
     unequal = ~F.col(expected).eqNullSafe(F.col(actual))  # equal texts cannot differ
-    text = (lambda c: sorted_json(F.col(c), ignore_keys)) if ignore_order else F.col
-    pairs = df.where(unequal).select(key, expected, actual).repartition(key).select(key, text(expected).alias("_e"), text(actual).alias("_a"))
-    pairs = pairs.where(~F.col("_e").eqNullSafe(F.col("_a")))
-
-    def judged(rows: DataFrame) -> DataFrame:
-        """Rows (path, _e, _a) that differ, with the reason, or none where both are objects or both are arrays."""
-        rows = rows.where(F.col("_reason").isNotNull() | ~F.to_json("_e").eqNullSafe(F.to_json("_a")))
-        rows = rows.select(key, "path", "_reason", "_e", "_a", _json_kind(F.col("_e")).alias("_t1"), _json_kind(F.col("_a")).alias("_t2"))
+    # not a filter: it would be pushed below what makes the texts, which would then be made twice
+    pairs = df.select(key, F.inline(F.when(unequal, F.array(F.struct(F.col(expected).alias("_e"), F.col(actual).alias("_a")))))).repartition(key)
+    if ignore_order:
+        pairs = pairs.select(key, differing_json(F.col("_e"), F.col("_a"), ignore_keys, contains).alias("_d")).select(key, "_d._e", "_d._a")
+        pairs = pairs.where(~F.col("_e").eqNullSafe(F.col("_a")))
+    if contains:
+        pairs = pairs.where(F.col("_e").isNotNull())
+    child = lambda name, e, a: F.struct(name.alias("name"), e.alias("e"), a.alias("a"))
+    in_full = lambda c: F.struct(c["name"], c["e"], c["a"], F.to_json(c["e"]).alias("t1"), F.to_json(c["a"]).alias("t2"))
+
+    def differing(nodes: Column) -> Column:
+        return F.filter(F.transform(nodes, in_full), lambda c: ~c["t1"].eqNullSafe(c["t2"]))
+
+    def judged(rows: DataFrame, nodes: Column) -> DataFrame:
+        """A row (path, _e, _a) a node, with the reason, or none where both are objects or both are arrays."""
+        rows = rows.select(key, "path", "_reason", F.inline(nodes))
+        rows = rows.select(key, F.concat("path", "name").alias("path"), "_reason", "e", "a", _json_kind(F.col("t1")).alias("t1"), _json_kind(F.col("t2")).alias("t2"))
         in_array = F.col("path").endswith("]") & ~F.col("path").endswith('"]')
         absent = F.when(in_array, "length mismatch")
         reason = (F.when(F.col("_reason").isNotNull(), F.col("_reason"))
-                  .when(F.col("_a").isNull(), absent.otherwise("missing key")).when(F.col("_e").isNull(), absent.otherwise("extra key"))
-                  .when(F.col("_t1") != F.col("_t2"), "type mismatch").when(~F.col("_t1").isin("OBJECT", "ARRAY"), "different value"))
-        if contains:
-            rows = rows.where(F.col("_reason").isNotNull() | F.col("_e").isNotNull())
-        rows = rows.select(key, "path", "_e", "_a", "_t1", reason.alias("_reason"))
-        held = lambda c: F.when(F.col("_reason").isNull(), F.col(c)).alias(c)
-        return rows.select(key, "path", "_reason", "_t1", held("_e"), held("_a"))
+                  .when(F.col("t2").isNull(), absent.otherwise("missing key")).when(F.col("t1").isNull(), absent.otherwise("extra key"))
+                  .when(F.col("t1") != F.col("t2"), "type mismatch").when(~F.col("t1").isin("{", "["), "different value"))
+        rows = rows.select(key, "path", reason.alias("_reason"), "e", "a", "t1")
+        held = lambda c: F.when(F.col("_reason").isNull(), F.col(c))
+        return rows.select(key, "path", "_reason", held("t1").alias("_kind"), held("e").alias("_e"), held("a").alias("_a"))
 
     def opened(rows: DataFrame) -> DataFrame:
-        """The children of open rows; rows with a reason pass as they are."""
-        kind = F.when(F.col("_reason").isNull(), F.col("_t1"))
-        part = lambda c, t, name: F.when(kind == t, F.col(c).try_cast("map<string,variant>" if t == "OBJECT" else "array<variant>")).alias(name)
-        rows = rows.select(key, "path", "_reason", "_e", "_a", part("_e", "OBJECT", "_eo"), part("_a", "OBJECT", "_ao"), part("_e", "ARRAY", "_ea"), part("_a", "ARRAY", "_aa"))
+        """The children of open rows that differ; rows with a reason pass as they are."""
+        part = lambda c, kind, name: F.when(F.col("_kind") == kind, F.col(c).try_cast("map<string,variant>" if kind == "{" else "array<variant>")).alias(name)
+        rows = rows.select(key, "path", "_reason", "_e", "_a", part("_e", "{", "_eo"), part("_a", "{", "_ao"), part("_e", "[", "_ea"), part("_a", "[", "_aa"))
         names = F.map_keys("_eo") if contains else F.array_union(F.map_keys("_eo"), F.map_keys("_ao"))
         if ignore_keys:
             names = F.filter(names, lambda n: ~n.isin(*ignore_keys))
         label = lambda n: F.when(F.regexp_like(n, F.lit(r"[.\[\]]")), F.concat(F.lit('["'), n, F.lit('"]'))).otherwise(F.concat(F.lit("."), n))
-        child = lambda name, e, a: F.struct(name.alias("name"), e.alias("e"), a.alias("a"))
-        fields = F.transform(names, lambda n: child(label(n), F.try_element_at("_eo", n), F.try_element_at("_ao", n)))
+        fields = F.transform(names, lambda n: child(n, F.try_element_at("_eo", n), F.try_element_at("_ao", n)))
+        fields = F.transform(differing(fields), lambda c: c.withField("name", label(c["name"])))
         size = F.size("_ea") if contains else F.greatest(F.size("_ea"), F.size("_aa"))
         places = F.when(size > 0, F.sequence(F.lit(0), size - 1)).when(F.col("_ea").isNotNull(), F.array().cast("array<int>"))
         elements = F.transform(places, lambda i: child(F.concat(F.lit("["), i.cast("string"), F.lit("]")), F.get("_ea", i), F.get("_aa", i)))
-        itself = F.array(child(F.lit(""), F.col("_e"), F.col("_a")))
-        rows = rows.select(key, "path", "_reason", F.explode(F.coalesce(fields, elements, itself)).alias("c"))
-        return rows.select(key, F.concat("path", "c.name").alias("path"), "_reason", F.col("c.e").alias("_e"), F.col("c.a").alias("_a"))
+        itself = F.transform(F.array(child(F.lit(""), F.col("_e"), F.col("_a"))), in_full)
+        return judged(rows, F.coalesce(fields, differing(elements), itself))
 
-    rows = judged(pairs.select(key, F.lit("$").alias("path"), F.lit(None).cast("string").alias("_reason"), F.parse_json("_e").alias("_e"), F.parse_json("_a").alias("_a")))
+    top = F.array(child(F.lit("$"), F.parse_json("_e"), F.parse_json("_a")))
+    rows = judged(pairs.select(key, F.lit("").alias("path"), F.lit(None).cast("string").alias("_reason"), "_e", "_a"), differing(top))
     found = None
     while True:
         for _ in range(JSON_LEVELS):
-            rows = judged(opened(rows))
+            rows = opened(rows)
         rows = settle(rows)
         done = rows.where(F.col("_reason").isNotNull()).select(key, "path", "_reason")
         found = done if found is None else found.unionByName(done)
